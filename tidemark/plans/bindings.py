@@ -4,9 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.functions import dates
+
+
+#: Declared schemas: a scan then needs no job to read footers first.
+TABLES = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+    "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+    "l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+    "pages": "page_id BIGINT, url STRING, html STRING",
+    "benchmark": "item_id BIGINT, text STRING",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+}
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def entity_orders(spark: SparkSession, sf: str, entity: str = "nation") -> DataFrame:
@@ -102,3 +126,37 @@ def entity_prices(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy("entity_id", "asset_id", F.col("day").alias("price_date"))
         .agg(F.round(F.sum(unit) / F.count("*"), 6).alias("close"))
     )
+
+
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with account, day and second-precision order."""
+    return table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("account_id"),
+        "event_id",
+        "ts",
+        F.col("ts").cast("date").alias("day"),
+        "event_type",
+        "value",
+        "props",
+    )
+
+
+def weekly_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Per account and ISO week: most frequent event type as the family, with two divergence marks."""
+    counted = (
+        events(spark, sf)
+        .groupBy("account_id", dates.iso_week(F.col("day")).alias("week"), dates.week_index(F.col("day")).alias("week_no"), "event_type")
+        .agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"), F.sum("value").alias("v"))
+    )
+    weekly = counted.groupBy("account_id", "week", "week_no").agg(
+        F.max_by("event_type", F.struct("n", "event_type")).alias("family"),
+        F.sum("n").alias("n_events"),
+        F.max("last_event").alias("last_event"),
+        F.max("n").alias("_top"),
+        F.round(F.sum("v"), 2).alias("_v"),
+    )
+    return weekly.select(
+        "account_id", "week", "week_no", "family", "n_events", "last_event",
+        (F.col("_top") * 2 < F.col("n_events")).alias("diverged"),
+        (F.col("_v") < 200).alias("liquidity_diverged"),
+    )

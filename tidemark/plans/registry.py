@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 DIGITS = 4
+#: Moves decimal ties off the rounding boundary, so both engines round them alike.
+NUDGE = 1e-8
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,7 +28,7 @@ class Query:
             return None
         if not self.doubles:
             return self.sql
-        rounded = ", ".join(f"round({c}, {DIGITS}) + 0 AS {c}" for c in self.doubles)
+        rounded = ", ".join(f"round({c} + sign({c}) * {NUDGE}, {DIGITS}) + 0 AS {c}" for c in self.doubles)
         return f"SELECT * REPLACE ({rounded}) FROM (\n{self.sql}\n)"
 
 
@@ -39,7 +41,8 @@ def display(df: DataFrame) -> DataFrame:
     for field in df.schema.fields:
         col, kind = F.col(f"`{field.name}`"), field.dataType
         if isinstance(kind, (T.DoubleType, T.FloatType)):
-            col = F.round(col.cast("double"), DIGITS)
+            value = col.cast("double")
+            col = F.round(value + F.signum(value) * NUDGE, DIGITS)
         elif isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType)):
             col = col.cast("bigint")
         elif isinstance(kind, T.DateType):

@@ -10,6 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb  # noqa: E402
+import pandas as pd  # noqa: E402
 
 from tidemark.plans import load  # noqa: E402
 from tidemark.session import local_session  # noqa: E402
@@ -19,7 +20,7 @@ def cells(frame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
     out = []
     for row in frame.itertuples(index=False, name=None):
-        out.append(tuple("NULL" if v is None or v != v else (repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)) for v in row))
+        out.append(tuple("NULL" if v is None or v is pd.NA or v != v else (repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)) for v in row))
     return sorted(out)
 
 
@@ -54,6 +55,9 @@ def main(sf: str, names: list[str]) -> int:
                 print(f"FAIL {name} columns {sorted(mine.columns)} / {sorted(theirs.columns)}")
                 failed.append(name)
                 continue
+            loose = [c for c, k in kinds.items() if k in ("bigint", "boolean") and (mine[c].isna().any() or theirs[c].isna().any())]
+            if loose:
+                note += f" NULLABLE {loose}"
             a, b = cells(mine), cells(theirs)
             if a == b:
                 print(f"ok   {name} rows={len(a)} {took:.2f}s sql={sql_took:.2f}s{note}", flush=True)
