@@ -160,3 +160,14 @@ def weekly_history(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("_top") * 2 < F.col("n_events")).alias("diverged"),
         (F.col("_v") < 200).alias("liquidity_diverged"),
     )
+
+
+def net_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Weekly long, short and net quantity per contract (brand): finished lines are long, open ones short."""
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("contract"))
+    side = lambda s: F.sum(F.when(F.col("l_linestatus") == s, F.col("l_quantity")).otherwise(0.0))
+    week = F.date_trunc("week", F.col("l_shipdate").cast("timestamp")).cast("date")
+    weekly = table(spark, sf, "lineitem").join(part, "l_partkey").groupBy("contract", week.alias("week")).agg(
+        side("F").alias("long_qty"), side("O").alias("short_qty")
+    )
+    return weekly.select("*", (F.col("long_qty") - F.col("short_qty")).alias("net"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -9,8 +11,12 @@ def cte(name: str, body: str, *deps: str) -> None:
     CTES[name] = (deps, body)
 
 
-def compose(body: str, *names: str) -> str:
-    """``WITH`` clause holding ``names`` and all they need, followed by ``body``."""
+def compose(body: str, *names: str) -> Callable[[], str]:
+    """Deferred SQL: a ``WITH`` clause holding ``names`` and all they need, followed by ``body``."""
+    return lambda: _text(body, names)
+
+
+def _text(body: str, names: tuple[str, ...]) -> str:
     order: list[str] = []
 
     def visit(name: str) -> None:

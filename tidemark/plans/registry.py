@@ -18,7 +18,7 @@ class Query:
     name: str
     ids: tuple[str, ...]
     build: Builder
-    sql: str | None
+    sql: str | Callable[[], str] | None
     doubles: tuple[str, ...]
 
     @property
@@ -26,10 +26,11 @@ class Query:
         """The SQL with every DOUBLE column rounded the way :func:`display` rounds it."""
         if self.sql is None:
             return None
+        text = self.sql() if callable(self.sql) else self.sql
         if not self.doubles:
-            return self.sql
+            return text
         rounded = ", ".join(f"round({c} + sign({c}) * {NUDGE}, {DIGITS}) + 0 AS {c}" for c in self.doubles)
-        return f"SELECT * REPLACE ({rounded}) FROM (\n{self.sql}\n)"
+        return f"SELECT * REPLACE ({rounded}) FROM (\n{text}\n)"
 
 
 REGISTRY: dict[str, Query] = {}
@@ -53,7 +54,7 @@ def display(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def query(name: str, ids: str, sql: str | None = None, doubles: str = "") -> Callable[[Builder], Builder]:
+def query(name: str, ids: str, sql: str | Callable[[], str] | None = None, doubles: str = "") -> Callable[[Builder], Builder]:
     """Register ``fn(spark, sf_dir)`` under ``name``; ``doubles`` names the DOUBLE columns of the SQL."""
 
     def register(fn: Builder) -> Builder:
