@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import dates
+from tidemark.operators.scans import running
 
 
 #: Declared schemas: a scan then needs no job to read footers first.
@@ -171,3 +172,114 @@ def net_positions(spark: SparkSession, sf: str) -> DataFrame:
         side("F").alias("long_qty"), side("O").alias("short_qty")
     )
     return weekly.select("*", (F.col("long_qty") - F.col("short_qty")).alias("net"))
+
+
+def snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Portfolio value per account after each event: 100 000 plus the running sum of signed values."""
+    kind, value = F.col("event_type"), F.col("value")
+    signed = F.when(kind.isin("purchase", "signup"), value).when(kind == "error", -value).otherwise(0.0)
+    ev = events(spark, sf).select("account_id", "event_id", "ts", "day", signed.alias("signed"))
+    summed = running(ev, ["account_id"], event_order(), F.col("day"), {"_s": ("sum", F.col("signed"))})
+    return summed.select("account_id", "event_id", "ts", "day", F.round(F.col("_s") + 100000, 2).alias("portfolio_value"))
+
+
+def event_order() -> list:
+    """Numeric order of events within an account."""
+    return [F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id")]
+
+
+LINE_ORDER = ["_day", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def trades(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as trades; open lines have no realised result."""
+    pl = F.col("l_extendedprice") * (F.col("l_discount") - F.col("l_tax"))
+    flag = F.col("l_returnflag")
+    return table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("account_id"),
+        F.col("l_partkey").cast("string").alias("symbol"),
+        F.when(flag == "A", "regime").when(flag == "N", "thesis_tactical").alias("layer"),
+        F.col("l_linestatus").alias("mechanism"),
+        F.when(flag == "N", F.concat(F.lit("thesis "), F.col("l_linenumber"))).otherwise("").alias("thesis"),
+        F.col("l_shipdate").cast("date").alias("date"),
+        F.when(F.col("l_linestatus") == "F", F.round(pl, 4)).alias("realized_pl"),
+        F.unix_date(F.col("l_shipdate").cast("date")).alias("_day"),
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax", "l_discount",
+    )
+
+
+def fx(spark: SparkSession, sf: str) -> DataFrame:
+    """Exchange rates of nation currencies: direct, inverse or against USD by region; some have none."""
+    n = table(spark, sf, "nation")
+    k, name, region = F.col("n_nationkey"), F.col("n_name"), F.col("n_regionkey")
+    row = lambda s, d, r: F.struct(s.alias("src"), d.alias("dst"), r.alias("rate"))
+    base, usd = F.lit("BASE"), F.lit("USD")
+    own = (
+        F.when(region == 0, row(name, base, 1 + k / 10))
+        .when(region == 1, row(base, name, 2 + k / 10))
+        .when(region == 2, row(name, usd, 0.5 + k / 10))
+    )
+    bridge = F.when(k == 0, row(usd, base, F.lit(1.25)))
+    return n.select(F.inline(F.array_compact(F.array(own, bridge))))
+
+
+def holdings(spark: SparkSession, sf: str, priorities: tuple[str, ...] | None = None) -> DataFrame:
+    """Holdings per customer and part; large parts are funds with weight maps, middling ones bonds."""
+    nation = table(spark, sf, "nation").join(
+        table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    ).select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "r_name")
+    cust = table(spark, sf, "customer").join(nation, "c_nationkey").select(
+        F.col("c_custkey").alias("o_custkey"), "n_name", "r_name", "c_acctbal"
+    )
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    if priorities:
+        orders = orders.where(F.col("o_orderpriority").isin(list(priorities)))
+    lots = (
+        table(spark, sf, "lineitem")
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .groupBy("o_custkey", F.col("l_partkey").alias("p_partkey"))
+        .agg(F.sum("l_quantity").alias("qty"), F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("entry_price"))
+    )
+    size = F.col("p_size")
+    fund = size > 40
+    part = table(spark, sf, "part").select(
+        "p_partkey",
+        F.col("p_retailprice").alias("price"),
+        size.alias("size"),
+        F.when(size <= 30, "equities").when(size <= 40, "bonds").otherwise("fund").alias("asset_class"),
+        F.when(size <= 30, F.col("p_type")).alias("sector"),
+        F.when(fund, F.create_map(F.lit("technology"), F.lit(0.6), F.lit("energy"), size / 200, F.lit("utilities"), F.lit(0.0))).alias(
+            "sector_weightings"
+        ),
+        F.when(fund, F.create_map(F.lit("stockPosition"), size / 100, F.lit("bondPosition"), 1 - size / 100)).alias("asset_classes"),
+        F.when(size % 3 == 0, "regime").when(size % 3 == 1, "thesis_tactical").otherwise("thesis_structural").alias("layer"),
+        F.when(size % 3 == 0, "").otherwise(F.col("p_brand")).alias("thesis"),
+    )
+    return (
+        lots.join(part, "p_partkey")
+        .join(cust, "o_custkey")
+        .select(
+            F.col("o_custkey").cast("string").alias("account_id"),
+            F.col("p_partkey").cast("string").alias("symbol"),
+            "qty", "price", "entry_price",
+            F.col("n_name").alias("currency"), F.col("r_name").alias("geography"),
+            "sector", "asset_class", "sector_weightings", "asset_classes", "layer", "thesis", "size",
+            F.col("c_acctbal").alias("cash"),
+        )
+    )
+
+
+def positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Positions with results and the share of their account's value (cash included)."""
+    held = holdings(spark, sf).select(
+        "account_id", "symbol", "qty", F.col("price").alias("current_price"), F.col("entry_price").alias("avg_entry_price"),
+        (F.col("price") * F.col("qty")).alias("market_value"),
+        ((F.col("price") - F.col("entry_price")) * F.col("qty")).alias("unrealized_pl"),
+        ((F.col("price") - F.col("entry_price")) / F.col("entry_price")).alias("unrealized_plpc"),
+        (F.col("price") * F.col("qty") * (F.col("size") - 25) / 1000).alias("change_today"),
+        "layer", "thesis", "sector", "cash", "size",
+    )
+    total = held.groupBy("account_id").agg((F.sum("market_value") + F.max("cash")).alias("portfolio_value"))
+    return held.join(total, "account_id").select(
+        "*", (F.col("market_value") / F.col("portfolio_value") * 100).alias("allocation_pct")
+    )
