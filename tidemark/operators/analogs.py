@@ -262,7 +262,8 @@ def bootstrap_proportion(hits: DataFrame, keys: Sequence[str], row_id: Sequence[
     weight = F.lit(0)
     for step in steps:
         weight = weight + (u > step).cast("int")
-    drawn = hits.select(*keys, *row_id, "hit", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_b")).select(
+    width = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = hits.repartition(width, *keys, *row_id).select(*keys, *row_id, "hit", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_b")).select(
         *keys, "_b", "hit", weight.alias("_w")
     )
     rates = drawn.groupBy(*keys, "_b").agg(F.try_divide(F.sum(F.col("_w") * F.col("hit")), F.sum("_w")).alias("_r"))

@@ -56,19 +56,20 @@ def confirmation_filter(
     """Adopt a label once it is seen ``k`` times in a row; the first label is adopted at once.
 
     An exact fold over the label sequence of each key, nulls included. Sequences are at calendar grain, so the array
-    of a key is bounded by the number of periods.
+    of a key is bounded by the number of periods. Rows travel inside that array, so the input is computed only once.
     """
     seed = F.lit(None).cast("string") if initial is None else initial
+    rest = [c for c in df.columns if c not in (*keys, time)]
     rows = df.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(label).alias("raw")))).alias("_seq"),
-        F.first(seed).alias("_seed"),
+        F.sort_array(F.collect_list(F.struct(time, *rest))).alias("_seq"), F.first(seed).alias("_seed")
     )
     null = F.lit(None).cast("string")
-    empty = F.array().cast("array<struct<t:date,raw:string,label:string>>")
-    start = F.struct(F.col("_seed").alias("now"), null.alias("pending"), F.lit(0).alias("n"), empty.alias("done"))
+    start = F.struct(
+        F.col("_seed").alias("now"), null.alias("pending"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("done")
+    )
 
-    def step(acc: Column, x: Column) -> Column:
-        raw, now, pending, n = x["raw"], acc["now"], acc["pending"], acc["n"]
+    def step(acc: Column, raw: Column) -> Column:
+        now, pending, n = acc["now"], acc["pending"], acc["n"]
         fresh, same, repeat = now.isNull(), raw.eqNullSafe(now), raw.eqNullSafe(pending)
         adopt = ~fresh & ~same & repeat & (n + 1 >= k)
         settled = fresh | same | adopt
@@ -77,12 +78,14 @@ def confirmation_filter(
             new_now.alias("now"),
             F.when(settled, null).otherwise(raw).alias("pending"),
             F.when(settled, F.lit(0)).when(repeat, n + 1).otherwise(F.lit(1)).alias("n"),
-            F.concat(acc["done"], F.array(F.struct(x["t"].alias("t"), raw.alias("raw"), new_now.alias("label")))).alias("done"),
+            F.concat(acc["done"], F.array(new_now)).alias("done"),
         )
 
-    folded = rows.select(*keys, F.explode(F.aggregate("_seq", start, step, lambda acc: acc["done"])).alias("_x"))
-    confirmed = folded.select(*keys, F.col("_x.t").alias(time), F.col("_x.label").alias(out))
-    return df.join(confirmed, [*keys, time])
+    folded = F.aggregate(F.transform("_seq", lambda r: r[label]), start, step, lambda acc: acc["done"])
+    zipped = rows.select(*keys, F.explode(F.arrays_zip(F.col("_seq").alias("row"), folded.alias("label"))).alias("_x"))
+    return zipped.select(
+        *keys, *[F.col("_x.row")[c].alias(c) for c in (time, *rest)], F.col("_x.label").alias(out)
+    ).select(*df.columns, out)
 
 
 def confirmation_anchors(label: Column, keys: list[str], time: str) -> Column:
@@ -95,8 +98,11 @@ def confirmation_anchors(label: Column, keys: list[str], time: str) -> Column:
 
 
 def aligned(obs: DataFrame) -> DataFrame:
-    """Observations to the aligned wide monthly table."""
-    return align.align_on_spine(align.to_indicators(align.resample_last(obs)))
+    """Observations to the aligned wide monthly table.
+
+    Entities are brought together once; every later grouping and window contains the entity and reuses that placement.
+    """
+    return align.align_on_spine(align.to_indicators(align.resample_last(obs.repartition("entity_id"))))
 
 
 def scored(wide: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from tidemark.plans import bindings as b
 from tidemark.plans.cte import compose, cte
 from tidemark.plans.decision_queries import _ETF, _ETF_SQL
 from tidemark.plans.registry import query
+from tidemark.session import materialise
 
 _LAGGED = ", ".join(f"lag({c}, {n}) OVER e AS {c}" if n else c for c, n in align.RELEASE_LAG.items())
 cte("lagged", f"SELECT entity_id, month, {_LAGGED} FROM spine WINDOW e AS (PARTITION BY entity_id ORDER BY month)", "spine")
@@ -125,8 +126,8 @@ def _month_returns(spark, sf, states):
 
 
 def _signals(spark, sf):
-    states = _states(spark, sf)
-    rets = _month_returns(spark, sf, states)
+    states = materialise(_states(spark, sf), "states")
+    rets = materialise(_month_returns(spark, sf, states), "month-returns")
     found = an.find_analogs(states).select("entity_id", F.col("month").alias("query_month"), F.col("analog_month").alias("month"))
     pairs = found.join(rets, ["entity_id", "month"]).drop("month").withColumnRenamed("query_month", "month")
     return an.risk_reward(pairs, ["entity_id", "month", "asset_id", "window"]), rets, states
@@ -175,7 +176,7 @@ def expanding_rank_long_keys(spark, sf):
     "sim",
 )
 def analogs(spark, sf):
-    return an.find_analogs(_states(spark, sf))
+    return an.find_analogs(materialise(_states(spark, sf), "states"))
 
 
 @query(

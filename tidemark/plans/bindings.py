@@ -75,22 +75,18 @@ def observations(spark: SparkSession, sf: str, entity: str = "nation") -> DataFr
             F.count(F.when(core, 1)).alias("core_n"),
         )
     )
-    flows = (
-        daily.groupBy("entity_id", F.last_day("day").alias("obs_date"))
-        .agg(F.sum("qty").alias("qty"), F.round(F.sum("price"), 2).alias("price"), F.sum("n").cast("double").alias("n"))
-        .selectExpr("entity_id", "stack(3, 'INDPRO', qty, 'M2SL', price, 'WALCL', n) AS (series_id, value)", "obs_date")
-    )
-    rates = daily.select(
-        "entity_id",
-        F.col("day").alias("obs_date"),
-        (F.col("disc") / F.col("n")).alias("unrate"),
-        F.round(F.col("unit") / F.col("n"), 6).alias("cpi"),
-        F.round(F.col("core_unit") / F.col("core_n"), 6).alias("core"),
-        (F.col("tax") / F.col("n")).alias("nfci"),
-    ).selectExpr(
-        "entity_id",
-        "stack(4, 'UNRATE', unrate, 'CPIAUCSL', cpi, 'CPILFESL', core, 'NFCI', nfci) AS (series_id, value)",
-        "obs_date",
+    # One pass over the daily table: flows land on month ends and add up, daily rates are sums of a single value.
+    long = (
+        daily.selectExpr(
+            "entity_id",
+            """stack(7, 'INDPRO', last_day(day), qty, 'M2SL', last_day(day), price, 'WALCL', last_day(day), cast(n AS DOUBLE),
+            'UNRATE', day, disc / n, 'NFCI', day, tax / n, 'CPIAUCSL', day, round(unit / n, 6),
+            'CPILFESL', day, round(try_divide(core_unit, core_n), 6)) AS (series_id, obs_date, value)""",
+        )
+        .where("value IS NOT NULL")
+        .groupBy("entity_id", "series_id", "obs_date")
+        .agg(F.sum("value").alias("value"))
+        .withColumn("value", F.when(F.col("series_id") == "M2SL", F.round("value", 2)).otherwise(F.col("value")))
     )
     orders = (
         entity_orders(spark, sf, entity)
@@ -101,8 +97,7 @@ def observations(spark: SparkSession, sf: str, entity: str = "nation") -> DataFr
         )
         .selectExpr("entity_id", "stack(2, 'RSAFS', sales, 'PAYEMS', active) AS (series_id, value)", "obs_date")
     )
-    long = flows.unionByName(rates).unionByName(orders)
-    return long.where(F.col("value").isNotNull()).select("entity_id", "series_id", "obs_date", "value")
+    return long.unionByName(orders.select("entity_id", "series_id", "obs_date", "value"))
 
 
 def prices(spark: SparkSession, sf: str) -> DataFrame:

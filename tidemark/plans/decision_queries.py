@@ -12,6 +12,7 @@ from tidemark.plans.cte import compose, cte
 from tidemark.plans.panel_queries import _wide, regimes
 from tidemark.plans.portfolio_queries import _valued
 from tidemark.plans.registry import query
+from tidemark.session import materialise
 from tidemark.plans.transition_queries import counts4, shrunk
 
 cte(
@@ -542,7 +543,7 @@ cte(
 
 
 def _resolved(spark, sf):
-    table = regimes(spark, sf).select("entity_id", "month", "regime")
+    table = materialise(regimes(spark, sf).select("entity_id", "month", "regime"), "regimes")
     rates = tr.transition_counts(table, ["entity_id"], "month", "regime", L.FAMILIES, (6,)).where(F.col("prob").isNotNull())
     rates = rates.select("entity_id", "horizon", F.col("source").alias("regime"), "target", F.col("prob").alias("base_rate"))
     made = table.join(rates, ["entity_id", "regime"]).select(
@@ -604,10 +605,10 @@ def forecast_alpha(spark, sf):
     "base_rate mean_months",
 )
 def base_rates(spark, sf):
-    table = regimes(spark, sf)
-    current = _latest(spark, sf).select("entity_id", "regime", "regime_8")
+    table = materialise(regimes(spark, sf), "regimes")
+    current = regime.latest(table.select("entity_id", "month", "regime_raw", "regime", "regime_8")).select("entity_id", "regime", "regime_8")
     durations = tr.duration_stats(table, ["entity_id"], "month", "regime_8")
-    return dc.base_rates(current, shrunk(spark, sf), counts4(spark, sf), durations)
+    return dc.base_rates(current, shrunk(spark, sf, table), counts4(spark, sf, table), durations)
 
 
 @query(

@@ -10,6 +10,7 @@ from tidemark.plans import bindings as b
 from tidemark.plans.cte import compose, cte
 from tidemark.plans.panel_queries import regimes
 from tidemark.plans.registry import query
+from tidemark.session import materialise
 
 WINDOWS = (1, 3, 6)
 SPLIT = "1999-12-31"
@@ -147,7 +148,7 @@ def unconditional_benchmarks(spark, sf):
     "mean median std win_rate p25 p75 unconditional_mean excess excess_vs_se",
 )
 def cell_stats(spark, sf):
-    returns = fwd(spark, sf)
+    returns = materialise(fwd(spark, sf), "forward-returns")
     return rt.cell_stats(rt.join_returns(regimes(spark, sf), returns), "regime", rt.benchmarks(returns))
 
 
@@ -284,7 +285,7 @@ cte(
 
 
 def boot(spark, sf):
-    returns = fwd(spark, sf)
+    returns = materialise(fwd(spark, sf), "forward-returns")
     pairs = rt.join_returns(regimes(spark, sf), returns)
     return rt.bootstrap_mean(pairs, "regime", rt.benchmarks(returns))
 

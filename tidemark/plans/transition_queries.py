@@ -10,6 +10,7 @@ from tidemark.plans import bindings as b
 from tidemark.plans.cte import compose, cte
 from tidemark.plans.panel_queries import regimes
 from tidemark.plans.registry import query
+from tidemark.session import materialise
 
 SINCE = "1999-01-01"
 E_KEY = ["entity_id"]
@@ -65,12 +66,12 @@ cte(
 )
 
 
-def counts4(spark, sf):
-    return tr.transition_counts(regimes(spark, sf), E_KEY, "month", "regime", L.FAMILIES)
+def counts4(spark, sf, table=None):
+    return tr.transition_counts(regimes(spark, sf) if table is None else table, E_KEY, "month", "regime", L.FAMILIES)
 
 
-def shrunk(spark, sf):
-    table = regimes(spark, sf)
+def shrunk(spark, sf, table=None):
+    table = materialise(regimes(spark, sf), "regimes") if table is None else table
     eight = tr.transition_counts(table, E_KEY, "month", "regime_8", L.LABELS_8)
     four = tr.transition_counts(table, E_KEY, "month", "regime", L.FAMILIES)
     return tr.shrink(eight, four, E_KEY)
