@@ -278,3 +278,78 @@ def positions(spark: SparkSession, sf: str) -> DataFrame:
     return held.join(total, "account_id").select(
         "*", (F.col("market_value") / F.col("portfolio_value") * 100).alias("allocation_pct")
     )
+
+
+def thesis_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """One Markdown document per order: metadata, summary, numbered assumptions, a pipe table and sector prose."""
+    line = F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag", "l_linestatus"
+    )
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("ls"))
+    docs = table(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    text = lambda c: c.cast("string")
+    whole = lambda c: F.floor(c).cast("bigint").cast("string")
+    state = lambda x: F.when(x["l_linestatus"] == "F", "INTACT").otherwise("UNDER PRESSURE")
+    item = F.transform(
+        "ls",
+        lambda x, i: F.concat(
+            text(i + 1), F.lit(". Part "), text(x["l_partkey"]), F.lit(" holds $"), whole(x["l_extendedprice"]), F.lit("K and "),
+            whole(x["l_discount"] * 100), F.lit("% — Testable by: review "), text(x["l_suppkey"]),
+            F.lit(". Current status: "), state(x), F.lit("\n   - volume "), whole(x["l_quantity"]), F.lit(" tonnes"),
+        ),
+    )
+    etf = lambda x: F.when(x["l_returnflag"] == "R", "SPY / EUR").when(x["l_returnflag"] == "A", "GLD").otherwise("")
+    row = F.transform(
+        "ls",
+        lambda x: F.concat(
+            F.lit("| **Part "), text(x["l_partkey"]), F.lit("** | "),
+            F.when(x["l_discount"] > 0.05, "strong overweight").when(x["l_discount"] > 0.02, "neutral").otherwise("avoid"),
+            F.lit(" | "), etf(x), F.lit(" | Held with TLT for "), whole(x["l_quantity"]), F.lit(" weeks |"),
+        ),
+    )
+    prose = F.transform(
+        "ls",
+        lambda x: F.concat(
+            F.when(x["l_returnflag"] == "R", "**Energy (").when(x["l_returnflag"] == "A", "**Basic Materials (").otherwise("**Utilities ("),
+            F.when(x["l_linestatus"] == "F", "Overweight").otherwise("Neutral"),
+            F.lit("):** Body of XLE part "), text(x["l_partkey"]), F.lit(". **Reassessment trigger:** price above "),
+            whole(x["l_quantity"]), F.lit(". "),
+        ),
+    )
+    level = (
+        F.when(F.col("o_orderpriority") == "1-URGENT", "High (tactical)").when(F.col("o_orderpriority") == "2-HIGH", "medium-high")
+        .when(F.col("o_orderpriority") == "3-MEDIUM", "Medium").otherwise("")
+    )
+    n = F.size("ls")
+    return docs.select(
+        F.col("o_orderkey").alias("doc_id"),
+        "o_custkey",
+        F.concat(
+            F.when(F.col("o_orderpriority") == "1-URGENT", "# STRUCTURAL THESIS: Order ").otherwise("# THESIS: Order "), text(F.col("o_orderkey")),
+            F.lit("\n**Status:** "), F.when(F.col("o_orderstatus") == "F", "Active since start").otherwise("DRAFT"),
+            F.when(level != "", F.concat(F.lit("\n**Conviction:** "), level)).otherwise(""),
+            F.lit("\n\n## Summary\nWe buy SPY and **XLE** here. Regime: Stagflation — "),
+            F.when(n % 2 == 0, "Ample").otherwise("Tight"), F.lit(" Liquidity. Growth score: 0."), text(n),
+            F.lit(", Inflation axis: -"), text(n), F.lit(".5, "), text(n),
+            F.lit(" consecutive weeks of Stagflation. Confidence: High\n## What Has To Stay True\n"), F.array_join(item, "\n"),
+            F.lit("\n## The Trade\n| Asset | Direction | ETF | Rationale |\n|---|:---|---|---|\n"), F.array_join(row, "\n"),
+            F.lit("\n\n## Sector View\n"), F.array_join(prose, ""),
+        ).alias("text"),
+    )
+
+
+def run_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as run-log entries, one run per account."""
+    kind = F.col("event_type")
+    k = F.get_json_object("props", "$.k").cast("int")
+    text = k.cast("string")
+    return table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("run"),
+        F.col("ts").cast("string").alias("ts"),
+        F.col("event_id").alias("seq"),
+        F.when(kind == "error", "ERROR").when(kind == "click", "WARN").otherwise("INFO").alias("severity"),
+        F.when(kind == "signup", "run-start").when(kind == "purchase", "run-end").otherwise(kind).alias("phase"),
+        F.when(k < 10, F.concat(F.lit("Timeout after "), text)).when(k < 20, F.concat(F.lit("retry "), text))
+        .when(k < 30, F.concat(F.lit("script failed: exit code "), text)).when(k < 40, F.concat(F.lit("Data gap "), text)).otherwise("ok").alias("message"),
+        F.when(kind == "signup", "IN_PROGRESS").when((kind == "purchase") & (k > 60), "COMPLETE").alias("status"),
+    )
