@@ -53,8 +53,8 @@ def resample_last(
 
 
 def pct_change(col: Column, n: int, keys: Sequence[str], time: str) -> Column:
-    """Positional fractional change against the value ``n`` rows earlier."""
-    return col / F.lag(col, n).over(Window.partitionBy(*keys).orderBy(time)) - 1
+    """Positional fractional change against the value ``n`` rows earlier; null where that value is zero."""
+    return F.try_divide(col, F.lag(col, n).over(Window.partitionBy(*keys).orderBy(time))) - 1
 
 
 def diff(col: Column, n: int, keys: Sequence[str], time: str) -> Column:
@@ -204,7 +204,7 @@ def forward_return(
     start = F.lead(price, execution_lag).over(w) if execution_lag else F.col(price)
     rets = []
     for n in windows:
-        ret = (F.lead(price, n + execution_lag).over(w) / start - 1) * 100
+        ret = (F.try_divide(F.lead(price, n + execution_lag).over(w), start) - 1) * 100
         rets.append(F.struct(F.lit(n).alias("window"), (F.when(start > 0, ret) if require_positive else ret).alias("ret")))
     wide = prices.select(*keys, time, F.array(*rets).alias("_r"))
     return wide.select(*keys, time, F.inline("_r"))

@@ -224,13 +224,13 @@ def rollup_accounts(positions: DataFrame) -> DataFrame:
     alloc = F.col("allocation_pct")
     return positions.groupBy("account_id").agg(
         F.count("*").alias("n_positions"),
-        F.max(F.col("cash") / F.col("portfolio_value") * 100).alias("cash_pct"),
+        F.max(F.try_divide("cash", "portfolio_value") * 100).alias("cash_pct"),
         F.sum(F.when(F.col("thesis") != "", alloc).otherwise(0.0)).alias("overlay_pct"),
         F.max_by("symbol", F.struct(F.round(alloc, 6).alias("a"), "symbol")).alias("largest"),
         F.max(alloc).alias("largest_pct"),
         F.sum("unrealized_pl").alias("unrealized_pl"),
         F.sum("change_today").alias("change_today"),
-        (F.sum(plpc * alloc) / F.sum(alloc)).alias("return_pct"),
+        F.try_divide(F.sum(plpc * alloc), F.sum(alloc)).alias("return_pct"),
     )
 
 
@@ -270,7 +270,7 @@ def execution_quality(orders: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count("*").alias("n"),
         (F.avg(filled.cast("double")) * 100).alias("fill_rate"),
         (F.avg((F.col("status") == "rejected").cast("double")) * 100).alias("rejection_rate"),
-        F.avg(F.when(filled, (F.col("fill_price") - F.col("planned_price")) / F.col("planned_price") * 100)).alias("slippage_pct"),
+        F.avg(F.when(filled, F.try_divide(F.col("fill_price") - F.col("planned_price"), F.col("planned_price")) * 100)).alias("slippage_pct"),
     )
 
 
@@ -336,7 +336,7 @@ def primary_sector(weights: Column) -> Column:
 
 def limit_reset(limit: Column, ask: Column, tolerance: float = 5.0, markup: float = 1.003) -> Column:
     """Limit price kept within a tolerance of the ask, else moved just above it; no quote keeps it."""
-    deviation = F.abs(limit - ask) / ask * 100
+    deviation = F.try_divide(F.abs(limit - ask), ask) * 100
     return F.when(ask.isNotNull() & (deviation > tolerance), ask * markup).otherwise(limit)
 
 
@@ -381,7 +381,7 @@ def match_fifo(trades: DataFrame, keys: list[str], order: list[str], bucket: Col
         F.col("_exit.price").alias("exit_price"),
         qty.alias("qty"),
         (gain * qty).alias("realized_pl"),
-        (gain / F.col("_entry.price") * 100).alias("realized_pl_pct"),
+        (F.try_divide(gain, F.col("_entry.price")) * 100).alias("realized_pl_pct"),
         F.datediff("_exit.date", "_entry.date").alias("holding_days"),
     )
 
