@@ -161,7 +161,7 @@ def asof_backward(
     both = _asof_union(left, right, keys, left_time, right_time, values)
     order = [F.col("_t"), F.col("_tag"), F.xxhash64("_left")]
     bucket = F.floor(F.col("_day") / bucket_days)
-    found = running(both, keys, order, bucket, {"_hit": ("last", F.col("_right"))}).where("_tag = 1")
+    found = running(both, keys, order, bucket, {"_hit": ("last", F.col("_right"))}, cut=True).where("_tag = 1")
     return found.select("_left.*", F.col("_hit.time").alias("matched_time"), *[F.col(f"_hit.{v}").alias(v) for v in values])
 
 
@@ -179,8 +179,9 @@ def asof_nearest(
     both = _asof_union(left, right, keys, left_time, right_time, values)
     day, bucket = F.col("_day"), F.floor(F.col("_day") / bucket_days)
     unique = F.xxhash64("_left")
-    past = running(both, keys, [day, F.col("_tag"), unique], bucket, {"_past": ("last", F.col("_right"))})
-    found = running(past, keys, [-day, F.col("_tag"), unique], -bucket, {"_next": ("last", F.col("_right"))}).where("_tag = 1")
+    past = running(both, keys, [day, F.col("_tag"), unique], bucket, {"_past": ("last", F.col("_right"))}, cut=True)
+    ahead_of = {"_next": ("last", F.col("_right"))}
+    found = running(past, keys, [-day, F.col("_tag"), unique], -bucket, ahead_of, cut=True).where("_tag = 1")
     back = F.datediff(F.col("_t").cast("date"), F.col("_past.time").cast("date"))
     ahead = F.datediff(F.col("_next.time").cast("date"), F.col("_t").cast("date"))
     take_next = F.col("_next").isNotNull() & (F.col("_past").isNull() | (ahead <= back))

@@ -17,15 +17,10 @@ def renamed(table: dict[str, str], key: Column) -> Column:
     return F.coalesce(F.try_element_at(names, key), key)
 
 
-def with_totals(df: DataFrame, keys: Sequence[str], totals: dict[str, Column]) -> DataFrame:
-    """Group totals joined back: unlike a window, a hot group is aggregated map-side and split by the skew join."""
-    return df.join(df.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()]), list(keys))
-
-
 def snapshot_returns(snaps: DataFrame, key: str, order: list[Column], bucket: Column, value: str) -> DataFrame:
     """Per snapshot: simple return, return since the first one, high-water mark and drawdown in percent."""
     v = F.col(value)
-    scan = running(snaps, [key], order, bucket, {"prev": ("prev", v), "first": ("first", v), "high": ("max", v)})
+    scan = running(snaps, [key], order, bucket, {"prev": ("prev", v), "first": ("first", v), "high": ("max", v)}, cut=True)
     return scan.select(
         *snaps.columns,
         F.when(F.col("prev") > 0, (v - F.col("prev")) / F.col("prev") * 100).alias("return_pct"),
@@ -357,6 +352,7 @@ def match_fifo(trades: DataFrame, keys: list[str], order: list[str], bucket: Col
             "_b": ("sum", F.when(buy, F.col("qty")).otherwise(0.0)),
             "_s": ("sum", F.when(buy, 0.0).otherwise(F.col("qty"))),
         },
+        cut=True,
     )
     info = F.struct("date", "price")
     cut = cum.select(
@@ -368,9 +364,9 @@ def match_fifo(trades: DataFrame, keys: list[str], order: list[str], bucket: Col
     )
     place = [F.col("_point"), *[F.col(c) for c in order]]
     slot = F.floor(F.col("_point") / width)
-    start = running(cut, keys, place, slot, {"_from": ("prev", F.col("_point"))})
+    start = running(cut, keys, place, slot, {"_from": ("prev", F.col("_point"))}, cut=True)
     following = {"_entry": ("last", F.col("_buy")), "_exit": ("last", F.col("_sell"))}
-    matched = running(start, keys, [-c for c in place], -slot, following)
+    matched = running(start, keys, [-c for c in place], -slot, following, cut=True)
     qty = F.col("_point") - F.coalesce("_from", F.lit(0.0))
     gain = F.col("_exit.price") - F.col("_entry.price")
     return matched.where(F.col("_entry").isNotNull() & F.col("_exit").isNotNull() & (qty > 0)).select(
@@ -398,9 +394,9 @@ def retry_count(orders: DataFrame, keys: list[str], at: Column, tie: str, bucket
     """Unfilled submissions of the same key since its last fill, before this order."""
     order, open_one = [at, F.col(tie)], F.when(filled, 0).otherwise(1).cast("bigint")
     counted = running(orders, keys, order, bucket, {"_u": ("sum", open_one)})
-    settled = running(counted, keys, order, bucket, {"_base": ("last", F.when(filled, F.col("_u")))})
+    settled = running(counted, keys, order, bucket, {"_base": ("last", F.when(filled, F.col("_u")))}, cut=True)
     # The base of a filled row is its own, so the row before it decides how many attempts preceded it.
-    before = running(settled, keys, order, bucket, {"_before": ("prev", F.col("_base"))})
+    before = running(settled, keys, order, bucket, {"_before": ("prev", F.col("_base"))}, cut=True)
     return before.select(
         *orders.columns, (F.col("_u") - open_one - F.coalesce("_before", F.lit(0))).cast("bigint").alias("retry_count")
     )

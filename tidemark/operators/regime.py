@@ -51,14 +51,14 @@ def confirmation_filter(
     label: str,
     out: str,
     k: int = 2,
-    initial: Column | None = None,
+    initial: Column | str | None = None,
 ) -> DataFrame:
     """Adopt a label once it is seen ``k`` times in a row; the first label is adopted at once.
 
     An exact fold over the label sequence of each key, nulls included. Sequences are at calendar grain, so the array
     of a key is bounded by the number of periods. Rows travel inside that array, so the input is computed only once.
     """
-    seed = F.lit(None).cast("string") if initial is None else initial
+    seed = initial if isinstance(initial, Column) else F.lit(initial).cast("string")
     rest = [c for c in df.columns if c not in (*keys, time)]
     rows = df.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct(time, *rest))).alias("_seq"), F.first(seed).alias("_seed")

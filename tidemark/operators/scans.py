@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from tidemark.session import materialise
+
 KINDS = ("sum", "count", "max", "first", "prev", "last")
 
 
@@ -21,9 +23,13 @@ def running(
     order: list[Column],
     bucket: Column,
     specs: dict[str, tuple[str, Column]],
+    cut: bool = False,
 ) -> DataFrame:
     """Add running columns up to and including each row.
 
+    The rows are read twice, once for the totals and once for the scan. ``cut`` writes them to the shared folder first;
+    use it where they come out of joins or earlier scans, which would otherwise run again.
+
     ``specs`` maps an output name to (kind, column): ``sum``, ``count``, ``max`` accumulate; ``first`` is the first
     value of the key; ``prev`` the value one row earlier; ``last`` the latest non-null value so far.
     ``order`` must make rows unique within a key and grow with ``bucket``.
@@ -35,6 +41,8 @@ def running(
         *[c.alias(n) for c, n in zip(order, order_names)],
         *[c.alias(f"_v_{n}") for n, (_, c) in specs.items()],
     )
+    if cut:
+        work = materialise(work, "scan")
     position = F.struct(*order_names)
     totals = []
     for name, (kind, _) in specs.items():

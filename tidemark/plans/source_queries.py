@@ -10,6 +10,7 @@ from tidemark.plans import bindings as b
 from tidemark.plans.cte import compose
 from tidemark.plans.panel_queries import regimes
 from tidemark.plans.registry import query
+from tidemark.schema import SNAPSHOT, TRADES
 from tidemark.session import scratch_path
 from tidemark.sources import readers as rd, sinks as sk
 
@@ -207,7 +208,7 @@ def landed_snapshots(spark, sf):
         "positions",
     )
     docs.write.json(path)
-    landed = spark.read.schema(_snapshot_schema()).json(path)
+    landed = spark.read.schema(SNAPSHOT).json(path)
     accounts, plain, results = rd.account_tables(landed)
     keys = ["account_id", "ts"]
     return plain.join(results, [*keys, "symbol"]).join(accounts, keys).select(
@@ -215,12 +216,6 @@ def landed_snapshots(spark, sf):
     )
 
 
-def _snapshot_schema():
-    from tidemark.schema import SNAPSHOT
-
-    return SNAPSHOT
-
-
 @query(
     "landed_trades",
     "SRC-11",
@@ -232,8 +227,6 @@ def landed_trades(spark, sf):
     path = scratch_path(spark, "trades")
     b.trades(spark, sf).select("account_id", "symbol", F.col("l_quantity").alias("qty"), "date", "layer", "realized_pl").write.json(path)
     # Line-delimited here; files holding one object or one list take the same schema with the multi-line reader.
-    from tidemark.schema import TRADES
-
     return spark.read.schema(TRADES).json(path).select("account_id", "symbol", "qty", "realized_pl")
 
 

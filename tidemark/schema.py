@@ -1,43 +1,20 @@
-"""Table schemas. Missing values are NULL, never NaN; money is DOUBLE."""
+"""Table schemas as DDL. Missing values are NULL, never NaN; money is DOUBLE."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def struct(text: str) -> T.StructType:
-    """A StructType from a DDL string."""
-    return T.StructType.fromDDL(text)
-
-
-OBSERVATIONS = struct("entity_id STRING, series_id STRING, obs_date DATE, value DOUBLE")
-SERIES_META = struct("series_id STRING, source STRING, name STRING, category STRING, frequency STRING")
-PRICES = struct("asset_id STRING, price_date DATE, close DOUBLE, volume BIGINT")
-REGIMES = struct(
-    "entity_id STRING, month DATE, growth_score DOUBLE, inflation_score DOUBLE, liquidity_score DOUBLE, "
-    "growth_direction STRING, inflation_direction STRING, regime_raw STRING, regime STRING, "
-    "liquidity_binary STRING, liquidity_condition STRING, regime_8 STRING"
-)
-TRADES = struct(
-    "trade_id STRING, account_id STRING, date DATE, run_type STRING, symbol STRING, side STRING, qty DOUBLE, "
-    "fill_price DOUBLE, order_type STRING, slippage_pct DOUBLE, status STRING, layer STRING, thesis STRING, "
-    "mechanism_type STRING, reason STRING, retry_count INT, realized_pl DOUBLE, closed_date DATE, close_reason STRING"
-)
-POSITION = struct(
-    "symbol STRING, qty DOUBLE, side STRING, market_value DOUBLE, current_price DOUBLE, avg_entry_price DOUBLE, "
-    "unrealized_pl DOUBLE, unrealized_plpc DOUBLE, change_today DOUBLE"
+OBSERVATIONS = "entity_id STRING, series_id STRING, obs_date DATE, value DOUBLE"
+PRICES = "asset_id STRING, price_date DATE, close DOUBLE, volume BIGINT"
+TRADES = (
+    "trade_id STRING, account_id STRING, date DATE, run_type STRING, symbol STRING, side STRING, qty DOUBLE, fill_price DOUBLE, order_type STRING, "
+    "slippage_pct DOUBLE, status STRING, layer STRING, thesis STRING, mechanism_type STRING, reason STRING, retry_count INT, realized_pl DOUBLE, "
+    "closed_date DATE, close_reason STRING"
 )
-SNAPSHOT = T.StructType(
-    [
-        T.StructField("timestamp", T.StringType()),
-        T.StructField(
-            "account", struct("account_id STRING, portfolio_value DOUBLE, cash DOUBLE, buying_power DOUBLE")
-        ),
-        T.StructField("positions", T.ArrayType(POSITION)),
-        T.StructField("allocations_pct", T.MapType(T.StringType(), T.DoubleType())),
-    ]
+POSITION = (
+    "symbol: STRING, qty: DOUBLE, side: STRING, market_value: DOUBLE, current_price: DOUBLE, avg_entry_price: DOUBLE, unrealized_pl: DOUBLE, "
+    "unrealized_plpc: DOUBLE, change_today: DOUBLE"
 )
-RUN_LOG = struct(
-    "ts STRING, severity STRING, phase STRING, message STRING, status STRING, details MAP<STRING,STRING>"
+SNAPSHOT = (
+    "timestamp STRING, account STRUCT<account_id: STRING, portfolio_value: DOUBLE, cash: DOUBLE, buying_power: DOUBLE>, "
+    f"positions ARRAY<STRUCT<{POSITION}>>, allocations_pct MAP<STRING, DOUBLE>"
 )
-BASELINE = struct("series_id STRING, n BIGINT, mean DOUBLE, m2 DOUBLE")
+RUN_LOG = "ts STRING, severity STRING, phase STRING, message STRING, status STRING, details MAP<STRING, STRING>"

@@ -148,10 +148,7 @@ def account_tables(snapshots: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
 
 def read_trade_logs(spark: SparkSession, path: str) -> DataFrame:
     """Trades of files that hold one object or a list of them; files that do not parse are dropped."""
-    from pyspark.sql import types as T
-
-    with_bad = T.StructType([*schema.TRADES.fields, T.StructField("_bad", T.StringType())])
-    raw = spark.read.schema(with_bad).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    raw = spark.read.schema(f"{schema.TRADES}, _bad STRING").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     return raw.where(F.col("_bad").isNull()).drop("_bad")
 
 
@@ -159,7 +156,7 @@ def read_run_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Good entries of a JSON-lines log and a one-row count of malformed lines."""
     lines = spark.read.text(path).where(F.trim("value") != "")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    parsed = lines.select(F.from_json("value", schema.RUN_LOG.add("_bad", "string"), options).alias("e"))
+    parsed = lines.select(F.from_json("value", f"{schema.RUN_LOG}, _bad STRING", options).alias("e"))
     good = parsed.where(F.col("e._bad").isNull()).select("e.*").drop("_bad")
     return good, parsed.agg(F.count(F.when(F.col("e._bad").isNotNull(), 1)).alias("malformed"))
 
