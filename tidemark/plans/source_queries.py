@@ -314,3 +314,34 @@ def history_upsert(spark, sf):
     new = table.where(F.col("month") >= "1998-01-01").select("entity_id", "week", F.col("regime_8").alias("regime"), F.col("growth_score").alias("x"))
     old = table.where(F.col("month") < "1999-01-01").select("entity_id", "week", "regime", F.lit("High").alias("confidence"), F.lit(-9.0).alias("x"))
     return sk.upsert_history(old, new, ["entity_id", "week"], {"confidence": "Backfilled"})
+
+
+@query(
+    "landed_templates",
+    "SRC-15",
+    """SELECT p_type AS family, p_brand AS bucket, p_brand AS symbol, n * 1.0::DOUBLE AS weight, total * 1.0::DOUBLE AS total, abs(sum(n) OVER (PARTITION BY p_type) - total) < 0.5
+    AS matches FROM (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY 1, 2) JOIN (SELECT p_type, count(*) + CASE WHEN p_type = 'PROMO' THEN 1 ELSE 0 END AS total FROM
+    part GROUP BY 1) USING (p_type)""",
+    "weight total",
+)
+def landed_templates(spark, sf):
+    buckets = b.table(spark, sf, "part").groupBy("p_type", "p_brand").agg(F.count("*").alias("n"))
+    entry = F.to_json(F.struct(F.col("p_brand").alias("etf"), F.col("n").alias("weight")))
+    # One document per family; a family has as many buckets as there are brands.
+    body = F.array_join(F.collect_list(F.concat(F.lit('"'), "p_brand", F.lit('": '), entry)), ", ")
+    total = F.sum("n") + F.max(F.when(F.col("p_type") == "PROMO", 1).otherwise(0))
+    docs = buckets.groupBy("p_type").agg(body.alias("body"), total.cast("string").alias("total"))
+    text = F.concat(F.lit('{"_note": "x", "'), "p_type", F.lit('": {"_description": "d", '), "body", F.lit(', "_total": '), "total", F.lit("}}"))
+    rows, totals = rd.read_templates(spark, _landed(docs.select(text.alias("value")), "templates"), wholetext=False)
+    return rows.join(totals.select("family", "total", "matches"), "family")
+
+
+@query(
+    "safe_doubles",
+    "SC-20",
+    r"""SELECT page_id, try_cast(regexp_extract(url, '^https?://[^/]+/[^/]*/([^/?#]*)', 1) AS DOUBLE) AS parsed FROM pages""",
+    "parsed",
+)
+def safe_doubles(spark, sf):
+    part = F.regexp_extract("url", r"^https?://[^/]+/[^/]*/([^/?#]*)", 1)
+    return b.table(spark, sf, "pages").select("page_id", part.try_cast("double").alias("parsed"))
