@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.config import ASSET_CLASS_NAMES, KNOWN_LAYERS, LIMITS, SECTOR_NAMES
 from tidemark.functions import labels as L
 from tidemark.operators.scans import framed, running
+from tidemark.session import materialise
 
 
 def renamed(table: dict[str, str], key: Column) -> Column:
@@ -114,6 +115,8 @@ def holding_values(holdings: DataFrame, rates: DataFrame) -> DataFrame:
         F.when(has_entry, (F.col("price") - F.col("entry_price")) * F.col("qty")).alias("pl_abs"),
         F.when(has_entry, (F.col("price") - F.col("entry_price")) / F.col("entry_price") * 100).alias("pl_pct"),
     )
+    # Read twice, so written once: the join to the account totals must not run the holdings again.
+    valued = materialise(valued, "holdings")
     total = valued.groupBy("account_id").agg(F.sum("value_base").alias("_total"))
     share = F.when(F.col("_total") > 0, F.col("value_base") / F.col("_total") * 100).otherwise(0.0)
     return valued.join(total, "account_id").select("*", share.alias("allocation_pct")).drop("_total")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import dates
 from tidemark.operators.scans import running
+from tidemark.session import materialise
 
 
 #: Declared schemas: a scan then needs no job to read footers first.
@@ -274,6 +275,7 @@ def positions(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("price") * F.col("qty") * (F.col("size") - 25) / 1000).alias("change_today"),
         "layer", "thesis", "sector", "cash", "size",
     )
+    held = materialise(held, "positions")
     total = held.groupBy("account_id").agg((F.sum("market_value") + F.max("cash")).alias("portfolio_value"))
     return held.join(total, "account_id").select(
         "*", (F.col("market_value") / F.col("portfolio_value") * 100).alias("allocation_pct")

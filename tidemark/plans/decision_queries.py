@@ -189,18 +189,23 @@ cte(
 )
 
 
-def _share(spark, sf, filled: bool):
-    keep = F.col("o_orderstatus") == "F"
-    orders = b.table(spark, sf, "orders").where(keep if filled else ~keep).select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+def _shares(spark, sf):
+    """Target and current share of each (account, symbol), from one pass over the lines."""
+    orders = b.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), "o_custkey", (F.col("o_orderstatus") == "F").alias("filled")
+    )
     lots = b.table(spark, sf, "lineitem").join(orders, "l_orderkey").groupBy(
         F.col("o_custkey").cast("string").alias("account_id"), F.col("l_partkey").cast("string").alias("symbol")
-    ).agg(F.sum("l_quantity").alias("v"))
-    total = lots.groupBy("account_id").agg(F.sum("v").alias("_t"))
-    return lots.join(total, "account_id").select("account_id", "symbol", (F.col("v") / F.col("_t") * 100).alias("pct"))
+    ).agg(F.sum(F.when(F.col("filled"), F.col("l_quantity"))).alias("current"), F.sum(F.when(~F.col("filled"), F.col("l_quantity"))).alias("target"))
+    lots = materialise(lots, "lots")
+    total = lots.groupBy("account_id").agg(F.sum("current").alias("_c"), F.sum("target").alias("_t"))
+    both = lots.join(total, "account_id")
+    side = lambda v, t: both.where(F.col(v).isNotNull()).select("account_id", "symbol", (F.col(v) / F.col(t) * 100).alias("pct"))
+    return side("target", "_t"), side("current", "_c")
 
 
 def _both(spark, sf):
-    return dc.target_vs_current(_share(spark, sf, False), _share(spark, sf, True))
+    return dc.target_vs_current(*_shares(spark, sf))
 
 
 @query(
@@ -246,7 +251,7 @@ def reconciliation(spark, sf):
     ),
 )
 def orphaned_positions(spark, sf):
-    target, current = _share(spark, sf, False), _share(spark, sf, True)
+    target, current = _shares(spark, sf)
     keys = ["account_id", "symbol"]
     only = lambda kind, a, z: a.join(z, keys, "left_anti").select(F.lit(kind).alias("kind"), *keys)
     return only("orphan", current, target).unionByName(only("new", target, current))

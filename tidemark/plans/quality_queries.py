@@ -10,6 +10,7 @@ from tidemark.plans import bindings as b
 from tidemark.plans.cte import compose
 from tidemark.plans.panel_queries import regimes
 from tidemark.plans.registry import query
+from tidemark.session import materialise
 from tidemark.plans.transition_queries import shrunk
 
 AS_OF = "2001-06-30"
@@ -70,7 +71,7 @@ def _cards(spark, sf):
     "latest_value",
 )
 def anomalies_excluded(spark, sf):
-    cards = _cards(spark, sf)
+    cards = materialise(_cards(spark, sf), "cards")
     return ql.exclude(cards, sg.range_anomalies(cards), ["entity_id", "series_id"])
 
 
@@ -115,7 +116,7 @@ def freshness(spark, sf):
     ),
 )
 def missing_required_keys(spark, sf):
-    monthly = align.resample_last(b.observations(spark, sf))
+    monthly = materialise(align.resample_last(b.observations(spark, sf)), "monthly")
     required = monthly.select("entity_id").distinct().select(
         "entity_id", F.explode(F.array(*[F.lit(s) for s in SERIES_IDS])).alias("series_id")
     )

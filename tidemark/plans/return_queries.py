@@ -213,7 +213,7 @@ def power_analysis(spark, sf):
     "in_mean out_mean diff",
 )
 def oos_stability(spark, sf):
-    return rt.stability(joined(spark, sf), SPLIT)
+    return rt.stability(materialise(joined(spark, sf), "joined"), SPLIT)
 
 
 @query(

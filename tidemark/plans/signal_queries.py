@@ -12,6 +12,7 @@ from tidemark.plans import bindings as b
 from tidemark.plans.cte import compose, cte
 from tidemark.plans.panel_queries import _wide
 from tidemark.plans.registry import query
+from tidemark.session import materialise
 
 BASELINE_UNTIL = "1999-12-31"
 S = "entity_id, series_id"
@@ -92,7 +93,7 @@ cte("allmoments", "SELECT entity_id, series_id, count(value) AS n, avg(value) AS
     "mean std",
 )
 def welford_merge(spark, sf):
-    obs = b.observations(spark, sf)
+    obs = materialise(b.observations(spark, sf), "observations")
     state = sg.moments(obs.where(F.col("obs_date") <= BASELINE_UNTIL))
     batch = sg.moments(obs.where(F.col("obs_date") > BASELINE_UNTIL))
     merged = sg.merge_moments(state, batch)
@@ -118,7 +119,7 @@ cte(
 
 
 def scored(spark, sf):
-    obs = b.observations(spark, sf)
+    obs = materialise(b.observations(spark, sf), "observations")
     return sg.z_scores(obs, sg.moments(obs.where(F.col("obs_date") <= BASELINE_UNTIL)))
 
 
@@ -208,7 +209,7 @@ cte(
 
 
 def _pairs(spark, sf):
-    obs = b.observations(spark, sf)
+    obs = materialise(b.observations(spark, sf).where(F.col("series_id").isin("CPIAUCSL", "CPILFESL")), "observations")
     a, z = (obs.where(F.col("series_id") == s) for s in ("CPIAUCSL", "CPILFESL"))
     return align.pair_spread(a, z, ["entity_id", "obs_date"])
 

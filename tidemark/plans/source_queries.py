@@ -11,7 +11,7 @@ from tidemark.plans.cte import compose
 from tidemark.plans.panel_queries import regimes
 from tidemark.plans.registry import query
 from tidemark.schema import SNAPSHOT, TRADES
-from tidemark.session import scratch_path
+from tidemark.session import materialise, scratch_path
 from tidemark.sources import readers as rd, sinks as sk
 
 
@@ -310,7 +310,7 @@ def dated_and_latest(spark, sf):
     "x",
 )
 def history_upsert(spark, sf):
-    table = regimes(spark, sf).select("entity_id", "month", dates.iso_week(F.col("month")).alias("week"), "regime", "regime_8", "growth_score")
+    table = materialise(regimes(spark, sf), "regimes").select("entity_id", "month", dates.iso_week(F.col("month")).alias("week"), "regime", "regime_8", "growth_score")
     new = table.where(F.col("month") >= "1998-01-01").select("entity_id", "week", F.col("regime_8").alias("regime"), F.col("growth_score").alias("x"))
     old = table.where(F.col("month") < "1999-01-01").select("entity_id", "week", "regime", F.lit("High").alias("confidence"), F.lit(-9.0).alias("x"))
     return sk.upsert_history(old, new, ["entity_id", "week"], {"confidence": "Backfilled"})

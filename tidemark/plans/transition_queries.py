@@ -237,7 +237,7 @@ def dedupe_latest(spark, sf):
     ),
 )
 def trailing_streaks(spark, sf):
-    hist = b.weekly_history(spark, sf)
+    hist = materialise(b.weekly_history(spark, sf), "weekly")
     now = hist.groupBy("account_id").agg(F.max_by("family", "week").alias("now"))
     return tr.trailing_streak(
         hist.join(now, "account_id"),
