@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import labels as L, vectors
+from tidemark.functions.resample import BITS, random_bits
 from tidemark.functions.thresholds import threshold_label
 from tidemark.operators import align
 
@@ -24,6 +25,8 @@ FEATURES = (
     ("m2_yoy", "median", 1), ("nfci", "median", -1), ("fed_assets_yoy", "median", 1),
 )
 GROUPS = {"growth": (1, 4), "inflation": (5, 2), "liquidity": (7, 3)}
+#: Cumulative Poisson(1) probabilities.
+POISSON_STEPS = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975)
 #: Signals that contradict the textbook reading of an axis.
 SURPRISES = (
     ("growth", "falling", ("SPY", "QQQ", "IWM")),
@@ -256,16 +259,13 @@ def bootstrap_proportion(hits: DataFrame, keys: Sequence[str], row_id: Sequence[
     combine map-side; nothing is collected per group.
     """
     keys = list(keys)
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("_b"), *row_id), 11) / F.lit(float(2**53))
-    # Cumulative Poisson(1) probabilities.
-    steps = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975)
+    bits = random_bits(F.lit(seed), F.col("_b"), *[F.col(c) for c in (*keys, *row_id)])
     weight = F.lit(0)
-    for step in steps:
-        weight = weight + (u > step).cast("int")
+    for step in POISSON_STEPS:
+        weight = weight + (F.col("_u") > step * 2**BITS).cast("int")
     width = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = hits.repartition(width, *keys, *row_id).select(*keys, *row_id, "hit", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_b")).select(
-        *keys, "_b", "hit", weight.alias("_w")
-    )
+    drawn = hits.repartition(width, *keys, *row_id).select(*keys, *row_id, "hit", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_b"))
+    drawn = drawn.select(*keys, "_b", "hit", bits.alias("_u")).select(*keys, "_b", "hit", weight.alias("_w"))
     rates = drawn.groupBy(*keys, "_b").agg(F.try_divide(F.sum(F.col("_w") * F.col("hit")), F.sum("_w")).alias("_r"))
     bounds = rates.groupBy(*keys).agg(F.percentile("_r", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))
     rate = hits.groupBy(*keys).agg(F.count("*").alias("n"), (F.avg(F.col("hit").cast("double")) * 100).alias("hit_rate"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import vectors
+from tidemark.functions.resample import BITS, random_bits_sql
 from tidemark.functions.thresholds import threshold_sql
 from tidemark.operators import align, analogs as an
 from tidemark.plans import bindings as b
@@ -264,7 +265,23 @@ def naive_baseline(spark, sf):
     return an.naive_baseline(_preds(spark, sf), ["entity_id", "asset_id", "window"])
 
 
-@query("hit_rate_interval", "AGG-19")
+_BITS = random_bits_sql("42", "b", "entity_id", "asset_id", "month", '"window"')
+_WEIGHT = " + ".join(f"(u > {step * 2**BITS})::INT" for step in an.POISSON_STEPS)
+
+
+@query(
+    "hit_rate_interval",
+    "AGG-19",
+    compose(
+        f"""SELECT entity_id, n, hit_rate, ci_low * 100 AS ci_low, ci_high * 100 AS ci_high FROM (SELECT entity_id, count(*) AS n, avg(h) * 100 AS hit_rate FROM
+        (SELECT entity_id, {_HIT} AS h FROM preds) WHERE h IS NOT NULL GROUP BY 1) JOIN (SELECT entity_id, quantile_cont(r, 0.025) AS ci_low, quantile_cont(r, 0.975) AS
+        ci_high FROM (SELECT entity_id, b, CASE WHEN sum(w) > 0 THEN sum(w * h) / sum(w) END AS r FROM (SELECT entity_id, b, h, {_WEIGHT} AS w FROM (SELECT entity_id, b, h,
+        {_BITS} AS u FROM (SELECT *, unnest(range(1, 1001)) AS b FROM (SELECT *, {_HIT} AS h FROM preds) WHERE h IS NOT NULL))) GROUP BY 1, 2) GROUP BY 1) USING
+        (entity_id)""",
+        "preds",
+    ),
+    "hit_rate ci_low ci_high",
+)
 def hit_rate_interval(spark, sf):
     preds = _preds(spark, sf).select(
         "entity_id", "asset_id", "month", "window", an.outcome(F.col("signal"), F.col("actual")).alias("hit")
