@@ -253,7 +253,7 @@ def spread_trend(pair: DataFrame, keys: Sequence[str], time: str, spread: str =
         F.when(
             F.col("n") >= 10,
             L.case(
-                (F.col("late") > F.col("early") + 0.5, "narrowing"), (F.col("late") < F.col("early") - 0.5, "widening"), default="stable"
+                (F.col("late") > F.col("early") + 0.5, "narrowing_to_wti_premium"), (F.col("late") < F.col("early") - 0.5, "widening_brent_premium"), default="stable"
             ),
         ).alias("trend"),
     )
@@ -342,11 +342,11 @@ def proxy_convergence(proxies: DataFrame, keys: Sequence[str]) -> DataFrame:
         (F.col("total") - s - e).alias("neutral"),
         "total",
         L.case(
-            ((s >= 2) & (s > e), "stress"),
-            ((e >= 2) & (e > s), "benign"),
-            (F.col("total") <= 1, "insufficient data"),
-            ((s > 0) & (s == e), "inconclusive - diverging"),
-            default="inconclusive",
+            ((s >= 2) & (s > e), "stress — majority of proxies converging"),
+            ((e >= 2) & (e > s), "benign — majority of proxies converging"),
+            (F.col("total") <= 1, "insufficient data — need at least 2 proxies for directional call"),
+            ((s > 0) & (s == e), "inconclusive — proxies actively diverging (stress and easing signals present)"),
+            default="inconclusive — no clear signal",
         ).alias("composite"),
     )
 

@@ -228,8 +228,8 @@ def pair_spread(spark, sf):
     "spread_trend",
     "WIN-16",
     compose(
-        """SELECT entity_id, n, early, late, CASE WHEN n >= 10 THEN CASE WHEN late > early + 0.5 THEN 'narrowing' WHEN
-        late < early - 0.5 THEN 'widening' ELSE 'stable' END END AS trend FROM (SELECT entity_id, n, avg(spread) FILTER
+        """SELECT entity_id, n, early, late, CASE WHEN n >= 10 THEN CASE WHEN late > early + 0.5 THEN 'narrowing_to_wti_premium' WHEN
+        late < early - 0.5 THEN 'widening_brent_premium' ELSE 'stable' END END AS trend FROM (SELECT entity_id, n, avg(spread) FILTER
         (pos > n - 5) AS early, avg(spread) FILTER (pos <= 5) AS late FROM (SELECT *, count(*) OVER (PARTITION BY entity_id)
         AS n FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY obs_date DESC) AS pos FROM pairs)
         WHERE pos <= 30) GROUP BY 1, 2)""",
@@ -462,8 +462,8 @@ _PROXY_SQL = " UNION ALL ".join(
     "AGG-36",
     compose(
         f"""SELECT entity_id, CAST(month AS VARCHAR) AS month, stress, easing, total - stress - easing AS neutral, total, CASE
-        WHEN stress >= 2 AND stress > easing THEN 'stress' WHEN easing >= 2 AND easing > stress THEN 'benign' WHEN total <= 1
-        THEN 'insufficient data' WHEN stress > 0 AND stress = easing THEN 'inconclusive - diverging' ELSE 'inconclusive' END
+        WHEN stress >= 2 AND stress > easing THEN 'stress — majority of proxies converging' WHEN easing >= 2 AND easing > stress THEN 'benign — majority of proxies converging' WHEN total <= 1
+        THEN 'insufficient data — need at least 2 proxies for directional call' WHEN stress > 0 AND stress = easing THEN 'inconclusive — proxies actively diverging (stress and easing signals present)' ELSE 'inconclusive — no clear signal' END
         AS composite FROM (SELECT entity_id, month, count(*) FILTER (s) AS stress, count(*) FILTER (e) AS easing, count(*)
         AS total FROM ({_PROXY_SQL}) GROUP BY 1, 2)""",
         "indicators",
