@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,9 @@ RECOMMENDED = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Scratch folders of local sessions that name none, by application.
+_LOCAL_ROOTS: dict[str, str] = {}
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the benchmark."""
@@ -34,12 +37,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is named."""
+    """The shared folder named by ``spark.checkpoint.dir``, which every executor must reach.
+
+    Without that setting only a local session, whose executor is the driver itself, gets a folder of its own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _LOCAL_ROOTS.setdefault(context.applicationId, os.path.join(os.getcwd(), "spark-warehouse", f"scratch-{context.applicationId}"))
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
