@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import mixing
+from tidemark.llm import mixing, quality, tokenfiles
+from tidemark.session import scratch_path
 
 Builder = Callable[[SparkSession, str], DataFrame]
 BUILDERS: dict[str, Builder] = {}
@@ -39,3 +40,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def op8_mix(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@register("op7_token_files")
+def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    manifest = tokenfiles.write(table(spark, sf, "documents"), scratch_path(spark, "token-files"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return tokenfiles.checksums(spark, manifest)
+
+
+@register("op10_quality")
+def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
