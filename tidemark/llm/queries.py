@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import mixing, quality, tokenfiles
+from tidemark.llm import bpe, mixing, quality, tokenfiles
 from tidemark.session import scratch_path
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -53,3 +53,10 @@ def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:
 @register("op10_quality")
 def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@register("op6_bpe")
+def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
