@@ -65,3 +65,8 @@ def blocks(sizes: list[int], most: int) -> list[slice]:
     if len(sizes) > start:
         out.append(slice(start, len(sizes)))
     return out
+
+
+def with_small(big: DataFrame, small: DataFrame, on: Column, how: str = "inner", most: int = 500_000) -> DataFrame:
+    """Join ``big`` with ``small``, which is broadcast only if it has at most ``most`` rows; beyond, both sides are shuffled."""
+    return big.join(F.broadcast(small) if small.limit(most + 1).count() <= most else small, on, how)

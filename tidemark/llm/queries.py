@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, mixing, quality, tokenfiles
+from tidemark.llm import bpe, mixing, quality, tokenfiles, toxicity
+from tidemark.llm.columns import crc_of_id
 from tidemark.session import scratch_path
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -60,3 +61,10 @@ def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@register("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
+    return scored.select("doc_id", (crc_of_id(F.col("doc_id")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
