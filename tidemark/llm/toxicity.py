@@ -23,7 +23,7 @@ from tidemark.llm.columns import blocks, crc_of_id, flat_bytes, fresh, with_smal
 from tidemark.llm.hashindex import HashIndex
 from tidemark.session import materialise
 
-DISCOUNT, GATE, STEADY = 0.75, 5.0, 40
+DISCOUNT, GATE, STEADY = 0.75, 14.0, 40
 #: Largest weight of one byte in either direction.
 CLIP = 6.0
 #: Bytes that are looked up at a time, and n-grams that a task gathers before it passes them on.
