@@ -11,7 +11,7 @@ from tidemark.llm import tokenfiles as tf
 from tidemark.session import scratch_path
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
-TEXTS = ["", None, "Hello world", "a  b\n\n c's 12 é漢字 \U0001f600", "<|endoftext|> x", "x" * 5000, "word " * 20000, "Hello world", "\x00\x7f ­"]
+TEXTS = ["", None, "Hello world", "a  b\n\n c's 12 é漢字 \U0001f600", "<|endoftext|> x", "x" * 5000, "word " * 20000, "Hello world", "\x00\x7f ­", "\x1c\x1d \x85\xa0　x\x0b", "été  ª²½ x\x85y"]
 
 
 def library():
@@ -23,7 +23,7 @@ def library():
 
 
 def test_files_give_back_what_the_library_encodes(spark):
-    rows = [(i * 7 % 9 - 3, t, "clash") for i, t in enumerate(TEXTS)] + [(None, "no id", "clash")]
+    rows = [(i * 7 % 11 - 3, t, "clash") for i, t in enumerate(TEXTS)] + [(None, "no id", "clash")]
     df = spark.createDataFrame(rows, "doc_id long, text string, tokens string").repartition(4)
     manifest = tf.write(df, scratch_path(spark, "t"), PATH, PATTERN)
     want, start, lib = [], 0, library()

@@ -16,16 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.columns import blocks
 from tidemark.llm.hashindex import HashIndex
+from tidemark.llm.pieces import Remembering
 
 #: Pieces of more bytes are merged with a heap.
 LONG = 128
-#: Characters that are encoded at a time, and pieces that a worker remembers before it starts anew.
-BLOCK_CHARS, PIECES = 1 << 20, 300_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -42,8 +39,6 @@ class Bpe:
     """A vocabulary of ranks, where a token's id is its rank."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        # The rank files' splitter takes white space as Unicode defines it.
-        self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
         self.ranks = ranks
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.pairs_of = {}
@@ -58,7 +53,7 @@ class Bpe:
         for token, rank in ranks.items():
             parts[rank], names[rank] = token, b"%d," % rank
         self.bytes_of, self.decimal_of = self._table(parts), self._table(names)
-        self.known: dict[str, bytes] = {}
+        self.texts = Remembering(pattern, lambda pieces: [ids.tobytes() for ids in self.merge([p.encode("utf-8", "surrogatepass") for p in pieces])])
 
     @staticmethod
     def _table(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,16 +140,8 @@ class Bpe:
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Token ids of every text, without special tokens."""
-        for part in blocks([len(t) for t in texts], BLOCK_CHARS):
-            pieces = [self.split(t) for t in texts[part]]
-            if len(self.known) > PIECES:
-                self.known.clear()
-            new = list(set().union(*pieces).difference(self.known))
-            for piece, ids in zip(new, self.merge([p.encode("utf-8", "surrogatepass") for p in new]), strict=True):
-                self.known[piece] = ids.tobytes()
-            get = self.known.__getitem__
-            for one in pieces:
-                yield np.frombuffer(b"".join(map(get, one)), np.int32)
+        for raw in self.texts.encode(texts):
+            yield np.frombuffer(raw, np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that ``ids`` stand for."""

@@ -18,23 +18,19 @@ import functools
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.bytefiles import AtomicFile, located
-from tidemark.llm.columns import blocks
+from tidemark.llm.pieces import Remembering
 
 #: Fixed values of the file format.
 SEEK_MAGIC, IDS_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
-#: Characters that are tokenised at a time, and pieces a worker remembers before it starts anew.
-BLOCK_CHARS, PIECES = 1 << 20, 300_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -46,33 +42,17 @@ def _library(path: str):
     return tokenizer
 
 
-@dataclass
-class PieceEncoder:
-    """Ids of whole texts by the tokenizers library, which sees each distinct piece once.
+def encoder(path: str, pattern: str) -> Remembering:
+    """Ids of whole texts by the tokenizers library as little-endian unsigned 32-bit integers.
 
     A byte-level tokenizer splits a text by ``pattern`` and encodes the pieces one by one, so a text's ids are those of its
-    pieces in order. Pieces recur, and looking them up is cheaper than encoding them again.
+    pieces in order. Pieces recur, so the library sees each distinct one once.
     """
 
-    path: str
-    pattern: str
+    def encode(pieces: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in _library(path).encode_batch(pieces, add_special_tokens=False)]
 
-    def __post_init__(self) -> None:
-        self.split = regex.compile(self.pattern).findall
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Per text its ids as little-endian unsigned 32-bit integers."""
-        for part in blocks([len(t) for t in texts], BLOCK_CHARS):
-            pieces = [self.split(t) for t in texts[part]]
-            if len(self.known) > PIECES:
-                self.known.clear()
-            new = list(set().union(*pieces).difference(self.known))
-            for piece, found in zip(new, _library(self.path).encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[piece] = struct.pack(f"<{len(found.ids)}I", *found.ids)
-            get = self.known.__getitem__
-            for one in pieces:
-                yield b"".join(map(get, one))
+    return Remembering(pattern, encode)
 
 
 def write_file(path: str, documents: Iterator[tuple[int | None, bytes]], level: int = 3) -> tuple[int, int]:
@@ -139,7 +119,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, pattern: str, end_id: in
     spark = docs.sparkSession
 
     def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = PieceEncoder(tokenizer, pattern), b"" if end_id is None else struct.pack("<I", end_id)
+        ours, end = encoder(tokenizer, pattern), b"" if end_id is None else struct.pack("<I", end_id)
         shard = TaskContext.get().partitionId()
         first = next((b for b in batches if len(b)), None)
         if first is None:
@@ -149,7 +129,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, pattern: str, end_id: in
             batch: pd.DataFrame | None = first
             while batch is not None:
                 keys = [None if pd.isna(k) else int(k) for k in batch["k"].tolist()]
-                yield from zip(keys, (ids + end for ids in encoder.encode(batch["t"].tolist())), strict=True)
+                yield from zip(keys, (ids + end for ids in ours.encode(batch["t"].tolist())), strict=True)
                 batch = next(batches, None)
 
         path = f"{folder}/ids-{shard:06d}.zst"
