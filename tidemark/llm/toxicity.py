@@ -164,7 +164,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return float(w[0] / spread), float(w[1] - w[0] * middle / spread)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, max_grams: int = 1 << 20, curve_rows: int = 4000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, max_grams: int = 1 << 18, curve_rows: int = 4000) -> Model:
     """Learn from the rows of ``docs`` with a label whose CRC-32 of the id is not divisible by ``folds``.
 
     Counts cover all of them. The model keeps the n-grams that occur at least 2^j times, with the least j that leaves at most
@@ -183,10 +183,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         if kept + n > max_grams:
             break
         least, kept = j, kept + n
-    table = counts.where(total >= F.lit(2).cast("double") ** least).orderBy("gram").toPandas() if kept else None
+    table = counts.where(total >= F.lit(2).cast("double") ** least).toPandas() if kept else None
     if table is None or not (table["c0"] + table["c2"]).any() or not (table["c1"] + table["c3"]).any():
         return Model(None, 0.0, 0.0)
     keys, c = table["gram"].to_numpy(np.int64), [table[f"c{i}"].to_numpy(np.int64) for i in range(4)]
+    del table
     sample = _sampled(rows, [Ratios.of(keys, c[1], c[0]), Ratios.of(keys, c[3], c[2])], curve_rows)
     slope, level = logistic(sample["x"].to_numpy(float), sample["toxic"].to_numpy(float))
     # The sample has the classes in other shares than the labelled rows; the level takes their odds back.
@@ -234,7 +235,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return float(w[0] / spread), float(w[1] - w[0] * middle / spread)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, max_grams: int = 1 << 20, curve_rows: int = 4000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, max_grams: int = 1 << 18, curve_rows: int = 4000) -> Model:
     """Learn from the rows of ``docs`` with a label whose CRC-32 of the id is not divisible by ``folds``.
 
     Counts cover all of them. The model keeps the n-grams that occur at least 2^j times, with the least j that leaves at most
@@ -253,10 +254,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         if kept + n > max_grams:
             break
         least, kept = j, kept + n
-    table = counts.where(total >= F.lit(2).cast("double") ** least).orderBy("gram").toPandas() if kept else None
+    table = counts.where(total >= F.lit(2).cast("double") ** least).toPandas() if kept else None
     if table is None or not (table["c0"] + table["c2"]).any() or not (table["c1"] + table["c3"]).any():
         return Model(None, 0.0, 0.0)
     keys, c = table["gram"].to_numpy(np.int64), [table[f"c{i}"].to_numpy(np.int64) for i in range(4)]
+    del table
     xs, ys = [], []
     halves = [Ratios.of(keys, c[1], c[0]), Ratios.of(keys, c[3], c[2])]
     for toxic in (0, 1):
