@@ -215,82 +215,6 @@ def _sampled(rows: DataFrame, halves: list[Ratios], most: int) -> pd.DataFrame:
     return chosen.select("half", "text", "toxic").mapInPandas(run, "x double, toxic int").toPandas()
 
 
-def score(self, texts: list[str]) -> np.ndarray:
-        if self.ratios is None:
-            return np.zeros(len(texts))
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.ratios.means(texts) + self.level, -40, 40)))
-
-
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """Slope and level of a logistic curve by Newton's method; the weak ridge keeps separable data finite."""
-    middle, spread = x.mean(), x.std() or 1.0
-    z, w = np.column_stack([(x - middle) / spread, np.ones(len(x))]), np.zeros(2)
-    pull = np.diag([ridge, 1e-6])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + pull, z.T @ (y - p) - pull @ w)
-        w += np.clip(step, -5, 5)
-        if abs(step).max() < 1e-8:
-            break
-    return float(w[0] / spread), float(w[1] - w[0] * middle / spread)
-
-
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, max_grams: int = 1 << 18, curve_rows: int = 4000) -> Model:
-    """Learn from the rows of ``docs`` with a label whose CRC-32 of the id is not divisible by ``folds``.
-
-    Counts cover all of them. The model keeps the n-grams that occur at least 2^j times, with the least j that leaves at most
-    ``max_grams`` (a bound on what is broadcast); the rest counts as unseen and backs off. The curve takes ``curve_rows`` rows
-    of each class, those with the least hash. A document with several labels is toxic if one says so.
-    """
-    marks = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.max("toxic").alias("toxic"))
-    crc = crc_of_id(F.col(key))
-    plain = docs.where(crc % folds != 0).select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.floor(crc / folds) % 2).cast("int").alias("half"))
-    rows = with_small(plain, marks, F.col("id") == F.col("k")).select("id", "text", "half", F.col("toxic").cast("int").alias("toxic"))
-    counts = materialise(gram_counts(rows.select("text", (F.col("half") * 2 + F.col("toxic")).alias("part"))), "toxicity-counts")
-    total = F.col("c0") + F.col("c1") + F.col("c2") + F.col("c3")
-    sizes = sorted(counts.groupBy(F.floor(F.log2(total)).cast("int").alias("j")).count().collect(), reverse=True)
-    least, kept = 63, 0
-    for j, n in sizes:
-        if kept + n > max_grams:
-            break
-        least, kept = j, kept + n
-    table = counts.where(total >= F.lit(2).cast("double") ** least).toPandas() if kept else None
-    if table is None or not (table["c0"] + table["c2"]).any() or not (table["c1"] + table["c3"]).any():
-        return Model(None, 0.0, 0.0)
-    keys, c = table["gram"].to_numpy(np.int64), [table[f"c{i}"].to_numpy(np.int64) for i in range(4)]
-    del table
-    xs, ys = [], []
-    halves = [Ratios.of(keys, c[1], c[0]), Ratios.of(keys, c[3], c[2])]
-    for toxic in (0, 1):
-        sample = rows.where(F.col("toxic") == toxic).select("text", "half", "id")
-        chosen = _means(sample.withColumn("order", F.xxhash64("id")), halves, curve_rows)
-        xs.append(chosen)
-        ys.append(np.full(len(chosen), toxic, float))
-    share = [int(sum(c[i + 2 * h].sum() for h in (0, 1))) for i in (0, 1)]
-    del share
-    slope, level = logistic(np.concatenate(xs), np.concatenate(ys))
-    # The sample has the classes in other shares than the labelled rows; the level takes their odds back.
-    n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    level += float(np.log(n.get(1, 1) / n.get(0, 1)) - np.log(max(1, len(xs[1])) / max(1, len(xs[0]))))
-    return Model(Ratios.of(keys, c[1] + c[3], c[0] + c[2]), slope, level)
-
-
-def _means(sample: DataFrame, halves: list[Ratios], most: int) -> np.ndarray:
-    """Ratios of at most ``most`` rows, each from the other half's counts. Ratios are computed where the rows are."""
-    chosen = sample.select("order", "half", "text").join(sample.select("order").orderBy("order").limit(most).agg(F.max("order").alias("upto")).hint("broadcast"), F.col("order") <= F.col("upto"))
-    shared = sample.sparkSession.sparkContext.broadcast(halves)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = np.zeros(len(batch))
-            for half in (0, 1):
-                rows = np.flatnonzero(batch["half"] == half)
-                out[rows] = shared.value[1 - half].means(batch["text"].iloc[rows].tolist())
-            yield pd.DataFrame({"x": out})
-
-    return chosen.select("half", "text").mapInPandas(run, "x double").limit(most).toPandas()["x"].to_numpy(float)
-
-
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with the probability of being toxic as ``into``. A null text is empty; every row is scored on its own."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
