@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, mixing, pii, quality, tokenfiles, toxicity
+from tidemark.llm import bpe, langid, mixing, pii, quality, tokenfiles, toxicity
 from tidemark.llm.columns import crc_of_id
 from tidemark.session import scratch_path
 
@@ -80,3 +80,10 @@ def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
     found = pii.annotate(docs, pii.fit(docs)).withColumn("base", F.filter("spans", lambda s: s["base"]))
     counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
+@register("op4_language")
+def op4_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(docs, langid.fit(docs))
+    return found.select("doc_id", (crc_of_id(F.col("doc_id")) % 3 == 1).alias("held_out"), "lang_pred", "score")
