@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, langid, mixing, pii, quality, tokenfiles, toxicity
+from tidemark.llm import bpe, langid, mixing, pii, quality, tokenfiles, topk, toxicity
 from tidemark.llm.columns import crc_of_id
 from tidemark.session import scratch_path
 
@@ -87,3 +87,8 @@ def op4_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     found = langid.predict(docs, langid.fit(docs))
     return found.select("doc_id", (crc_of_id(F.col("doc_id")) % 3 == 1).alias("held_out"), "lang_pred", "score")
+
+
+@register("op1_topk", topk.ORACLE)
+def op1_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.topk(table(spark, sf, "embeddings"), lambda i: i % 100 == 0)
