@@ -31,6 +31,8 @@ from tidemark.llm.pieces import Remembering
 
 #: Fixed values of the file format.
 SEEK_MAGIC, IDS_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
+#: New pieces that the library encodes in one call.
+TOGETHER = 5000
 
 
 @functools.lru_cache(maxsize=2)
@@ -49,8 +51,23 @@ def encoder(path: str, pattern: str) -> Remembering:
     pieces in order. Pieces recur, so the library sees each distinct one once.
     """
 
+    library = _library(path)
+
     def encode(pieces: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in _library(path).encode_batch(pieces, add_special_tokens=False)]
+        out = [b""] * len(pieces)
+        # Words with a space before them stay pieces of their own when they follow each other, so one call takes them all.
+        spaced = [i for i, p in enumerate(pieces) if p[0] == " " and p[1:].isalpha()]
+        for at in range(0, len(spaced), TOGETHER):
+            group = spaced[at : at + TOGETHER]
+            found = library.encode("".join([pieces[i] for i in group]), add_special_tokens=False)
+            raw, words = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids)
+            ends = 4 * np.searchsorted(words, np.arange(len(group) + 1))
+            for i, start, end in zip(group, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                out[i] = raw[start:end]
+        rest = [i for i in range(len(pieces)) if not out[i]]
+        for i, found in zip(rest, library.encode_batch([pieces[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+        return out
 
     return Remembering(pattern, encode)
 
