@@ -27,7 +27,7 @@ DISCOUNT, GATE, STEADY = 0.75, 14.0, 40
 #: Largest weight of one byte in either direction.
 CLIP = 6.0
 #: Bytes that are looked up at a time, and n-grams that a task gathers before it passes them on.
-BLOCK_BYTES, GATHERED = 2 << 20, 2 << 20
+BLOCK_BYTES, GATHERED = 1 << 20, 1 << 20
 #: An odd base for hashes of byte strings, and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 BACK = pow(BASE, -1, 1 << 64)
