@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, langid, mixing, pii, quality, tokenfiles, topk, toxicity
+from tidemark.llm import bpe, langid, mixing, pii, quality, quotes, tokenfiles, topk, toxicity
 from tidemark.llm.columns import crc_of_id
 from tidemark.session import scratch_path
 
@@ -93,3 +93,8 @@ def op4_language(spark: SparkSession, sf: str) -> DataFrame:
 @register("op1_topk", topk.ORACLE)
 def op1_topk(spark: SparkSession, sf: str) -> DataFrame:
     return topk.topk(table(spark, sf, "embeddings"), lambda i: i % 100 == 0)
+
+
+@register("op9_chat")
+def op9_chat(spark: SparkSession, sf: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf, "conversations")).select("conv_id", "turn", "role", "reply_to", "thread", "depth", "quoted", "formatted")
