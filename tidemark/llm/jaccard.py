@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.columns import blocks, flat_bytes, with_small
+from tidemark.llm.columns import blocks, flat_bytes, fresh, with_small
 from tidemark.session import materialise
 
 WORDS = 5
@@ -332,3 +332,51 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     least = rows.where(F.col("comp").isNotNull()).groupBy(F.col("comp").alias("of")).agg(F.min("key").alias("least"))
     found = rows.join(least, F.col("comp") == F.col("of"), "left")
     return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "key").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: of its class with the least key, the row with that key.
+
+    Null keys come last; of wholly repeated rows one stays; rows without a set link with nothing and all stay. Only the rows
+    of classes that have copies or partners are told apart by a join; all others pass through as they are read.
+    """
+    kind = docs.schema[key].dataType
+    rows = materialise(joined(docs, key, text).where(F.col("class").isNotNull()).withColumn("key", F.col("id").cast(kind)), "jaccard-joined")
+    by_class = rows.groupBy("class").agg(F.min("key").alias("least"), F.count("*").alias("rows"), F.first("comp").alias("comp"))
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "class"))
+    best = by_class.groupBy(F.col("comp").alias("of")).agg(first.alias("best"), F.sum("rows").alias("all"))
+    touched = by_class.join(best.where(F.col("all") > 1), F.col("comp") == F.col("of")).select(F.col("class").alias("of"), "least", (F.col("best.class") == F.col("class")).alias("stays"))
+    touched = materialise(touched, "jaccard-touched")
+    name, of, least, stays = fresh(docs, "class", "of", "least", "stays")
+    at = docs.columns.index(text)
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [set_id(g) if len(g) else None for g in shingle_sets([t or "" for t in batch.column(at).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, name])
+
+    marked = docs.mapInArrow(classed, docs.withColumn(name, F.lit(None).cast("bigint")).schema)
+    marked = with_small(marked, touched.select(F.col("of").alias(of), F.col("least").alias(least), F.col("stays").alias(stays)), F.col(name) == F.col(of), "left")
+    alone = marked.where(F.col(of).isNull())
+    chosen = marked.where(F.col(stays) & F.col(key).eqNullSafe(F.col(least))).dropDuplicates([name])
+    return alone.unionByName(chosen).select(*docs.columns)
+
+
+#: The same rows as :func:`near_duplicates` by comparing all documents that share a shingle, for DuckDB.
+ORACLE = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM words),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+met AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+both_ AS (SELECT a, b FROM met UNION SELECT b, a FROM met),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT reach.d, both_.b FROM reach JOIN both_ ON reach.r = both_.a)
+SELECT sets.doc_id AS doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least_ AS component_id
+FROM sets JOIN (SELECT d, min(r) AS least_ FROM reach GROUP BY d) ON d = sets.doc_id
+"""

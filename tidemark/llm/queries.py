@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, langid, mixing, pii, quality, quotes, tokenfiles, topk, toxicity
+from tidemark.llm import bpe, jaccard, langid, mixing, pii, quality, quotes, tokenfiles, topk, toxicity
 from tidemark.llm.columns import crc_of_id
 from tidemark.session import scratch_path
 
@@ -98,3 +98,8 @@ def op1_topk(spark: SparkSession, sf: str) -> DataFrame:
 @register("op9_chat")
 def op9_chat(spark: SparkSession, sf: str) -> DataFrame:
     return quotes.conversations(table(spark, sf, "conversations")).select("conv_id", "turn", "role", "reply_to", "thread", "depth", "quoted", "formatted")
+
+
+@register("op2_ngram_join", jaccard.ORACLE)
+def op2_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf, "documents"))
