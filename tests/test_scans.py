@@ -32,6 +32,15 @@ def test_running_equals_plain_windows(spark):
         assert both.where(~F.col(a).eqNullSafe(F.col(z))).count() == 0, a
 
 
+def test_running_keeps_null_keys_and_times(spark):
+    rows = [(k, t, i, float(i)) for i, (k, t) in enumerate([("a", 1), ("a", None), (None, 3), (None, None), ("a", 60), (None, 70), ("a", None)])]
+    df = spark.createDataFrame(rows, "k STRING, t BIGINT, id BIGINT, v DOUBLE")
+    got = running(df, ["k"], [F.col("t"), F.col("id")], F.floor(F.col("t") / 50), {"s": ("sum", F.col("v")), "p": ("prev", F.col("v"))})
+    w = Window.partitionBy("k").orderBy("t", "id")
+    want = df.select("id", F.sum("v").over(w).alias("s"), F.lag("v").over(w).alias("p"))
+    assert sorted(map(tuple, got.select("id", "s", "p").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
 def test_framed_equals_plain_window(spark):
     df = skewed(spark)
     got = framed(df, ["k"], [F.col("t"), F.col("id")], F.floor(F.col("t") / 50), 20, {"a": lambda w: F.avg("v").over(w)}, block=64)

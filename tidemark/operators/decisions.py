@@ -70,17 +70,16 @@ def apply_limits(target: DataFrame, account: str = "account_id") -> DataFrame:
     step = target.select("*", F.least(F.col("target_pct"), F.lit(LIMITS["position"])).alias("_p1"))
     total_equity = F.sum(F.when(equity, F.col("_p1"))).over(acc)
     sector_sum = F.sum("_p1").over(Window.partitionBy(account, "sector"))
-    cut = F.when(equity, F.least(one, total_equity * LIMITS["sector"] / 100 / sector_sum)).otherwise(one)
+    cut = F.when(equity, F.least(one, F.try_divide(total_equity * LIMITS["sector"] / 100, sector_sum))).otherwise(one)
     step = step.select("*", (F.col("_p1") * cut).alias("_p2"))
     thesis = F.col("thesis") != ""
     overlay = F.sum(F.when(thesis, F.col("_p2")).otherwise(0.0)).over(acc)
-    step = step.select("*", F.when(thesis, F.col("_p2") * F.least(one, F.lit(LIMITS["overlay"]) / overlay)).otherwise(F.col("_p2")).alias("_p3"))
+    step = step.select("*", F.when(thesis, F.col("_p2") * F.least(one, F.try_divide(F.lit(LIMITS["overlay"]), overlay))).otherwise(F.col("_p2")).alias("_p3"))
     total = F.sum("_p3").over(acc)
-    step = step.select("*", (F.col("_p3") * F.least(one, F.lit(100 - LIMITS["cash"]) / total)).alias("limited_pct"))
+    step = step.select("*", (F.col("_p3") * F.least(one, F.try_divide(F.lit(100 - LIMITS["cash"]), total))).alias("limited_pct"))
     less = lambda a, z: F.col(z) < F.col(a) - 1e-9
-    left = F.sum(F.when(equity, F.col("limited_pct"))).over(Window.partitionBy(account, "sector")) / F.sum(
-        F.when(equity, F.col("limited_pct"))
-    ).over(acc)
+    kept = F.when(equity, F.col("limited_pct"))
+    left = F.try_divide(F.sum(kept).over(Window.partitionBy(account, "sector")), F.sum(kept).over(acc))
     return step.select(
         *target.columns,
         "limited_pct",
@@ -104,14 +103,19 @@ def target_vs_current(target: DataFrame, current: DataFrame, keys: Sequence[str]
 
 
 def reconcile(both: DataFrame, kill: Column, layer: Column) -> DataFrame:
-    """Action, priority and orphan reason per (account, symbol); a kill switch overrides everything."""
+    """Action, priority and orphan reason per (account, symbol); a kill switch overrides everything.
+
+    What a closed thesis left is closed, what a former regime left is sold gradually, and anything else is for review.
+    """
     held, wanted = F.col("current_pct") > 0, F.col("target_pct") > 0
     killed = kill & held
     delta = F.when(killed, -F.col("current_pct")).otherwise(F.col("delta_pct"))
     action = L.case(
         (killed, "EXIT_KILL_SWITCH"),
         (~held & wanted, "NEW_POSITION"),
-        (held & ~wanted, "CLOSE"),
+        (held & ~wanted & (layer == "regime"), "SELL_SOME"),
+        (held & ~wanted & layer.startswith("thesis"), "CLOSE"),
+        (held & ~wanted, "REVIEW"),
         (delta > 1e-9, "BUY_MORE"),
         (delta < -1e-9, "SELL_SOME"),
         default="HOLD",
@@ -153,7 +157,9 @@ def kill_switches(rules: list[tuple[str, str, str, float, int]], monthly: DataFr
         F.max(F.when(F.col("_pos") == 1, F.col("value"))).alias("value"),
         (F.coalesce(F.min(F.when(~F.col("_hit"), F.col("_pos"))), F.count("*") + 1) - 1).alias("streak"),
     )
-    ratio = F.when(F.col("op") == ">", F.col("value") / F.col("threshold")).otherwise(F.try_divide("threshold", "value"))
+    # How much of the way to the threshold is gone. Below zero the two directions change places, and zero has no way to it.
+    rising = (F.col("op") == ">") == (F.col("threshold") > 0)
+    ratio = F.when(F.col("threshold") != 0, F.when(rising, F.try_divide("value", "threshold")).otherwise(F.try_divide("threshold", "value")))
     proximity = L.case(
         (F.col("streak") >= F.col("consecutive"), "TRIGGERED"), (ratio >= 0.8, "NEAR"), (ratio >= 0.6, "APPROACHING"), default="FAR"
     )
@@ -200,7 +206,7 @@ def retry_gate(orders: DataFrame) -> DataFrame:
 def buying_power_scale(orders: DataFrame, account: str = "account_id") -> DataFrame:
     """All buys of an account scaled so their cost fits its cash."""
     total = orders.groupBy(account).agg(F.sum("cost").alias("_total"), F.max("cash").alias("_cash"))
-    scale = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_cash")) / F.col("_total"))
+    scale = F.least(F.lit(1.0), F.try_divide(F.greatest(F.lit(0.0), F.col("_cash")), F.col("_total")))
     return orders.join(total, account).select(*orders.columns, scale.alias("scale"), (F.col("cost") * scale).alias("scaled_cost"))
 
 
@@ -224,7 +230,7 @@ def thesis_status(assumptions: DataFrame, key: str, as_of: str) -> DataFrame:
         key,
         L.case(
             (F.col("killed"), "INVALIDATED"),
-            (F.col("review_date") < F.lit(as_of).cast("date"), "TIME EXPIRED"),
+            (F.col("review_date") <= F.lit(as_of).cast("date"), "TIME EXPIRED"),
             (F.col("pressured"), "WEAKENING"),
             (F.col("triggered") & F.col("all_intact"), "STRENGTHENING"),
             default="ACTIVE",

@@ -128,10 +128,10 @@ def resolve_rates(fx: DataFrame, base: str, pivot: str = "USD") -> DataFrame:
     The currency table is tiny and keyed by code; candidates are ranked in one aggregation.
     """
     both = fx.select("src", "dst", "rate", F.lit(1).alias("rank")).unionByName(
-        fx.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (1 / F.col("rate")).alias("rate"), F.lit(2).alias("rank"))
+        fx.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.try_divide(F.lit(1.0), "rate").alias("rate"), F.lit(2).alias("rank"))
     )
     direct = both.where(F.col("dst") == base).select(F.col("src").alias("currency"), "rate", "rank")
-    to_pivot = fx.where(F.col("dst") == pivot).select(F.col("src").alias("currency"), F.col("rate").alias("r1"), F.col("dst").alias("via"))
+    to_pivot = both.where(F.col("dst") == pivot).groupBy(F.col("src").alias("currency"), F.col("dst").alias("via")).agg(F.min_by("rate", "rank").alias("r1"))
     from_pivot = both.where((F.col("src") == pivot) & (F.col("dst") == base)).groupBy(F.col("src").alias("via")).agg(
         F.min_by("rate", "rank").alias("r2")
     )
@@ -385,10 +385,13 @@ def match_fifo(trades: DataFrame, keys: list[str], order: list[str], bucket: Col
     )
 
 
-def duplicate_orders(orders: DataFrame, keys: list[str], ts: str, tie: str, hours: int = 24) -> DataFrame:
-    """Orders repeating an identical one within ``hours``."""
+def duplicate_orders(orders: DataFrame, keys: list[str], ts: str, tie: str, hours: int = 24, pending: Column | None = None) -> DataFrame:
+    """Orders repeating an identical one within ``hours`` that is still ``pending``; without that column all are."""
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    scan = running(orders, keys, [at, F.col(tie)], F.col(ts).cast("date"), {"_prev": ("prev", at)})
+    order, day = [at, F.col(tie)], F.col(ts).cast("date")
+    # The latest pending order up to each row, and of that the one a row earlier: the row itself does not count.
+    latest = running(orders, keys, order, day, {"_open": ("last", at if pending is None else F.when(pending, at))})
+    scan = running(latest, keys, order, day, {"_prev": ("prev", F.col("_open"))})
     gap = (at - F.col("_prev")) / 3600000000
     return scan.select(*orders.columns, F.coalesce(gap <= hours, F.lit(False)).alias("duplicate"))
 

@@ -110,7 +110,7 @@ def eligibility(
 def ambiguity_band(metric: Column, threshold: Column | float, pct: float = 10.0) -> Column:
     """Within ``pct`` percent of a threshold."""
     limit = F.lit(threshold) if isinstance(threshold, (int, float)) else threshold
-    return F.abs(metric / limit - 1) <= pct / 100
+    return F.abs(F.try_divide(metric, limit) - 1) <= pct / 100
 
 
 def coordinate_consistency(regimes: DataFrame, eps: float = 0.15) -> DataFrame:
@@ -143,9 +143,9 @@ def companions(docs: DataFrame, records: DataFrame, key: str, as_of: str) -> Dat
     ).where(F.col("problem").isNotNull())
 
 
-def forecast_sanity(forecasts: DataFrame, limit: float = 0.2, slack: float = 0.01) -> DataFrame:
-    """Probabilities far from their base rate, and distributions that do not sum to one."""
-    total = F.sum("prob").over(Window.partitionBy("entity_id", "horizon"))
+def forecast_sanity(forecasts: DataFrame, limit: float = 0.2, slack: float = 0.01, keys: Sequence[str] = ("entity_id", "horizon")) -> DataFrame:
+    """Probabilities far from their base rate, and distributions that do not sum to one; ``keys`` name one distribution."""
+    total = F.sum("prob").over(Window.partitionBy(*keys))
     return forecasts.select(
         "*",
         (F.abs(F.col("prob") - F.col("base_rate")) > limit).alias("far_from_base"),

@@ -78,7 +78,12 @@ def running(
             expr = F.last(total, ignorenulls=True).over(before)
         carry.append(expr.alias(f"_c_{name}"))
     carried = work.groupBy(*keys, "_b").agg(*totals).select(*keys, "_b", *carry)
-    joined = work.join(carried, [*keys, "_b"])
+    # Null keys and null times are keys and buckets like any other, as they are for a window.
+    names = {k: f"_k{i}" for i, k in enumerate(keys)} | {"_b": "_kb"}
+    same = F.lit(True)
+    for name, other in names.items():
+        same = same & F.col(name).eqNullSafe(F.col(other))
+    joined = work.join(carried.withColumnsRenamed(names), same)
     inner = Window.partitionBy(*keys, "_b").orderBy(*order_names)
     so_far = inner.rowsBetween(Window.unboundedPreceding, 0)
     result = []

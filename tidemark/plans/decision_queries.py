@@ -223,7 +223,7 @@ def target_vs_current(spark, sf):
     "PF-4",
     compose(
         """SELECT account_id, symbol, CASE WHEN killed THEN 0 ELSE target_pct END AS target_pct, current_pct, delta_pct, CASE WHEN killed THEN
-        'EXIT_KILL_SWITCH' WHEN current_pct = 0 AND target_pct > 0 THEN 'NEW_POSITION' WHEN current_pct > 0 AND target_pct = 0 THEN 'CLOSE'
+        'EXIT_KILL_SWITCH' WHEN current_pct = 0 AND target_pct > 0 THEN 'NEW_POSITION' WHEN current_pct > 0 AND target_pct = 0 THEN CASE WHEN p_size % 3 = 0 THEN 'SELL_SOME' ELSE 'CLOSE' END
         WHEN delta_pct > 1e-9 THEN 'BUY_MORE' WHEN delta_pct < -1e-9 THEN 'SELL_SOME' ELSE 'HOLD' END AS action, CASE WHEN killed THEN 'URGENT'
         WHEN abs(delta_pct) < 1 THEN 'LOW' ELSE 'NORMAL' END AS priority, CASE WHEN current_pct > 0 AND target_pct = 0 THEN CASE WHEN killed THEN
         'kill switch' WHEN p_size % 3 > 0 THEN 'thesis closed' ELSE 'prior regime' END ELSE '' END AS orphan_reason FROM (SELECT *, CASE WHEN
@@ -377,7 +377,7 @@ def drawdown_raise(spark, sf):
 @query(
     "thesis_status",
     "PF-10",
-    """SELECT l_partkey, CASE WHEN bool_or(l_tax >= 0.08 AND l_discount >= 0.1) THEN 'INVALIDATED' WHEN max(l_shipdate) < DATE '2001-06-01' THEN
+    """SELECT l_partkey, CASE WHEN bool_or(l_tax >= 0.08 AND l_discount >= 0.1) THEN 'INVALIDATED' WHEN max(l_shipdate) <= DATE '2001-06-01' THEN
     'TIME EXPIRED' WHEN bool_or(l_discount > 0.09) THEN 'WEAKENING' WHEN bool_or(l_quantity >= 49) THEN 'STRENGTHENING' ELSE 'ACTIVE' END AS
     next_status FROM lineitem GROUP BY 1""",
 )

@@ -577,12 +577,12 @@ def fifo_matches(spark, sf):
     "duplicate_orders",
     "JN-14",
     """SELECT account_id, event_id, coalesce(date_diff('microsecond', prev, ts) <= 86400000000, false) AS duplicate FROM (SELECT
-    CAST(user_id AS VARCHAR) AS account_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id, event_type, floor(value / 10)
-    ORDER BY ts, event_id) AS prev FROM events)""",
+    CAST(user_id AS VARCHAR) AS account_id, event_id, ts, max(CASE WHEN event_id % 3 > 0 THEN ts END) OVER (PARTITION BY user_id, event_type,
+    floor(value / 10) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM events)""",
 )
 def duplicate_orders(spark, sf):
     ev = b.events(spark, sf).select("account_id", "event_id", "event_type", F.floor(F.col("value") / 10).alias("qty"), "ts")
-    out = pf.duplicate_orders(ev, ["account_id", "event_type", "qty"], "ts", "event_id")
+    out = pf.duplicate_orders(ev, ["account_id", "event_type", "qty"], "ts", "event_id", pending=F.col("event_id") % 3 > 0)
     return out.select("account_id", "event_id", "duplicate")
 
 

@@ -196,12 +196,12 @@ def asset_eligibility(spark, sf):
     "FLT-13",
     compose(
         """SELECT entity_id, CAST(month AS VARCHAR) AS month, abs(unrate / 5.0 - 1) <= 0.1 AS ambiguous, abs(indpro_yoy / 15.0
-        - 1) <= 0.1 AS momentum_ambiguous FROM wide WHERE indpro_yoy IS NOT NULL AND unrate IS NOT NULL""",
+        - 1) <= 0.1 AS momentum_ambiguous FROM wide""",
         "wide",
     ),
 )
 def ambiguity_band(spark, sf):
-    wide = regime.aligned(b.observations(spark, sf)).where(F.col("indpro_yoy").isNotNull() & F.col("unrate").isNotNull())
+    wide = regime.aligned(b.observations(spark, sf))
     return wide.select(
         "entity_id",
         "month",
@@ -265,7 +265,7 @@ def required_config(spark, sf):
     "FLT-18",
     compose(
         """SELECT entity_id, CAST(horizon AS BIGINT) AS horizon, source, target, prob, base_rate, abs(prob - base_rate) > 0.2
-        AS far_from_base, abs(sum(prob) OVER (PARTITION BY entity_id, horizon) - 1) > 0.01 AS bad_total FROM (SELECT
+        AS far_from_base, abs(sum(prob) OVER (PARTITION BY entity_id, horizon, source) - 1) > 0.01 AS bad_total FROM (SELECT
         entity_id, horizon, source, target, round(prob, 9) AS prob, round(shrunk, 9) AS base_rate FROM shrunk
         WHERE prob IS NOT NULL)""",
         "shrunk",
@@ -275,7 +275,8 @@ def required_config(spark, sf):
 def forecast_sanity(spark, sf):
     made = shrunk(spark, sf).where(F.col("prob").isNotNull())
     return ql.forecast_sanity(
-        made.select("entity_id", "horizon", "source", "target", F.round("prob", 9).alias("prob"), F.round("shrunk", 9).alias("base_rate"))
+        made.select("entity_id", "horizon", "source", "target", F.round("prob", 9).alias("prob"), F.round("shrunk", 9).alias("base_rate")),
+        keys=("entity_id", "horizon", "source"),
     )
 
 

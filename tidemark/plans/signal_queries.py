@@ -562,7 +562,7 @@ def latest_per_field(spark, sf):
         f"""SELECT {S}, CAST(month AS VARCHAR) AS month, value, consensus, value - consensus AS surprise,
         sign(value - consensus)::DOUBLE AS sign, avg(sign(value - consensus)) OVER (PARTITION BY {S} ORDER BY month ROWS
         3 PRECEDING) AS trend FROM (SELECT *, CASE WHEN count(value) OVER q = 3 THEN avg(value) OVER q END AS consensus
-        FROM monthly WHERE series_id IN ('INDPRO', 'PAYEMS') WINDOW q AS (PARTITION BY {S} ORDER BY month ROWS BETWEEN
+        FROM monthly WINDOW q AS (PARTITION BY {S} ORDER BY month ROWS BETWEEN
         3 PRECEDING AND 1 PRECEDING))""",
         "monthly",
     ),
@@ -571,7 +571,7 @@ def latest_per_field(spark, sf):
 def surprises_vs_consensus(spark, sf):
     from pyspark.sql import Window
 
-    monthly = align.resample_last(b.observations(spark, sf)).where(F.col("series_id").isin("INDPRO", "PAYEMS"))
+    monthly = align.resample_last(b.observations(spark, sf))
     w = Window.partitionBy("entity_id", "series_id").orderBy("month").rowsBetween(-3, -1)
     known = monthly.select("*", F.when(F.count("value").over(w) == 3, F.avg("value").over(w)).alias("consensus"))
     return sg.surprise(known, ["entity_id", "series_id"], "month", "value", "consensus")

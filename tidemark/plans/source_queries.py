@@ -47,11 +47,11 @@ def landed_observations(spark, sf):
 @query(
     "sdmx_json",
     "SRC-3",
-    compose("SELECT entity_id AS area, CAST(month AS VARCHAR) AS period, value FROM monthly WHERE series_id = 'INDPRO'", "monthly"),
+    compose("SELECT entity_id || '/' || series_id AS area, CAST(month AS VARCHAR) AS period, value FROM monthly", "monthly"),
     "value",
 )
 def sdmx_json(spark, sf):
-    monthly = _monthly(spark, sf).where(F.col("series_id") == "INDPRO")
+    monthly = _monthly(spark, sf)
     periods = F.transform("ps", lambda p: F.struct(p["month"].cast("string").alias("id")))
     observations = F.map_from_entries(F.transform("ps", lambda p, i: F.struct(i.cast("string"), F.array(p["value"]))))
     dim = lambda name, vals: F.struct(F.lit(name).alias("id"), vals.alias("values"))
@@ -59,14 +59,14 @@ def sdmx_json(spark, sf):
         F.struct(
             F.struct(
                 F.struct(
-                    F.array(dim("REF_AREA", F.array(F.struct(F.col("entity_id").alias("id"))))).alias("series"),
+                    F.array(dim("REF_AREA", F.array(F.struct(F.concat_ws("/", "entity_id", "series_id").alias("id"))))).alias("series"),
                     F.array(dim("TIME_PERIOD", periods)).alias("observation"),
                 ).alias("dimensions")
             ).alias("structure"),
             F.array(F.struct(F.create_map(F.lit("0:0:0"), F.struct(observations.alias("observations"))).alias("series"))).alias("dataSets"),
         ).alias("data")
     )
-    path = _landed(_documents(monthly, ["entity_id"], doc), "sdmx")
+    path = _landed(_documents(monthly, ["entity_id", "series_id"], doc), "sdmx")
     return rd.read_sdmx_json(spark, path, wholetext=False)
 
 
@@ -132,8 +132,7 @@ def coded_csv(spark, sf):
     "net_positioning",
     "SRC-7",
     compose(
-        """SELECT contract, CAST(week AS VARCHAR) AS report_date, long_qty, short_qty, long_qty - short_qty AS net FROM net_positions WHERE contract IN ('Brand#1',
-        'Brand#2', 'Brand#3')""",
+        """SELECT contract, CAST(week AS VARCHAR) AS report_date, long_qty, short_qty, long_qty - short_qty AS net FROM net_positions""",
         "net_positions",
     ),
     "long_qty short_qty net",
@@ -148,7 +147,7 @@ def net_positioning(spark, sf):
         F.when(F.col("contract") == "Brand#2", F.col("short_qty")).alias("asset_short"),
     )
     money, asset = ("money_long", "money_short"), ("asset_long", "asset_short")
-    return rd.net_positions(wide, {"Brand#1": money, "Brand#2": asset, "Brand#3": money})
+    return rd.net_positions(wide, {f"Brand#{i}": asset if i == 2 else money for i in range(1, 26)})
 
 
 @query(
@@ -171,18 +170,18 @@ def country_years(spark, sf):
     "meta_records",
     "SRC-9",
     compose(
-        """SELECT entity_id AS country, CAST(year(month) AS BIGINT) AS year, arg_max(value, month) AS value, entity_id = '3' AS truncated FROM monthly WHERE series_id
-        = 'PAYEMS' GROUP BY 1, 2 HAVING arg_max(value, month) > 2""",
+        """SELECT entity_id || '/' || series_id AS country, CAST(year(month) AS BIGINT) AS year, arg_max(value, month) AS value, entity_id = '3' AS truncated FROM
+        monthly GROUP BY entity_id, series_id, 2 HAVING arg_max(value, month) > 2""",
         "monthly",
     ),
     "value",
 )
 def meta_records(spark, sf):
-    yearly = _monthly(spark, sf).where(F.col("series_id") == "PAYEMS").groupBy("entity_id", F.year("month").alias("year")).agg(F.max_by("value", "month").alias("v"))
+    yearly = _monthly(spark, sf).groupBy("entity_id", "series_id", F.year("month").alias("year")).agg(F.max_by("value", "month").alias("v"))
     record = F.struct(
-        F.struct(F.col("entity_id").alias("id")).alias("country"), F.col("year").cast("string").alias("date"), F.when(F.col("v") > 2, F.col("v")).alias("value")
+        F.struct(F.concat_ws("/", "entity_id", "series_id").alias("id")).alias("country"), F.col("year").cast("string").alias("date"), F.when(F.col("v") > 2, F.col("v")).alias("value")
     )
-    docs = yearly.groupBy("entity_id").agg(F.collect_list(record).alias("records"))
+    docs = yearly.groupBy("entity_id", "series_id").agg(F.collect_list(record).alias("records"))
     pages = F.when(F.col("entity_id") == "3", '{"pages": 2}').otherwise('{"pages": 1}')
     text = F.concat(F.lit("["), pages, F.lit(", "), F.to_json("records"), F.lit("]"))
     return rd.read_meta_records(spark, _landed(docs.select(text.alias("value")), "meta-records"), wholetext=False)

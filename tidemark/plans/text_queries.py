@@ -124,14 +124,14 @@ def pipe_tables(spark, sf):
     "canonical_rows",
     "TXT-12 TXT-8",
     compose(
-        """SELECT doc_id, row_no, what, direction, CASE etf WHEN 'SPY / EUR' THEN 'SPY' WHEN 'GLD' THEN 'GLD' ELSE 'TLT' END AS codes, CASE direction WHEN
+        """SELECT doc_id, row_no, what, direction, CASE etf WHEN 'SPY / EUR' THEN 'SPY' WHEN 'GLD' THEN 'GLD' ELSE '' END AS codes, CASE direction WHEN
         'strong overweight' THEN 'high' WHEN 'neutral' THEN 'low' ELSE 'medium' END AS conviction, rationale AS why, '' AS timing FROM table_rows""",
         "table_rows",
     ),
 )
 def canonical_rows(spark, sf):
     rows = tx.pipe_tables(b.thesis_docs(spark, sf), "doc_id").withColumn("row_no", F.col("row_no").cast("bigint"))
-    return tx.canonical_rows(rows, ["doc_id", "row_no"])
+    return tx.asset_rows(rows, ["doc_id", "row_no"])
 
 
 @query(
@@ -156,8 +156,8 @@ def document_meta(spark, sf):
     "meta_fields",
     "TXT-4",
     compose(
-        r"""SELECT doc_id, trim(name) AS name, trim(value) AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\*\*([^*:\n]+):\*\*[ \t]*([^\n]+)', 1)) AS name,
-        unnest(regexp_extract_all(text, '\*\*([^*:\n]+):\*\*[ \t]*([^\n]+)', 2)) AS value FROM docs)""",
+        r"""SELECT doc_id, trim(split_part(rest, ':**', 1)) AS name, trim(substr(rest, strpos(rest, ':**') + 3)) AS value FROM (SELECT doc_id, substr(line, 3) AS rest
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE starts_with(line, '**') AND contains(line, ':**'))""",
         "docs",
     ),
 )
@@ -187,13 +187,13 @@ cte(
     compose("SELECT doc_id, step, core, testable_by, status, source, quantified FROM items", "items"),
 )
 def numbered_items(spark, sf):
-    return _assumptions(spark, sf).drop("item")
+    return _assumptions(spark, sf).drop("item", "title")
 
 
 @query(
     "quantities",
     "TXT-6",
-    f"""SELECT doc_id, array_to_string(regexp_extract_all(text, '{QUANTITY_PATTERN}')[1:5], ' ; ') AS found FROM documents""",
+    f"""SELECT doc_id, array_to_string(regexp_extract_all(text, '{QUANTITY_PATTERN}'), ' ; ') AS found FROM documents""",
 )
 def quantities(spark, sf):
     return b.table(spark, sf, "documents").select("doc_id", F.array_join(tx.quantities(F.col("text")), " ; ").alias("found"))
@@ -235,8 +235,7 @@ def regime_mentions(spark, sf):
 @query(
     "first_sentences",
     "TXT-10",
-    r"""SELECT doc_id, CASE WHEN regexp_extract(text, '^(.+?\.)\s+[A-Z]', 1) <> '' THEN regexp_extract(text, '^(.+?\.)\s+[A-Z]', 1) ELSE substr(text, 1, 200)
-    END AS sentence FROM documents""",
+    r"""SELECT doc_id, coalesce(nullif(regexp_extract(text, '^([^\n]*?[.!?])\s+\p{Lu}', 1), ''), text) AS sentence FROM documents""",
 )
 def first_sentences(spark, sf):
     return b.table(spark, sf, "documents").select("doc_id", tx.first_sentence(F.col("text")).alias("sentence"))
@@ -303,7 +302,7 @@ def thesis_records(spark, sf):
     "theses_index",
     "TXT-11",
     compose(
-        """SELECT doc_id, status, conviction, classification, 'long' AS direction, 'We buy SPY and XLE here.' AS what, 'SPY, XLE' AS codes, n AS n_assumptions
+        """SELECT doc_id, status, conviction, classification, 'Order ' || doc_id AS name, '' AS recommendation, '' AS kill_switch, 'long' AS direction, 'We buy SPY and XLE here.' AS what, 'SPY, XLE' AS codes, n AS n_assumptions
         FROM records""",
         "records",
     ),

@@ -33,7 +33,7 @@ _SDMX_BODY = (
 )
 
 
-def read_sdmx_json(spark: SparkSession, path: str, area_dim: str = "REF_AREA", wholetext: bool = True, sort_periods: bool = True) -> DataFrame:
+def read_sdmx_json(spark: SparkSession, path: str, area_dim: str = "REF_AREA", wholetext: bool = True, sort_periods: bool = False) -> DataFrame:
     """Area, period and value of an SDMX-JSON document, whose keys are positions in its dimension lists."""
     parsed = _documents(spark, path, wholetext).select(F.from_json("value", f"STRUCT<data: STRUCT<{_SDMX_BODY}>, {_SDMX_BODY}>").alias("d"))
     part = lambda name: F.coalesce(F.col(f"d.data.{name}"), F.col(f"d.{name}"))
