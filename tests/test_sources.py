@@ -20,10 +20,10 @@ def test_sdmx_json_both_layouts(spark, tmp_path):
     }
     body = {"structure": {"dimensions": dims}, "dataSets": [{"series": {"1:0:0": {"observations": {"0": [1.5, 0], "1": [2.5]}}}}]}
     put(tmp_path / "a.json", json.dumps({"data": body}, indent=1))
-    rows = {(r.area, r.period): r.value for r in rd.read_sdmx_json(spark, str(tmp_path)).collect()}
+    rows = {(r.area, r.period): r.value for r in rd.read_sdmx_json(spark, str(tmp_path), sort_periods=True).collect()}
     assert rows == {("JPN", "2020-01"): 1.5, ("JPN", "2020-02"): 2.5}
     put(tmp_path / "b" / "b.json", json.dumps(body))
-    plain = {(r.area, r.period): r.value for r in rd.read_sdmx_json(spark, str(tmp_path / "b"), sort_periods=False).collect()}
+    plain = {(r.area, r.period): r.value for r in rd.read_sdmx_json(spark, str(tmp_path / "b")).collect()}
     assert plain == {("JPN", "2020-02"): 1.5, ("JPN", "2020-01"): 2.5}
 
 
@@ -109,3 +109,30 @@ def test_upsert_keeps_old_confidence(spark):
     new = spark.createDataFrame([("w2", "O"), ("w3", "O")], "week STRING, regime STRING")
     rows = {r.week: (r.regime, r.confidence) for r in sk.upsert_history(old, new, ["week"], {"confidence": "Backfilled"}).collect()}
     assert rows == {"w1": ("G", "High"), "w2": ("O", "High"), "w3": ("O", "Backfilled")}
+
+
+def test_snapshot_folder_leaves_copies_and_other_files_out(spark, tmp_path):
+    body = '{{"timestamp": "2024-01-0{0}T00:00:00Z", "account": {{"account_id": "a", "portfolio_value": {0}.5}}, "positions": []}}'
+    for name, n in (("2024-01-01-snapshot.json", 1), ("2024-01-02-snapshot.json", 2), ("latest-snapshot.json", 2), ("other.json", 3)):
+        (tmp_path / name).write_text(body.format(n))
+    got = {(r.file, r.account.portfolio_value) for r in rd.read_snapshots(spark, str(tmp_path)).collect()}
+    assert got == {("2024-01-01-snapshot.json", 1.5), ("2024-01-02-snapshot.json", 2.5)}
+
+
+def test_trade_logs_of_objects_lists_and_broken_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"symbol": "X", "qty": 1.0}')
+    (tmp_path / "b.json").write_text('[{"symbol": "Y", "qty": 2.0},\n {"symbol": "Z", "qty": 3.0}]')
+    (tmp_path / "c.json").write_text('{"symbol": "broken", ')
+    assert sorted((r.symbol, r.qty) for r in rd.read_trade_logs(spark, str(tmp_path)).collect()) == [("X", 1.0), ("Y", 2.0), ("Z", 3.0)]
+
+
+def test_documents_are_named_by_their_files(spark, tmp_path):
+    (tmp_path / "one.v2.md").write_text("# A\n\nb")
+    (tmp_path / "two.md").write_text("")
+    assert {r.doc_id: r.text for r in rd.read_documents(spark, str(tmp_path)).collect()}["one.v2"] == "# A\n\nb"
+
+
+def test_prices_without_a_close_are_dropped(spark, tmp_path):
+    rows = [("a", "2024-01-01", 1.0, 2), ("a", "2024-01-02", None, 2), ("a", "2024-01-03", float("nan"), 2)]
+    spark.createDataFrame(rows, "asset_id string, price_date string, close double, volume long").selectExpr("asset_id", "date(price_date) AS price_date", "close", "volume").write.parquet(str(tmp_path / "p"))
+    assert [r.close for r in rd.read_prices(spark, str(tmp_path / "p")).collect()] == [1.0]

@@ -10,7 +10,6 @@ from tidemark.plans import bindings as b
 from tidemark.plans.cte import compose
 from tidemark.plans.panel_queries import regimes
 from tidemark.plans.registry import query
-from tidemark.schema import SNAPSHOT, TRADES
 from tidemark.session import materialise, scratch_path
 from tidemark.sources import readers as rd, sinks as sk
 
@@ -44,6 +43,20 @@ def landed_observations(spark, sf):
     return rd.read_observations(spark, path, "csv", header=True)
 
 
+@query(
+    "landed_prices",
+    "SRC-2",
+    compose("SELECT asset_id, CAST(price_date AS VARCHAR) AS price_date, close, volume FROM prices WHERE day(price_date) <> 13", "prices"),
+    "close",
+)
+def landed_prices(spark, sf):
+    path = scratch_path(spark, "prices")
+    # Missing closes come as null or as NaN.
+    gone = F.when(F.month("price_date") % 2 == 0, F.lit(float("nan")))
+    b.prices(spark, sf).withColumn("close", F.when(F.dayofmonth("price_date") == 13, gone).otherwise(F.col("close"))).write.parquet(path)
+    return rd.read_prices(spark, path)
+
+
 @query(
     "sdmx_json",
     "SRC-3",
@@ -207,8 +220,7 @@ def landed_snapshots(spark, sf):
         "positions",
     )
     docs.write.json(path)
-    landed = spark.read.schema(SNAPSHOT).json(path)
-    accounts, plain, results = rd.account_tables(landed)
+    accounts, plain, results = rd.account_tables(rd.read_snapshots(spark, path, "part-*.json", wholetext=False))
     keys = ["account_id", "ts"]
     return plain.join(results, [*keys, "symbol"]).join(accounts, keys).select(
         "account_id", "symbol", "qty", "market_value", "unrealized_pl", "portfolio_value"
@@ -224,9 +236,11 @@ def landed_snapshots(spark, sf):
 )
 def landed_trades(spark, sf):
     path = scratch_path(spark, "trades")
-    b.trades(spark, sf).select("account_id", "symbol", F.col("l_quantity").alias("qty"), "date", "layer", "realized_pl").write.json(path)
-    # Line-delimited here; files holding one object or one list take the same schema with the multi-line reader.
-    return spark.read.schema(TRADES).json(path).select("account_id", "symbol", "qty", "realized_pl")
+    made = b.trades(spark, sf)
+    made.select("account_id", "symbol", F.col("l_quantity").alias("qty"), "date", "layer", "realized_pl").write.json(path)
+    # A broken line for each account, which the reader has to drop.
+    made.select("account_id").distinct().select(F.concat(F.lit('{"account_id": '), "account_id").alias("value")).write.mode("append").option("compression", "none").text(path)
+    return rd.read_trade_logs(spark, path, wholetext=False).select("account_id", "symbol", "qty", "realized_pl")
 
 
 @query(

@@ -129,9 +129,9 @@ def read_meta_records(spark: SparkSession, path: str, wholetext: bool = True) ->
     )
 
 
-def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Dated portfolio snapshots of a folder; copies named ``latest-`` are left out."""
-    raw = spark.read.schema(schema.SNAPSHOT).option("multiLine", True).option("pathGlobFilter", "*-snapshot.json").json(path)
+def read_snapshots(spark: SparkSession, path: str, glob: str = "*-snapshot.json", wholetext: bool = True) -> DataFrame:
+    """Dated portfolio snapshots of a folder, a file or a line each; copies named ``latest-`` are left out."""
+    raw = spark.read.schema(schema.SNAPSHOT).option("multiLine", wholetext).option("pathGlobFilter", glob).json(path)
     named = raw.select("*", F.col("_metadata.file_name").alias("file"))
     return named.where(~F.col("file").startswith("latest-"))
 
@@ -146,9 +146,9 @@ def account_tables(snapshots: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     return accounts, plain, results
 
 
-def read_trade_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Trades of files that hold one object or a list of them; files that do not parse are dropped."""
-    raw = spark.read.schema(f"{schema.TRADES}, _bad STRING").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+def read_trade_logs(spark: SparkSession, path: str, wholetext: bool = True) -> DataFrame:
+    """Trades of files that hold one object or a list of them, or of lines; what does not parse is dropped."""
+    raw = spark.read.schema(f"{schema.TRADES}, _bad STRING").option("multiLine", wholetext).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     return raw.where(F.col("_bad").isNull()).drop("_bad")
 
 
