@@ -13,8 +13,11 @@ a difference spoils one segment only, two similar sets must agree on m - H segme
   shortest; empty segments, whose list would be everything, are never tested. Where segments are too few because many are
   empty, a test within one deletion counts twice. If even that does not suffice, the set is compared with its whole band.
 * **Verification** is exact, on the sets. Equal sets are one class from the start. Lists are resolved by components: members
-  are first compared with a leader of their list, and then only pairs of different components remain, so a large group of
-  near copies costs its size and not its square; no pair that could join two components is left out.
+  are first compared with a leader of their list, at first the one that shares most, so a large group of near copies costs
+  its size and not its square. Then only links between different components matter, so segments shared within one's own
+  component are free as well. The allocation is made anew on that count, with deletion neighbourhoods for all sets that are
+  left, so that a segment next to a long list may be tested twice instead of the list; no pair that could join two
+  components is left out.
 
 Shingles and sets are compared by 64-bit digests. Nothing is collected: components are found by joins.
 """
@@ -139,16 +142,19 @@ def segmented(grams: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndar
     return parts, starts, segment[starts] + np.uint64(band << 40), np.add.reduceat(parts, starts)
 
 
-def signatures(grams: np.ndarray, band: int, m: int, deletions: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Segment signatures, and those of the one-deletion neighbourhoods. The lowest bit tells neighbouring bands apart."""
+def signatures(grams: np.ndarray, band: int, m: int, deletions: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segment signatures, those of the one-deletion neighbourhoods, and the numbers of the segments of both.
+
+    The lowest bit of a signature tells neighbouring bands apart.
+    """
     parts, starts, place, digest = segmented(grams, band, m)
     close = lambda d, p: (mix(d + mix(p)) & ~np.uint64(1)) | np.uint64(band & 1)
     if not deletions:
-        return close(digest, place), np.zeros(0, np.uint64)
+        return close(digest, place), np.zeros(0, np.uint64), place, place[:0]
     size = np.diff(np.append(starts, len(parts)))
     of = np.repeat(np.arange(len(starts)), size)
     many = size[of] > 1
-    return close(digest, place), close(digest[of[many]] - parts[many], place[of[many]])
+    return close(digest, place), close(digest[of[many]] - parts[many], place[of[many]]), place, place[of[many]]
 
 
 # ---- tables
@@ -196,7 +202,7 @@ def entries(docs: DataFrame, text: str) -> DataFrame:
                     seen.clear()
                 seen.add(name)
                 for band, m, _, deletions in schemes(len(grams)):
-                    for sig, deleted in zip(signatures(grams, band, m, deletions), (False, True), strict=True):
+                    for sig, deleted in zip(signatures(grams, band, m, deletions)[:2], (False, True), strict=True):
                         if len(sig):
                             held.append((sig, np.full(len(sig), name, np.int64), deleted))
                 if sum(len(s) for s, _, _ in held[-4:]) and len(held) % 64 == 0 and sum(len(s) for s, _, _ in held) > FLUSH:
@@ -209,7 +215,10 @@ def entries(docs: DataFrame, text: str) -> DataFrame:
 
 
 def probes(index: DataFrame, classes: DataFrame) -> DataFrame:
-    """``sig, class, deleted, probe, n`` of the sets that can have a partner; see the module for the reasoning."""
+    """``sig, class, deleted, probe, n, weight`` of the sets that can have a partner; see the module for the reasoning.
+
+    ``weight`` is how much a set shares: the lengths of its lists together.
+    """
     same = Window.partitionBy("sig")
     own, other = F.when(~F.col("deleted"), F.col("class")), F.when(F.col("deleted"), F.col("class"))
     met = index.select(
@@ -224,7 +233,7 @@ def probes(index: DataFrame, classes: DataFrame) -> DataFrame:
     ranked = met.join(facts, ["class", "parity"]).withColumn("units", F.col("need") + F.sum(F.col("shared").cast("int")).over(mine))
     ranked = ranked.where(F.col("units") > 0).withColumn("rank", F.row_number().over(mine.orderBy(F.col("shared").desc(), "length", "sig")))
     probe = F.when(F.col("shared"), F.col("rank") <= F.col("units")).otherwise(F.col("need") > 0)
-    return ranked.select("sig", "class", "deleted", probe.alias("probe"), "n")
+    return ranked.withColumn("weight", F.sum(F.when(F.col("shared"), F.col("length")).otherwise(0)).over(mine)).select("sig", "class", "deleted", probe.alias("probe"), "n", "weight")
 
 
 def _close(a, b):
@@ -275,24 +284,74 @@ def components(edges: DataFrame) -> DataFrame:
             return label.select("class", "comp")
 
 
-def proposals(lists: DataFrame, order: str) -> DataFrame:
-    """One pair for each class: it and the leader that leads most of its lists. Classes of a component lead as one.
+def proposals(lists: DataFrame, order) -> DataFrame:
+    """One pair for each class: it and the leader that leads most of its lists.
 
     ``lists`` has ``sig, class, comp, deleted, probe, n``. The leader of a list is its first segment entry by ``order``.
     """
-    leader = F.min(F.when(~F.col("deleted"), F.struct(F.xxhash64("comp", F.lit(order)).alias("o"), "comp", F.col("class").alias("head"), F.col("n").alias("head_n"), F.col("probe").alias("asks")))).over(Window.partitionBy("sig"))
+    leader = F.min(F.when(~F.col("deleted"), F.struct(order.alias("o"), "comp", F.col("class").alias("head"), F.col("n").alias("head_n"), F.col("probe").alias("asks")))).over(Window.partitionBy("sig"))
     met = lists.withColumn("lead", leader).where((F.col("lead.comp") != F.col("comp")) & (F.col("probe") | F.col("lead.asks")) & _close(F.col("n"), F.col("lead.head_n")))
     votes = met.groupBy(F.col("class").alias("a"), F.col("lead.head").alias("b")).count()
     return votes.groupBy("a").agg(F.max(F.struct("count", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
 
-def all_pairs(lists: DataFrame) -> DataFrame:
-    """Every pair of different components that meets in a list, one of the two asking. Lists of one component are left out."""
-    mixed = Window.partitionBy("sig")
-    rest = lists.withColumn("c0", F.min("comp").over(mixed)).withColumn("c1", F.max("comp").over(mixed)).where(F.col("c0") != F.col("c1")).select("sig", "class", "comp", "deleted", "probe", "n")
-    asks = rest.where("probe").select("sig", F.col("class").alias("a"), F.col("comp").alias("ca"), F.col("deleted").alias("da"), F.col("n").alias("na"))
-    met = asks.join(rest, "sig").where((F.col("ca") != F.col("comp")) & ~(F.col("da") & F.col("deleted")) & _close(F.col("na"), F.col("n")))
-    return met.select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
+def contested(lists: DataFrame) -> DataFrame:
+    """``class, comp, n`` of the classes that meet another component in a list. Links between components are among them."""
+    same = Window.partitionBy("sig")
+    mixed = lists.withColumn("c0", F.min("comp").over(same)).withColumn("c1", F.max("comp").over(same)).where(F.col("c0") != F.col("c1"))
+    return mixed.select("class", "comp", "n").distinct()
+
+
+def neighbourhoods(sets: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``sig, class, comp, n, deleted, seg, need`` of the chosen classes: all segments and all one-deletion neighbours."""
+    names = ["sig", "class", "comp", "n", "deleted", "seg", "need"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, comp, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                grams = np.frombuffer(raw.as_buffer(), np.uint64)
+                for band, m, apart, _ in schemes(len(grams)):
+                    own, without, place, of = signatures(grams, band, m, True)
+                    count = len(own) + len(without)
+                    full = lambda x, kind=np.int64, k=count: pa.array(np.full(k, x, kind))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.concatenate([own, without]).view(np.int64)), full(name), full(comp), full(len(grams)), pa.array(np.arange(count) >= len(own)),
+                        pa.array((np.concatenate([place, of]) & np.uint64((1 << 40) - 1)).astype(np.int64)), full(apart + 1),
+                    ], names)
+
+    rows = sets.join(chosen.select("class", "comp"), "class").select("class", "comp", "grams")
+    return rows.mapInArrow(run, "sig bigint, class bigint, comp bigint, n bigint, deleted boolean, seg bigint, need bigint")
+
+
+def cross_pairs(near: DataFrame) -> DataFrame:
+    """Pairs of different components that pass the tests of one of the two, by a new allocation over ``near``.
+
+    A unit costs the entries of other components that its test meets. A class whose cheapest ``need`` units cost nothing has
+    no link to another component and leaves on both sides. A segment of a single shingle has no second unit, as its
+    neighbour would be the empty segment.
+    """
+    near = near.withColumn("parity", F.col("sig").bitwiseAND(1))
+    every, own = Window.partitionBy("sig"), Window.partitionBy("sig", "comp")
+    count = lambda deleted, w: F.count(F.when(F.col("deleted") == deleted, 1)).over(w)
+    met = near.withColumn("with_own", count(False, every) - count(False, own)).withColumn("with_less", count(True, every) - count(True, own))
+    met = materialise(met, "jaccard-met")
+    cost = met.groupBy("class", "parity", "seg").agg(
+        F.max("need").alias("need"), F.max("deleted").alias("twice"),
+        F.sum(F.when(F.col("deleted"), 0).otherwise(F.col("with_own"))).alias("one"),
+        F.sum(F.when(F.col("deleted"), F.col("with_own")).otherwise(F.col("with_less"))).alias("two"),
+    )
+    first = F.struct(F.lit(1).alias("unit"), F.col("one").alias("cost"))
+    second = F.struct(F.lit(2).alias("unit"), F.greatest("one", "two").alias("cost"))
+    units = cost.select("class", "parity", "seg", "need", F.explode(F.when(F.col("twice"), F.array(first, second)).otherwise(F.array(first))).alias("u")).select("class", "parity", "seg", "need", "u.unit", "u.cost")
+    rank = F.row_number().over(Window.partitionBy("class", "parity").orderBy("cost", "unit", "seg"))
+    tests = materialise(units.withColumn("rank", rank).where((F.col("rank") <= F.col("need")) & (F.col("cost") > 0)).groupBy("class", "parity", "seg").agg(F.max("unit").alias("unit")), "jaccard-tests")
+    left = tests.select("class", "parity").distinct()
+    index = materialise(met.join(left, ["class", "parity"], "left_semi").where(F.col("with_own") + F.col("with_less") > 0), "jaccard-index")
+    asks = index.join(tests, ["class", "parity", "seg"]).where((F.col("unit") == 2) | ~F.col("deleted"))
+    asks = asks.select("sig", F.col("class").alias("a"), F.col("comp").alias("ca"), F.col("deleted").alias("da"), F.col("n").alias("na"), "unit")
+    pair = asks.join(index.select("sig", "class", "comp", "deleted", "n"), "sig")
+    fits = F.when(F.col("unit") == 1, ~F.col("deleted")).otherwise(~(F.col("da") & F.col("deleted")))
+    return pair.where((F.col("ca") != F.col("comp")) & fits & _close(F.col("na"), F.col("n"))).select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 2) -> DataFrame:
@@ -316,12 +375,16 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
     named = lists.select("class").union(wild.select("a")).union(wild.select("b")).distinct()
     sets = materialise(sets_of(docs, classes.join(named, "class", "left_semi"), key, text), "jaccard-sets")
     edges = materialise(verified(wild, sets), "jaccard-edges")
-    lists = lists.withColumn("comp", F.col("class"))
+    comps = components(edges)
+    plain = lists
     for step in range(rounds + 1):
-        pairs = materialise(proposals(lists, str(step)) if step < rounds else all_pairs(lists), "jaccard-pairs")
-        edges = materialise(edges.union(verified(pairs, sets)), "jaccard-edges")
+        lists = plain.join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+        if step < rounds:
+            pairs = proposals(lists, F.xxhash64("comp", F.lit(step)) if step else -F.col("weight"))
+        else:
+            pairs = cross_pairs(neighbourhoods(sets, materialise(contested(lists), "jaccard-contested")))
+        edges = materialise(edges.union(verified(materialise(pairs, "jaccard-pairs"), sets)), "jaccard-edges")
         comps = components(edges)
-        lists = lists.drop("comp").join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     found = rows.select("id", "n", "class").join(comps, "class", "left")
     return found.select("id", "n", "class", F.coalesce("comp", "class").alias("comp"))
 
