@@ -100,9 +100,10 @@ def confirmation_anchors(label: Column, keys: list[str], time: str) -> Column:
 def aligned(obs: DataFrame) -> DataFrame:
     """Observations to the aligned wide monthly table.
 
-    Entities are brought together once; every later grouping and window contains the entity and reuses that placement.
+    Raw rows are reduced to months where they lie. Then entities are brought together once; every later grouping and window
+    contains the entity and reuses that placement.
     """
-    return align.align_on_spine(align.to_indicators(align.resample_last(obs.repartition("entity_id"))))
+    return align.align_on_spine(align.to_indicators(align.resample_last(obs).repartition("entity_id")))
 
 
 def scored(wide: DataFrame) -> DataFrame:
