@@ -91,3 +91,15 @@ def test_no_python_in_the_plan(spark):
     plan = quotes.conversations(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan
     assert quotes.links(df).where(F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_sql_reads_the_same(name):
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    frame = pd.DataFrame(CASES[name], columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64", "role": object, "text": object})
+    con.register("given", frame)
+    con.execute("CREATE VIEW conversations AS SELECT conv_id, turn, CAST(role AS VARCHAR) AS role, CAST(text AS VARCHAR) AS text FROM given")
+    assert sorted(map(str, con.execute(quotes.ORACLE).fetchall())) == sorted(map(str, brute(CASES[name])))

@@ -95,7 +95,7 @@ def op1_topk(spark: SparkSession, sf: str) -> DataFrame:
     return topk.topk(table(spark, sf, "embeddings"), lambda i: i % 100 == 0)
 
 
-@register("op9_chat")
+@register("op9_chat", quotes.ORACLE)
 def op9_chat(spark: SparkSession, sf: str) -> DataFrame:
     return quotes.conversations(table(spark, sf, "conversations")).select("conv_id", "turn", "role", "reply_to", "thread", "depth", "quoted", "formatted")
 

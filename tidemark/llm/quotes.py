@@ -67,7 +67,7 @@ def links(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
     so a passage that a whole conversation repeats meets its quotes as a single row.
     """
     plain = messages.where(F.col(conv).isNotNull() & F.col(turn).isNotNull()).select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(text).alias("text"))
-    quoting = plain.where(F.col("text").rlike("(?m)" + MARK))
+    quoting = plain.where(F.col("text").rlike("(?md)" + MARK))
     quotes = materialise(quoting.select("conv_id", "turn", F.explode(units(passages(F.col("text")), True)).alias("u")).select("conv_id", "turn", "u.level", "u.hash").distinct(), "quotes")
     asked = quotes.select("conv_id").distinct()
     originals = plain.join(asked, "conv_id", "left_semi").select("conv_id", "turn", F.explode(units(passages(F.col("text")), False)).alias("u"))
@@ -104,7 +104,37 @@ def conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn"
     names = fresh(messages, "reply_to", "thread", "depth", "quoted", "formatted", "c", "t")
     reply_to, thread, depth, quoted, formatted, c, t = names
     tree = threads(links(messages, conv, turn, text)).select(F.col("conv_id").alias(c), F.col("turn").alias(t), F.col("reply_to").alias(reply_to), F.col("thread").alias(thread), F.col("depth").alias(depth), F.col("quoted").alias(quoted))
-    body = F.when(F.col(text).rlike("(?m)" + MARK), once(passages(F.col(text)), own_text)).otherwise(F.coalesce(F.col(text), F.lit("")))
+    body = F.when(F.col(text).rlike("(?md)" + MARK), once(passages(F.col(text)), own_text)).otherwise(F.coalesce(F.col(text), F.lit("")))
     laid = F.concat(F.lit(TURN[0]), F.coalesce(F.col(role), F.lit("unknown")), F.lit(TURN[1]), body, F.lit(TURN[2]))
     joined = messages.join(tree, (F.col(conv) == F.col(c)) & (F.col(turn) == F.col(t)), "left").drop(c, t)
     return joined.withColumns({thread: F.coalesce(F.col(thread), F.col(turn)), depth: F.coalesce(F.col(depth), F.lit(0).cast("long")), quoted: F.coalesce(F.col(quoted), F.lit(0).cast("long")), formatted: laid})
+
+
+#: The same rows for DuckDB, with a recursive walk up the replies.
+ORACLE = r"""
+WITH RECURSIVE raw AS (SELECT row_number() OVER () AS id, conv_id, turn, role, coalesce(text, '') AS t FROM conversations),
+lines AS (SELECT id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM raw),
+signs AS (SELECT id, i, line, regexp_extract(line, '^[ \t]*(?:>[ \t]?)+') AS sign FROM lines),
+levels AS (SELECT id, i, length(sign) - length(replace(sign, '>', '')) AS level, substr(line, length(sign) + 1) AS body FROM signs),
+runs AS (SELECT *, sum(step) OVER (PARTITION BY id ORDER BY i) AS g FROM (
+  SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY id ORDER BY i) THEN 1 ELSE 0 END AS step FROM levels)),
+parts AS (SELECT id, g, level, string_agg(body, chr(10) ORDER BY i) AS body FROM runs GROUP BY id, g, level),
+own AS (
+  SELECT id, max(level) AS deepest, regexp_replace(regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY g) FILTER (level = 0), ''), '^\s+|\s+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS body
+  FROM parts GROUP BY id),
+bodies AS (SELECT id, level, body FROM parts UNION ALL SELECT id, 0, body FROM own),
+units AS (
+  SELECT DISTINCT id, level, trim(regexp_replace(lower(piece), '\s+', ' ', 'g')) AS plain
+  FROM (SELECT id, level, unnest(list_concat([body], regexp_split_to_array(body, '\n[ \t]*\n'))) AS piece FROM bodies)),
+named AS (SELECT conv_id, turn, level, plain FROM units JOIN raw USING (id) WHERE plain <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+origin AS (SELECT conv_id, plain, min(turn) AS first FROM named WHERE level = 0 GROUP BY 1, 2),
+link AS (SELECT n.conv_id, n.turn, level, max(first) AS to_ FROM named n JOIN origin o ON n.conv_id = o.conv_id AND n.plain = o.plain AND first < n.turn WHERE level > 0 GROUP BY 1, 2, 3),
+parent AS (SELECT conv_id, turn, arg_min(to_, level) AS reply_to, count(*) AS quoted FROM link GROUP BY 1, 2),
+walk AS (
+  SELECT conv_id, turn, reply_to AS place, CAST(1 AS BIGINT) AS depth FROM parent
+  UNION ALL SELECT w.conv_id, w.turn, p.reply_to, w.depth + 1 FROM walk w JOIN parent p ON w.conv_id = p.conv_id AND w.place = p.turn),
+roots AS (SELECT conv_id, turn, min(place) AS thread, max(depth) AS depth FROM walk GROUP BY 1, 2)
+SELECT raw.conv_id, raw.turn, role, reply_to, coalesce(thread, raw.turn) AS thread, coalesce(depth, 0) AS depth, coalesce(quoted, 0) AS quoted,
+       '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || CASE WHEN deepest > 0 THEN body ELSE t END || '<|end|>' || chr(10) AS formatted
+FROM raw JOIN own USING (id) LEFT JOIN parent p ON raw.conv_id = p.conv_id AND raw.turn = p.turn LEFT JOIN roots r ON raw.conv_id = r.conv_id AND raw.turn = r.turn
+"""
