@@ -333,13 +333,18 @@ def cross_pairs(near: DataFrame) -> DataFrame:
     near = near.withColumn("parity", F.col("sig").bitwiseAND(1))
     every, own = Window.partitionBy("sig"), Window.partitionBy("sig", "comp")
     count = lambda deleted, w: F.count(F.when(F.col("deleted") == deleted, 1)).over(w)
-    met = near.withColumn("with_own", count(False, every) - count(False, own)).withColumn("with_less", count(True, every) - count(True, own))
+    met = near.withColumn("with_own", count(False, every) - count(False, own)).withColumn("with_less", count(True, every) - count(True, own)).withColumn("largest", F.max("n").over(every))
     met = materialise(met, "jaccard-met")
     cost = met.groupBy("class", "parity", "seg").agg(
-        F.max("need").alias("need"), F.max("deleted").alias("twice"),
+        F.max("need").alias("need"), F.max("deleted").alias("twice"), F.max("n").alias("n"), F.max("largest").alias("largest"),
         F.sum(F.when(F.col("deleted"), 0).otherwise(F.col("with_own"))).alias("one"),
         F.sum(F.when(F.col("deleted"), F.col("with_own")).otherwise(F.col("with_less"))).alias("two"),
     )
+    # A linked set agrees with a class in a segment that both use, if the class uses as many as it needs. It is then no larger
+    # than the largest set met anywhere, which bounds the differences more closely than the largest size that could link.
+    mine = Window.partitionBy("class", "parity")
+    close = F.floor((F.col("n") + F.least(F.max("largest").over(mine), F.floor(F.col("n") * (SHARE_A - SHARE_B) / SHARE_B))) * (SHARE_A - 2 * SHARE_B) / SHARE_A) + 1
+    cost = cost.withColumn("need", F.when(F.count("*").over(mine) >= F.col("need"), F.least("need", close)).otherwise(F.col("need")))
     first = F.struct(F.lit(1).alias("unit"), F.col("one").alias("cost"))
     second = F.struct(F.lit(2).alias("unit"), F.greatest("one", "two").alias("cost"))
     units = cost.select("class", "parity", "seg", "need", F.explode(F.when(F.col("twice"), F.array(first, second)).otherwise(F.array(first))).alias("u")).select("class", "parity", "seg", "need", "u.unit", "u.cost")
