@@ -80,3 +80,37 @@ def test_nulls_ties_and_empty_tables(spark):
     for model in (tx.fit(df, lab.limit(0)), tx.fit(df.limit(0), lab), tx.fit(df, lab.where(F.col("toxic") == 0))):
         assert {r.score_ for r in tx.score(df, model).collect()} == {0.0}
     assert tx.score(df.limit(0), tx.fit(df, lab)).count() == 0
+
+
+def test_rare_words_of_a_small_language_are_found(spark):
+    """A handful of toxic rows of a second language, each with stems that are seen few times, is not drowned by the first."""
+    docs, labels = corpus(1500)
+    rng = np.random.default_rng(9)
+    other = ["".join(rng.choice(list("çéèàùlmpqv"), rng.integers(3, 9))) for _ in range(300)]
+    ids = []
+    for i in range(300):
+        text = [str(w) for w in rng.choice(other, 80)]
+        toxic = i % 6 == 0
+        if toxic:
+            for k in rng.choice(80, 3, replace=False):
+                text[k] = f"vlop{rng.choice(other)}"
+            ids.append(5000 + i)
+        docs.append((5000 + i, " ".join(text), None))
+        labels.append((5000 + i, int(toxic)))
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r.score_ for r in tx.score(df, tx.fit(df, lab)).collect()}
+    held = [(i, t) for i, t in labels if zlib.crc32(str(i).encode()) % 5 == 0 and i >= 5000]
+    assert sum(t for _, t in held) >= 5
+    assert np.mean([got[i] >= 0.5 for i, t in held if t]) > 0.75 and np.mean([got[i] < 0.5 for i, t in held if not t]) > 0.95
+
+
+def test_few_occurrences_and_unseen_continuations_move_the_ratio(spark):
+    """Four toxic uses of a stem count, and what never followed the stem backs off to a ratio of its own."""
+    rows = [("the grim grin grid of the day " * 50, 0), ("the day of the grid grin " * 10 + "grumba grumbe grumbi grumbo ", 1)]
+    counts = tx.gram_counts(spark.createDataFrame(rows, "text string, part int"))
+    got = {r.gram: r.ratio for r in tx.ratio_table(counts).where("model = 2").collect()}
+    gru = int(tx.grams(["gru"])[0][2])
+    assert got[gru] > 0.5
+    assert any(k & 255 == tx.NEW for k in got)
+    fresh_stem = int(tx.grams(["grzzz"])[0][2])
+    assert fresh_stem not in got and got[fresh_stem | tx.NEW] > 0

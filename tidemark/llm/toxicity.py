@@ -1,38 +1,51 @@
 """Toxicity by two class-conditional Kneser-Ney models over the bytes of words.
 
 A word is predicted byte by byte, each after all bytes of the word before it. Both classes discount their own counts and back
-off to counts of both classes together, which end in a continuation model. Where the classes use a continuation alike, within
-``GATE`` standard deviations, it counts as rare in either class and takes the shared counts alone, so it does not move the
-score: neither chance in rare expressions nor the classes' different sizes do. A stem that one class prefers is caught whatever
-follows it. The score is the log-likelihood ratio of the whole text divided by its number of words plus ``STEADY``, mapped to
-a probability by a logistic curve; the curve is fitted on ratios that each half of the labelled rows gets from the other half.
+off to counts of both classes together, which end in a continuation model. The log-likelihood ratio of a continuation is shrunk
+by how surely the classes use it differently: by ``z^2 / (z^2 + SURE^2)`` at ``z`` standard deviations. A continuation that no
+labelled row has takes the backoff ratio of what it follows: how often either class goes on in a new way there, against what
+samples of the classes' sizes would by chance. So a stem that one class prefers is caught whatever follows it, and different
+sizes of the classes move nothing by themselves.
+
+The ratio ``w`` of a word is the sum over its bytes. Words that a whole language uses a little more in one class would set a
+level for that language, and toxic words are few in a text, so a word counts ``w^5 / (w^4 + MILD^4)``: a clear word in full, a
+mild one little. The score is that sum over a text divided by its number of words plus ``STEADY``, mapped to a probability by a
+logistic curve; the curve is fitted on values that each half of the labelled rows gets from the other half.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.columns import blocks, crc_of_id, flat_bytes, fresh, with_small
 from tidemark.llm.hashindex import HashIndex
 from tidemark.session import materialise
 
-DISCOUNT, GATE, STEADY = 0.75, 14.0, 40
+DISCOUNT, STEADY = 0.75, 40
+#: Where a continuation's ratio and a word's ratio count half, and types that steady the ratio of new continuations.
+SURE, MILD, TYPES = 3.0, 2.0, 5.0
+#: The byte under which a context's backoff ratio is kept; UTF-8 has none of that value.
+NEW = 255
 #: Largest weight of one byte in either direction.
 CLIP = 6.0
 #: Bytes that are looked up at a time, and n-grams that a task gathers before it passes them on.
 BLOCK_BYTES, GATHERED = 1 << 20, 1 << 20
+#: Words whose values are broadcast where the others are joined.
+FREQUENT = 1 << 17
 #: An odd base for hashes of byte strings, and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 BACK = pow(BASE, -1, 1 << 64)
 #: Bytes that belong to words once a text is lower-cased: ASCII letters and whatever is not ASCII.
 LETTER = np.array([97 <= b < 123 or b >= 128 for b in range(256)])
+SPLIT = re.compile(rb"[a-z\x80-\xff]+")
 
 
 @functools.lru_cache(maxsize=4)
@@ -101,39 +114,190 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return partial.groupBy("gram").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(4)])
 
 
+def ratio_table(counts: DataFrame) -> DataFrame:
+    """``model, gram, ratio``: shrunk ratios of all continuations that move a score, for models 0 and 1 (the halves) and 2 (both).
+
+    A gram ends in ``NEW`` for what else may follow its context. No count is left out: rows go only where the ratio is exactly
+    0, as after a context that one class alone has or that goes on in a single way, and an absent row reads as 0.
+    """
+    parts = [F.struct(F.lit(m).alias("model"), t.alias("t"), o.alias("o")) for m, (t, o) in enumerate([(F.col("c1"), F.col("c0")), (F.col("c3"), F.col("c2")), (F.col("c1") + F.col("c3"), F.col("c0") + F.col("c2"))])]
+    each = F.explode(F.array(*parts)).alias("p")
+    byte = F.col("gram").bitwiseAND(F.lit(255).cast("long")).alias("byte")
+    seen = counts.select(byte, each).where("p.t + p.o > 0").groupBy("p.model", "byte").count()
+    seen = seen.withColumn("continued", F.col("count") / F.sum("count").over(Window.partitionBy("model"))).drop("count")
+    # A context has at most 257 rows; one shuffle by context serves all three models.
+    rows = counts.withColumn("context", F.shiftright("gram", 8)).repartition("context").select("context", "gram", byte, each)
+    rows = rows.select("context", "gram", "byte", "p.*").where("t + o > 0")
+    context = Window.partitionBy("model", "context")
+    total = lambda x: F.sum(x).over(context)
+    rows = rows.withColumns({"n_t": total("t").cast("double"), "n_o": total("o").cast("double"), "types_t": total((F.col("t") > 0).cast("int")), "types_o": total((F.col("o") > 0).cast("int")), "types": total(F.lit(1)), "head": F.min("gram").over(context)})
+    both, n = F.col("t") + F.col("o"), F.col("n_t") + F.col("n_o")
+    rows = rows.withColumns({"chance_t": total(1 - F.pow(F.col("n_o") / n, both)), "chance_o": total(1 - F.pow(F.col("n_t") / n, both))})
+    rows = rows.join(F.broadcast(seen), ["model", "byte"])
+    shared = F.greatest(both - DISCOUNT, F.lit(0.0)) / n + DISCOUNT * F.col("types") / n * F.col("continued")
+
+    def log(own: str) -> Column:
+        size = F.col(f"n_{own}")
+        return F.log(F.when(size > 0, (F.greatest(F.col(own) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"types_{own}") * shared) / size).otherwise(shared))
+
+    share = both / n
+    away = F.pow(F.col("t") - F.col("n_t") * share, 2) / (F.col("n_t") * share * (1 - share) * F.col("n_o") / n + 0.5)
+    clipped = lambda x: F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), x))
+    ratio = clipped(log("t") - log("o")) * away / (away + SURE**2)
+    steadied = lambda own: F.log((F.col(f"types_{own}") + TYPES) / (F.col(f"chance_{own}") + TYPES))
+    one_sided = (F.col("types") == 1) | (F.col("n_t") == 0) | (F.col("n_o") == 0)
+    rows = rows.select("model", "gram", "context", "head", ratio.cast("float").alias("ratio"), F.when(one_sided, F.lit(0.0)).otherwise(clipped(steadied("t") - steadied("o"))).cast("float").alias("new"))
+    rest = F.struct((F.shiftleft("context", 8) + NEW).alias("gram"), F.col("new").alias("ratio"))
+    own = F.struct("gram", "ratio")
+    out = rows.where("ratio != 0 OR new != 0").select("model", F.explode(F.when((F.col("gram") == F.col("head")) & (F.col("new") != 0), F.array(own, rest)).otherwise(F.array(own))).alias("g"))
+    return out.select("model", "g.*")
+
+
+def word_value(ratio: np.ndarray) -> np.ndarray:
+    """What words with these ratios count."""
+    return ratio**5 / (ratio**4 + MILD**4)
+
+
 @dataclass
 class Ratios:
-    """Log-likelihood ratios of toxic to ordinary for the continuations that the classes use differently."""
+    """The table of one model, as an index as well if it has few enough rows to be broadcast."""
 
-    table: HashIndex
+    table: DataFrame
+    index: Lookup | None
 
     @classmethod
-    def of(cls, keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Ratios:
-        context, at = np.unique(keys >> 8, return_inverse=True)
-        both = toxic + ordinary
-        total = lambda x: np.bincount(at, x, len(context))[at]
-        safe = lambda x: np.maximum(x, 1)
-        # Shared counts: of both classes, backing off to how many contexts a byte continues.
-        continued = (np.bincount(keys & 255, both > 0, 256) / safe((both > 0).sum()))[keys & 255]
-        shared = np.maximum(both - DISCOUNT, 0) / safe(total(both)) + DISCOUNT * total(both > 0) / safe(total(both)) * continued
-        logs = []
-        for own in (toxic, ordinary):
-            n = total(own)
-            off = np.where(n > 0, DISCOUNT * total(own > 0) / safe(n), 1.0)
-            logs.append(np.log(np.maximum(np.maximum(own - DISCOUNT, 0) / safe(n) + off * shared, 1e-300)))
-        n, share = total(toxic), both / safe(total(both))
-        spread = np.sqrt(n * share * (1 - share) * total(ordinary) / safe(total(both)) + 0.5)
-        used = np.abs(toxic - n * share) > GATE * spread
-        return cls(HashIndex(keys[used], np.clip(logs[0] - logs[1], -CLIP, CLIP)[used].astype(np.float32)))
-
-    def means(self, texts: list[str]) -> np.ndarray:
-        """The ratio of each text over its words; 0 for a text without words."""
-        out = []
-        for block in blocks([len(t) for t in texts], BLOCK_BYTES):
-            keys, ends, words = grams(texts[block])
-            run = np.concatenate([[0.0], np.cumsum(self.table.get(keys, 0.0), dtype=np.float64)])
-            out.append((run[ends[1:]] - run[ends[:-1]]) / (words + STEADY))
-        return np.concatenate(out) if out else np.zeros(0)
+    def of(cls, table: DataFrame, most: int) -> Ratios:
+        if table.limit(most + 1).count() > most:
+            return cls(table, None)
+        return cls(table, indexed(table))
+
+    def add_means(self, docs: DataFrame, text: str, into: str) -> DataFrame:
+        """``docs`` with the value of each text as ``into``."""
+        if self.index is None:
+            return _joined_means(docs, self.table, text, into)
+        shared, at = docs.sparkSession.sparkContext.broadcast(self.index), docs.columns.index(text)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = means([t or "" for t in batch.column(at).to_pylist()], shared.value)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, into])
+
+        return docs.mapInArrow(run, docs.withColumn(into, F.lit(0.0)).schema)
+
+
+class Lookup:
+    """A table that travels as its rows; whoever looks something up builds the index, once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.keys, self.values, self.index = keys, values, None
+
+    def __getstate__(self) -> dict:
+        return {"keys": self.keys, "values": self.values, "index": None}
+
+    def get(self, keys: np.ndarray, missing: float) -> np.ndarray:
+        if self.index is None:
+            self.index = HashIndex(self.keys, self.values)
+        return self.index.get(keys, missing)
+
+
+def indexed(table: DataFrame) -> Lookup:
+    rows = table.toPandas()
+    return Lookup(rows["gram"].to_numpy(np.int64), rows["ratio"].to_numpy(np.float32))
+
+
+def means(texts: list[str], index: Lookup) -> np.ndarray:
+    """The summed values of the words of each text over their number; 0 for a text without words."""
+    out = []
+    for block in blocks([len(t) for t in texts], BLOCK_BYTES):
+        keys, ends, words = grams(texts[block])
+        ratio = index.get(keys, np.nan)
+        new = np.flatnonzero(np.isnan(ratio))
+        ratio[new] = index.get(keys[new] | NEW, 0.0)
+        # A word's last key has byte 0; bincount adds in order, so a text's value does not hang on its neighbours.
+        last = (keys & 255) == 0
+        value = word_value(np.bincount(np.cumsum(last) - last, ratio, int(last.sum())))
+        out.append(np.bincount(np.repeat(np.arange(len(words)), words), value, len(words)) / (words + STEADY))
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all words in order (their last grams), and where each text's words end."""
+    keys, _, words = grams(texts)
+    return keys[(keys & 255) == 0], np.cumsum(words)
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``word, bytes, n``: every word of ``text`` with its occurrences."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[bytes, int] = {}
+        frame = lambda: pd.DataFrame({"bytes": list(held), "n": list(held.values())})
+        for batch in batches:
+            for text in batch["text"]:
+                for word in SPLIT.findall(text.lower().encode("utf-8", "surrogatepass")):
+                    held[word] = held.get(word, 0) + 1
+                if len(held) > GATHERED // 8:
+                    yield frame()
+                    held.clear()
+        if held:
+            yield frame()
+
+    return texts.mapInPandas(run, "bytes binary, n bigint").groupBy("bytes").agg(F.sum("n").alias("n"))
+
+
+def word_values(words: DataFrame, table: DataFrame) -> DataFrame:
+    """``word, value, n``: what each of ``words`` counts by the table, by joins."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys, _, _ = grams([w.decode("utf-8", "surrogatepass") for w in batch["bytes"]])
+            ends = np.flatnonzero((keys & 255) == 0)
+            size = np.diff(ends, prepend=-1)
+            yield pd.DataFrame({"word": np.repeat(keys[ends], size), "n": np.repeat(batch["n"].to_numpy(), size), "gram": keys})
+
+    ratios = table.select("gram", "ratio")
+    steps = words.mapInPandas(run, "word bigint, n bigint, gram bigint")
+    found = steps.join(ratios, "gram", "left").select("word", "n", "ratio", F.when(F.col("ratio").isNull(), F.col("gram").bitwiseOR(F.lit(NEW).cast("long"))).alias("gram"))
+    found = found.join(ratios.withColumnRenamed("ratio", "new"), "gram", "left")
+    w = F.col("w")
+    sums = found.groupBy("word").agg(F.first("n").alias("n"), F.sum(F.coalesce("ratio", "new", F.lit(0.0))).alias("w"))
+    return sums.select("word", (F.pow(w, 5) / (F.pow(w, 4) + MILD**4)).alias("value"), "n")
+
+
+def _joined_means(docs: DataFrame, table: DataFrame, text: str, into: str, frequent: int = FREQUENT) -> DataFrame:
+    """The same by joins: distinct words with the table, then the words of distinct texts with the words' values.
+
+    The most frequent words are broadcast and summed where the text is read; only the others travel.
+    """
+    digest, = fresh(docs, "digest")
+    name = lambda x: F.substring(F.unhex(F.sha2(x, 256)), 1, 16)
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    values = materialise(word_values(word_counts(texts), table), "toxicity-words")
+    top = values.orderBy(F.desc("n"), "word").limit(frequent).toPandas()
+    shared = docs.sparkSession.sparkContext.broadcast(Lookup(top["word"].to_numpy(np.int64), top["value"].to_numpy(np.float64)))
+    del top
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block in blocks([len(t) for t in batch["text"]], BLOCK_BYTES):
+                of = batch["digest"].iloc[block].to_numpy()
+                words, ends = _words(batch["text"].iloc[block].tolist())
+                size = np.diff(ends, prepend=0)
+                place = np.repeat(np.arange(len(of)), size)
+                value = shared.value.get(words, np.nan)
+                away = np.isnan(value)
+                yield pd.DataFrame({"digest": of, "word": pd.array([None] * len(of), "Int64"), "n": size, "value": np.bincount(place, np.where(away, 0.0, value), len(of))})
+                # Words that are not among the frequent ones, once per text with their number.
+                pairs, n = np.unique(np.stack([place[away], words[away]]), axis=1, return_counts=True)
+                yield pd.DataFrame({"digest": of[pairs[0]], "word": pd.array(pairs[1], "Int64"), "n": n, "value": 0.0})
+
+    parts = texts.select(name("text").alias("digest"), "text").mapInPandas(run, "digest binary, word bigint, n bigint, value double")
+    here = parts.where("word IS NULL").groupBy("digest").agg(F.first("n").alias("words"), F.first("value").alias("value"))
+    away = parts.where("word IS NOT NULL").dropDuplicates(["digest", "word"]).select("digest", "word", F.col("n").alias("times"))
+    away = away.join(values.select("word", F.col("value").alias("each")), "word").groupBy("digest").agg(F.sum(F.col("times") * F.col("each")).alias("more"))
+    sums = here.join(away, "digest", "left").select(F.col("digest").alias("of"), ((F.col("value") + F.coalesce("more", F.lit(0.0))) / (F.col("words") + STEADY)).alias("mean"))
+    keyed = docs.withColumn(digest, name(F.coalesce(F.col(text), F.lit(""))))
+    return keyed.join(sums, F.col(digest) == F.col("of"), "left").select(*docs.columns, F.coalesce("mean", F.lit(0.0)).alias(into))
 
 
 @dataclass
@@ -147,7 +311,12 @@ class Model:
     def score(self, texts: list[str]) -> np.ndarray:
         if self.ratios is None:
             return np.zeros(len(texts))
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.ratios.means(texts) + self.level, -40, 40)))
+        index = self.ratios.index
+        if index is None:
+            keys = np.unique(grams(texts)[0])
+            asked = self.ratios.table.sparkSession.createDataFrame(pd.DataFrame({"gram": np.union1d(keys, keys | NEW)}))
+            index = indexed(self.ratios.table.join(F.broadcast(asked), "gram", "left_semi"))
+        return 1 / (1 + np.exp(-np.clip(self.slope * means(texts, index) + self.level, -40, 40)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
@@ -164,66 +333,45 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return float(w[0] / spread), float(w[1] - w[0] * middle / spread)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, max_grams: int = 1 << 18, curve_rows: int = 4000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, broadcast_grams: int = 1 << 20, curve_rows: int = 4000) -> Model:
     """Learn from the rows of ``docs`` with a label whose CRC-32 of the id is not divisible by ``folds``.
 
-    Counts cover all of them. The model keeps the n-grams that occur at least 2^j times, with the least j that leaves at most
-    ``max_grams`` (a bound on what is broadcast); the rest counts as unseen and backs off. The curve takes ``curve_rows`` rows
-    of each class, those with the least hash. A document with several labels is toxic if one says so.
+    Counts cover all of them and stay in Spark. A table of at most ``broadcast_grams`` ratios is broadcast; a larger one is
+    joined by key. The curve takes ``curve_rows`` rows of each class, those with the least hash. A document with several
+    labels is toxic if one says so.
     """
     marks = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.max("toxic").alias("toxic"))
     crc = crc_of_id(F.col(key))
     plain = docs.where(crc % folds != 0).select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.floor(crc / folds) % 2).cast("int").alias("half"))
     rows = with_small(plain, marks, F.col("id") == F.col("k")).select("id", "text", "half", F.col("toxic").cast("int").alias("toxic"))
     counts = materialise(gram_counts(rows.select("text", (F.col("half") * 2 + F.col("toxic")).alias("part"))), "toxicity-counts")
-    total = F.col("c0") + F.col("c1") + F.col("c2") + F.col("c3")
-    sizes = sorted(counts.groupBy(F.floor(F.log2(total)).cast("int").alias("j")).count().collect(), reverse=True)
-    least, kept = 63, 0
-    for j, n in sizes:
-        if kept + n > max_grams:
-            break
-        least, kept = j, kept + n
-    table = counts.where(total >= F.lit(2).cast("double") ** least).toPandas() if kept else None
-    if table is None or not (table["c0"] + table["c2"]).any() or not (table["c1"] + table["c3"]).any():
+    seen = counts.agg(F.max(F.col("c0") + F.col("c2")).alias("o"), F.max(F.col("c1") + F.col("c3")).alias("t")).first()
+    if not seen.o or not seen.t:
         return Model(None, 0.0, 0.0)
-    keys, c = table["gram"].to_numpy(np.int64), [table[f"c{i}"].to_numpy(np.int64) for i in range(4)]
-    del table
-    sample = _sampled(rows, [Ratios.of(keys, c[1], c[0]), Ratios.of(keys, c[3], c[2])], curve_rows)
+    table = materialise(ratio_table(counts), "toxicity-ratios")
+    ratios = [Ratios.of(table.where(F.col("model") == m).drop("model"), broadcast_grams) for m in range(3)]
+    sample = _sampled(rows, ratios[:2], curve_rows)
     slope, level = logistic(sample["x"].to_numpy(float), sample["toxic"].to_numpy(float))
     # The sample has the classes in other shares than the labelled rows; the level takes their odds back.
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     drawn = sample["toxic"].value_counts()
     level += float(np.log(n.get(1, 1) / n.get(0, 1)) - np.log(drawn.get(1, 1) / drawn.get(0, 1)))
-    return Model(Ratios.of(keys, c[1] + c[3], c[0] + c[2]), slope, level)
+    return Model(ratios[2], slope, level)
 
 
 def _sampled(rows: DataFrame, halves: list[Ratios], most: int) -> pd.DataFrame:
-    """``x, toxic`` of the ``most`` rows of either class with the least hash; ``x`` is the ratio by the other half's counts."""
+    """``x, toxic`` of the ``most`` rows of either class with the least hash; ``x`` is the value by the other half's counts."""
     order = F.xxhash64("id")
     upto = [rows.where(F.col("toxic") == k).select(order.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0] for k in (0, 1)]
     chosen = rows.where(order <= F.when(F.col("toxic") == 1, F.lit(upto[1])).otherwise(F.lit(upto[0])))
-    shared = rows.sparkSession.sparkContext.broadcast(halves)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = np.zeros(len(batch))
-            for half in (0, 1):
-                at = np.flatnonzero(batch["half"] == half)
-                out[at] = shared.value[1 - half].means(batch["text"].iloc[at].tolist())
-            yield pd.DataFrame({"x": out, "toxic": batch["toxic"]})
-
-    return chosen.select("half", "text", "toxic").mapInPandas(run, "x double, toxic int").toPandas()
+    parts = [halves[1 - half].add_means(chosen.where(F.col("half") == half).select("text", "toxic"), "text", "x") for half in (0, 1)]
+    return parts[0].unionByName(parts[1]).select("x", "toxic").toPandas()
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with the probability of being toxic as ``into``. A null text is empty; every row is scored on its own."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     name, = fresh(docs, into)
-    at = docs.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(texts), pa.float64())], [*batch.schema.names, name])
-
-    return docs.mapInArrow(run, docs.withColumn(name, F.lit(0.0)).schema)
+    if model.ratios is None:
+        return docs.withColumn(name, F.lit(0.0))
+    line = F.greatest(F.lit(-40.0), F.least(F.lit(40.0), model.slope * F.col(name) + model.level))
+    return model.ratios.add_means(docs, text, name).withColumn(name, 1 / (1 + F.exp(-line)))
