@@ -114,3 +114,26 @@ def test_few_occurrences_and_unseen_continuations_move_the_ratio(spark):
     assert any(k & 255 == tx.NEW for k in got)
     fresh_stem = int(tx.grams(["grzzz"])[0][2])
     assert fresh_stem not in got and got[fresh_stem | tx.NEW] > 0
+
+
+def test_joined_and_broadcast_tables_score_alike(spark):
+    """A table beyond the broadcast bound loses no count: joins give the scores of the index, repeated and empty texts included."""
+    docs, labels = corpus(400)
+    docs += [(9000, docs[1][1], None), (9001, "", None), (9002, None, None), (9003, "grumfnever zzz grumfnever", None)]
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    small, large = tx.fit(df, lab), tx.fit(df, lab, broadcast_grams=10)
+    assert small.ratios.index is not None and large.ratios.index is None
+    want, got = ({r.doc_id: r.score_ for r in tx.score(df, m).collect()} for m in (small, large))
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    assert large.score(["grumfly"]) == pytest.approx(small.score(["grumfly"]), abs=1e-6)
+
+
+def test_once_seen_grams_stay_in_the_table(spark):
+    """However many grams there are, those seen once keep their part in type counts and in the table."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    texts = [" ".join([word() for _ in range(3000)]) for _ in range(12)]
+    counts = tx.gram_counts(spark.createDataFrame([(t, i % 4) for i, t in enumerate(texts)], "text string, part int"))
+    once = {r.gram for r in counts.where("c0 + c1 + c2 + c3 = 1").collect()}
+    kept = {r.gram for r in tx.ratio_table(counts).where("model = 2").collect()}
+    assert len(once & kept) > 1000
