@@ -1,6 +1,7 @@
 """Base rules against the patterns as written, the field against enumeration, tables against plain calls."""
 
 import itertools
+import random
 import re
 
 import numpy as np
@@ -98,3 +99,25 @@ def test_tables(spark):
     assert clean == {1: "x [EMAIL] y [IP]", None: None, 3: "", 4: "word " * 30000 + "mail [EMAIL]", 5: "[PHONE] é \U0001f600 [CARD]"}
     assert pii.annotate(df.limit(0), pii.fit(df.limit(0))).count() == 0
     assert pii.fit(df).kinds.shape == FIELD.kinds.shape
+
+
+def test_every_variant_is_a_candidate_of_a_window():
+    rng = random.Random(3)
+    for kind in pii.KINDS:
+        for n in range(300):
+            written = pii._variant(rng, kind, pii._made(rng, kind))
+            for left, right in (("", ""), ("the ", " of it"), ("call ", ","), ("(", ")")):
+                for cased in (written, written.upper()):
+                    text, s, e = left + cased + right, len(left), len(left) + len(cased)
+                    around = [(a, b) for a, b in pii.windows(text) if a <= s and e <= b]
+                    assert around, text
+                    lat = pii.lattice(text, *around[0])
+                    assert (kind, s, e) in {(pii.KINDS[k], lat.tokens[i][0], lat.tokens[j - 1][1]) for k, i, j in lat.spans}, text
+
+
+@pytest.mark.parametrize("text, want", [
+    ("the host 192[dot]168[dot]10[dot]20 is down", ("ip", "192[dot]168[dot]10[dot]20")), ("ip 10(DOT)20(DOT)30(DOT)41 is", ("ip", "10(DOT)20(DOT)30(DOT)41")),
+    ("write to ANNA.B AT HOST DOT COM now", ("email", "ANNA.B AT HOST DOT COM")),
+])
+def test_written_out_signs_are_found(text, want):
+    assert want in [(k, text[s:e]) for k, s, e, _ in FIELD.spans(text)]

@@ -75,8 +75,8 @@ def _order(span: Span) -> tuple[int, int]:
 
 # ---- windows, tokens, candidates
 
-#: Digits with up to three signs between them, or an at sign (also written out) between words.
-NUMBERS = re.compile(r"[+(]{0,2}[0-9](?:[\x20().\[\]/-]{0,3}[0-9])+")
+#: Digits with up to three signs or a dot in brackets (also written out) between them, or an at sign (likewise) between words.
+NUMBERS = re.compile(r"[+(]{0,2}[0-9](?:(?:[\x20().\[\]/-]{0,3}|\s{0,3}[(\[]\s{0,3}(?:dot|\.)\s{0,3}[)\]]\s{0,3})[0-9])+", re.I)
 AT = re.compile(r"@|[(\[]at[)\]]", re.I)
 SPELLED = re.compile(r"[A-Za-z0-9._%+-]+ at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+", re.I)
 AROUND = re.compile(r"[A-Za-z0-9._%+-]{1,64}[\x20(\[]{0,2}$"), re.compile(r"[\x20)\]]{0,2}[A-Za-z0-9-]{1,64}(?:[\x20(\[]{0,2}(?:\.|dot)[\x20)\]]{0,2}[A-Za-z0-9-]{1,64}){0,6}", re.I)
@@ -93,7 +93,7 @@ def windows(text: str) -> list[tuple[int, int]]:
         left, right = AROUND[0].search(text[max(0, m.start() - 66) : m.start()]), AROUND[1].match(text, m.end())
         if left and right:
             found.append((m.start() - len(left[0]), right.end()))
-    if " dot " in text:
+    if " dot " in text.lower():
         found += [m.span() for m in SPELLED.finditer(text)]
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):
@@ -181,7 +181,7 @@ def lattice(text: str, a: int, b: int) -> Lattice:
             elif re.search(r"[A-Za-z]", re.sub(r"[(\[]\s*dot\s*[)\]]", "", span, flags=re.I)):
                 kinds = ()
             else:
-                kinds = tuple(k for k, fits in (("ip", span.count(".") >= 3 and digits <= 12 and head.isdigit()), ("card", 12 <= digits <= 19 and head.isdigit()), ("phone", 9 <= digits <= 15)) if fits)
+                kinds = tuple(k for k, fits in (("ip", plain("ip", span).count(".") >= 3 and digits <= 12 and head.isdigit()), ("card", 12 <= digits <= 19 and head.isdigit()), ("phone", 9 <= digits <= 15)) if fits)
             for kind in kinds:
                 spans.append((KINDS.index(kind), i, j))
                 rows.append(features(kind, text, s, e))
