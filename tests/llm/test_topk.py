@@ -56,3 +56,24 @@ def test_tree_prunes_and_loses_nothing(copies):
         for a in range(5):
             order = np.lexsort((tree.ids, -scores[a]))[:10]
             assert sorted(zip(-s[q == a], i[q == a])) == sorted(zip(-scores[a][order], tree.ids[order]))
+
+
+def test_an_id_with_many_vectors_takes_one_place(spark):
+    """Ids 1 and 10 have 20 different vectors each, all better than those of other ids; 10 is a query as well."""
+    rng = np.random.default_rng(8)
+    vec = lambda far: [float(x) for x in (far + rng.normal(size=4)).astype(np.float32)]
+    rows = [(i, vec(1)) for i in range(200)] + [(1, vec(9)) for _ in range(20)] + [(10, vec(7)) for _ in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, topk.topk(df, lambda i: i % 5 == 0, k=6, shard_rows=64, block_rows=16).collect()))
+    assert got == brute(rows, lambda i: i % 5 == 0, 6)
+
+
+def test_best_of_counts_ids():
+    query, ids, score = np.zeros(6, np.int64), np.array([1, 1, 1, 2, 3, 4]), np.array([9, 8, 7, 5, 6, 1])
+    (_, kept, best), (_, kth) = topk.best_of(query, ids, score, 3)
+    assert kept.tolist() == [1, 3, 2] and best.tolist() == [9, 6, 5] and kth.tolist() == [5]
+
+
+def test_a_hot_id_is_dealt_over_shards(spark):
+    rows = spark.createDataFrame([(1, [i, -i], 2) for i in range(512)], "id long, v array<bigint>, dim int")
+    assert topk._packed(rows, "shard", 64, True).count() > 4

@@ -109,7 +109,13 @@ class BallTree:
 
 
 def best_of(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """The ``k`` best rows of each query, ties to smaller ids, and the k-th score of the queries that have ``k``."""
+    """The ``k`` best ids of each query with their best scores, ties to smaller ids, and the k-th score of the queries that have ``k``."""
+    order = np.lexsort((-score, ids, query))
+    query, ids, score = query[order], ids[order], score[order]
+    # An id with several vectors takes one place, with the best of them.
+    once = np.ones(len(query), bool)
+    once[1:] = (np.diff(query) != 0) | (np.diff(ids) != 0)
+    query, ids, score = query[once], ids[once], score[once]
     order = np.lexsort((ids, -score, query))
     query, ids, score = query[order], ids[order], score[order]
     head = np.flatnonzero(np.diff(query, prepend=-1))
@@ -124,8 +130,8 @@ def _packed(rows: DataFrame, name: str, size: int, tree: bool) -> DataFrame:
     parts = F.lit(1)
     for r in counts:
         parts = F.when(F.col("dim") == r["dim"], F.lit(max(1, -(-r["count"] // size)))).otherwise(parts)
-    # Equal rows are gone by now, so a group stays near its size whatever the data.
-    keyed = rows.withColumn(name, F.pmod(F.xxhash64("id", F.lit(name)), parts).cast("int"))
+    # Equal rows are gone by now and the vector is dealt by too, so a group stays near its size even if one id has most rows.
+    keyed = rows.withColumn(name, F.pmod(F.xxhash64("id", "v", F.lit(name)), parts).cast("int"))
 
     def gather(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id", kind="stable")
@@ -177,8 +183,10 @@ def topk(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", vector:
     with_least = "dim int, block int, q_ids binary, q_data binary, least binary"
     pilots = blocks.mapInPandas(unknown, with_least).join(shards, "dim").withColumn("shard", F.pmod(F.col("block"), F.col("shards"))).drop("shards")
     first = materialise(trees.join(pilots, ["dim", "shard"]).repartition("dim", "block").mapInPandas(_visit(k), found_schema), "topk-first")
-    # The k-th score of the pilot shard, per query row of its block.
-    kth = first.groupBy("dim", "block", "query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k)
+    # The k-th score of the pilot shard over distinct ids, per query id of its block.
+    met = first.groupBy("dim", "block", "query_id", "vec_id").agg(F.max("score").alias("score"))
+    places = Window.partitionBy("dim", "block", "query_id").orderBy(F.desc("score"), "vec_id")
+    kth = met.withColumn("place", F.row_number().over(places)).where(F.col("place") == k).withColumnRenamed("score", "kth")
     known = kth.groupBy("dim", "block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "kth"))).alias("known"))
 
     def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
