@@ -66,3 +66,11 @@ def test_nulls_ties_empty_and_extra_columns(spark):
     rows = sorted((r.doc_id or 0, r.n_words, r.kept) for r in quality.judge(df, labels).collect())
     assert rows == [(0, 60, True), (1, 60, True), (1, 60, True), (2, 0, False)]
     assert quality.judge(df.limit(0), labels).count() == 0
+
+
+@pytest.mark.parametrize(("k", "n", "p"), [(1900, 200_000, 0.01), (1900, 200_001, 0.01), (9540, 1_000_000, 0.01), (9600, 1_000_000, 0.01), (9999, 1_000_000, 0.01), (0, 1_000_000, 1e-5), (3, 1_000_000, 1e-5), (499_500, 50_000_000, 0.01)])
+def test_binomial_tail_is_exact_for_large_strata(spark, k, n, p):
+    log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
+    want = math.fsum(math.exp(log(i)) for i in range(max(0, k - 20_000), k + 1))
+    row = spark.createDataFrame([(k, n)], "k long, n long").select(quality.tail(F.col("k"), F.col("n"), p).alias("t")).first()
+    assert row.t == pytest.approx(want, rel=1e-5)

@@ -8,6 +8,8 @@ the good documents of the stratum; the strictest usable one is taken. All (strat
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.columns import SPACE, WORD
@@ -17,8 +19,6 @@ from tidemark.session import materialise
 RULES = {"symbol_share": 1, "dup_line_share": 1, "repeat_share": 1, "mean_word": 1, "short_words": -1}
 #: Cutoffs are whole multiples of 1 / STEPS of a statistic's range.
 STEPS = 100
-#: Up to this many good documents of a stratum the binomial sum is exact; beyond, Chernoff's bound, which is never smaller.
-EXACT = 200_000
 
 
 def once(value: Column, use) -> Column:
@@ -86,23 +86,34 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum:
     return counted.withColumn("base_failed", failed).withColumns({k: F.coalesce(v, F.lit(0)).cast("int") for k, v in steps.items()})
 
 
+def stirling_rest(x: Column) -> Column:
+    """What ``log(x!)`` has beyond ``(x + 1/2) log(x) - x + log(2 pi) / 2``, for x from 1 on: a table up to 15, the series beyond."""
+    table = F.array(*[F.lit(math.lgamma(i + 1) - (i + 0.5) * math.log(i) + i - 0.5 * math.log(2 * math.pi)) for i in range(1, 16)])
+    v = x.cast("double")
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * v * v)) / (v * v)) / (v * v)) / v
+    return F.when(x <= 15, F.element_at(table, F.greatest(F.least(x, F.lit(15)), F.lit(1)).cast("int"))).otherwise(series)
+
+
 def tail(k: Column, n: Column, p: float) -> Column:
-    """P(at most ``k`` of ``n``) under rate ``p``: the exact sum up to ``EXACT``, Chernoff's bound beyond.
+    """P(at most ``k`` of ``n``) under rate ``p``, exact at every size; 1 from the mean on.
 
-    The sum runs over logarithms, relative to its largest term so far, so that neither end underflows.
+    The logarithm of the term for ``k`` comes from Stirling's series. Below the mean the term ``m`` steps down is at most
+    ``exp(-m (m - 1) / (2 n p))`` of it, so after ``10 sqrt(n p)`` steps nothing is left that a double could hold.
     """
-    odds = F.lit(p / (1 - p))
-    start = F.struct((n * F.log(F.lit(1 - p))).alias("term"), (n * F.log(F.lit(1 - p))).alias("sum"))
-
-    def step(acc: Column, i: Column) -> Column:
-        term = acc["term"] + F.log((n - i + 1).cast("double") / i * odds)
-        top = F.greatest(term, acc["sum"])
-        return F.struct(term.alias("term"), (top + F.log(F.exp(term - top) + F.exp(acc["sum"] - top))).alias("sum"))
-
-    exact = F.when(k <= 0, n * F.log(F.lit(1 - p))).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1)).cast("long")), start, step, lambda acc: acc["sum"]))
-    q = F.greatest(k.cast("double") / n, F.lit(1e-12))
-    chernoff = -n * (q * F.log(q / p) + (1 - q) * F.log((1 - q) / (1 - p)))
-    return F.exp(F.when(k >= n * p, F.lit(0.0)).when(n <= EXACT, exact).otherwise(chernoff))
+    i = F.greatest(k, F.lit(1)).cast("long")
+    whole, part, rest = n.cast("double"), i.cast("double"), F.greatest(n - i, F.lit(1)).cast("double")
+    q = part / whole
+    far = whole * (q * F.log(q / p) + (1 - q) * F.log((1 - q) / (1 - p)))
+    top = stirling_rest(n) - stirling_rest(i) - stirling_rest(n - i) - far - 0.5 * F.log(2 * math.pi * part * rest / whole)
+    least = F.greatest(i - F.ceil(10 * F.sqrt(whole * p)) - 10, F.lit(1)).cast("long")
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def step(acc: Column, at: Column) -> Column:
+        term = acc["term"] * at.cast("double") / (n - at + 1) * ((1 - p) / p)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    terms = F.aggregate(F.sequence(i, least, F.lit(-1).cast("long")), start, step, lambda acc: acc["sum"])
+    return F.when(k >= n * p, F.lit(1.0)).when(k <= 0, F.exp(n * F.log(F.lit(1 - p)))).otherwise(F.exp(top + F.log(terms)))
 
 
 def cutoffs(sample: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
