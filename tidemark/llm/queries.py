@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, jaccard, langid, lexical, mixing, pii, quality, quotes, tokenfiles, topk, toxicity
+from tidemark.llm import bpe, collocations, jaccard, langid, lexical, mixing, pii, quality, quotes, tokenfiles, topk, toxicity
 from tidemark.llm.columns import crc_of_id
 from tidemark.session import scratch_path
 
@@ -108,3 +108,8 @@ def op2_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
 @register("op11_search", lexical.ORACLE)
 def op11_search(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.rank(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@register("op13_collocations", collocations.ORACLE)
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"))
