@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, collocations, jaccard, langid, lexical, mixing, pii, quality, quotes, tokenfiles, topk, toxicity
+from tidemark.llm import bpe, collocations, jaccard, langid, lexical, mixing, pii, posunlabelled, quality, quotes, tokenfiles, topk, toxicity
 from tidemark.llm.columns import crc_of_id
 from tidemark.session import scratch_path
 
@@ -113,3 +113,10 @@ def op11_search(spark: SparkSession, sf: str) -> DataFrame:
 @register("op13_collocations", collocations.ORACLE)
 def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
     return collocations.collocations(table(spark, sf, "documents"))
+
+
+@register("op12_quality")
+def op12_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = posunlabelled.score(docs, posunlabelled.fit(docs, table(spark, sf, "labels")))
+    return scored.select("doc_id", (crc_of_id(F.col("doc_id")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
