@@ -14,7 +14,7 @@ from tools.check import cells
 QUICK = (
     "aligned_indicators", "regimes", "expanding_rank", "transition_counts", "asof_nearest_prices", "series_cards", "z_scores", "range_anomalies",
     "snapshot_returns", "rolling_win_rate", "exposure", "fx_rates", "reconciliation", "risk_limits", "fifo_matches", "theme_persistence", "similar_vectors",
-    "document_sections", "canonical_rows", "numbered_items", "code_mentions", "run_log_summary", "bulk_series", "stream_drawdown", "stream_confirmation",
+    "document_sections", "canonical_rows", "numbered_items", "code_mentions", "run_log_summary", "bulk_series", "stream_drawdown", "stream_confirmation", "stream_baseline", "stream_log_sessions", "stream_weekly_dedup",
 )
 NAMES = sorted(load()) if os.environ.get("TIDEMARK_ALL") else QUICK
 

@@ -1,5 +1,5 @@
-"""Registered queries: streams. The events table arrives in two parts; each job runs on what has arrived and resumes from
-its checkpoint, and must end with the rows of its batch twin."""
+"""Registered queries: streams. The events table arrives in parts; each job runs on what has arrived and resumes from its
+checkpoint, and must end with the rows of its batch twin. For jobs that correct earlier rows every tenth event comes late."""
 
 from __future__ import annotations
 
@@ -10,9 +10,10 @@ from tidemark.plans import bindings as b
 from tidemark.plans.cte import compose, cte
 from tidemark.plans.registry import query
 from tidemark.session import scratch_path
-from tidemark.streaming import jobs
+from tidemark.streaming import jobs, state
 
 CUT = "2024-01-16"
+CUTS = ("2024-01-11", "2024-01-21")
 
 
 def _arrivals(spark, table, label, start):
@@ -26,6 +27,19 @@ def _arrivals(spark, table, label, start):
     return root
 
 
+def _late_arrivals(spark, table, label, late, start):
+    """Land ``table`` in three parts cut at ``CUTS``, where rows for which ``late`` holds come a day after their event, and
+    call ``start(stream, checkpoint)`` after each. The log of updates in ``out`` is returned."""
+    root = scratch_path(spark, label)
+    comes = F.date_add("day", late.cast("int"))
+    part = sum((comes >= F.lit(cut).cast("date")).cast("int") for cut in CUTS)
+    for i in range(len(CUTS) + 1):
+        table.where(part == i).write.mode("append").parquet(f"{root}/landing")
+        stream = spark.readStream.schema(table.schema).option("maxBytesPerTrigger", 1 << 29).parquet(f"{root}/landing")
+        jobs.run_available(start(stream), jobs.updates_job(f"{root}/updates"), f"{root}/checkpoint", "append")
+    return f"{root}/updates"
+
+
 def _events(spark, sf):
     return b.events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -40,17 +54,12 @@ def _events(spark, sf):
     "value z",
 )
 def stream_baseline(spark, sf):
-    daily = b.events(spark, sf).groupBy("account_id", "event_type", "day").agg(F.round(F.sum("value"), 2).alias("value"))
-    paths = {}
-
-    def start(stream, checkpoint):
-        root = checkpoint.rsplit("/", 1)[0]
-        paths["out"] = f"{root}/scored"
-        job = jobs.baseline_job(f"{root}/state", paths["out"], ["account_id", "event_type"], "day", "value", min_n=5)
-        jobs.run_available(stream, job, checkpoint)
-
-    _arrivals(spark, daily, "baseline", start)
-    return spark.read.parquet(paths["out"]).drop("v")
+    keys = ["account_id", "event_type"]
+    daily = b.events(spark, sf).groupBy(*keys, "day").agg(F.round(F.sum("value"), 2).alias("value"))
+    late = F.pmod(F.xxhash64(*keys, "day"), F.lit(10)) == 0
+    out = _late_arrivals(spark, daily, "baseline", late, lambda stream: state.baseline(stream, keys, "day", "value", min_n=5))
+    rows = jobs.current_rows(spark, out, [*keys, state.MS])
+    return rows.select(*keys, F.timestamp_millis(state.MS).cast("date").alias("day"), "value", "baseline_n", "z")
 
 
 cte(
@@ -91,14 +100,14 @@ def stream_confirmation(spark, sf):
 )
 def stream_weekly_dedup(spark, sf):
     ev = _events(spark, sf).select("account_id", dates.iso_week(F.col("day")).alias("week"), "event_id", "event_type", "ts", "day")
-    state = {}
+    table = {}
 
     def start(stream, checkpoint):
-        state["root"] = checkpoint.rsplit("/", 1)[0] + "/table"
-        jobs.run_available(stream.drop("day"), jobs.dedupe_job(state["root"], ["account_id", "week"], ["ts", "event_id"]), checkpoint)
+        table["root"] = checkpoint.rsplit("/", 1)[0] + "/table"
+        jobs.run_available(stream.drop("day"), jobs.upsert_job(table["root"], ["account_id", "week"], ["ts", "event_id"], buckets=8), checkpoint)
 
     _arrivals(spark, ev, "dedup", start)
-    return jobs.latest_version(spark, state["root"]).drop("ts")
+    return jobs.keyed_table(spark, table["root"]).drop("ts")
 
 
 @query(
@@ -118,7 +127,7 @@ def stream_bucket_last(spark, sf):
         jobs.run_available(buckets, jobs.updates_job(out["path"]), checkpoint, "update")
 
     _arrivals(spark, _events(spark, sf), "buckets", start)
-    rows = jobs.current_windows(spark, out["path"], ["account_id", "start"])
+    rows = jobs.current_rows(spark, out["path"], ["account_id", "start"])
     return rows.select("account_id", F.date_format("start", "yyyy-MM-dd").alias("start"), "value", "n")
 
 
@@ -161,39 +170,28 @@ def stream_drawdown(spark, sf):
     kind, value = F.col("event_type"), F.col("value")
     signed = F.when(kind.isin("purchase", "signup"), value).when(kind == "error", -value).otherwise(0.0)
     ev = _events(spark, sf).select("account_id", "event_id", "ts", "day", signed.alias("signed"))
-    out = {}
-
-    def start(stream, checkpoint):
-        root = checkpoint.rsplit("/", 1)[0]
-        out["path"] = f"{root}/rows"
-        jobs.run_available(stream, jobs.drawdown_job(f"{root}/state", out["path"]), checkpoint)
-
-    _arrivals(spark, ev, "drawdown", start)
-    return spark.read.parquet(out["path"]).drop("v")
+    late = F.pmod("event_id", F.lit(10)) == 0
+    out = _late_arrivals(spark, ev, "drawdown", late, lambda stream: state.drawdown(stream, "account_id", "ts", "event_id", "signed"))
+    return jobs.current_rows(spark, out, ["account_id", "event_id"]).select("account_id", "event_id", "portfolio_value", "high", "drawdown_pct", "level")
 
 
 @query(
     "stream_log_sessions",
     "STR-7",
     compose(
-        """SELECT run, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, events, info, warn, error, incomplete FROM (SELECT run, min(t) AS start, max(t) AS last, count(*) AS
+        """SELECT run, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, events, info, warn, error, incomplete, CASE WHEN last + INTERVAL 6 HOUR <= (SELECT max(ts) FROM
+        events) - INTERVAL 2 DAY THEN 'closed' ELSE 'open' END AS status FROM (SELECT run, min(t) AS start, max(t) AS last, count(*) AS
         events, count(*) FILTER (severity = 'INFO') AS info, count(*) FILTER (severity = 'WARN') AS warn, count(*) FILTER (severity = 'ERROR') AS error, NOT bool_or(phase =
         'run-end') AS incomplete FROM (SELECT *, sum(g) OVER (PARTITION BY run ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN t - lag(t) OVER
-        (PARTITION BY run ORDER BY t, seq) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS g FROM (SELECT *, CAST(ts AS TIMESTAMP) AS t FROM runlog))) GROUP BY run, s) WHERE last +
-        INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+        (PARTITION BY run ORDER BY t, seq) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS g FROM (SELECT *, CAST(ts AS TIMESTAMP) AS t FROM runlog))) GROUP BY run, s)""",
         "runlog",
     ),
 )
 def stream_log_sessions(spark, sf):
     log = b.run_log(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("day", F.col("ts").cast("date"))
-    out = {}
-
-    def start(stream, checkpoint):
-        out["path"] = checkpoint.rsplit("/", 1)[0] + "/sessions"
-        jobs.run_to_files(jobs.log_sessions(stream, "run", "ts", "6 hours", "1 hour"), out["path"], checkpoint)
-
-    _arrivals(spark, log, "sessions", start)
-    rows = spark.read.parquet(out["path"])
+    late = F.pmod("seq", F.lit(10)) == 0
+    out = _late_arrivals(spark, log, "sessions", late, lambda stream: state.log_sessions(stream, "run", "ts", 6, "2 days"))
+    rows = jobs.current_rows(spark, out, ["run", "start"]).where(F.col("status") != "joined")
     return rows.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -213,5 +211,5 @@ def stream_win_rate(spark, sf):
         jobs.run_available(rates, jobs.updates_job(out["path"]), checkpoint, "update")
 
     _arrivals(spark, _events(spark, sf), "win-rate", start)
-    rows = jobs.current_windows(spark, out["path"], ["event_type", "start"])
+    rows = jobs.current_rows(spark, out["path"], ["event_type", "start"])
     return rows.select("event_type", F.date_format("start", "yyyy-MM-dd").alias("start"), "win_rate", "n")

@@ -1,8 +1,8 @@
 """Structured Streaming twins of the stateful operators.
 
-Scans that must follow event order (drawdown, running baseline) keep their state in versioned tables written by
-``foreachBatch``: version ``n`` is derived from version ``n - 1`` and the batch, so a replayed batch rewrites the same
-version, and the batch itself is processed by the skew-safe batch operators. Windowed aggregates use watermarks.
+Scans that must follow event order and sessions keep their state in Spark's state store, see
+:mod:`tidemark.streaming.state`; windowed aggregates use watermarks. What corrects earlier rows is a log of updates, one folder
+per micro-batch, which a replayed batch writes again.
 """
 
 from __future__ import annotations
@@ -10,13 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.config import LIMITS
-from tidemark.operators import signals as sg
-from tidemark.operators.scans import running
-
 Batch = Callable[[DataFrame, int], None]
 
 
@@ -38,94 +34,49 @@ def version(root: str, batch_id: int) -> str:
     return f"{root}/v={batch_id}"
 
 
-def previous(spark: SparkSession, root: str, batch_id: int) -> DataFrame | None:
-    """State written by the batch before this one."""
-    return spark.read.parquet(version(root, batch_id - 1)) if batch_id > 0 else None
+def newest(log: DataFrame, before: float = float("inf")) -> dict[int, int]:
+    """The newest version below ``before`` of every bucket of a keyed table, from the listing of its files."""
+    found: dict[int, int] = {}
+    for path in log.inputFiles():
+        parts = dict(p.split("=", 1) for p in path.split("/") if "=" in p)
+        bucket, v = int(parts["_bucket"]), int(parts["v"])
+        if v < before:
+            found[bucket] = max(found.get(bucket, -1), v)
+    return found
 
 
-def baseline_job(root: str, out: str, keys: list[str], time: str, value: str, min_n: int = 20) -> Batch:
-    """Running moments per series, each value scored against the moments before it."""
+def keyed_table(spark: SparkSession, root: str) -> DataFrame:
+    """Current rows of a keyed table written by :func:`upsert_job`."""
+    log = spark.read.parquet(root)
+    folders = [f"{version(root, v)}/_bucket={b}" for b, v in newest(log).items()]
+    return spark.read.schema(log.drop("_bucket", "v").schema).parquet(*folders)
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        w = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
-        here = batch.select(
-            *keys, time, value, F.count(value).over(w).alias("_n"), F.avg(value).over(w).alias("_mean"), F.var_pop(value).over(w).alias("_var")
-        )
-        state = previous(spark, root, batch_id)
-        if state is None:
-            state = sg.moments(batch.limit(0), keys, value)
-        known = state.select(*keys, F.col("n").alias("_sn"), F.col("mean").alias("_smean"), F.col("m2").alias("_sm2"))
-        joined = here.join(known, keys, "left").na.fill(0, ["_sn"]).na.fill(0.0, ["_smean", "_sm2", "_mean", "_var"])
-        n = F.col("_n") + F.col("_sn")
-        delta = F.col("_mean") - F.col("_smean")
-        mean = F.try_divide(F.col("_mean") * F.col("_n") + F.col("_smean") * F.col("_sn"), n)
-        m2 = F.col("_var") * F.col("_n") + F.col("_sm2") + F.coalesce(F.try_divide(delta * delta * F.col("_n") * F.col("_sn"), n), F.lit(0.0))
-        std = F.sqrt(F.try_divide(m2, n))
-        score = F.when((n >= min_n) & (std > 1e-6), (F.col(value) - mean) / std)
-        scored = joined.select(*keys, time, value, n.alias("baseline_n"), score.alias("z"))
-        scored.write.mode("overwrite").parquet(version(out, batch_id))
-        sg.merge_moments(state, sg.moments(batch, keys, value), keys).write.mode("overwrite").parquet(version(root, batch_id))
-
-    return handle
 
+def upsert_job(root: str, keys: list[str], at: list[str], buckets: int = 64) -> Batch:
+    """Keyed table where the last write of a key wins.
 
-def drawdown_job(root: str, out: str, start_value: float = 100000.0) -> Batch:
-    """Value, high-water mark and drawdown of every account after each event, with alerts at the limits."""
+    Keys are dealt into buckets. A batch writes a new version of the buckets that it touches and reads only their versions
+    before it, so what is written follows the batch; a replayed batch writes the same version again.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        state = previous(spark, root, batch_id)
-        if state is None:
-            state = spark.createDataFrame([], "account_id STRING, total DOUBLE, high DOUBLE")
-        order = [F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id")]
-        joined = batch.join(state.withColumnRenamed("high", "_high"), "account_id", "left").na.fill(0.0, ["total"])
-        summed = running(joined, ["account_id"], order, F.col("day"), {"_s": ("sum", F.col("signed"))})
-        valued = summed.select("*", F.round(F.col("_s") + F.col("total") + start_value, 2).alias("portfolio_value"))
-        peaked = running(valued, ["account_id"], order, F.col("day"), {"_m": ("max", F.col("portfolio_value"))}, cut=True)
-        high = F.greatest("_m", "_high")
-        drop = (high - F.col("portfolio_value")) / high * 100
-        rows = peaked.select(
-            "account_id",
-            "event_id",
-            "portfolio_value",
-            high.alias("high"),
-            drop.alias("drawdown_pct"),
-            F.when(drop >= LIMITS["drawdown"], "breach").when(drop >= LIMITS["drawdown_alert"], "alert").otherwise("").alias("level"),
-        )
-        rows.write.mode("overwrite").parquet(version(out, batch_id))
-        now = batch.groupBy("account_id").agg(F.sum("signed").alias("_t"))
-        tops = spark.read.parquet(version(out, batch_id)).groupBy("account_id").agg(F.max("high").alias("_h"))
-        fresh = now.join(tops, "account_id")
-        state.join(fresh, "account_id", "full_outer").select(
-            "account_id",
-            (F.coalesce("total", F.lit(0.0)) + F.coalesce("_t", F.lit(0.0))).alias("total"),
-            F.greatest("high", "_h").alias("high"),
-        ).write.mode("overwrite").parquet(version(root, batch_id))
-
-    return handle
-
-
-def dedupe_job(root: str, keys: list[str], at: list[str]) -> Batch:
-    """Keyed table where the last write of a key wins."""
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        state = previous(batch.sparkSession, root, batch_id)
-        rows = batch if state is None else state.unionByName(batch)
+        batch = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        rows = batch
+        if batch_id > 0:
+            latest = newest(spark.read.schema(batch.schema).parquet(root), batch_id)
+            touched = [r["_bucket"] for r in batch.select("_bucket").distinct().collect()]
+            folders = [f"{version(root, latest[b])}/_bucket={b}" for b in touched if b in latest]
+            if folders:
+                before = spark.read.schema(batch.schema).option("basePath", root).parquet(*folders)
+                rows = batch.unionByName(before.select(*batch.columns))
         rest = [c for c in batch.columns if c not in keys]
-        best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*at)).alias("_r"))
-        best.select(*keys, "_r.*").write.mode("overwrite").parquet(version(root, batch_id))
+        best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*at)).alias("_r")).select(*keys, "_r.*")
+        best.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(version(root, batch_id))
 
     return handle
 
 
-def latest_version(spark: SparkSession, root: str) -> DataFrame:
-    """The newest version of a keyed table."""
-    table = spark.read.parquet(root)
-    newest = table.agg(F.max("v").alias("v"))
-    return table.join(F.broadcast(newest), "v").drop("v")
-
-
 def updates_job(out: str) -> Batch:
     """Log of window updates; the newest batch of a key holds its current value."""
 
@@ -135,8 +86,8 @@ def updates_job(out: str) -> Batch:
     return handle
 
 
-def current_windows(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    """Current value of every window in an update log."""
+def current_rows(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """Current value of every window, row or session in an update log."""
     log = spark.read.parquet(out)
     rest = [c for c in log.columns if c not in (*keys, "v")]
     return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "v").alias("_r")).select(*keys, "_r.*")
@@ -162,17 +113,6 @@ def sliding_rate(stream: DataFrame, keys: list[str], ts: str, won: Column, lengt
     )
 
 
-def log_sessions(stream: DataFrame, run: str, ts: str, gap: str, delay: str) -> DataFrame:
-    """Severity counts per session of a run log; a session without an end entry is incomplete."""
-    sev = lambda s: F.count(F.when(F.col("severity") == s, 1)).alias(s.lower())
-    return (
-        stream.withWatermark(ts, delay)
-        .groupBy(F.session_window(ts, gap), run)
-        .agg(F.count("*").alias("events"), sev("INFO"), sev("WARN"), sev("ERROR"), F.max((F.col("phase") == "run-end").cast("int")).alias("_end"))
-        .select(run, F.col("session_window.start").alias("start"), "events", "info", "warn", "error", (F.col("_end") == 0).alias("incomplete"))
-    )
-
-
 def confirmation_stream(stream: DataFrame, key: str, time: str, label: str, k: int = 2) -> DataFrame:
     """Confirmation filter whose confirmed label, pending label and count live in keyed state between batches.
 
