@@ -1,10 +1,12 @@
 """Skew-safe scans against plain windows, with a third of all rows on one key."""
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import Window, functions as F
 
-from tidemark.operators import analogs as an, portfolio as pf
-from tidemark.operators.scans import framed, running
+from tidemark.operators import align, analogs as an, portfolio as pf, returns
+from tidemark.operators.scans import framed, numbered, running, smaller_before
 
 
 def skewed(spark, n=3000):
@@ -91,3 +93,59 @@ def test_top_k_blocks_are_exact(spark):
         cand = [(j, round(float(unit[i] @ unit[j]), 9)) for w, j, _ in rows if w == u and j <= i - 5]
         want = sorted(cand, key=lambda c: (-c[1], c[0]))[:4]
         assert sorted(s for _, s in got.get(i, [])) == sorted(s for _, s in want)
+
+
+def test_numbered_equals_row_number(spark):
+    df = skewed(spark).withColumn("k", F.when(F.col("k") != "3", F.col("k")))
+    got = numbered(df, ["k"], ["t", "id"], "n")
+    want = df.select("id", F.row_number().over(Window.partitionBy("k").orderBy("t", "id")).alias("w"))
+    assert got.join(want, "id").where("n = w").count() == df.count() == got.count()
+
+
+def test_smaller_before_counts():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 2, 7, 64, 300):
+        v = rng.integers(0, 40, n)
+        assert smaller_before(v).tolist() == [int((v[:i] < v[i]).sum()) for i in range(n)]
+
+
+def test_expanding_rank_of_a_hot_key_equals_the_array_form(spark):
+    df = skewed(spark, 4000).select("k", "t", "id", F.round("v", 1).alias("v"))
+    got = align.expanding_rank(df, ["k"], ["t", "id"], "v", "r", block=64)
+    plain = df.withColumn("o", F.struct("t", "id"))
+    plain = plain.select("id", align.expanding_rank_pct(F.col("v"), ["k"], "o").alias("w")).where("w IS NOT NULL")
+    both = got.join(plain, "id")
+    assert both.count() == plain.count() == got.count() == df.where("v IS NOT NULL").count()
+    assert both.where(F.abs(F.col("r") - F.col("w")) > 1e-12).count() == 0
+
+
+def test_block_resamples_are_differences_of_prefix_sums():
+    rng = np.random.default_rng(3)
+    for n, block in ((5, 1), (17, 3), (40, 6), (4, 6)):
+        v = rng.normal(size=n)
+        got = returns.resampled_means(v, block, 50, 42)
+        for b in range(1, 51):
+            drawn = []
+            for blk in range(-(-n // block)):
+                bits = int(hashlib.md5(f"42|{b}|{blk}".encode()).hexdigest()[:7], 16)
+                start = (bits * max(1, n - block + 1)) >> 28
+                drawn += v[start : start + min(block, n - blk * block)].tolist()
+            assert len(drawn) == n and abs(np.mean(drawn) - got[b - 1]) < 1e-12
+
+
+def test_bootstraps_shuffle_no_replicates(spark):
+    hits = spark.range(60).select((F.col("id") % 3).cast("string").alias("k"), "id", (F.col("id") % 2).cast("int").alias("hit"))
+    text = an.bootstrap_proportion(hits, ["k"], ["id"], 200)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in text and "MapInArrow" in text
+    cells = spark.range(400).select(F.lit("e").alias("entity_id"), F.lit("a").alias("asset_id"), F.lit(3).alias("window"), F.col("id").alias("month"), (F.col("id") % 11).cast("double").alias("ret"), F.lit("x").alias("label"))
+    base = returns.benchmarks(cells)
+    boot = returns.bootstrap_mean(cells, "label", base, replicates=100)
+    assert "Generate" not in boot._jdf.queryExecution().executedPlan().toString()
+    row = boot.first()
+    assert row.ci_low < row.mean < row.ci_high and not row.significant and row.n == 400
+
+
+def test_proportion_is_the_same_under_every_partitioning(spark, monkeypatch):
+    hits = spark.range(300).select((F.col("id") % 7).cast("int").alias("k"), "id", (F.col("id") % 3 == 0).cast("int").alias("hit"))
+    one = sorted(map(tuple, an.bootstrap_proportion(hits.coalesce(1), ["k"], ["id"], 64).collect()))
+    assert one == sorted(map(tuple, an.bootstrap_proportion(hits.repartition(5), ["k"], ["id"], 64).collect())) and len(one) == 7

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 BITS = 28
@@ -18,6 +22,17 @@ def draw(n: Column, *parts: Column) -> Column:
     return F.shiftright(random_bits(*parts) * n.cast("bigint"), BITS)
 
 
+def bits_of(digest: bytes) -> int:
+    """The draw of an MD5 digest: :func:`random_bits` on Python's side."""
+    return int.from_bytes(digest[:4], "big") >> (32 - BITS)
+
+
+@functools.lru_cache(maxsize=4)
+def bits_table(seed: int, rows: int, columns: int) -> np.ndarray:
+    """Draws for (seed, row from 1, column from 0), made once per worker."""
+    return np.array([[bits_of(hashlib.md5(f"{seed}|{b}|{c}".encode()).digest()) for c in range(columns)] for b in range(1, rows + 1)], np.int64).reshape(rows, columns)
+
+
 def random_bits_sql(*parts: str) -> str:
     """The same as SQL text."""
     text = " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import dates
-from tidemark.operators.scans import running
+from tidemark.operators.scans import numbered, running, smaller_before
 
 #: Indicator built from each series, whether it is a 12-row percent change, spine priority.
 INDICATORS = {
@@ -87,6 +89,52 @@ def expanding_rank_pct(col: Column, keys: Sequence[str], time: str) -> Column:
     )
 
 
+def expanding_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, block: int = 4096) -> DataFrame:
+    """``keys, order, value, out``: the rank of :func:`expanding_rank_pct` for keys of any length.
+
+    ``order`` makes rows unique within a key; rows with a null value are left out. Rows are numbered by ``order`` and by (value,
+    order), and both numbers cut a key into blocks of about four times the root of its rows, ``block`` at least. What lies at or
+    below a row is then (a) whole pairs of blocks, earlier in time and lower in value, from prefix sums over the grid of block
+    counts; (b) lower rows of its own time block; (c) lower rows of its own value block from earlier time blocks. No task holds
+    more than one block, and the grid has a sixteenth of the rows at most.
+    """
+    keys, order = list(keys), list(order)
+    known = df.where(F.col(value).isNotNull()).select(F.to_json(F.struct(*keys)).alias("_key"), *keys, *order, value)
+    both = numbered(numbered(known, ["_key"], order, "_t"), ["_key"], [value, "_t"], "_v")
+    count = F.count("*")
+    size = F.greatest(F.lit(block), F.ceil(4 * F.sqrt(count))).cast("bigint")
+    sizes = both.groupBy("_key").agg(size.alias("_size"), F.ceil(count / size).cast("bigint").alias("_blocks"))
+    cut = both.join(sizes, "_key").withColumns({"_tb": F.expr("(_t - 1) div _size"), "_vb": F.expr("(_v - 1) div _size")})
+
+    def counting(by: str, what: str):
+        """Add how many earlier rows, in the order of ``by``, have a smaller ``what``."""
+
+        def run(rows: pa.Table) -> pa.Table:
+            at = np.argsort(rows[by].to_numpy(), kind="stable")
+            found = np.empty(len(at), np.int64)
+            found[at] = smaller_before(rows[what].to_numpy()[at])
+            below = rows["_below"].to_numpy() + found
+            return rows.set_column(rows.column_names.index("_below"), "_below", pa.array(below))
+
+        return run
+
+    rows = cut.drop("_size", "_blocks").withColumn("_below", F.lit(0).cast("bigint"))
+    schema = rows.schema
+    timed = rows.groupBy("_key", "_tb").applyInArrow(counting("_t", "_v"), schema)
+    valued = timed.groupBy("_key", "_vb").applyInArrow(counting("_v", "_tb"), schema)
+    # Only keys of several blocks have a grid; every cell of it counts, empty ones too.
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)
+    grid = sizes.where("_blocks > 1").select("_key", F.explode(blocks).alias("_tb"), "_blocks").select("_key", "_tb", F.explode(blocks).alias("_vb"))
+    cells = cut.where("_blocks > 1").groupBy("_key", "_tb", "_vb").agg(F.count("*").alias("_c"))
+    lower = Window.partitionBy("_key", "_tb").orderBy("_vb").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_key", "_vb").orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
+    summed = grid.join(cells, ["_key", "_tb", "_vb"], "left").select("_key", "_tb", "_vb", F.sum("_c").over(lower).alias("_r"))
+    whole = summed.select("_key", "_tb", "_vb", F.sum("_r").over(earlier).alias("_a"))
+    below = F.col("_below") + F.coalesce("_a", F.lit(0))
+    rank = F.when(F.col("_t") > 1, below / (F.col("_t") - 1)).otherwise(F.lit(0.5))
+    return valued.join(whole, ["_key", "_tb", "_vb"], "left").select(*keys, *order, value, rank.alias(out))
+
+
 def publication_lag(
     wide: DataFrame, keys: Sequence[str] = ("entity_id",), time: str = "month", lags: dict[str, int] | None = None
 ) -> DataFrame:

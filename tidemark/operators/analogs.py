@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import labels as L, vectors
-from tidemark.functions.resample import BITS, random_bits
+from tidemark.functions.resample import BITS, bits_of
 from tidemark.functions.thresholds import threshold_label
 from tidemark.operators import align
 
@@ -57,28 +59,6 @@ def state_vectors(wide: DataFrame) -> DataFrame:
     return ranked.dropna().select("entity_id", "month", F.array(*[F.col(f"f_{c}") for c, _, _ in FEATURES]).alias("state"))
 
 
-def expanding_rank_grouped(df: DataFrame, keys: list[str], time: str, value: str, out: str) -> DataFrame:
-    """Expanding rank for long keys: one sorted list per key instead of a history array per row."""
-    import bisect
-
-    schema = f"{', '.join(f'{k} STRING' for k in keys)}, {time} DATE, {out} DOUBLE"
-
-    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
-        seen: list[float] = []
-        ranks = []
-        for v in pdf[value]:
-            if pd.isna(v):
-                ranks.append(None)
-                continue
-            bisect.insort(seen, v)
-            n = len(seen)
-            ranks.append((bisect.bisect_right(seen, v) - 1) / (n - 1) if n > 1 else 0.5)
-        return pd.DataFrame({**{k: pdf[k] for k in keys}, time: pdf[time], out: pd.array(ranks, dtype="Float64")})
-
-    return df.select(*keys, time, value).groupBy(*keys).applyInPandas(rank, schema)
-
-
 def backtest_queries(states: DataFrame, exclude_months: int = EXCLUDE_MONTHS) -> DataFrame:
     """Every state as a query with the last month it may look at: twelve months before the state preceding it."""
     w = Window.partitionBy("entity_id").orderBy("month")
@@ -252,24 +232,73 @@ def naive_baseline(preds: DataFrame, keys: Sequence[str], flat: float = FLAT, mi
     return agg.select("*", naive.alias("naive"), (F.col("model_hit_rate") - naive).alias("excess"))
 
 
+#: Keys whose sums a task holds at once; each takes two vectors of one number per replicate.
+HELD_KEYS = 2048
+
+
+def _partial_sums(keys: list[str], replicates: int, seed: int, names: list[str]):
+    """Per task and key, the weights and weighted hits of all its rows, summed by replicate."""
+    steps = np.array(POISSON_STEPS) * 2**BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A digest of "seed|replicate|" is begun once and continued by each row's identity.
+        begun = [hashlib.md5(f"{seed}|{b}|".encode()) for b in range(1, replicates + 1)]
+        sums: dict[tuple, tuple] = {}
+        kinds = None
+
+        def flush() -> pa.RecordBatch:
+            cols = [pa.array([k[i] for k in sums], kinds[i]) for i in range(len(keys))]
+            vectors = [pa.array([v[i].tolist() for v in sums.values()], pa.list_(pa.int64())) for i in range(2)]
+            return pa.record_batch([*cols, *vectors], names=names)
+
+        for batch in batches:
+            kinds = [batch.column(k).type for k in keys]
+            for *key, identity, hit in zip(*[batch.column(c).to_pylist() for c in (*keys, "_identity", "hit")], strict=True):
+                draws = np.empty(replicates, np.int64)
+                tail = identity.encode()
+                for b, h in enumerate(begun):
+                    h = h.copy()
+                    h.update(tail)
+                    draws[b] = bits_of(h.digest())
+                weight = np.searchsorted(steps, draws)
+                if tuple(key) not in sums:
+                    if len(sums) == HELD_KEYS:
+                        yield flush()
+                        sums.clear()
+                    sums[tuple(key)] = (np.zeros(replicates, np.int64), np.zeros(replicates, np.int64))
+                total, hits = sums[tuple(key)]
+                total += weight
+                hits += weight * hit
+        if sums:
+            yield flush()
+
+    return run
+
+
 def bootstrap_proportion(hits: DataFrame, keys: Sequence[str], row_id: Sequence[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """95 % interval of a hit rate by the Poisson bootstrap.
+    """95 % interval of a hit rate by the Poisson bootstrap; ``hit`` is 0 or 1 and never null.
 
-    Every row draws its own weight per replicate from a hash of its identity, so replicates are partial sums that
-    combine map-side; nothing is collected per group.
+    Every row draws its weight per replicate from a digest of its identity. A task adds its rows' weights to two vectors per
+    key, one number per replicate, and only these vectors are shuffled and added.
     """
     keys = list(keys)
-    bits = random_bits(F.lit(seed), F.col("_b"), *[F.col(c) for c in (*keys, *row_id)])
-    weight = F.lit(0)
-    for step in POISSON_STEPS:
-        weight = weight + (F.col("_u") > step * 2**BITS).cast("int")
+    identity = F.concat_ws("|", *[F.col(c).cast("string") for c in (*keys, *row_id)])
     width = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = hits.repartition(width, *keys, *row_id).select(*keys, *row_id, "hit", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_b"))
-    drawn = drawn.select(*keys, "_b", "hit", bits.alias("_u")).select(*keys, "_b", "hit", weight.alias("_w"))
-    rates = drawn.groupBy(*keys, "_b").agg(F.try_divide(F.sum(F.col("_w") * F.col("hit")), F.sum("_w")).alias("_r"))
-    bounds = rates.groupBy(*keys).agg(F.percentile("_r", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))
+    rows = hits.select(*keys, identity.alias("_identity"), F.col("hit").cast("int").alias("hit")).repartition(width, "_identity")
+    names = [*keys, "_w", "_wh"]
+    kinds = ", ".join(f"{k} {hits.schema[k].dataType.simpleString()}" for k in keys)
+    parts = rows.mapInArrow(_partial_sums(keys, replicates, seed, names), f"{kinds}, _w ARRAY<BIGINT>, _wh ARRAY<BIGINT>")
+
+    def interval(table: pa.Table) -> pa.Table:
+        total, hit = (np.add.reduce([np.array(v) for v in table[c].to_pylist()]) for c in ("_w", "_wh"))
+        drawn = total > 0
+        low, high = np.percentile(hit[drawn] / total[drawn], [2.5, 97.5]) * 100 if drawn.any() else (None, None)
+        one = table.select(keys).slice(0, 1)
+        return one.append_column("ci_low", pa.array([low], pa.float64())).append_column("ci_high", pa.array([high], pa.float64()))
+
+    bounds = parts.groupBy(*keys).applyInArrow(interval, f"{kinds}, ci_low DOUBLE, ci_high DOUBLE")
     rate = hits.groupBy(*keys).agg(F.count("*").alias("n"), (F.avg(F.col("hit").cast("double")) * 100).alias("hit_rate"))
-    return rate.join(bounds, keys).select(*keys, "n", "hit_rate", (F.col("_q")[0] * 100).alias("ci_low"), (F.col("_q")[1] * 100).alias("ci_high"))
+    return rate.join(bounds, keys).select(*keys, "n", "hit_rate", "ci_low", "ci_high")
 
 
 def surprises(signals: DataFrame, states: DataFrame, symbol: Column) -> DataFrame:

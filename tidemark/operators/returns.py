@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from tidemark.functions.resample import draw
+from tidemark.functions.resample import BITS, bits_table
 
 CELL = ("entity_id", "asset_id", "window")
 
@@ -198,6 +200,17 @@ def transition_returns(regimes: DataFrame, fwd: DataFrame, window: int = 3) -> D
     )
 
 
+def resampled_means(values: np.ndarray, block: int, replicates: int, seed: int) -> np.ndarray:
+    """Means of moving-block resamples, each a sum of differences of prefix sums."""
+    n = len(values)
+    sums = np.append(0.0, np.cumsum(values))
+    lengths = np.minimum(block, n - np.arange(0, n, block))
+    # The table is made for a power of two of blocks, so that cells of different lengths share it.
+    columns = 1 << (len(lengths) - 1).bit_length()
+    start = (bits_table(seed, replicates, columns)[:, : len(lengths)] * max(1, n - block + 1)) >> BITS
+    return (sums[start + lengths] - sums[start]).sum(1) / n
+
+
 def bootstrap_mean(
     joined: DataFrame,
     label: str,
@@ -210,8 +223,8 @@ def bootstrap_mean(
 ) -> DataFrame:
     """Moving-block bootstrap of each cell mean; the block is the forward window.
 
-    Values of a cell are ordered by month (a cell holds at most one value per month); every (cell, replicate) pair is
-    an independent row whose draws come from an arithmetic hash, so results do not depend on partitioning.
+    Values of a cell are ordered by month (a cell holds at most one value per month) and stay in its row with their prefix sums:
+    nothing is exploded or shuffled per replicate. Draws come from digests, so results do not depend on partitioning.
     """
     group = [*keys, "label"]
     cells = (
@@ -226,31 +239,25 @@ def bootstrap_mean(
         .where((F.col("n") >= min_n) & (F.col("_std") >= 1e-6))
         .join(unconditional.select(*keys, F.col("mean").alias("unconditional_mean")), list(keys))
     )
-    n, block = F.col("n").cast("int"), F.col("window").cast("int")
-    width = int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    start = draw(F.greatest(F.lit(1), n - block + 1), F.lit(seed), F.col("_b"), F.col("_blk")).cast("int")
-    kept = F.slice(F.col("_v"), start + 1, F.least(block, n - F.col("_blk") * block))
-    # A fixed width keeps adaptive coalescing from folding a few small cells, and all their replicates, into one task.
-    drawn = (
-        cells.select(*group, "n", "mean", "unconditional_mean", F.transform("_s", lambda x: x["ret"]).alias("_v"))
-        .repartition(width, *group)
-        .select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_b"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.ceil(n / block).cast("int") - 1)).alias("_blk"))
-        .select(*group, "n", "mean", "unconditional_mean", "_b", F.explode(kept).alias("_x"))
-    )
-    means = drawn.groupBy(*group, "n", "mean", "unconditional_mean", "_b").agg(F.avg("_x").alias("_m"))
-    tail = (1 - ci) / 2
+    rows = cells.select(*group, "n", "mean", "unconditional_mean", F.col("window").cast("int").alias("_block"), F.transform("_s", lambda x: x["ret"]).alias("_v"))
+    tail = 100 * (1 - ci) / 2
+    found = ["ci_low", "ci_high", "p_value"]
+
+    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for v, block, mean, u in zip(*[batch.column(c) for c in ("_v", "_block", "mean", "unconditional_mean")], strict=True):
+                means = resampled_means(v.values.to_numpy(), block.as_py(), replicates, seed)
+                low, high = np.percentile(means, [tail, 100 - tail])
+                side = means <= u.as_py() if mean.as_py() >= u.as_py() else means >= u.as_py()
+                out.append((low, high, min(1.0, 2 * side.mean())))
+            kept = batch.drop_columns(["_block", "_v"])
+            results = np.array(out, np.float64).reshape(-1, 3)
+            yield pa.record_batch([*kept.columns, *[pa.array(results[:, i]) for i in range(3)]], names=[*kept.schema.names, *found])
+
+    schema = T.StructType([f for f in rows.schema if f.name not in ("_block", "_v")] + [T.StructField(c, T.DoubleType()) for c in found])
     u = F.col("unconditional_mean")
-    side = F.when(F.col("mean") >= u, F.col("_m") <= u).otherwise(F.col("_m") >= u)
-    return (
-        means.groupBy(*group, "n", "mean", "unconditional_mean")
-        .agg(
-            F.percentile("_m", F.array(F.lit(tail), F.lit(1 - tail))).alias("_q"),
-            F.least(F.lit(1.0), F.avg(side.cast("double")) * 2).alias("p_value"),
-        )
-        .select(*group, "n", "mean", "unconditional_mean", F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"), "p_value")
-        .select("*", ((u < F.col("ci_low")) | (u > F.col("ci_high"))).alias("significant"))
-    )
+    return rows.mapInArrow(resample, schema).select("*", ((u < F.col("ci_low")) | (u > F.col("ci_high"))).alias("significant"))
 
 
 def benjamini_hochberg(

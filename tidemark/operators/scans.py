@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tidemark.session import materialise
@@ -131,3 +132,36 @@ def framed(
     frame = Window.partitionBy(*keys, "_p.blk").orderBy("_n").rowsBetween(-(rows - 1), 0)
     computed = spread.select("*", *[fn(frame).alias(name) for name, fn in exprs.items()])
     return computed.where(~F.col("_p.halo")).drop("_n", "_p")
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Add the 1-based position of each row within its key.
+
+    Rows are dealt by ranges of (key, order), so a key is spread over as many tasks as its size asks for, and written once in
+    that order; numbers start from how many rows of the key the ranges before hold. ``order`` must make rows unique within a key.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(width, *keys, *order).sortWithinPartitions(*keys, *order)
+    placed = materialise(placed.withColumn("_id", F.monotonically_increasing_id()), "numbered").withColumn("_p", F.shiftright("_id", 33))
+    spans = placed.groupBy(*keys, "_p").agg(F.min("_id").alias("_first"), F.count("*").alias("_rows"))
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1
+    starts = spans.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_p").alias("_kp"), shift.alias("_shift"))
+    same = F.col("_p") == F.col("_kp")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return placed.join(starts, same).select(*df.columns, (F.col("_id") + F.col("_shift")).alias(name))
+
+
+def smaller_before(values: np.ndarray) -> np.ndarray:
+    """For each value, how many of those before it are smaller: a merge sort that counts, all merges of a level at once."""
+    n = len(values)
+    ranks = np.unique(values, return_inverse=True)[1].astype(np.int64)
+    at, out, half = np.arange(n), np.zeros(n, np.int64), 1
+    while half < n:
+        pair, right = at // (2 * half), (at // half) % 2 == 1
+        left = np.sort(pair[~right] * (n + 1) + ranks[~right])
+        own = pair[right] * (n + 1)
+        out[right] += np.searchsorted(left, own + ranks[right]) - np.searchsorted(left, own)
+        half *= 2
+    return out

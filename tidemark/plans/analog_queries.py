@@ -165,7 +165,21 @@ def state_vectors(spark, sf):
 def expanding_rank_long_keys(spark, sf):
     from tidemark.plans.panel_queries import _wide
 
-    return an.expanding_rank_grouped(_wide(spark, sf), ["entity_id"], "month", "cpi_yoy", "rank_pct")
+    return align.expanding_rank(_wide(spark, sf), ["entity_id"], ["month"], "cpi_yoy", "rank_pct").drop("cpi_yoy")
+
+
+@query(
+    "expanding_rank_prices",
+    "WIN-4",
+    """SELECT a.segment, a.o_orderkey, CASE WHEN count(*) > 1 THEN CAST(count(*) FILTER (WHERE z.v <= a.v) - 1 AS DOUBLE) / (count(*) - 1) ELSE 0.5 END AS
+    rank_pct FROM (SELECT o_orderpriority AS segment, o_orderkey, o_totalprice AS v FROM orders) a JOIN (SELECT o_orderpriority AS segment, o_orderkey,
+    o_totalprice AS v FROM orders) z ON a.segment = z.segment AND z.o_orderkey <= a.o_orderkey GROUP BY a.segment, a.o_orderkey""",
+    "rank_pct",
+)
+def expanding_rank_prices(spark, sf):
+    """Five keys that hold a fifth of all orders each."""
+    orders = b.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("segment"), "o_orderkey", "o_totalprice")
+    return align.expanding_rank(orders, ["segment"], ["o_orderkey"], "o_totalprice", "rank_pct", block=256).drop("o_totalprice")
 
 
 @query(
