@@ -149,3 +149,25 @@ def test_proportion_is_the_same_under_every_partitioning(spark, monkeypatch):
     hits = spark.range(300).select((F.col("id") % 7).cast("int").alias("k"), "id", (F.col("id") % 3 == 0).cast("int").alias("hit"))
     one = sorted(map(tuple, an.bootstrap_proportion(hits.coalesce(1), ["k"], ["id"], 64).collect()))
     assert one == sorted(map(tuple, an.bootstrap_proportion(hits.repartition(5), ["k"], ["id"], 64).collect())) and len(one) == 7
+
+
+def test_lists_are_left_out_exactly(spark):
+    """Tight clusters, copies, a row of zeros and cutoffs: most lists are never met, and the best rows are those of a full search."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 8))
+    v = centres[rng.integers(0, 30, 900)] + rng.normal(size=(900, 8)) * 0.02
+    v[5] = 0.0
+    v[600:700] = v[600]
+    df = spark.createDataFrame([("u", i, [float(x) for x in row]) for i, row in enumerate(v)], "u STRING, id BIGINT, v ARRAY<DOUBLE>")
+    q = df.where("id % 3 = 2").select("u", F.col("id").alias("q_id"), F.col("v").alias("q_vec"), (F.col("id") - 1).alias("cutoff"))
+    h = df.select("u", F.col("id").alias("h_id"), F.col("id").alias("h_ord"), F.col("v").alias("h_vec"))
+    report = {}
+    got = {}
+    for r in an.top_k_similar(q, h, ["u"], k=5, block=16, report=report).orderBy("rank").collect():
+        got.setdefault(r.q_id, []).append((round(r.sim, 9), r.h_id))
+    u = an.unit(v)
+    for i in range(2, 900, 3):
+        sims = u[:i] @ u[i]
+        want = sorted(sims, reverse=True)[:5]
+        assert np.allclose([s for s, _ in got[i]], want, atol=1e-8) and all(j < i for _, j in got[i])
+    assert report["visited"] < report["pairs"] / 2, report

@@ -14,6 +14,7 @@ from tidemark.functions import labels as L, vectors
 from tidemark.functions.resample import BITS, bits_of
 from tidemark.functions.thresholds import threshold_label
 from tidemark.operators import align
+from tidemark.session import materialise
 
 K = 20
 MIN_ANALOGS = 10
@@ -69,60 +70,167 @@ def backtest_queries(states: DataFrame, exclude_months: int = EXCLUDE_MONTHS) ->
     )
 
 
+def unit(vectors_) -> np.ndarray:
+    """Rows of length one; a row of zeros stays zero."""
+    m = np.asarray(list(vectors_), dtype=float)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def angles(a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ z.T, -1, 1))
+
+
+#: Lists that a query visits before it has a k-th similarity.
+PROBES = 4
+#: Lists that no angle bounds: universes of a single list, and rows without a direction. What an angle may be off by.
+WHOLE, ZERO, SLACK = -1, -2, 1e-7
+
+
+def _lists(history: DataFrame, keys: list[str], block: int) -> tuple[DataFrame, DataFrame]:
+    """History rows with their list, and per universe its lists: ``list, low, angle, parts, centre``.
+
+    A universe of more than ``block`` rows, or the root of its rows if that is more, gets that many rows per list on average. The
+    centres are rows picked by hash; each row joins its nearest centre, and a list knows its widest angle and its earliest row. A
+    list that grows beyond twice its share, as with many equal rows, is kept in parts.
+    """
+    size = F.greatest(F.lit(block), F.ceil(F.sqrt(F.count("*")))).cast("bigint")
+    sizes = history.groupBy(*keys).agg(size.alias("_size"), F.ceil(F.count("*") / size).cast("int").alias("_n"))
+    rows = history.join(sizes, keys)
+    single = rows.where("_n = 1").select(*history.columns, "_size", F.lit(WHOLE).alias("list"), F.lit(float(np.pi)).alias("angle"))
+    many = rows.where("_n > 1")
+    picked = many.where(F.pmod(F.xxhash64("h_id", F.lit("centre")), F.col("_size")) == 0)
+    packs = materialise(picked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("h_id", "h_vec"))).alias("_c")), "centres")
+    centres = packs.select(*[F.col(c).alias(f"_c_{c}") for c in keys], F.posexplode(F.col("_c.h_vec")).alias("_at", "centre"))
+    copies = packs.join(sizes, keys).select(*[F.col(c).alias(f"_h_{c}") for c in keys], F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_h_b"), F.col("_c.h_vec").alias("_c"))
+    dealt = many.select(*history.columns, "_size", F.pmod(F.xxhash64("h_id"), F.col("_n")).cast("int").alias("_b"))
+
+    def assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.drop(columns="_b")
+        if left.empty or right.empty:
+            return left.assign(list=np.int32(WHOLE), angle=np.pi)
+        v = unit(left["h_vec"])
+        apart = angles(v, unit(right["_c"].iloc[0]))
+        flat = ~v.any(axis=1)
+        return left.assign(list=np.where(flat, ZERO, apart.argmin(1)).astype(np.int32), angle=np.where(flat, np.pi, apart.min(1)))
+
+    spread = dealt.groupBy(*keys, "_b").cogroup(copies.groupBy(*[f"_h_{c}" for c in keys], "_h_b")).applyInPandas(assign, single.schema)
+    placed = materialise(single.unionByName(spread), "lists")
+    parts = F.ceil(F.count("*") / (2 * F.max("_size"))).cast("int")
+    stats = placed.groupBy(*keys, "list").agg(F.min("h_ord").alias("low"), F.max("angle").alias("angle"), parts.alias("parts"))
+    same = F.col("list") == F.col("_at")
+    for c in keys:
+        same = same & (F.col(c) == F.col(f"_c_{c}"))
+    return placed.drop("_size", "angle"), materialise(stats.join(centres, same, "left").select(*keys, "list", "low", "angle", "parts", "centre"), "list-stats")
+
+
+def _choose(keys: list[str], first: bool):
+    """The lists that a block of queries has to visit: each query's first ones, or the others that can still hold one of its best."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        columns = [*keys, "q_id", "q_vec", "cutoff", "list"]
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=columns)
+        # A fixed order, so that both rounds agree on which lists came first.
+        right = right.sort_values("list", ignore_index=True)
+        bound = np.ones((len(left), len(right)))
+        free = right["centre"].isna().to_numpy()
+        if not free.all():
+            q = unit(left["q_vec"])
+            near = angles(q, unit(right["centre"][~free])) - right["angle"].to_numpy()[~free] - SLACK
+            bound[:, ~free] = np.where(q.any(axis=1)[:, None], np.cos(np.clip(near, 0, np.pi)), 1.0)
+        bound[right["low"].to_numpy()[None, :] > left["cutoff"].to_numpy()[:, None]] = -np.inf
+        visit = np.zeros(bound.shape, bool)
+        np.put_along_axis(visit, np.argsort(-bound, axis=1, kind="stable")[:, :PROBES], True, axis=1)
+        if not first:
+            visit = ~visit & (bound >= left["kth"].to_numpy()[:, None] - SLACK)
+        rows, cols = np.nonzero(visit & np.isfinite(bound))
+        return left.iloc[rows].assign(list=right["list"].to_numpy()[cols])[columns]
+
+    return run
+
+
+def _match(keys: list[str], k: int, rows_at_once: int = 512):
+    """The ``k`` most similar rows of a part of a list for each query beside it."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        columns = [*keys, "q_id", "h_id", "h_ord", "sim"]
+        out = []
+        if len(right):
+            right = right.sort_values("h_ord", kind="stable", ignore_index=True)
+            h, order = unit(right["h_vec"]), right["h_ord"].to_numpy()
+            for at in range(0, len(left), rows_at_once):
+                some = left.iloc[at : at + rows_at_once]
+                sims = np.where(order[None, :] <= some["cutoff"].to_numpy()[:, None], unit(some["q_vec"]) @ h.T, -np.inf)
+                take = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                best = np.take_along_axis(sims, take, axis=1)
+                rows, cols = np.nonzero(np.isfinite(best))
+                picked = take[rows, cols]
+                found = {c: some[c].to_numpy()[rows] for c in [*keys, "q_id"]}
+                found |= {"h_id": right["h_id"].to_numpy()[picked], "h_ord": order[picked], "sim": best[rows, cols]}
+                out.append(pd.DataFrame(found)[columns])
+        return pd.concat(out) if out else pd.DataFrame(columns=columns)
+
+    return run
+
+
 def top_k_similar(
     queries: DataFrame,
     history: DataFrame,
     keys: Sequence[str],
     k: int = K,
     block: int = 2048,
+    report: dict | None = None,
 ) -> DataFrame:
     """Exact k most similar history rows of each query within its universe, by cosine.
 
-    ``queries(keys, q_id, q_vec, cutoff)`` may match ``history(keys, h_id, h_ord, h_vec)`` rows with ``h_ord <= cutoff``.
-    Both sides are hashed into blocks of about ``block`` rows per universe, so a universe of any size is spread over many
-    tasks; each pair of blocks is one matrix product and ships at most ``k`` rows per query. Ties keep the earlier row.
+    ``queries(keys, q_id, q_vec, cutoff)`` may match ``history(keys, h_id, h_ord, h_vec)`` rows with ``h_ord <= cutoff``; q_id
+    and h_id name rows of a universe. History lies in lists around centres, see :func:`_lists`. A query first visits the few
+    lists with the best bounds, ``cos(angle to the centre - widest angle)``, that start by its cutoff. After that it visits
+    only lists whose bound reaches its k-th similarity; all others are left out exactly. History rows are copied only
+    where more queries visit a list than one task should hold. Ties keep the earlier row. ``report`` receives ``visited`` and
+    ``pairs``, the (query, list) pairs met and possible.
     """
     keys = list(keys)
-    sizes = history.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("_nh")).join(
-        queries.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("_nq")), keys
-    )
-    q = queries.join(sizes, keys).select(
-        *[F.col(c).alias(c) for c in keys], "q_id", "q_vec", "cutoff", F.pmod(F.xxhash64("q_id"), F.col("_nq")).cast("int").alias("bq"),
-        F.explode(F.sequence(F.lit(0), F.col("_nh") - 1)).alias("bh"),
-    )
-    h = history.join(sizes, keys).select(
-        *[F.col(c).alias(f"_h_{c}") for c in keys], "h_id", "h_ord", "h_vec", F.pmod(F.xxhash64("h_id"), F.col("_nh")).cast("int").alias("_h_bh"),
-        F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)).alias("_h_bq"),
-    )
+    placed, stats = _lists(history, keys, block)
     fields = {f.name: f.dataType.simpleString() for f in queries.schema.fields + history.schema.fields}
     schema = ", ".join(f"{c} {fields[c]}" for c in [*keys, "q_id", "h_id", "h_ord"]) + ", sim DOUBLE"
-
-    def unit(vectors_) -> np.ndarray:
-        m = np.asarray(list(vectors_), dtype=float)
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = [*keys, "q_id", "h_id", "h_ord", "sim"]
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=columns)
-        right = right.sort_values("h_ord", kind="stable").reset_index(drop=True)
-        sims = unit(left["q_vec"]) @ unit(right["h_vec"]).T
-        allowed = right["h_ord"].to_numpy()[None, :] <= left["cutoff"].to_numpy()[:, None]
-        sims = np.where(allowed, sims, -np.inf)
-        take = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        best = np.take_along_axis(sims, take, axis=1)
-        rows, cols = np.nonzero(np.isfinite(best))
-        picked = take[rows, cols]
-        out = {c: left[c].to_numpy()[rows] for c in [*keys, "q_id"]}
-        out |= {"h_id": right["h_id"].to_numpy()[picked], "h_ord": right["h_ord"].to_numpy()[picked], "sim": best[rows, cols]}
-        return pd.DataFrame(out)[columns]
-
-    left_groups, right_groups = [*keys, "bq", "bh"], [*[f"_h_{c}" for c in keys], "_h_bq", "_h_bh"]
-    found = q.groupBy(*left_groups).cogroup(h.groupBy(*right_groups)).applyInPandas(match, schema)
-    per = Window.partitionBy(*keys, "q_id")
-    merged = found.select("*", F.row_number().over(per.orderBy(F.col("sim").desc(), "h_ord")).alias("rank"))
-    return merged.where(F.col("rank") <= k).select(*keys, "q_id", "h_id", "h_ord", "sim", "rank")
+    visit_schema = ", ".join(f"{c} {fields[c]}" for c in [*keys, "q_id", "q_vec", "cutoff"]) + ", list INT"
+    widths = queries.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("_nq"))
+    asked = queries.select(*keys, "q_id", "q_vec", "cutoff").join(widths, keys)
+    asked = asked.withColumn("bq", F.pmod(F.xxhash64("q_id"), F.col("_nq")).cast("int")).drop("_nq")
+    # A universe with one list has nothing to choose.
+    one = stats.groupBy(*keys).agg(F.count("*").alias("_lists"), F.max("list").alias("list"), F.min("low").alias("_low")).where("_lists = 1")
+    several = stats.join(one.select(*keys), keys, "left_anti")
+    known = several.join(widths, keys).select(*[F.col(c).alias(f"_s_{c}") for c in keys], "list", "low", "angle", "centre", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)).alias("_s_b"))
+
+    def visits(rows: DataFrame, first: bool) -> DataFrame:
+        left = rows.join(several.select(*keys).distinct(), keys, "left_semi")
+        return left.groupBy(*keys, "bq").cogroup(known.groupBy(*[f"_s_{c}" for c in keys], "_s_b")).applyInPandas(_choose(keys, first), visit_schema)
+
+    def matched(met: DataFrame) -> DataFrame:
+        crowds = met.groupBy(*keys, "list").agg(F.ceil(F.count("*") / (4 * block)).cast("int").alias("_turns")).join(stats.select(*keys, "list", "parts"), [*keys, "list"])
+        left = met.join(crowds, [*keys, "list"]).withColumn("_turn", F.pmod(F.xxhash64("q_id"), F.col("_turns")).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        right = placed.join(crowds, [*keys, "list"]).withColumn("_part", F.pmod(F.xxhash64("h_id"), F.col("parts")).cast("int")).withColumn("_turn", F.explode(F.sequence(F.lit(0), F.col("_turns") - 1)))
+        group = [*keys, "list", "_part", "_turn"]
+        return left.drop("parts", "_turns").groupBy(*group).cogroup(right.drop("parts", "_turns").groupBy(*group)).applyInPandas(_match(keys, k), schema)
+
+    order = Window.partitionBy(*keys, "q_id").orderBy(F.col("sim").desc(), "h_ord")
+    best = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    alone = asked.join(one, keys).where("_low <= cutoff").select(*keys, "q_id", "q_vec", "cutoff", "list")
+    if several.isEmpty():
+        met, found = alone, matched(alone)
+    else:
+        met = materialise(alone.unionByName(visits(asked, True)), "first-visits")
+        first = materialise(matched(met), "first-matches")
+        kth = best(first).where(F.col("rank") == k).select(*keys, "q_id", F.col("sim").alias("kth"))
+        open_ = asked.join(kth, [*keys, "q_id"], "left").fillna(-2.0, ["kth"])
+        rest = materialise(visits(open_, False), "later-visits")
+        met, found = met.unionByName(rest), first.unionByName(matched(rest))
+    if report is not None:
+        report["visited"] = met.count()
+        report["pairs"] = queries.join(stats.select(*keys), keys).count()
+    return best(found).select(*keys, "q_id", "h_id", "h_ord", "sim", "rank")
 
 
 def candidate_counts(queries: DataFrame) -> DataFrame:

@@ -208,7 +208,7 @@ def similar_vectors(spark, sf):
     )
     queries = vec.select("universe", F.col("vec_id").alias("q_id"), F.col("v").alias("q_vec"), (F.col("vec_id") - 1).alias("cutoff"))
     history = vec.select("universe", F.col("vec_id").alias("h_id"), F.col("vec_id").alias("h_ord"), F.col("v").alias("h_vec"))
-    return an.top_k_similar(queries, history, ["universe"]).select("q_id", "h_id", "sim", "rank")
+    return an.top_k_similar(queries, history, ["universe"], block=128).select("q_id", "h_id", "sim", "rank")
 
 
 @query(
