@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window, functions as F
 
 from tidemark.operators import align, analogs as an, portfolio as pf, returns
-from tidemark.operators.scans import framed, numbered, running, smaller_before
+from tidemark.operators.scans import framed, numbered, running, scanned, smaller_before
 
 
 def skewed(spark, n=3000):
@@ -43,6 +43,26 @@ def test_running_keeps_null_keys_and_times(spark):
     assert sorted(map(tuple, got.select("id", "s", "p").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
+def test_scanned_equals_plain_windows_with_one_hot_time(spark):
+    """A third of all rows on one key, half of them at one time: blocks are cut by row count."""
+    df = skewed(spark).withColumn("t", F.when((F.col("k") == "hot") & (F.col("id") % 2 == 0), 7).otherwise(F.col("t")))
+    df = df.withColumn("k", F.when(F.col("k") != "5", F.col("k")))
+    v = F.col("v")
+    kinds = ("sum", "max", "first", "prev", "last", "last_before", "next")
+    got = scanned(df, ["k"], [F.col("t"), F.col("id")], {kind: (kind, v) for kind in kinds}, block=50)
+    w = Window.partitionBy("k").orderBy("t", "id")
+    far, past, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing)
+    want = df.select(
+        F.col("id").alias("i"), F.coalesce(F.sum("v").over(far), F.lit(0.0)).alias("w_sum"), F.max("v").over(far).alias("w_max"), F.first("v").over(far).alias("w_first"), F.lag("v").over(w).alias("w_prev"),
+        F.last("v", True).over(far).alias("w_last"), F.last("v", True).over(past).alias("w_last_before"), F.first("v", True).over(ahead).alias("w_next"),
+    )
+    both = got.join(want, F.col("id") == F.col("i"))
+    assert both.count() == df.count()
+    assert both.where(F.abs(F.col("sum") - F.col("w_sum")) > 1e-9).count() == 0
+    for kind in kinds[1:]:
+        assert both.where(~F.col(kind).eqNullSafe(F.col(f"w_{kind}"))).count() == 0, kind
+
+
 def test_framed_equals_plain_window(spark):
     df = skewed(spark)
     got = framed(df, ["k"], [F.col("t"), F.col("id")], F.floor(F.col("t") / 50), 20, {"a": lambda w: F.avg("v").over(w)}, block=64)
@@ -60,7 +80,7 @@ def test_fifo_against_a_queue(spark):
     import datetime as dt
 
     df = spark.createDataFrame([(k, i, s, q, p, dt.date(2020, 1, 1) + dt.timedelta(days=i)) for k, i, s, q, p in trades], "k STRING, i BIGINT, side STRING, qty DOUBLE, price DOUBLE, date DATE")
-    got = sorted((r.k, r.entry_price, r.exit_price, r.qty) for r in pf.match_fifo(df, ["k"], ["i"], F.floor(F.col("i") / 40), width=50.0).collect())
+    got = sorted((r.k, r.entry_price, r.exit_price, r.qty) for r in pf.match_fifo(df, ["k"], ["i"]).collect())
     want = []
     for key in {t[0] for t in trades}:
         buys = [[q, p] for k, _, s, q, p in trades if k == key and s == "buy"]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import dates
-from tidemark.operators.scans import numbered, running, smaller_before
+from tidemark.operators.scans import numbered, scanned, smaller_before
 
 #: Indicator built from each series, whether it is a 12-row percent change, spine priority.
 INDICATORS = {
@@ -200,16 +200,14 @@ def asof_backward(
     left_time: str,
     right_time: str,
     values: list[str],
-    bucket_days: int = 366,
 ) -> DataFrame:
     """Latest right row at or before each left row: adds ``matched_time`` and the right values.
 
-    One union and one carried scan over (key, time bucket); no range join.
+    One union and one scan that cuts a key by row count; no range join.
     """
     both = _asof_union(left, right, keys, left_time, right_time, values)
-    order = [F.col("_t"), F.col("_tag"), F.xxhash64("_left")]
-    bucket = F.floor(F.col("_day") / bucket_days)
-    found = running(both, keys, order, bucket, {"_hit": ("last", F.col("_right"))}, cut=True).where("_tag = 1")
+    order = [F.col("_t"), F.col("_tag"), F.xxhash64("_left"), F.monotonically_increasing_id()]
+    found = scanned(both, keys, order, {"_hit": ("last", F.col("_right"))}).where("_tag = 1")
     return found.select("_left.*", F.col("_hit.time").alias("matched_time"), *[F.col(f"_hit.{v}").alias(v) for v in values])
 
 
@@ -221,15 +219,15 @@ def asof_nearest(
     right_time: str,
     values: list[str],
     tolerance_days: int,
-    bucket_days: int = 366,
 ) -> DataFrame:
-    """Nearest right row within an inclusive tolerance in days; an exact tie takes the later row."""
+    """Nearest right row within an inclusive tolerance in days; an exact tie takes the later row.
+
+    Both neighbours come from one scan: right rows of a day stand before its left rows, so the row behind is at most that day,
+    and the one ahead is after it.
+    """
     both = _asof_union(left, right, keys, left_time, right_time, values)
-    day, bucket = F.col("_day"), F.floor(F.col("_day") / bucket_days)
-    unique = F.xxhash64("_left")
-    past = running(both, keys, [day, F.col("_tag"), unique], bucket, {"_past": ("last", F.col("_right"))}, cut=True)
-    ahead_of = {"_next": ("last", F.col("_right"))}
-    found = running(past, keys, [-day, F.col("_tag"), unique], -bucket, ahead_of, cut=True).where("_tag = 1")
+    order = [F.col("_day"), F.col("_tag"), F.xxhash64("_left"), F.monotonically_increasing_id()]
+    found = scanned(both, keys, order, {"_past": ("last", F.col("_right")), "_next": ("next", F.col("_right"))}).where("_tag = 1")
     back = F.datediff(F.col("_t").cast("date"), F.col("_past.time").cast("date"))
     ahead = F.datediff(F.col("_next.time").cast("date"), F.col("_t").cast("date"))
     take_next = F.col("_next").isNotNull() & (F.col("_past").isNull() | (ahead <= back))

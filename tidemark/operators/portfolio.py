@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.config import ASSET_CLASS_NAMES, KNOWN_LAYERS, LIMITS, SECTOR_NAMES
 from tidemark.functions import labels as L
-from tidemark.operators.scans import framed, running
+from tidemark.operators.scans import framed, numbered, running, scanned
 from tidemark.session import materialise
 
 
@@ -338,25 +338,17 @@ def limit_reset(limit: Column, ask: Column, tolerance: float = 5.0, markup: floa
     return F.when(ask.isNotNull() & (deviation > tolerance), ask * markup).otherwise(limit)
 
 
-def match_fifo(trades: DataFrame, keys: list[str], order: list[str], bucket: Column, width: float = 10000.0) -> DataFrame:
+def match_fifo(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First-in first-out matching of sells to buys.
 
     Buys and sells lie on one axis of cumulative quantity; the axis is cut at every boundary of either side and each
     piece belongs to the next buy and the next sell. Pieces number at most buys plus sells, and no pair is formed that
-    does not overlap. ``order`` names numeric columns that put the trades of a key in sequence.
+    does not overlap. ``order`` names numeric columns that put the trades of a key in sequence. One scan sums the
+    quantities, one looks back and ahead on the axis.
     """
     buy = F.col("side") == "buy"
-    cum = running(
-        trades,
-        keys,
-        [F.col(c) for c in order],
-        bucket,
-        {
-            "_b": ("sum", F.when(buy, F.col("qty")).otherwise(0.0)),
-            "_s": ("sum", F.when(buy, 0.0).otherwise(F.col("qty"))),
-        },
-        cut=True,
-    )
+    sums = {"_b": ("sum", F.when(buy, F.col("qty")).otherwise(0.0)), "_s": ("sum", F.when(buy, 0.0).otherwise(F.col("qty")))}
+    cum = scanned(trades, keys, [F.col(c) for c in order], sums)
     info = F.struct("date", "price")
     cut = cum.select(
         *keys,
@@ -366,10 +358,8 @@ def match_fifo(trades: DataFrame, keys: list[str], order: list[str], bucket: Col
         F.when(~buy, info).alias("_sell"),
     )
     place = [F.col("_point"), *[F.col(c) for c in order]]
-    slot = F.floor(F.col("_point") / width)
-    start = running(cut, keys, place, slot, {"_from": ("prev", F.col("_point"))}, cut=True)
-    following = {"_entry": ("last", F.col("_buy")), "_exit": ("last", F.col("_sell"))}
-    matched = running(start, keys, [-c for c in place], -slot, following, cut=True)
+    ends = {"_from": ("prev", F.col("_point")), "_entry": ("next", F.col("_buy")), "_exit": ("next", F.col("_sell"))}
+    matched = scanned(cut, keys, place, ends)
     qty = F.col("_point") - F.coalesce("_from", F.lit(0.0))
     gain = F.col("_exit.price") - F.col("_entry.price")
     return matched.where(F.col("_entry").isNotNull() & F.col("_exit").isNotNull() & (qty > 0)).select(
@@ -388,21 +378,17 @@ def match_fifo(trades: DataFrame, keys: list[str], order: list[str], bucket: Col
 def duplicate_orders(orders: DataFrame, keys: list[str], ts: str, tie: str, hours: int = 24, pending: Column | None = None) -> DataFrame:
     """Orders repeating an identical one within ``hours`` that is still ``pending``; without that column all are."""
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    order, day = [at, F.col(tie)], F.col(ts).cast("date")
-    # The latest pending order up to each row, and of that the one a row earlier: the row itself does not count.
-    latest = running(orders, keys, order, day, {"_open": ("last", at if pending is None else F.when(pending, at))})
-    scan = running(latest, keys, order, day, {"_prev": ("prev", F.col("_open"))})
+    # The latest pending order before each row: the row itself does not count.
+    scan = scanned(orders, keys, [at, F.col(tie)], {"_prev": ("last_before", at if pending is None else F.when(pending, at))})
     gap = (at - F.col("_prev")) / 3600000000
     return scan.select(*orders.columns, F.coalesce(gap <= hours, F.lit(False)).alias("duplicate"))
 
 
-def retry_count(orders: DataFrame, keys: list[str], at: Column, tie: str, bucket: Column, filled: Column) -> DataFrame:
-    """Unfilled submissions of the same key since its last fill, before this order."""
-    order, open_one = [at, F.col(tie)], F.when(filled, 0).otherwise(1).cast("bigint")
-    counted = running(orders, keys, order, bucket, {"_u": ("sum", open_one)})
-    settled = running(counted, keys, order, bucket, {"_base": ("last", F.when(filled, F.col("_u")))}, cut=True)
-    # The base of a filled row is its own, so the row before it decides how many attempts preceded it.
-    before = running(settled, keys, order, bucket, {"_before": ("prev", F.col("_base"))}, cut=True)
-    return before.select(
-        *orders.columns, (F.col("_u") - open_one - F.coalesce("_before", F.lit(0))).cast("bigint").alias("retry_count")
-    )
+def retry_count(orders: DataFrame, keys: list[str], at: Column, tie: str, filled: Column) -> DataFrame:
+    """Unfilled submissions of the same key since its last fill, before this order.
+
+    All rows between a fill and the next one are unfilled, so they are counted by the distance of two positions.
+    """
+    placed = numbered(orders.select("*", at.alias("_at")), keys, ["_at", tie], "_place")
+    scan = scanned(placed, keys, [F.col("_place")], {"_fill": ("last_before", F.when(filled, F.col("_place")))})
+    return scan.select(*orders.columns, (F.col("_place") - 1 - F.coalesce("_fill", F.lit(0))).cast("bigint").alias("retry_count"))

@@ -3,7 +3,7 @@
 A window over ``partitionBy(key).orderBy(time)`` puts a whole key into one task. Where a key may hold an unbounded
 number of rows (events of one account, orders of one symbol) these helpers cut it into time buckets: totals per
 (key, bucket) are aggregated map-side first, carried across the few buckets of a key, and the row-level window runs
-per (key, bucket). Results equal the plain window.
+per (key, bucket). Where even a time bucket may be unbounded, :func:`scanned` cuts by row count. Results equal the plain window.
 """
 
 from __future__ import annotations
@@ -106,6 +106,59 @@ def running(
     return joined.select(*df.columns, *result)
 
 
+#: Rows of a key that one task scans at once.
+BLOCK_ROWS = 1 << 16
+
+
+def scanned(df: DataFrame, keys: list[str], order: list[Column], specs: dict[str, tuple[str, Column]], block: int = BLOCK_ROWS) -> DataFrame:
+    """Add running columns in both directions, with any number of rows per key and time.
+
+    ``specs`` maps a name to (kind, column): ``sum`` up to the row, ``max`` up to it, ``first`` value of the key, ``prev`` value
+    one row earlier, ``last`` non-null value up to the row, ``last_before`` the one before it, ``next`` non-null value from the
+    row on. ``order`` makes rows unique within a key. Rows are numbered per key (:func:`numbered`, one write) and cut into blocks
+    by row count. Totals per block are carried over the blocks of a key, and all windows share the one exchange by block.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    work = df.select("*", *[c.alias(n) for c, n in zip(order, names, strict=True)], *[c.alias(f"_v_{n}") for n, (_, c) in specs.items()])
+    rows = numbered(work, keys, names, "_n").withColumn("_b", F.expr(f"(_n - 1) div {block}"))
+    position = F.col("_n")
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*keys, "_b").orderBy("_n")
+    so_far = inner.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = inner.rowsBetween(Window.unboundedPreceding, -1)
+    from_here = inner.rowsBetween(0, Window.unboundedFollowing)
+    totals, carries, results = [], [], []
+    for name, (kind, _) in specs.items():
+        value, total, carried = F.col(f"_v_{name}"), F.col(f"_t_{name}"), F.col(f"_c_{name}")
+        known = F.when(value.isNotNull(), position)
+        if kind == "sum":
+            parts = F.sum(value), F.coalesce(F.sum(total).over(before), F.lit(0)), carried + F.coalesce(F.sum(value).over(so_far), F.lit(0))
+        elif kind == "max":
+            parts = F.max(value), F.max(total).over(before), F.greatest(carried, F.max(value).over(so_far))
+        elif kind == "first":
+            parts = F.min_by(F.struct(value.alias("v")), position), F.first(total).over(before), F.when(carried.isNotNull(), carried["v"]).otherwise(F.first(value).over(so_far))
+        elif kind == "prev":
+            parts = F.max_by(F.struct(value.alias("v")), position), F.last(total).over(before), F.when(F.row_number().over(inner) == 1, carried["v"]).otherwise(F.lag(value).over(inner))
+        elif kind == "last":
+            parts = F.max_by(value, known), F.last(total, ignorenulls=True).over(before), F.coalesce(F.last(value, ignorenulls=True).over(so_far), carried)
+        elif kind == "last_before":
+            parts = F.max_by(value, known), F.last(total, ignorenulls=True).over(before), F.coalesce(F.last(value, ignorenulls=True).over(earlier), carried)
+        elif kind == "next":
+            parts = F.min_by(value, known), F.last(total, ignorenulls=True).over(after), F.coalesce(F.first(value, ignorenulls=True).over(from_here), carried)
+        else:
+            raise ValueError(f"unknown kind {kind!r}")
+        totals.append(parts[0].alias(f"_t_{name}"))
+        carries.append(parts[1].alias(f"_c_{name}"))
+        results.append(parts[2].alias(name))
+    renamed = {k: f"_k{i}" for i, k in enumerate(keys)} | {"_b": "_kb"}
+    carried = rows.groupBy(*keys, "_b").agg(*totals).select(*keys, "_b", *carries).withColumnsRenamed(renamed)
+    same = F.lit(True)
+    for own, other in renamed.items():
+        same = same & F.col(own).eqNullSafe(F.col(other))
+    return rows.join(carried, same).select(*df.columns, *results)
+
+
 def framed(
     df: DataFrame,
     keys: list[str],

@@ -570,7 +570,7 @@ def fifo_matches(spark, sf):
         F.unix_date("day").alias("_day"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
     )
-    return pf.match_fifo(lots, ["entity_id", "symbol"], b.LINE_ORDER, F.trunc("date", "month"))
+    return pf.match_fifo(lots, ["entity_id", "symbol"], b.LINE_ORDER)
 
 
 @query(
@@ -598,5 +598,5 @@ def duplicate_orders(spark, sf):
 def retry_counts(spark, sf):
     filled = F.col("event_type") == "purchase"
     at, tie = b.event_order()
-    out = pf.retry_count(b.events(spark, sf), ["account_id"], at, "event_id", F.col("day"), filled)
+    out = pf.retry_count(b.events(spark, sf), ["account_id"], at, "event_id", filled)
     return out.select("account_id", "event_id", "event_type", filled.alias("filled"), "retry_count")
