@@ -1,7 +1,7 @@
 """Decision tables: templates, limits, reconciliation, gates, verdicts, forecasts.
 
-Windows here run over an account's target list or an entity's months, both bounded by the number of instruments or
-periods; anything at event grain uses :mod:`tidemark.operators.scans`.
+Windows here run over the sectors of an account or the months of an entity, both bounded by their nature; positions of an
+account and anything at event grain use :mod:`tidemark.operators.scans`.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.config import LIMITS, MIN_CASH_SYMBOL, TEMPLATE_TOTAL, TEMPLATES, TILT_GROUPS, TILTS
 from tidemark.functions import labels as L
+from tidemark.operators.scans import scanned
 
 
 def template_rows(families: DataFrame, family: str = "regime", liquidity: str = "liquidity_binary") -> DataFrame:
@@ -63,24 +64,33 @@ def halve_avoided(template: DataFrame, avoided: DataFrame) -> DataFrame:
 
 
 def apply_limits(target: DataFrame, account: str = "account_id") -> DataFrame:
-    """Position, sector, overlay and cash limits in that order, each a proportional scale-down; logs what it touched."""
-    acc = Window.partitionBy(account)
-    equity = F.col("sector").isNotNull()
-    one = F.lit(1.0)
-    step = target.select("*", F.least(F.col("target_pct"), F.lit(LIMITS["position"])).alias("_p1"))
-    total_equity = F.sum(F.when(equity, F.col("_p1"))).over(acc)
-    sector_sum = F.sum("_p1").over(Window.partitionBy(account, "sector"))
-    cut = F.when(equity, F.least(one, F.try_divide(total_equity * LIMITS["sector"] / 100, sector_sum))).otherwise(one)
-    step = step.select("*", (F.col("_p1") * cut).alias("_p2"))
-    thesis = F.col("thesis") != ""
-    overlay = F.sum(F.when(thesis, F.col("_p2")).otherwise(0.0)).over(acc)
-    step = step.select("*", F.when(thesis, F.col("_p2") * F.least(one, F.try_divide(F.lit(LIMITS["overlay"]), overlay))).otherwise(F.col("_p2")).alias("_p3"))
-    total = F.sum("_p3").over(acc)
-    step = step.select("*", (F.col("_p3") * F.least(one, F.try_divide(F.lit(100 - LIMITS["cash"]), total))).alias("limited_pct"))
+    """Position, sector, overlay and cash limits in that order, each a proportional scale-down; logs what it touched.
+
+    Every scale follows from the sums per (account, sector), which are made map-side; windows see sectors only, so an account may
+    hold any number of positions.
+    """
+    one, thesis = F.lit(1.0), F.col("thesis") != ""
+    capped = target.select("*", F.least(F.col("target_pct"), F.lit(LIMITS["position"])).alias("_p1"))
+    sums = capped.groupBy(F.col(account).alias("_acc"), F.col("sector").alias("_sec")).agg(
+        F.sum("_p1").alias("_all"), F.coalesce(F.sum(F.when(thesis, F.col("_p1"))), F.lit(0.0)).alias("_tilt")
+    )
+    acc, equity = Window.partitionBy("_acc"), F.col("_sec").isNotNull()
+    total_equity = F.sum(F.when(equity, F.col("_all"))).over(acc)
+    sector = F.when(equity, F.least(one, F.try_divide(total_equity * LIMITS["sector"] / 100, F.col("_all")))).otherwise(one)
+    step = sums.select("*", sector.alias("_cut"))
+    overlay = F.least(one, F.try_divide(F.lit(LIMITS["overlay"]), F.sum(F.col("_cut") * F.col("_tilt")).over(acc)))
+    step = step.select("*", overlay.alias("_over"))
+    step = step.select("*", (F.col("_cut") * (F.col("_all") - F.col("_tilt") + F.col("_tilt") * F.col("_over"))).alias("_p3s"))
+    step = step.select("*", F.least(one, F.try_divide(F.lit(100 - LIMITS["cash"]), F.sum("_p3s").over(acc))).alias("_cash"))
+    kept = F.when(equity, F.col("_p3s") * F.col("_cash"))
+    share = F.try_divide(kept, F.sum(kept).over(acc))
+    scales = step.select("_acc", "_sec", "_cut", "_over", "_cash", share.alias("_share"))
+    rows = capped.join(scales, F.col(account).eqNullSafe(F.col("_acc")) & F.col("sector").eqNullSafe(F.col("_sec")))
+    rows = rows.select("*", (F.col("_p1") * F.col("_cut")).alias("_p2"))
+    rows = rows.select("*", F.when(thesis, F.col("_p2") * F.col("_over")).otherwise(F.col("_p2")).alias("_p3"))
+    rows = rows.select("*", (F.col("_p3") * F.col("_cash")).alias("limited_pct"))
     less = lambda a, z: F.col(z) < F.col(a) - 1e-9
-    kept = F.when(equity, F.col("limited_pct"))
-    left = F.try_divide(F.sum(kept).over(Window.partitionBy(account, "sector")), F.sum(kept).over(acc))
-    return step.select(
+    return rows.select(
         *target.columns,
         "limited_pct",
         F.concat_ws(
@@ -90,7 +100,7 @@ def apply_limits(target: DataFrame, account: str = "account_id") -> DataFrame:
             F.when(less("_p2", "_p3"), "overlay"),
             F.when(less("_p3", "limited_pct"), "cash"),
         ).alias("corrections"),
-        F.coalesce(left > LIMITS["sector"] / 100 + 1e-6, F.lit(False)).alias("residual_sector"),
+        F.coalesce(F.col("_share") > LIMITS["sector"] / 100 + 1e-6, F.lit(False)).alias("residual_sector"),
     )
 
 
@@ -203,6 +213,35 @@ def retry_gate(orders: DataFrame) -> DataFrame:
     )
 
 
+#: Thesis states that count as a favourable signal when an order is tried again; all others count as neutral.
+STANDING = ("ACTIVE", "STRENGTHENING")
+#: Orders of these priorities (kill switch, drawdown) always go to market.
+FORCED_PRIORITY = 2
+
+
+def retry_signal(layer: Column, signal: Column, status: Column) -> Column:
+    """What a retry is judged by: the thesis status in a thesis layer, the regime's signal elsewhere; unknown is neutral."""
+    thesis = F.when(status.isin(*STANDING), "favor").otherwise("neutral")
+    return F.when(layer.startswith("thesis"), thesis).otherwise(F.coalesce(signal, F.lit("neutral")))
+
+
+def layered_retry_gate(orders: DataFrame) -> DataFrame:
+    """The retry gate by side and layer over ``retry_count, side, layer, signal, status, priority``.
+
+    Kill-switch and drawdown exits go to market at once. Below two expired attempts an order is tried again. From two on a
+    favourable signal is tried again with a wider limit; an exit on a bearish one goes to market, as open exposure cannot wait;
+    everything else, a buy on a bearish signal too, is skipped.
+    """
+    judged = retry_signal(F.col("layer"), F.col("signal"), F.col("status"))
+    forced = F.coalesce((F.col("priority") <= FORCED_PRIORITY) & (F.col("side") == "sell"), F.lit(False))
+    bearish = judged.isin("bear", "strong sell") & (F.col("side") == "sell")
+    gate = L.case(
+        (forced, "market"), (F.col("retry_count") < 2, "retry"), (bearish, "market"), (judged.isin("favor", "bull"), "retry"), default="skip"
+    )
+    tried = orders.select("*", judged.alias("judged_by"), gate.alias("gate"))
+    return tried.select("*", F.when(F.col("gate") == "retry", (F.col("retry_count") + 1) * LIMITS["buffer"]).alias("widen_pct"))
+
+
 def buying_power_scale(orders: DataFrame, account: str = "account_id") -> DataFrame:
     """All buys of an account scaled so their cost fits its cash."""
     total = orders.groupBy(account).agg(F.sum("cost").alias("_total"), F.max("cash").alias("_cash"))
@@ -212,9 +251,9 @@ def buying_power_scale(orders: DataFrame, account: str = "account_id") -> DataFr
 
 def drawdown_raise(positions: DataFrame, account: str, order: Sequence[str], pct: str, cash_pct: str) -> DataFrame:
     """Positions to close, lowest conviction first, until cash reaches its target."""
-    before = Window.partitionBy(account).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    raised = F.coalesce(F.sum(pct).over(before), F.lit(0.0)) + F.col(cash_pct)
-    return positions.select("*", raised.alias("cash_before"), (raised < LIMITS["raise_cash_to"]).alias("close"))
+    scan = scanned(positions, [account], [F.col(c) for c in order], {"_raised": ("sum_before", F.col(pct))})
+    raised = F.col("_raised") + F.col(cash_pct)
+    return scan.select(*positions.columns, raised.alias("cash_before"), (raised < LIMITS["raise_cash_to"]).alias("close"))
 
 
 def thesis_status(assumptions: DataFrame, key: str, as_of: str) -> DataFrame:
@@ -291,21 +330,15 @@ def capped_queue(candidates: DataFrame, key: str, ident: str, order: Sequence[Co
 
 def allocate_budget(orders: DataFrame, account: str, order: Sequence[str], structural: Column) -> DataFrame:
     """Turnover budget in priority order: structural entries are reserved first, the rest share what is left."""
-    w = Window.partitionBy(account, "_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    place = [F.col(c) for c in order]
     marked = orders.select("*", structural.alias("_s"))
-    first = marked.select("*", F.sum("turnover_pct").over(w).alias("_c"))
-    reserved = F.col("_s") & (F.col("_c") <= LIMITS["structural_reserve"])
-    held = first.select(*orders.columns, reserved.alias("reserved"))
-    acc = Window.partitionBy(account)
-    taken = F.coalesce(F.sum(F.when(F.col("reserved"), F.col("turnover_pct"))).over(acc), F.lit(0.0))
-    rest = F.sum(F.when(~F.col("reserved"), F.col("turnover_pct")).otherwise(0.0)).over(
-        acc.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return held.select("*", (taken + rest).alias("_cum")).select(
-        *orders.columns,
-        "reserved",
-        F.when(F.col("reserved") | (F.col("_cum") <= LIMITS["turnover"]), "execute").otherwise("skip").alias("decision"),
-    )
+    first = scanned(marked, [account], place, {"_c": ("sum", F.when(F.col("_s"), F.col("turnover_pct")))})
+    held = first.select(*orders.columns, (F.col("_s") & (F.col("_c") <= LIMITS["structural_reserve"])).alias("reserved"))
+    second = scanned(held, [account], place, {"_rest": ("sum", F.when(~F.col("reserved"), F.col("turnover_pct")))})
+    taken = held.groupBy(F.col(account).alias("_acc")).agg(F.coalesce(F.sum(F.when(F.col("reserved"), F.col("turnover_pct"))), F.lit(0.0)).alias("_taken"))
+    both = second.join(taken, F.col(account).eqNullSafe(F.col("_acc")))
+    fits = F.col("_taken") + F.col("_rest") <= LIMITS["turnover"]
+    return both.select(*orders.columns, "reserved", F.when(F.col("reserved") | fits, "execute").otherwise("skip").alias("decision"))
 
 
 def exposure_overlap(exposures: DataFrame, theses: DataFrame) -> DataFrame:

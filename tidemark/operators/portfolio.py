@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.config import ASSET_CLASS_NAMES, KNOWN_LAYERS, LIMITS, SECTOR_NAMES
 from tidemark.functions import labels as L
-from tidemark.operators.scans import framed, numbered, running, scanned
+from tidemark.operators.scans import framed, numbered, scanned
 from tidemark.session import materialise
 
 
@@ -18,10 +18,10 @@ def renamed(table: dict[str, str], key: Column) -> Column:
     return F.coalesce(F.try_element_at(names, key), key)
 
 
-def snapshot_returns(snaps: DataFrame, key: str, order: list[Column], bucket: Column, value: str) -> DataFrame:
+def snapshot_returns(snaps: DataFrame, key: str, order: list[Column], value: str) -> DataFrame:
     """Per snapshot: simple return, return since the first one, high-water mark and drawdown in percent."""
     v = F.col(value)
-    scan = running(snaps, [key], order, bucket, {"prev": ("prev", v), "first": ("first", v), "high": ("max", v)}, cut=True)
+    scan = scanned(snaps, [key], order, {"prev": ("prev", v), "first": ("first", v), "high": ("max", v)})
     return scan.select(
         *snaps.columns,
         F.when(F.col("prev") > 0, (v - F.col("prev")) / F.col("prev") * 100).alias("return_pct"),
@@ -245,6 +245,16 @@ def layer_contribution(positions: DataFrame) -> DataFrame:
     )
 
 
+def best_and_worst(positions: DataFrame, account: str, gain: str, symbol: str, best: int = 5, worst: int = 3) -> DataFrame:
+    """The ``best`` positions of an account by gain with their rank, and its ``worst`` ones; ties by symbol.
+
+    Ranks are positions by ranges of (account, gain), so an account of any size is spread over tasks.
+    """
+    ranked = numbered(positions.withColumn("_down", -F.round(gain, 6)), [account], ["_down", symbol], "rank")
+    both = numbered(ranked.withColumn("_up", -F.col("_down")), [account], ["_up", symbol], "_worst")
+    return both.where((F.col("rank") <= best) | (F.col("_worst") <= worst)).select(account, symbol, gain, "rank", (F.col("_worst") <= worst).alias("worst_three"))
+
+
 def unrealised_total(positions: DataFrame, snapshots: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Unrealised result per snapshot and its share of the portfolio value (0 when the value is not positive)."""
     total = positions.groupBy(*keys).agg(F.sum("unrealized_pl").alias("unrealized_pl"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -68,6 +69,110 @@ def violations(df: DataFrame, rules: list[tuple[Column, str]], keep: Sequence[st
     return df.select(*keep, F.explode(found).alias("violation"))
 
 
+#: Words of a text that stands in for real content.
+STUB_PHRASES = ("see thesis document", "see thesis doc", "see document")
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What a field of a nested record must be.
+
+    ``kind`` is ``string``, ``array`` or ``object``. ``values`` are the allowed strings; ``filled`` forbids blank strings and
+    empty arrays; ``fields`` are the rules of an object, or of every object in an array; ``stub`` names the inner field that must
+    not hold a stub phrase, in an object or in an array of a single object; ``any_of`` names fields of which an object needs one.
+    With ``of_class`` the rule holds for records of that class only, and ``present`` asks for no more than that the field exists.
+    """
+
+    name: str
+    kind: str = "string"
+    required: bool = True
+    values: tuple[str, ...] = ()
+    filled: bool = False
+    fields: tuple[Rule, ...] = ()
+    stub: str = ""
+    any_of: tuple[str, ...] = ()
+    of_class: str = ""
+    present: bool = False
+
+
+def _field(value: Column, name: str) -> Column:
+    """A field of a variant; JSON's null is no value."""
+    found = F.try_variant_get(value, f"$.{name}", "variant")
+    return F.when(~F.coalesce(F.is_variant_null(found), F.lit(True)), found)
+
+
+def _kind(value: Column) -> Column:
+    schema = F.schema_of_variant(value)
+    named = ((schema == "STRING", "string"), (schema.startswith("ARRAY"), "array"), (schema.startswith("OBJECT"), "object"), (schema == "BOOLEAN", "boolean"))
+    return L.case(*named, default="number")
+
+
+def _stub(value: Column, inner: str) -> Column:
+    text = F.lower(F.coalesce(F.try_variant_get(value, f"$.{inner}", "string"), F.lit("")))
+    found = F.lit(False)
+    for phrase in STUB_PHRASES:
+        found = found | text.contains(phrase)
+    return found
+
+
+def _problems(value: Column, rules: Sequence[Rule], of_class: Column, prefix: Column) -> Column:
+    """Array of what is wrong with an object, each with its path."""
+    out = []
+    for rule in rules:
+        child, path = _field(value, rule.name), F.concat(prefix, F.lit(rule.name))
+        say = lambda words, path=path: F.concat(path, F.lit(f" {words}"))
+        text = F.try_variant_get(child, "$", "string")
+        typed = child.isNotNull() & (_kind(child) == rule.kind)
+        found = []
+        if rule.required:
+            found.append(F.when(child.isNull(), say("is missing")))
+        if not rule.present:
+            found.append(F.when(child.isNotNull() & (_kind(child) != rule.kind), F.concat(say(f"must be {rule.kind}, got "), _kind(child))))
+        if rule.values:
+            found.append(F.when(typed & ~text.isin(*rule.values), F.concat(say("is not a valid value: "), text)))
+        members = F.coalesce(F.try_variant_get(F.when(typed, child), "$", "array<variant>"), F.array().cast("array<variant>")) if rule.kind == "array" else None
+        if rule.filled:
+            empty = F.size(members) == 0 if rule.kind == "array" else F.trim(text) == ""
+            found.append(F.when(typed & empty, say("is empty")))
+        if rule.stub:
+            stands_in = (F.size(members) == 1) & _stub(F.get(members, F.lit(0)), rule.stub) if rule.kind == "array" else _stub(child, rule.stub)
+            found.append(F.when(typed & stands_in, say("holds a placeholder")))
+        if rule.any_of:
+            neither = F.lit(True)
+            for name in rule.any_of:
+                inner = _field(child, name)
+                blank = F.trim(F.coalesce(F.try_variant_get(inner, "$", "string"), F.lit("x"))) == ""
+                hollow = F.coalesce(F.size(F.try_variant_get(inner, "$", "array<variant>")) == 0, F.lit(False))
+                neither = neither & (inner.isNull() | blank | hollow)
+            found.append(F.when(typed & neither, say("has neither " + " nor ".join(rule.any_of))))
+        every = F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+        if rule.fields and rule.kind == "object":
+            every = F.concat(every, F.when(typed, _problems(child, rule.fields, of_class, F.concat(path, F.lit(".")))).otherwise(F.array().cast("array<string>")))
+        if rule.fields and rule.kind == "array":
+            every = F.concat(every, F.flatten(F.transform(members, _member_problems(rule, path, of_class))))
+        out.append(F.when(of_class == rule.of_class, every).otherwise(F.array().cast("array<string>")) if rule.of_class else every)
+    return F.concat(*out)
+
+
+def _member_problems(rule: Rule, path: Column, of_class: Column):
+    """What is wrong with one object of an array."""
+
+    def check(x: Column, i: Column) -> Column:
+        at = F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
+        wrong = F.array(F.concat(at, F.lit(" must be object, got "), F.coalesce(_kind(x), F.lit("null"))))
+        return F.when(F.coalesce(_kind(x) == "object", F.lit(False)), _problems(x, rule.fields, of_class, F.concat(at, F.lit(".")))).otherwise(wrong)
+
+    return check
+
+
+def record_violations(df: DataFrame, record: str, rules: Sequence[Rule], of_class: Column, keep: Sequence[str]) -> DataFrame:
+    """One row per broken rule of the nested records in the JSON column ``record``; text that is no object breaks one rule."""
+    parsed = df.select("*", F.try_parse_json(record).alias("_record"), F.coalesce(of_class, F.lit("")).alias("_class"))
+    sound = F.coalesce(_kind(F.col("_record")) == "object", F.lit(False))
+    found = F.when(sound, _problems(F.col("_record"), rules, F.col("_class"), F.lit(""))).otherwise(F.array(F.lit("record is no object")))
+    return parsed.select(*keep, F.explode(found).alias("violation"))
+
+
 def fidelity(source: DataFrame, parsed: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """Item counts of a source and of what was parsed from it, with truncated items."""
     cut = F.col(text).endswith("...") | F.col(text).endswith("…")
@@ -133,14 +238,21 @@ def coordinate_consistency(regimes: DataFrame, eps: float = 0.15) -> DataFrame:
     return flags.select("*", (F.col("growth_ok") & F.col("inflation_ok") & F.col("liquidity_ok")).alias("consistent"))
 
 
-def companions(docs: DataFrame, records: DataFrame, key: str, as_of: str) -> DataFrame:
-    """Active documents without a companion record, or whose companion was not updated on the run date."""
-    joined = docs.join(records, key, "left")
+def companions(docs: DataFrame, records: DataFrame, key: str, as_of: str, only: str | None = None) -> DataFrame:
+    """Active documents without a companion record, or whose companion was not updated on the run date.
+
+    ``only`` restricts the check to the documents of one ``producer``; a producer without documents is itself a problem.
+    """
+    asked = docs if only is None else docs.where(F.col("producer") == only)
+    joined = asked.join(records, key, "left")
     missing = F.col("updated").isNull()
     problem = L.case((missing, "missing"), (F.col("updated") != as_of, "not updated"))
-    return joined.select(
-        key, F.coalesce("record_class", "doc_class", F.lit("unknown")).alias("class"), problem.alias("problem")
-    ).where(F.col("problem").isNotNull())
+    found = joined.select(key, F.coalesce("record_class", "doc_class", F.lit("unknown")).alias("class"), problem.alias("problem"))
+    found = found.where(F.col("problem").isNotNull())
+    if only is None:
+        return found
+    known = asked.agg(F.count("*").alias("_n")).where("_n = 0")
+    return found.unionByName(known.select(F.lit(None).cast(docs.schema[key].dataType).alias(key), F.lit("unknown").alias("class"), F.lit(f"unknown producer {only}").alias("problem")))
 
 
 def forecast_sanity(forecasts: DataFrame, limit: float = 0.2, slack: float = 0.01, keys: Sequence[str] = ("entity_id", "horizon")) -> DataFrame:

@@ -24,12 +24,11 @@ def running(
     order: list[Column],
     bucket: Column,
     specs: dict[str, tuple[str, Column]],
-    cut: bool = False,
 ) -> DataFrame:
     """Add running columns up to and including each row.
 
-    The rows are read twice, once for the totals and once for the scan. ``cut`` writes them to the shared folder first;
-    use it where they come out of joins or earlier scans, which would otherwise run again.
+    The rows are read twice, once for the totals and once for the scan; use :func:`scanned` where they come out of joins or
+    earlier scans, which would otherwise run again.
 
     ``specs`` maps an output name to (kind, column): ``sum``, ``count``, ``max`` accumulate; ``first`` is the first
     value of the key; ``prev`` the value one row earlier; ``last`` the latest non-null value so far.
@@ -42,8 +41,6 @@ def running(
         *[c.alias(n) for c, n in zip(order, order_names)],
         *[c.alias(f"_v_{n}") for n, (_, c) in specs.items()],
     )
-    if cut:
-        work = materialise(work, "scan")
     position = F.struct(*order_names)
     totals = []
     for name, (kind, _) in specs.items():
@@ -113,7 +110,7 @@ BLOCK_ROWS = 1 << 16
 def scanned(df: DataFrame, keys: list[str], order: list[Column], specs: dict[str, tuple[str, Column]], block: int = BLOCK_ROWS) -> DataFrame:
     """Add running columns in both directions, with any number of rows per key and time.
 
-    ``specs`` maps a name to (kind, column): ``sum`` up to the row, ``max`` up to it, ``first`` value of the key, ``prev`` value
+    ``specs`` maps a name to (kind, column): ``sum`` up to the row, ``sum_before`` it, ``max`` up to it, ``first`` value of the key, ``prev`` value
     one row earlier, ``last`` non-null value up to the row, ``last_before`` the one before it, ``next`` non-null value from the
     row on. ``order`` makes rows unique within a key. Rows are numbered per key (:func:`numbered`, one write) and cut into blocks
     by row count. Totals per block are carried over the blocks of a key, and all windows share the one exchange by block.
@@ -134,6 +131,8 @@ def scanned(df: DataFrame, keys: list[str], order: list[Column], specs: dict[str
         known = F.when(value.isNotNull(), position)
         if kind == "sum":
             parts = F.sum(value), F.coalesce(F.sum(total).over(before), F.lit(0)), carried + F.coalesce(F.sum(value).over(so_far), F.lit(0))
+        elif kind == "sum_before":
+            parts = F.sum(value), F.coalesce(F.sum(total).over(before), F.lit(0)), carried + F.coalesce(F.sum(value).over(earlier), F.lit(0))
         elif kind == "max":
             parts = F.max(value), F.max(total).over(before), F.greatest(carried, F.max(value).over(so_far))
         elif kind == "first":

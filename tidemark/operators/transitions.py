@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -116,19 +116,21 @@ def sample_windows(
 ) -> DataFrame:
     """Repeat rows for the full sample and for the rows since a date; short windows are left out.
 
-    ``valid_8`` tells whether any of the first 20 labels of the window carries its liquidity side.
+    ``valid_8`` tells whether any label of the window carries its liquidity side.
     """
     names = F.array_compact(F.array(F.lit("full"), F.when(F.col(time) >= F.lit(since).cast("date"), F.lit("recent"))))
     spread = df.select("*", F.explode(names).alias("sample"))
     per = Window.partitionBy(*keys, "sample")
-    rank = F.count(label8).over(per.orderBy(time).rowsBetween(Window.unboundedPreceding, 0))
-    marked = spread.select(
-        "*", F.count("*").over(per).alias("_rows"), (F.col(label8).isNotNull() & (rank <= 20)).alias("_head")
-    )
-    valid = F.max(F.col("_head") & L.has_liquidity_suffix(F.col(label8))).over(per)
-    return marked.where(F.col("_rows") >= min_rows).select("*", F.coalesce(valid, F.lit(False)).alias("valid_8")).drop(
-        "_rows", "_head"
-    )
+    valid = F.coalesce(F.max(L.has_liquidity_suffix(F.col(label8))).over(per), F.lit(False))
+    marked = spread.select("*", F.count("*").over(per).alias("_rows"), valid.alias("valid_8"))
+    return marked.where(F.col("_rows") >= min_rows).drop("_rows")
+
+
+def by_label_set(sampled: DataFrame, statistic: Callable[[DataFrame, str], DataFrame], label4: str = "regime", label8: str = "regime_8") -> DataFrame:
+    """``statistic(rows, label)`` over the four-part labels of every sample, and over the eight-part ones of valid samples."""
+    four = statistic(sampled, label4).withColumnRenamed(label4, "label").withColumn("label_set", F.lit(4))
+    eight = statistic(sampled.where("valid_8"), label8).withColumnRenamed(label8, "label").withColumn("label_set", F.lit(8))
+    return four.unionByName(eight)
 
 
 def dedupe_latest(hist: DataFrame, keys: Sequence[str], ingest: str) -> DataFrame:

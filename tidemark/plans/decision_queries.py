@@ -331,12 +331,38 @@ _CONVICTION = {"view": "neutral", "click": "favor", "signup": "bull", "error": "
 )
 def retry_gate(spark, sf):
     at, _ = b.event_order()
-    counted = pf.retry_count(b.events(spark, sf), ["account_id"], at, "event_id", F.col("day"), F.col("event_type") == "purchase")
+    counted = pf.retry_count(b.events(spark, sf), ["account_id"], at, "event_id", F.col("event_type") == "purchase")
     names = F.create_map(*[F.lit(x) for item in _CONVICTION.items() for x in item])
     orders = counted.select("account_id", "event_id", "retry_count", F.coalesce(names[F.col("event_type")], F.lit("neutral")).alias("conviction"))
     return dc.retry_gate(orders).drop("conviction")
 
 
+@query(
+    "layered_retry_gate",
+    "PF-7",
+    """SELECT account_id, event_id, judged_by, gate, CASE WHEN gate = 'retry' THEN (retry_count + 1) * 0.3::DOUBLE END AS widen_pct FROM (SELECT *, CASE WHEN priority
+    <= 2 AND side = 'sell' THEN 'market' WHEN retry_count < 2 THEN 'retry' WHEN judged_by IN ('bear', 'strong sell') AND side = 'sell' THEN 'market' WHEN judged_by IN
+    ('favor', 'bull') THEN 'retry' ELSE 'skip' END AS gate FROM (SELECT *, CASE WHEN event_id % 3 > 0 THEN CASE WHEN event_id % 4 < 2 THEN 'favor' ELSE 'neutral' END
+    ELSE coalesce(signal, 'neutral') END AS judged_by FROM (SELECT account_id, event_id, event_id % 7 AS priority, CASE WHEN event_id % 2 = 0 THEN 'sell' ELSE 'buy' END
+    AS side, CASE event_type WHEN 'error' THEN 'bear' WHEN 'click' THEN 'favor' WHEN 'signup' THEN 'bull' WHEN 'view' THEN 'avoid' END AS signal, CAST(cum - open -
+    coalesce(max(base) OVER (PARTITION BY account_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS retry_count FROM (SELECT *,
+    CASE WHEN open = 0 THEN cum END AS base FROM (SELECT *, sum(open) OVER (PARTITION BY account_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS cum FROM (SELECT
+    CAST(user_id AS VARCHAR) AS account_id, event_id, ts, event_type, CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END AS open FROM events))))))""",
+    "widen_pct",
+)
+def layered_retry_gate(spark, sf):
+    at, _ = b.event_order()
+    counted = pf.retry_count(b.events(spark, sf), ["account_id"], at, "event_id", F.col("event_type") == "purchase")
+    n, signals = F.col("event_id"), F.create_map(*[F.lit(x) for x in ("error", "bear", "click", "favor", "signup", "bull", "view", "avoid")])
+    orders = counted.select(
+        "account_id", "event_id", "retry_count", F.when(n % 2 == 0, "sell").otherwise("buy").alias("side"), (n % 7).alias("priority"),
+        F.element_at(F.array(*[F.lit(x) for x in ("regime", "thesis_tactical", "thesis_structural")]), (n % 3 + 1).cast("int")).alias("layer"),
+        F.element_at(F.array(*[F.lit(x) for x in ("ACTIVE", "STRENGTHENING", "WEAKENING", "APPROACHING")]), (n % 4 + 1).cast("int")).alias("status"),
+        F.try_element_at(signals, F.col("event_type")).alias("signal"),
+    )
+    return dc.layered_retry_gate(orders).select("account_id", "event_id", "judged_by", "gate", "widen_pct")
+
+
 @query(
     "buying_power_scale",
     "PF-8",

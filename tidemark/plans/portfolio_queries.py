@@ -29,7 +29,7 @@ cte(
 
 
 def _returns(spark, sf):
-    return pf.snapshot_returns(b.snapshots(spark, sf), "account_id", b.event_order(), F.col("day"), "portfolio_value")
+    return pf.snapshot_returns(b.snapshots(spark, sf), "account_id", b.event_order(), "portfolio_value")
 
 
 @query(
@@ -401,14 +401,7 @@ def unrealised_total(spark, sf):
     "unrealized_pl",
 )
 def pnl_ranking(spark, sf):
-    from pyspark.sql import Window
-
-    held = b.positions(spark, sf).select("account_id", "symbol", "unrealized_pl", F.round("unrealized_pl", 6).alias("_p"))
-    w = Window.partitionBy("account_id")
-    ranked = held.select(
-        "*", F.row_number().over(w.orderBy(F.col("_p").desc(), "symbol")).alias("rank"), F.row_number().over(w.orderBy("_p", "symbol")).alias("_w")
-    )
-    return ranked.where("rank <= 5 OR _w <= 3").select("account_id", "symbol", "unrealized_pl", "rank", (F.col("_w") <= 3).alias("worst_three"))
+    return pf.best_and_worst(b.positions(spark, sf), "account_id", "unrealized_pl", "symbol")
 
 
 @query(

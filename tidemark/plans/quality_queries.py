@@ -246,6 +246,68 @@ def companion_check(spark, sf):
     return ql.companions(docs, records, "doc_id", "2024-01-30")
 
 
+@query(
+    "companion_check_of_one",
+    "FLT-15",
+    """SELECT doc_id, coalesce(CASE quality WHEN 1 THEN 'structural' WHEN 0 THEN 'tactical' END, lang, 'unknown') AS class, CASE WHEN quality IS NULL THEN
+    'missing' ELSE 'not updated' END AS problem FROM documents LEFT JOIN labels USING (doc_id) WHERE source = 'src3' AND (quality IS NULL OR toxic = 1)
+    UNION ALL SELECT -1, 'unknown', 'unknown producer nobody'""",
+)
+def companion_check_of_one(spark, sf):
+    docs = b.table(spark, sf, "documents").select("doc_id", F.col("lang").alias("doc_class"), F.col("source").alias("producer"))
+    records = b.table(spark, sf, "labels").select(
+        "doc_id",
+        F.when(F.col("quality") == 1, "structural").when(F.col("quality") == 0, "tactical").alias("record_class"),
+        F.when(F.col("toxic") == 1, "2024-01-01").otherwise("2024-01-30").alias("updated"),
+    )
+    return ql.companions(docs, records, "doc_id", "2024-01-30", "src3").unionByName(ql.companions(docs, records, "doc_id", "2024-01-30", "nobody")).fillna(-1, ["doc_id"])
+
+
+#: One nested record per part, as text that both engines build alike; the remainders of the key break one rule each.
+_RECORD_SQL = """concat('{"name": ', CASE WHEN p_partkey % 11 = 0 THEN '7' ELSE concat('"', p_brand, '"') END, CASE WHEN p_partkey % 13 = 0 THEN '' ELSE concat(',
+    "conviction": "', CASE WHEN p_partkey % 5 = 0 THEN ' ' ELSE 'High' END, '"') END, ', "mechanism": ', CASE p_partkey % 4 WHEN 0 THEN 'null' WHEN 1 THEN
+    '[{"link": "See document"}]' WHEN 2 THEN '"rates fall"' ELSE '[{"link": "rates fall"}, {"link": "prices rise"}]' END, ', "assumptions": ', CASE p_partkey % 6
+    WHEN 0 THEN '[]' WHEN 1 THEN '[3, {"text": "a", "status": "intact"}]' WHEN 2 THEN '[{"status": "odd"}]' WHEN 3 THEN '[{"text": "See document", "status":
+    "broken"}]' ELSE '[{"text": "a", "status": "intact"}, {"text": "b"}]' END, ', "trade": ', CASE p_partkey % 3 WHEN 0 THEN '{"how_long": null}' WHEN 1 THEN
+    '{"when_to_get_out": "x", "how_long": "y", "when_to_buy": "z"}' ELSE '[1]' END, CASE p_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN ', "stress": {"risks": [],
+    "counter": ""}' WHEN 2 THEN ', "stress": {"primary": "see document"}' ELSE ', "stress": {"counter": "demand"}' END, '}')"""
+_RECORD_RULES = (
+    ql.Rule("name"),
+    ql.Rule("conviction", filled=True),
+    ql.Rule("mechanism", "array", stub="link"),
+    ql.Rule("assumptions", "array", filled=True, stub="text", fields=(ql.Rule("text", present=True), ql.Rule("status", values=("intact", "weakening", "broken")))),
+    ql.Rule("trade", "object", fields=(ql.Rule("when_to_get_out", present=True), ql.Rule("how_long", present=True), ql.Rule("when_to_buy", present=True, of_class="structural"))),
+    ql.Rule("stress", "object", stub="primary", any_of=("counter", "risks"), of_class="structural"),
+)
+
+
+@query(
+    "record_violations",
+    "FLT-9",
+    f"""SELECT p_partkey, unnest(list_filter(list_concat([CASE WHEN p_partkey % 11 = 0 THEN 'name must be string, got number' END, CASE WHEN p_partkey % 13 = 0 THEN
+    'conviction is missing' WHEN trim(json_extract_string(r, '$.conviction')) = '' THEN 'conviction is empty' END, CASE WHEN coalesce(json_type(r, '$.mechanism'), 'NULL')
+    = 'NULL' THEN 'mechanism is missing' WHEN json_type(r, '$.mechanism') <> 'ARRAY' THEN 'mechanism must be array, got string' WHEN json_array_length(r, '$.mechanism') = 1
+    AND contains(lower(json_extract_string(r, '$.mechanism[0].link')), 'see document') THEN 'mechanism holds a placeholder' END, CASE WHEN json_array_length(r,
+    '$.assumptions') = 0 THEN 'assumptions is empty' END, CASE WHEN json_array_length(r, '$.assumptions') = 1 AND contains(lower(coalesce(json_extract_string(r,
+    '$.assumptions[0].text'), '')), 'see document') THEN 'assumptions holds a placeholder' END, CASE WHEN json_type(r, '$.trade') <> 'OBJECT' THEN
+    'trade must be object, got array' END, CASE WHEN json_type(r, '$.trade') = 'OBJECT' AND json_extract_string(r, '$.trade.when_to_get_out') IS NULL THEN
+    'trade.when_to_get_out is missing' END, CASE WHEN json_type(r, '$.trade') = 'OBJECT' AND json_extract_string(r, '$.trade.how_long') IS NULL THEN
+    'trade.how_long is missing' END, CASE WHEN json_type(r, '$.trade') = 'OBJECT' AND structural AND json_extract_string(r, '$.trade.when_to_buy') IS NULL THEN
+    'trade.when_to_buy is missing' END, CASE WHEN structural AND json_type(r, '$.stress') IS NULL THEN 'stress is missing' WHEN structural AND contains(lower(coalesce(
+    json_extract_string(r, '$.stress.primary'), '')), 'see document') THEN 'stress holds a placeholder' END, CASE WHEN structural AND json_type(r, '$.stress') = 'OBJECT' AND
+    coalesce(json_extract_string(r, '$.stress.counter'), '') = '' AND coalesce(json_array_length(r, '$.stress.risks'), 0) = 0 THEN 'stress has neither counter nor risks' END],
+    list_concat(list_transform(range(CAST(json_array_length(r, '$.assumptions') AS BIGINT)), lambda i: CASE WHEN json_type(r, '$.assumptions[' || i || ']') <> 'OBJECT' THEN 'assumptions['
+    || i || '] must be object, got number' WHEN json_type(r, '$.assumptions[' || i || '].text') IS NULL THEN 'assumptions[' || i || '].text is missing' END),
+    list_transform(range(CAST(json_array_length(r, '$.assumptions') AS BIGINT)), lambda i: CASE WHEN json_type(r, '$.assumptions[' || i || ']') = 'OBJECT' THEN CASE WHEN json_type(r,
+    '$.assumptions[' || i || '].status') IS NULL THEN 'assumptions[' || i || '].status is missing' WHEN json_extract_string(r, '$.assumptions[' || i || '].status') NOT IN
+    ('intact', 'weakening', 'broken') THEN 'assumptions[' || i || '].status is not a valid value: ' || json_extract_string(r, '$.assumptions[' || i || '].status') END END))),
+    lambda x: x IS NOT NULL)) AS violation FROM (SELECT p_partkey, p_size % 2 = 0 AS structural, {_RECORD_SQL} AS r FROM part)""",
+)
+def record_violations(spark, sf):
+    parts = b.table(spark, sf, "part").select("p_partkey", F.expr(_RECORD_SQL).alias("r"), F.when(F.col("p_size") % 2 == 0, "structural").otherwise("tactical").alias("class"))
+    return ql.record_violations(parts, "r", _RECORD_RULES, F.col("class"), ["p_partkey"])
+
+
 @query(
     "required_config",
     "FLT-16",

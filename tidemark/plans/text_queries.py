@@ -9,6 +9,8 @@ from tidemark.operators import quality as ql, text as tx
 from tidemark.plans import bindings as b
 from tidemark.plans.cte import compose, cte
 from tidemark.plans.registry import query
+from tidemark.session import scratch_path
+from tidemark.sources import readers
 
 _ORD = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_returnflag, l_linestatus"
 
@@ -68,6 +70,18 @@ def markdown_documents(spark, sf):
     return b.thesis_docs(spark, sf).select("doc_id", "text")
 
 
+@query(
+    "landed_documents",
+    "SRC-13",
+    "SELECT CAST(item_id AS VARCHAR) AS doc_id, text FROM benchmark",
+)
+def landed_documents(spark, sf):
+    """Every benchmark text written to a file of its own and read back whole; the writer ends a file with a line feed."""
+    root = scratch_path(spark, "documents")
+    b.table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text").write.partitionBy("doc_id").text(root)
+    return readers.read_documents(spark, root).select("doc_id", F.regexp_replace("text", r"\n\z", "").alias("text"))
+
+
 @query(
     "document_sections",
     "TXT-1",

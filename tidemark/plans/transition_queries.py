@@ -162,9 +162,8 @@ cte(
 )
 cte(
     "kept",
-    """SELECT *, bool_or(pos <= 20 AND regexp_matches(regime_8, '(Ample|Tight) Liquidity$')) OVER (PARTITION BY entity_id,
-    sample) AS valid_8 FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, sample ORDER BY month) AS pos
-    FROM sampled WHERE n_rows >= 12)""",
+    """SELECT *, bool_or(regexp_matches(regime_8, '(Ample|Tight) Liquidity$')) OVER (PARTITION BY entity_id, sample) AS valid_8
+    FROM sampled WHERE n_rows >= 12""",
     "sampled",
 )
 _counts_cte("kept4", "regime", L.FAMILIES, "kept", "entity_id, sample")
@@ -186,6 +185,68 @@ def windowed_transitions(spark, sf):
     return tr.transition_counts(sampled, ["entity_id", "sample", "valid_8"], "month", "regime", L.FAMILIES)
 
 
+cte("kept_valid", "SELECT * FROM kept WHERE valid_8", "kept")
+_counts_cte("kept8", "regime_8", L.LABELS_8, "kept_valid", "entity_id, sample")
+_SAMPLE = ["entity_id", "sample"]
+
+
+def _sampled(spark, sf):
+    return materialise(tr.sample_windows(regimes(spark, sf), E_KEY, "month", SINCE), "samples")
+
+
+@query(
+    "windowed_shrunk",
+    "AGG-13",
+    compose(
+        """SELECT entity_id, sample, CAST(horizon AS BIGINT) AS horizon, source, target, n, n_source, prob, CASE WHEN tot > 0 THEN m / tot ELSE m END AS shrunk
+        FROM (SELECT *, sum(m) OVER (PARTITION BY entity_id, sample, horizon, source) AS tot FROM (SELECT e.*, CASE WHEN f.prob IS NULL THEN e.prob ELSE
+        e.n_source / (e.n_source + 10.0) * e.prob + (1 - e.n_source / (e.n_source + 10.0)) * f.prob / 2 END AS m FROM kept8 e LEFT JOIN kept4 f
+        ON e.entity_id = f.entity_id AND e.sample = f.sample AND e.horizon = f.horizon AND string_split(e.source, ' — ')[1] = f.source
+        AND string_split(e.target, ' — ')[1] = f.target))""",
+        "kept8",
+        "kept4",
+    ),
+    "prob shrunk",
+)
+def windowed_shrunk(spark, sf):
+    sampled = _sampled(spark, sf)
+    eight = tr.transition_counts(sampled.where("valid_8"), _SAMPLE, "month", "regime_8", L.LABELS_8)
+    return tr.shrink(eight, tr.transition_counts(sampled, _SAMPLE, "month", "regime", L.FAMILIES), _SAMPLE)
+
+
+def _sample_runs(label: str, source: str, n: int) -> str:
+    return f"""SELECT entity_id, sample, {n}::BIGINT AS label_set, label, avg(length) AS mean_months, CAST(trunc(quantile_cont(length, 0.5)) AS BIGINT) AS
+    median_months, max(length) AS max_months, count(*) AS n_episodes, CAST(max(CASE WHEN run = last THEN length END) AS DOUBLE) AS current_months FROM (SELECT
+    entity_id, sample, run, {label} AS label, count(*) AS length, max(run) OVER (PARTITION BY entity_id, sample) AS last FROM (SELECT *, sum(c) OVER (PARTITION BY
+    entity_id, sample ORDER BY month ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN {label} IS DISTINCT FROM lag({label}) OVER (PARTITION BY
+    entity_id, sample ORDER BY month) THEN 1 ELSE 0 END AS c FROM {source})) GROUP BY entity_id, sample, run, {label}) GROUP BY ALL"""
+
+
+@query(
+    "windowed_durations",
+    "AGG-13",
+    compose(_sample_runs("regime", "kept", 4) + " UNION ALL " + _sample_runs("regime_8", "kept_valid", 8), "kept", "kept_valid"),
+    "mean_months current_months",
+)
+def windowed_durations(spark, sf):
+    return tr.by_label_set(_sampled(spark, sf), lambda rows, label: tr.duration_stats(rows, _SAMPLE, "month", label))
+
+
+def _sample_share(label: str, source: str, n: int) -> str:
+    return f"""SELECT entity_id, sample, {n}::BIGINT AS label_set, {label} AS label, count(*) AS n, count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY
+    entity_id, sample) AS pct FROM {source} GROUP BY entity_id, sample, {label}"""
+
+
+@query(
+    "windowed_frequency",
+    "AGG-13",
+    compose(_sample_share("regime", "kept", 4) + " UNION ALL " + _sample_share("regime_8", "kept_valid", 8), "kept", "kept_valid"),
+    "pct",
+)
+def windowed_frequency(spark, sf):
+    return tr.by_label_set(_sampled(spark, sf), lambda rows, label: tr.frequency(rows, _SAMPLE, label))
+
+
 cte(
     "weekly_history",
     """SELECT account_id, week, week_no, event_type AS family, n_events, last_event, diverged, liquidity_diverged

@@ -162,9 +162,10 @@ def read_run_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One whole text per file, named by its stem."""
+    """One whole text per file, named by its stem, or by the folder ``doc_id=...`` that it lies in."""
     raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("doc_id"), F.col("value").alias("text"))
+    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    return raw.select((F.col("doc_id").cast("string") if "doc_id" in raw.columns else stem).alias("doc_id"), F.col("value").alias("text"))
 
 
 def explode_history(cards: DataFrame, key: str, history: str = "history") -> DataFrame:
