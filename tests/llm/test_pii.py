@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -121,3 +122,30 @@ def test_every_variant_is_a_candidate_of_a_window():
 ])
 def test_written_out_signs_are_found(text, want):
     assert want in [(k, text[s:e]) for k, s, e, _ in FIELD.spans(text)]
+
+
+def test_long_texts_end_within_seconds(spark):
+    """2 MB without a space, a long run of digits, and 50,000 entities: nothing is quadratic in fitting or finding."""
+    many = " ".join(f"a{i}@b.com" if i % 2 else f"10.0.{i % 256}.{i % 200}" for i in range(50_000))
+    texts = ["x@y " + "q" * 2_000_000, "7" * 200_000 + ".1", many, "call +1 202 555 0100 or a@b.org"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    start = time.time()
+    field = pii.fit(df)
+    found = {r.doc_id: r.spans for r in pii.annotate(df, field).collect()}
+    assert time.time() - start < 60
+    assert sum(s.base for s in found[2]) == 50_000 and [s.kind for s in found[3] if s.base] == ["phone", "email"]
+
+
+def test_pieces_stand_around_the_first_hits():
+    text = "x" * 500 + " mail a@b.org " + "y" * 500 + " call 202-555-0100 now " + "z" * 300
+    first, second = pii.pieces(text).split(" \n ")
+    assert "a@b.org" in first and len(first) == 177 and second.startswith("y") and "202-555-0100 now" in second
+    assert pii.pieces("") == "" and len(pii.pieces("q" * 3_000_000 + "@")) == 89
+
+
+def test_spans_of_the_field_touch_no_base_span():
+    text = "a@b.com 1.2.3.4 name (at) host (dot) org +1 202 555 0100 4111 1111 1111 1111 " * 5
+    base = pii.base_spans(text)
+    for kind, start, end, own in FIELD.spans(text):
+        assert own == ((kind, start, end) in base)
+        assert own or all(end <= s or e <= start for _, s, e in base)
