@@ -201,8 +201,8 @@ class Lookup:
 
 
 def indexed(table: DataFrame) -> Lookup:
-    rows = table.toPandas()
-    return Lookup(rows["gram"].to_numpy(np.int64), rows["ratio"].to_numpy(np.float32))
+    rows = table.select("gram", "ratio").toArrow()
+    return Lookup(rows["gram"].to_numpy(), rows["ratio"].to_numpy())
 
 
 def means(texts: list[str], index: Lookup) -> np.ndarray:
@@ -349,14 +349,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not seen.o or not seen.t:
         return Model(None, 0.0, 0.0)
     table = materialise(ratio_table(counts), "toxicity-ratios")
-    ratios = [Ratios.of(table.where(F.col("model") == m).drop("model"), broadcast_grams) for m in range(3)]
-    sample = _sampled(rows, ratios[:2], curve_rows)
+    of = lambda m: table.where(F.col("model") == m).drop("model")
+    # The halves only value the sample, so their tables are joined with its words and never reach the driver.
+    sample = _sampled(rows, [Ratios(of(m), None) for m in range(2)], curve_rows)
     slope, level = logistic(sample["x"].to_numpy(float), sample["toxic"].to_numpy(float))
     # The sample has the classes in other shares than the labelled rows; the level takes their odds back.
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     drawn = sample["toxic"].value_counts()
     level += float(np.log(n.get(1, 1) / n.get(0, 1)) - np.log(drawn.get(1, 1) / drawn.get(0, 1)))
-    return Model(ratios[2], slope, level)
+    return Model(Ratios.of(of(2), broadcast_grams), slope, level)
 
 
 def _sampled(rows: DataFrame, halves: list[Ratios], most: int) -> pd.DataFrame:
