@@ -255,22 +255,25 @@ def word_values(words: DataFrame, table: DataFrame) -> DataFrame:
             size = np.diff(ends, prepend=-1)
             yield pd.DataFrame({"word": np.repeat(keys[ends], size), "n": np.repeat(batch["n"].to_numpy(), size), "gram": keys})
 
-    ratios = table.select("gram", "ratio")
-    steps = words.mapInPandas(run, "word bigint, n bigint, gram bigint")
-    found = steps.join(ratios, "gram", "left").select("word", "n", "ratio", F.when(F.col("ratio").isNull(), F.col("gram").bitwiseOR(F.lit(NEW).cast("long"))).alias("gram"))
-    found = found.join(ratios.withColumnRenamed("ratio", "new"), "gram", "left")
+    # All that may follow a context stands in one row, so a step is looked up by one join, what else may follow included.
+    byte = F.col("gram").bitwiseAND(F.lit(255).cast("long")).cast("int")
+    ratios = table.select(F.shiftright("gram", 8).alias("context"), F.struct(byte.alias("byte"), "ratio").alias("r")).groupBy("context").agg(F.map_from_entries(F.collect_list("r")).alias("r"))
+    steps = words.mapInPandas(run, "word bigint, n bigint, gram bigint").select("word", "n", F.shiftright("gram", 8).alias("context"), byte.alias("byte"))
+    step = F.coalesce(F.element_at("r", F.col("byte")), F.element_at("r", F.lit(NEW)), F.lit(0.0))
+    found = steps.join(ratios, "context", "left").select("word", "n", step.alias("ratio"))
     w = F.col("w")
-    sums = found.groupBy("word").agg(F.first("n").alias("n"), F.sum(F.coalesce("ratio", "new", F.lit(0.0))).alias("w"))
+    sums = found.groupBy("word").agg(F.first("n").alias("n"), F.sum("ratio").alias("w"))
     return sums.select("word", (F.pow(w, 5) / (F.pow(w, 4) + MILD**4)).alias("value"), "n")
 
 
 def _joined_means(docs: DataFrame, table: DataFrame, text: str, into: str, frequent: int = FREQUENT) -> DataFrame:
-    """The same by joins: distinct words with the table, then the words of distinct texts with the words' values.
+    """The same by joins: distinct words with the table, then the words of texts with the words' values.
 
-    The most frequent words are broadcast and summed where the text is read; only the others travel.
+    The most frequent words are broadcast and summed where the text is read; only the others travel, beside a 64-bit digest of
+    their text. Equal texts add up under one digest and share the sum.
     """
     digest, = fresh(docs, "digest")
-    name = lambda x: F.substring(F.unhex(F.sha2(x, 256)), 1, 16)
+    name = F.xxhash64
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     values = materialise(word_values(word_counts(texts), table), "toxicity-words")
     top = values.orderBy(F.desc("n"), "word").limit(frequent).toPandas()
@@ -291,11 +294,11 @@ def _joined_means(docs: DataFrame, table: DataFrame, text: str, into: str, frequ
                 pairs, n = np.unique(np.stack([place[away], words[away]]), axis=1, return_counts=True)
                 yield pd.DataFrame({"digest": of[pairs[0]], "word": pd.array(pairs[1], "Int64"), "n": n, "value": 0.0})
 
-    parts = texts.select(name("text").alias("digest"), "text").mapInPandas(run, "digest binary, word bigint, n bigint, value double")
-    here = parts.where("word IS NULL").groupBy("digest").agg(F.first("n").alias("words"), F.first("value").alias("value"))
-    away = parts.where("word IS NOT NULL").dropDuplicates(["digest", "word"]).select("digest", "word", F.col("n").alias("times"))
+    parts = texts.select(name("text").alias("digest"), "text").mapInPandas(run, "digest bigint, word bigint, n bigint, value double")
+    here = parts.where("word IS NULL").groupBy("digest").agg(F.first("n").alias("words"), F.first("value").alias("value"), F.count("*").alias("copies"))
+    away = parts.where("word IS NOT NULL").select("digest", "word", F.col("n").cast("int").alias("times"))
     away = away.join(values.select("word", F.col("value").alias("each")), "word").groupBy("digest").agg(F.sum(F.col("times") * F.col("each")).alias("more"))
-    sums = here.join(away, "digest", "left").select(F.col("digest").alias("of"), ((F.col("value") + F.coalesce("more", F.lit(0.0))) / (F.col("words") + STEADY)).alias("mean"))
+    sums = here.join(away, "digest", "left").select(F.col("digest").alias("of"), ((F.col("value") + F.coalesce("more", F.lit(0.0)) / F.col("copies")) / (F.col("words") + STEADY)).alias("mean"))
     keyed = docs.withColumn(digest, name(F.coalesce(F.col(text), F.lit(""))))
     return keyed.join(sums, F.col(digest) == F.col("of"), "left").select(*docs.columns, F.coalesce("mean", F.lit(0.0)).alias(into))
 
