@@ -7,23 +7,21 @@ import public_tokenizers
 import pytest
 import zstandard
 
-from tidemark.llm import tokenfiles as tf
+from tidemark.llm import pieces, tokenfiles as tf
 from tidemark.session import scratch_path
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
-TEXTS = ["", None, "Hello world", "a  b\n\n c's 12 é漢字 \U0001f600", "<|endoftext|> x", "x" * 5000, "word " * 20000, "Hello world", "\x00\x7f ­", "\x1c\x1d \x85\xa0　x\x0b", "été  ª²½ x\x85y"]
+TEXTS = ["", None, "Hello world", "a  b\n\n c's 12 é漢字 \U0001f600", "<|endoftext|> x", "a <|endoftext|><|endoftext|>b <|endoftext |> \n<|endoftext|>\n", "x" * 5000, "word " * 20000, "Hello world", "\x00\x7f ­", "\x1c\x1d \x85\xa0　x\x0b", "été  ª²½ x\x85y"]
 
 
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_files_give_back_what_the_library_encodes(spark):
-    rows = [(i * 7 % 11 - 3, t, "clash") for i, t in enumerate(TEXTS)] + [(None, "no id", "clash")]
+    rows = [(i * 7 % 13 - 3, t, "clash") for i, t in enumerate(TEXTS)] + [(None, "no id", "clash")]
     df = spark.createDataFrame(rows, "doc_id long, text string, tokens string").repartition(4)
     manifest = tf.write(df, scratch_path(spark, "t"), PATH, PATTERN)
     want, start, lib = [], 0, library()
@@ -60,3 +58,18 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     manifest = tf.write(df, scratch_path(spark, "t"), PATH, PATTERN)
     assert tf.checksums(spark, manifest).count() == 0 and manifest.count() == 0
+
+
+def test_memory_is_bounded_and_keeps_common_pieces(monkeypatch):
+    monkeypatch.setattr(pieces, "PIECES", 50)
+    asked = []
+
+    def encode(new):
+        asked.extend(new)
+        return [p.encode() for p in new]
+
+    memory = pieces.Remembering(PATTERN, encode, ["<end>"])
+    for i in range(60):
+        text = f"the<end> {'x' * i} {'y' * i}"
+        assert b"".join(memory.encode([text, text])) == 2 * text.encode()
+    assert len(memory.known) + len(memory.old) < 120 and asked.count("the") == asked.count("<end>") == 1

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import regex
 
 from tidemark.llm.columns import blocks
 
-#: Characters that are encoded at a time, and pieces that a worker remembers before it starts anew.
+#: Characters that are encoded at a time, and pieces in one generation of a worker's memory.
 BLOCK_CHARS, PIECES = 1 << 20, 400_000
 
 
@@ -41,17 +41,31 @@ class Splitter:
 
 
 class Remembering:
-    """Encodes texts by their pieces; each distinct piece is encoded once."""
+    """Encodes texts by their pieces and remembers two generations of them.
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]]) -> None:
-        self.split, self.encode_pieces = Splitter(pattern), encode
+    A generation that is full becomes the old one, and the old one goes. A piece found in the old one moves to the new one, so
+    common pieces stay and memory is bounded by twice ``PIECES``, whatever the texts hold.
+    """
+
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], apart: Sequence[str] = ()) -> None:
+        """``apart`` are literals that are pieces of their own wherever they stand; the text between them is split by itself."""
+        self.by_pattern, self.encode_pieces, self.apart = Splitter(pattern), encode, sorted(apart, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.apart)) + ")").split
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def split(self, text: str) -> list[str]:
+        """The pieces of a text."""
+        if not any(literal in text for literal in self.apart):
+            return self.by_pattern(text)
+        # Every second part is one of the literals.
+        return [p for i, part in enumerate(self.cut(text)) for p in ([part] if i % 2 else self.by_pattern(part))]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Per text the joined codes of its pieces."""
         for part in blocks([len(t) for t in texts], BLOCK_CHARS):
             if len(self.known) > PIECES:
-                self.known.clear()
+                self.known, self.old = {}, self.known
             get, codes, gaps, new = self.known.get, [], [], {}
             for text in texts[part]:
                 pieces = self.split(text)
@@ -63,7 +77,9 @@ class Remembering:
                 else:
                     codes.append(b"".join(found))
             if new:
-                self.known.update(zip(new, self.encode_pieces(list(new)), strict=True))
+                self.known.update((p, self.old[p]) for p in new if p in self.old)
+                unknown = [p for p in new if p not in self.old]
+                self.known.update(zip(unknown, self.encode_pieces(unknown), strict=True))
                 for i, pieces in gaps:
                     codes[i] = b"".join(map(get, pieces))
             yield from codes

@@ -32,26 +32,28 @@ from tidemark.llm.pieces import Remembering
 #: Fixed values of the file format.
 SEEK_MAGIC, IDS_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 #: New pieces that the library encodes in one call.
-TOGETHER = 5000
+TOGETHER = 1000
 
 
 @functools.lru_cache(maxsize=2)
 def _library(path: str):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
+@functools.lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Remembering:
     """Ids of whole texts by the tokenizers library as little-endian unsigned 32-bit integers.
 
     A byte-level tokenizer splits a text by ``pattern`` and encodes the pieces one by one, so a text's ids are those of its
-    pieces in order. Pieces recur, so the library sees each distinct one once.
+    pieces in order. Pieces recur, so the library sees each distinct one once; the encoder and what it remembers serve all tasks
+    of a worker process. A literal added token in a text becomes its own id, as the library has it.
     """
-
     library = _library(path)
+    added = library.get_added_tokens_decoder().values()
+    if any(token.lstrip or token.rstrip or token.single_word for token in added):
+        raise ValueError(f"{path} has added tokens that depend on their neighbours")
 
     def encode(pieces: list[str]) -> list[bytes]:
         out = [b""] * len(pieces)
@@ -69,7 +71,7 @@ def encoder(path: str, pattern: str) -> Remembering:
             out[i] = struct.pack(f"<{len(found.ids)}I", *found.ids)
         return out
 
-    return Remembering(pattern, encode)
+    return Remembering(pattern, encode, [token.content for token in added])
 
 
 def write_file(path: str, documents: Iterator[tuple[int | None, bytes]], level: int = 3) -> tuple[int, int]:
