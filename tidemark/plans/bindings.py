@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions import dates
 from tidemark.operators.scans import running
@@ -340,6 +340,44 @@ def thesis_docs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def earlier_assumptions(spark: SparkSession, sf: str, kept: Column) -> DataFrame:
+    """The assumptions of an earlier version of :func:`thesis_docs`, with lines that are ``kept`` alone and statuses by return flag."""
+    lines = table(spark, sf, "lineitem")
+    whole = lambda c: F.floor(c).cast("bigint").cast("string")
+    status = F.when(F.col("l_returnflag") == "R", "INTACT").otherwise("UNDER PRESSURE")
+    item = F.concat(
+        F.lit("Part "), F.col("l_partkey").cast("string"), F.lit(" holds $"), whole(F.col("l_extendedprice")), F.lit("K and "),
+        whole(F.col("l_discount") * 100), F.lit("% — Testable by: review. Current status: "), status,
+    )
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag", "l_linestatus")
+    entry = F.struct(order.alias("at"), kept.alias("kept"), F.struct(item.alias("text"), status.alias("status")).alias("a"))
+    listed = F.filter(F.sort_array(F.collect_list(entry)), lambda e: e["kept"])
+    return lines.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.transform(listed, lambda e: e["a"]).alias("assumptions"))
+
+
+def contested_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """One Markdown document per order: what speaks against it, a risk per line, and a view of each line's supplier."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
+    docs = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.sort_array(F.collect_list(line)).alias("ls"))
+    text = lambda c: c.cast("string")
+    whole = lambda c: F.floor(c).cast("bigint").cast("string")
+    risk = lambda x: F.concat(
+        F.lit("\n- **Key risk "), text(x["l_linenumber"]), F.lit(":** Part "), text(x["l_partkey"]), F.lit(" **fails**"),
+        F.when(x["l_returnflag"] == "R", F.concat(F.lit(". Probability: "), whole(x["l_quantity"]), F.lit(".5% a year. Watch it"))).otherwise("\n  and stays so"),
+    )
+    view = lambda x: F.when(x["l_linestatus"] == "F", F.concat(
+        F.lit("\n### 2024-01-15 — Supplier "), text(x["l_suppkey"]), F.lit("\n- Quote: We **hold** "), whole(x["l_quantity"]),
+        F.lit(" tonnes\n  until sold\n- Thesis alignment: Supports"),
+    )).otherwise(F.concat(F.lit("\n**Supplier "), text(x["l_suppkey"]), F.lit(":** is doubtful.\n- **Thesis alignment:** Challenges at 2.5%")))
+    return docs.select("doc_id", F.concat(
+        F.lit("# THESIS\n\n## What Could Break It\n"),
+        F.when(F.size("ls") % 2 == 0, "**Strongest counter-argument:** ").otherwise(""),
+        F.lit("Demand falls by 2.5%.\n\n"), F.array_join(F.transform("ls", risk), ""),
+        F.lit("\n- **Assessment after considering contrarian case:** Medium\n\n## External Views\nAs told."),
+        F.array_join(F.transform("ls", view), ""), F.lit("\n\n## The Trade\nBuy."),
+    ).alias("text"))
+
+
 def run_log(spark: SparkSession, sf: str) -> DataFrame:
     """Events as run-log entries, one run per account."""
     kind = F.col("event_type")

@@ -280,17 +280,19 @@ cte(
 )
 
 
-def _records(spark, sf):
-    docs = b.thesis_docs(spark, sf)
+def _previous(spark, sf):
     orders = b.table(spark, sf, "orders").where(F.col("o_orderkey") % 2 == 0)
     entry = lambda d, c: F.struct(F.lit(d).alias("date"), F.lit(c).alias("change"))
-    previous = orders.select(
+    return orders.select(
         F.col("o_orderkey").alias("doc_id"),
         F.lit("DRAFT").alias("status"),
         F.lit("Low").alias("conviction"),
         F.array(entry("2023-12-01", "created"), entry("2024-01-30", "first run today")).alias("change_log"),
     )
-    return tx.thesis_records(docs, "doc_id", previous, "2024-01-30")
+
+
+def _records(spark, sf):
+    return tx.thesis_records(b.thesis_docs(spark, sf), "doc_id", _previous(spark, sf), "2024-01-30")
 
 
 @query(
@@ -312,6 +314,59 @@ def thesis_records(spark, sf):
     )
 
 
+@query(
+    "thesis_changes",
+    "TXT-14 JN-15",
+    compose(
+        """SELECT r.doc_id, CASE WHEN known AND chg = '' THEN '2023-12-01 created|2024-01-30 first run today' ELSE CASE WHEN known THEN
+        '2023-12-01 created|' ELSE '' END || '2024-01-30 ' || chg END AS log FROM (SELECT records.doc_id, known, concat_ws('; ', CASE WHEN known THEN CASE
+        WHEN status <> 'DRAFT' THEN 'status DRAFT to ' || status END ELSE 'status none to ' || status END, CASE WHEN known THEN CASE WHEN conviction <> 'Low'
+        THEN 'conviction Low to ' || conviction END ELSE 'conviction none to ' || conviction END, CASE WHEN known THEN moves END, CASE WHEN known AND n_old <>
+        n THEN 'assumptions ' || n_old || ' to ' || n END) AS chg FROM records JOIN (SELECT doc_id, sum(n_old) AS n_old, string_agg('assumption "' || core ||
+        '" ' || old || ' to ' || new, '; ' ORDER BY i) FILTER (WHERE old <> new) AS moves FROM (SELECT l_orderkey AS doc_id, core, min(i) AS i, arg_max(new, i)
+        AS new, arg_max(old, i) FILTER (WHERE kept) AS old, count(*) FILTER (WHERE kept) AS n_old FROM (SELECT l_orderkey, i, 'Part ' || l_partkey ||
+        ' holds $' || CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) || 'K and ' || CAST(CAST(floor(l_discount * 100) AS BIGINT) AS VARCHAR) || '%' AS
+        core, CASE WHEN l_linestatus = 'F' THEN 'INTACT' ELSE 'UNDER PRESSURE' END AS new, CASE WHEN l_returnflag = 'R' THEN 'INTACT' ELSE 'UNDER PRESSURE' END
+        AS old, l_discount < 0.075 AS kept FROM doc_lines) GROUP BY 1, 2) GROUP BY 1) AS a ON records.doc_id = a.doc_id) AS r""",
+        "records",
+        "doc_lines",
+    ),
+)
+def thesis_changes(spark, sf):
+    """The earlier version lacks lines of a high discount and had other statuses."""
+    old = b.earlier_assumptions(spark, sf, F.col("l_discount") < 0.075)
+    records = tx.thesis_records(b.thesis_docs(spark, sf), "doc_id", _previous(spark, sf).join(old, "doc_id", "left"), "2024-01-30")
+    log = F.array_join(F.transform("change_log", lambda e: F.concat(e["date"], F.lit(" "), e["change"])), "|")
+    return records.select("doc_id", log.alias("log"))
+
+
+@query(
+    "counter_arguments",
+    "TXT-13",
+    """SELECT l_orderkey AS doc_id, 'Demand falls by 2.5%.' AS strongest, string_agg('Part ' || l_partkey || ' **fails**' || CASE WHEN l_returnflag = 'R'
+    THEN '. Probability: ' || CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR) || '.5% a year. Watch it' ELSE chr(10) || '  and stays so' END || ' / ' ||
+    CASE WHEN l_returnflag = 'R' THEN CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR) || '.5% a year' ELSE 'Unknown' END, ' | ' ORDER BY l_linenumber,
+    l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) AS risks, 'Medium' AS assessment FROM lineitem GROUP BY 1""",
+)
+def counter_arguments(spark, sf):
+    found = b.contested_docs(spark, sf).select("doc_id", tx.counter_argument(tx.section_of(F.col("text"), "What Could Break It")).alias("c"))
+    risks = F.array_join(F.transform("c.key_risks", lambda r: F.concat(r["risk"], F.lit(" / "), r["probability"])), " | ")
+    return found.select("doc_id", "c.strongest", risks.alias("risks"), "c.assessment")
+
+
+@query(
+    "external_views",
+    "TXT-13",
+    """SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag,
+    l_linestatus) - 1 AS view_no, 'Supplier ' || l_suppkey AS name, CASE WHEN l_linestatus = 'F' THEN '2024-01-15' END AS dated, CASE WHEN l_linestatus =
+    'F' THEN 'We **hold** ' || CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR) || ' tonnes' || chr(10) || '  until sold' ELSE '' END AS quote, CASE WHEN
+    l_linestatus = 'F' THEN 'Supports' ELSE 'Challenges at 2.5%' END AS alignment FROM lineitem""",
+)
+def external_views(spark, sf):
+    views = tx.named_views(tx.section_of(F.col("text"), "External Views"))
+    return b.contested_docs(spark, sf).select("doc_id", F.posexplode(views).alias("view_no", "v")).select("doc_id", F.col("view_no").cast("bigint").alias("view_no"), "v.*")
+
+
 @query(
     "theses_index",
     "TXT-11",
