@@ -36,6 +36,10 @@ SURE, MILD, TYPES = 3.0, 2.0, 5.0
 NEW = 255
 #: Largest weight of one byte in either direction.
 CLIP = 6.0
+#: Bytes of a word by which words and ratios are dealt. Shorter contexts are at most 1 + 154 + 154^2, so their ratios are broadcast.
+ROOT = 3
+#: Words and ratios that one task looks up together, about.
+BUCKET = 1 << 18
 #: Bytes that are looked up at a time, and n-grams that a task gathers before it passes them on.
 BLOCK_BYTES, GATHERED = 1 << 20, 1 << 20
 #: Words whose values are broadcast where the others are joined.
@@ -60,6 +64,12 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     Returns the keys of all texts in order, where each text's keys start (with the end), and the number of words of each.
     """
+    keys, _, ends, words = rooted_grams(texts)
+    return keys, ends, words
+
+
+def rooted_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same with each key's root behind the keys: the first ``ROOT`` bytes of the word as a number, -1 where it has fewer so far."""
     raw, ends = flat_bytes([t.lower().encode("utf-8", "surrogatepass") + b" " for t in texts])
     size = 1 << max(16, len(raw).bit_length())
     forth, back = powers(BASE, size), powers(BACK, size)
@@ -78,44 +88,49 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     so_far = (sums[at] - sums[start]) * back[start]
     so_far = (so_far ^ (so_far >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     keys = (so_far >> np.uint64(10)).astype(np.int64) << 8 | code[at]
-    return keys, np.searchsorted(at, ends), np.diff(np.concatenate([[0], np.cumsum(at_end)])[ends])
+    root, reach = np.zeros(len(at), np.int64), np.minimum(start[:, None] + np.arange(ROOT), max(len(raw) - 1, 0))
+    for i in range(ROOT):
+        root = root << 8 | raw[reach[:, i]]
+    root[at - start < ROOT] = -1
+    return keys, root, np.searchsorted(at, ends), np.diff(np.concatenate([[0], np.cumsum(at_end)])[ends])
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:
-    """``gram, c0 .. c3``: counts over all rows of ``text, part``, where part is twice the half plus the class."""
+    """``gram, root, c0 .. c3``: counts over all rows of ``text, part``, where part is twice the half plus the class."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys = np.concatenate([k for k, _ in held])
-            found, at = np.unique(keys, return_inverse=True)
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            keys, roots, counts = (np.concatenate(column) for column in zip(*held, strict=True))
+            found, first, at = np.unique(keys, return_index=True, return_inverse=True)
             sums = np.zeros((len(found), 4), np.int64)
-            np.add.at(sums, at, np.concatenate([c for _, c in held]))
-            return found, sums
+            np.add.at(sums, at, counts)
+            return found, roots[first], sums
 
-        def frame(found: np.ndarray, sums: np.ndarray) -> pd.DataFrame:
-            return pd.DataFrame({"gram": found} | {f"c{i}": sums[:, i] for i in range(4)})
+        def frame(found: np.ndarray, roots: np.ndarray, sums: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"gram": found, "root": roots.astype(np.int32)} | {f"c{i}": sums[:, i] for i in range(4)})
 
         for batch in batches:
             for part in range(4):
                 texts = batch["text"][batch["part"] == part].tolist()
                 for block in blocks([len(t) for t in texts], BLOCK_BYTES):
-                    found, n = np.unique(grams(texts[block])[0], return_counts=True)
-                    held.append((found, n[:, None] * (np.arange(4) == part)))
-            if sum(len(k) for k, _ in held) > GATHERED:
+                    keys, roots, _, _ = rooted_grams(texts[block])
+                    found, first, n = np.unique(keys, return_index=True, return_counts=True)
+                    held.append((found, roots[first], n[:, None] * (np.arange(4) == part)))
+            if sum(len(keys) for keys, _, _ in held) > GATHERED:
                 held = [merged()]
                 if len(held[0][0]) > GATHERED // 2:
                     yield frame(*held.pop())
         if held:
             yield frame(*merged())
 
-    partial = rows.mapInPandas(run, "gram bigint, c0 bigint, c1 bigint, c2 bigint, c3 bigint")
-    return partial.groupBy("gram").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(4)])
+    partial = rows.mapInPandas(run, "gram bigint, root int, c0 bigint, c1 bigint, c2 bigint, c3 bigint")
+    return partial.groupBy("gram").agg(F.max("root").alias("root"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(4)])
 
 
 def ratio_table(counts: DataFrame) -> DataFrame:
-    """``model, gram, ratio``: shrunk ratios of all continuations that move a score, for models 0 and 1 (the halves) and 2 (both).
+    """``model, root, gram, ratio``: shrunk ratios of all continuations that move a score, for models 0 and 1 (the halves) and 2 (both).
 
     A gram ends in ``NEW`` for what else may follow its context. No count is left out: rows go only where the ratio is exactly
     0, as after a context that one class alone has or that goes on in a single way, and an absent row reads as 0.
@@ -126,8 +141,8 @@ def ratio_table(counts: DataFrame) -> DataFrame:
     seen = counts.select(byte, each).where("p.t + p.o > 0").groupBy("p.model", "byte").count()
     seen = seen.withColumn("continued", F.col("count") / F.sum("count").over(Window.partitionBy("model"))).drop("count")
     # A context has at most 257 rows; one shuffle by context serves all three models.
-    rows = counts.withColumn("context", F.shiftright("gram", 8)).repartition("context").select("context", "gram", byte, each)
-    rows = rows.select("context", "gram", "byte", "p.*").where("t + o > 0")
+    rows = counts.withColumn("context", F.shiftright("gram", 8)).repartition("context").select("context", "root", "gram", byte, each)
+    rows = rows.select("context", "root", "gram", "byte", "p.*").where("t + o > 0")
     context = Window.partitionBy("model", "context")
     total = lambda x: F.sum(x).over(context)
     rows = rows.withColumns({"n_t": total("t").cast("double"), "n_o": total("o").cast("double"), "types_t": total((F.col("t") > 0).cast("int")), "types_o": total((F.col("o") > 0).cast("int")), "types": total(F.lit(1)), "head": F.min("gram").over(context)})
@@ -146,11 +161,11 @@ def ratio_table(counts: DataFrame) -> DataFrame:
     ratio = clipped(log("t") - log("o")) * away / (away + SURE**2)
     steadied = lambda own: F.log((F.col(f"types_{own}") + TYPES) / (F.col(f"chance_{own}") + TYPES))
     one_sided = (F.col("types") == 1) | (F.col("n_t") == 0) | (F.col("n_o") == 0)
-    rows = rows.select("model", "gram", "context", "head", ratio.cast("float").alias("ratio"), F.when(one_sided, F.lit(0.0)).otherwise(clipped(steadied("t") - steadied("o"))).cast("float").alias("new"))
+    rows = rows.select("model", "root", "gram", "context", "head", ratio.cast("float").alias("ratio"), F.when(one_sided, F.lit(0.0)).otherwise(clipped(steadied("t") - steadied("o"))).cast("float").alias("new"))
     rest = F.struct((F.shiftleft("context", 8) + NEW).alias("gram"), F.col("new").alias("ratio"))
     own = F.struct("gram", "ratio")
-    out = rows.where("ratio != 0 OR new != 0").select("model", F.explode(F.when((F.col("gram") == F.col("head")) & (F.col("new") != 0), F.array(own, rest)).otherwise(F.array(own))).alias("g"))
-    return out.select("model", "g.*")
+    out = rows.where("ratio != 0 OR new != 0").select("model", "root", F.explode(F.when((F.col("gram") == F.col("head")) & (F.col("new") != 0), F.array(own, rest)).otherwise(F.array(own))).alias("g"))
+    return out.select("model", "root", "g.*")
 
 
 def word_value(ratio: np.ndarray) -> np.ndarray:
@@ -246,24 +261,39 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def word_values(words: DataFrame, table: DataFrame) -> DataFrame:
-    """``word, value, n``: what each of ``words`` counts by the table, by joins."""
+    """``word, value, n``: what each of ``words`` counts by the table.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys, _, _ = grams([w.decode("utf-8", "surrogatepass") for w in batch["bytes"]])
-            ends = np.flatnonzero((keys & 255) == 0)
-            size = np.diff(ends, prepend=-1)
-            yield pd.DataFrame({"word": np.repeat(keys[ends], size), "n": np.repeat(batch["n"].to_numpy(), size), "gram": keys})
-
-    # All that may follow a context stands in one row, so a step is looked up by one join, what else may follow included.
-    byte = F.col("gram").bitwiseAND(F.lit(255).cast("long")).cast("int")
-    ratios = table.select(F.shiftright("gram", 8).alias("context"), F.struct(byte.alias("byte"), "ratio").alias("r")).groupBy("context").agg(F.map_from_entries(F.collect_list("r")).alias("r"))
-    steps = words.mapInPandas(run, "word bigint, n bigint, gram bigint").select("word", "n", F.shiftright("gram", 8).alias("context"), byte.alias("byte"))
-    step = F.coalesce(F.element_at("r", F.col("byte")), F.element_at("r", F.lit(NEW)), F.lit(0.0))
-    found = steps.join(ratios, "context", "left").select("word", "n", step.alias("ratio"))
-    w = F.col("w")
-    sums = found.groupBy("word").agg(F.first("n").alias("n"), F.sum("ratio").alias("w"))
-    return sums.select("word", (F.pow(w, 5) / (F.pow(w, 4) + MILD**4)).alias("value"), "n")
+    All steps of a word after its first ``ROOT`` bytes have its root, so words and ratios meet in buckets of roots: each travels
+    once, and a word's steps never leave its row. The number of buckets follows the rows; one holds a root at least.
+    """
+    few = indexed(table.where("root < 0"))
+    short = words.sparkSession.sparkContext.broadcast(few)
+    longer = table.where("root >= 0")
+    n_buckets = max(1, -(-(words.count() + longer.count()) // BUCKET))
+
+    def run(w: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        index = Lookup(t["gram"].to_numpy(np.int64), t["ratio"].to_numpy(np.float32))
+
+        def get(keys: np.ndarray) -> np.ndarray:
+            found = index.get(keys, np.nan)
+            away = np.flatnonzero(np.isnan(found))
+            found[away] = short.value.get(keys[away], np.nan)
+            return found
+
+        out, raw = [], w["bytes"].tolist()
+        for block in blocks([len(word) for word in raw], BLOCK_BYTES):
+            keys, _, _ = grams([word.decode("utf-8", "surrogatepass") for word in raw[block]])
+            ratio = get(keys)
+            new = np.flatnonzero(np.isnan(ratio))
+            ratio[new] = np.nan_to_num(get(keys[new] | NEW))
+            last = (keys & 255) == 0
+            out.append(pd.DataFrame({"word": keys[last], "value": word_value(np.bincount(np.cumsum(last) - last, ratio, int(last.sum()))), "n": w["n"].to_numpy()[block]}))
+        return pd.concat(out) if out else pd.DataFrame({"word": [], "value": [], "n": []})
+
+    bucket = lambda root: F.pmod(F.xxhash64(root), F.lit(n_buckets)).alias("bucket")
+    root = F.conv(F.hex(F.substring("bytes", 1, ROOT)), 16, 10).cast("int")
+    left = words.select(bucket(root), "bytes", "n").groupBy("bucket")
+    return left.cogroup(longer.select(bucket(F.col("root")), "gram", "ratio").groupBy("bucket")).applyInPandas(run, "word bigint, value double, n bigint")
 
 
 def _joined_means(docs: DataFrame, table: DataFrame, text: str, into: str, frequent: int = FREQUENT) -> DataFrame:
@@ -275,7 +305,8 @@ def _joined_means(docs: DataFrame, table: DataFrame, text: str, into: str, frequ
     digest, = fresh(docs, "digest")
     name = F.xxhash64
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    values = materialise(word_values(word_counts(texts), table), "toxicity-words")
+    vocabulary = materialise(word_counts(texts), "toxicity-vocabulary")
+    values = materialise(word_values(vocabulary, table), "toxicity-words")
     top = values.orderBy(F.desc("n"), "word").limit(frequent).toPandas()
     shared = docs.sparkSession.sparkContext.broadcast(Lookup(top["word"].to_numpy(np.int64), top["value"].to_numpy(np.float64)))
     del top
@@ -289,16 +320,17 @@ def _joined_means(docs: DataFrame, table: DataFrame, text: str, into: str, frequ
                 place = np.repeat(np.arange(len(of)), size)
                 value = shared.value.get(words, np.nan)
                 away = np.isnan(value)
-                yield pd.DataFrame({"digest": of, "word": pd.array([None] * len(of), "Int64"), "n": size, "value": np.bincount(place, np.where(away, 0.0, value), len(of))})
-                # Words that are not among the frequent ones, once per text with their number.
+                # A row for the text itself, under a word of its own, and the words that are not among the frequent ones.
+                yield pd.DataFrame({"digest": of, "word": of, "n": size, "value": np.bincount(place, np.where(away, 0.0, value), len(of)), "own": True})
                 pairs, n = np.unique(np.stack([place[away], words[away]]), axis=1, return_counts=True)
-                yield pd.DataFrame({"digest": of[pairs[0]], "word": pd.array(pairs[1], "Int64"), "n": n, "value": 0.0})
-
-    parts = texts.select(name("text").alias("digest"), "text").mapInPandas(run, "digest bigint, word bigint, n bigint, value double")
-    here = parts.where("word IS NULL").groupBy("digest").agg(F.first("n").alias("words"), F.first("value").alias("value"), F.count("*").alias("copies"))
-    away = parts.where("word IS NOT NULL").select("digest", "word", F.col("n").cast("int").alias("times"))
-    away = away.join(values.select("word", F.col("value").alias("each")), "word").groupBy("digest").agg(F.sum(F.col("times") * F.col("each")).alias("more"))
-    sums = here.join(away, "digest", "left").select(F.col("digest").alias("of"), ((F.col("value") + F.coalesce("more", F.lit(0.0)) / F.col("copies")) / (F.col("words") + STEADY)).alias("mean"))
+                yield pd.DataFrame({"digest": of[pairs[0]], "word": pairs[1], "n": n, "value": 0.0, "own": False})
+
+    parts = texts.select(name("text").alias("digest"), "text").mapInPandas(run, "digest bigint, word bigint, n int, value double, own boolean")
+    known = values.select("word", F.col("value").alias("each"))
+    found = parts.join(known, "word", "left").select("digest", "own", "n", F.when(F.col("own"), F.col("value")).otherwise(F.col("n") * F.coalesce("each", F.lit(0.0))).alias("adds"))
+    count = lambda x: F.sum(F.when(F.col("own"), x))
+    sums = found.groupBy("digest").agg(F.sum("adds").alias("adds"), count(F.col("n")).alias("words"), count(F.lit(1)).alias("copies"))
+    sums = sums.select(F.col("digest").alias("of"), (F.col("adds") / F.col("copies") / (F.col("words") / F.col("copies") + STEADY)).alias("mean"))
     keyed = docs.withColumn(digest, name(F.coalesce(F.col(text), F.lit(""))))
     return keyed.join(sums, F.col(digest) == F.col("of"), "left").select(*docs.columns, F.coalesce("mean", F.lit(0.0)).alias(into))
 
