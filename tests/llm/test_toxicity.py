@@ -137,3 +137,10 @@ def test_once_seen_grams_stay_in_the_table(spark):
     once = {r.gram for r in counts.where("c0 + c1 + c2 + c3 = 1").collect()}
     kept = {r.gram for r in tx.ratio_table(counts).where("model = 2").collect()}
     assert len(once & kept) > 1000
+
+
+def test_roots_are_the_first_bytes():
+    keys, roots = tx.rooted_grams(["Über x", "", "abcd"])
+    assert (keys == tx.grams(["Über x", "", "abcd"])[0]).all() and len(keys) == 13
+    number = lambda raw: int.from_bytes(raw[: tx.ROOT], "big")
+    assert roots.tolist() == [-1] * 3 + [number("über".encode())] * 3 + [-1] * 2 + [-1] * 3 + [number(b"abcd")] * 2

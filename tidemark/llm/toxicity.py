@@ -41,7 +41,7 @@ ROOT = 3
 #: Words and ratios that one task looks up together, about.
 BUCKET = 1 << 18
 #: Bytes that are looked up at a time, and n-grams that a task gathers before it passes them on.
-BLOCK_BYTES, GATHERED = 1 << 20, 1 << 20
+BLOCK_BYTES, GATHERED = 1 << 19, 1 << 19
 #: Words whose values are broadcast where the others are joined.
 FREQUENT = 1 << 17
 #: An odd base for hashes of byte strings, and its inverse modulo 2^64.
@@ -64,12 +64,16 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     Returns the keys of all texts in order, where each text's keys start (with the end), and the number of words of each.
     """
-    keys, _, ends, words = rooted_grams(texts)
+    keys, _, ends, words = _grams(texts)
     return keys, ends, words
 
 
-def rooted_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The same with each key's root behind the keys: the first ``ROOT`` bytes of the word as a number, -1 where it has fewer so far."""
+def rooted_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The same keys and each one's root: the first ``ROOT`` bytes of the word as a number, -1 where it has fewer so far."""
+    return _grams(texts, rooted=True)[:2]
+
+
+def _grams(texts: list[str], rooted: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
     raw, ends = flat_bytes([t.lower().encode("utf-8", "surrogatepass") + b" " for t in texts])
     size = 1 << max(16, len(raw).bit_length())
     forth, back = powers(BASE, size), powers(BACK, size)
@@ -88,10 +92,12 @@ def rooted_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     so_far = (sums[at] - sums[start]) * back[start]
     so_far = (so_far ^ (so_far >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     keys = (so_far >> np.uint64(10)).astype(np.int64) << 8 | code[at]
-    root, reach = np.zeros(len(at), np.int64), np.minimum(start[:, None] + np.arange(ROOT), max(len(raw) - 1, 0))
-    for i in range(ROOT):
-        root = root << 8 | raw[reach[:, i]]
-    root[at - start < ROOT] = -1
+    root = None
+    if rooted:
+        root = np.zeros(len(at), np.int32)
+        for i in range(ROOT):
+            root = root << 8 | raw[np.minimum(start + i, max(len(raw) - 1, 0))]
+        root[at - start < ROOT] = -1
     return keys, root, np.searchsorted(at, ends), np.diff(np.concatenate([[0], np.cumsum(at_end)])[ends])
 
 
@@ -109,13 +115,13 @@ def gram_counts(rows: DataFrame) -> DataFrame:
             return found, roots[first], sums
 
         def frame(found: np.ndarray, roots: np.ndarray, sums: np.ndarray) -> pd.DataFrame:
-            return pd.DataFrame({"gram": found, "root": roots.astype(np.int32)} | {f"c{i}": sums[:, i] for i in range(4)})
+            return pd.DataFrame({"gram": found, "root": roots} | {f"c{i}": sums[:, i] for i in range(4)})
 
         for batch in batches:
             for part in range(4):
                 texts = batch["text"][batch["part"] == part].tolist()
                 for block in blocks([len(t) for t in texts], BLOCK_BYTES):
-                    keys, roots, _, _ = rooted_grams(texts[block])
+                    keys, roots = rooted_grams(texts[block])
                     found, first, n = np.unique(keys, return_index=True, return_counts=True)
                     held.append((found, roots[first], n[:, None] * (np.arange(4) == part)))
             if sum(len(keys) for keys, _, _ in held) > GATHERED:
