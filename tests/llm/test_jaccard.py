@@ -107,3 +107,33 @@ def test_hot_group_copies_nulls_and_long_texts(spark):
 
 def test_empty_table(spark):
     assert run(spark, [], 1) == []
+
+
+def test_linked_sets_meet_beyond_the_smallest():
+    rng, met = random.Random(4), 0
+    linked = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    for _ in range(20000):
+        base = rng.sample(range(40), rng.randrange(5, 25))
+        def near():
+            return (set(base) - set(rng.sample(base, rng.randrange(0, 4)))) | set(rng.sample(range(40, 50), rng.randrange(0, 5)))
+        low, one, two = sorted((near(), near(), near()), key=len)
+        if linked(one, two) and not (linked(one, low) and linked(two, low)):
+            array = lambda s: np.array(sorted(s), np.uint64)
+            (ties_one, a), (ties_two, b) = ja.beyond(array(one), array(low)), ja.beyond(array(two), array(low))
+            assert (ties_one, ties_two) == (linked(one, low), linked(two, low))
+            assert set(a.tolist()) & set(b.tolist())
+            met += 1
+    assert met > 200
+
+
+def test_far_copies_of_one_text_cost_their_number(spark):
+    """Copies of one text that are too far apart to link, among them some that link; few pairs are verified."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(40)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for at in rng.sample(range(40), 3):
+            words[at] = f"x{rng.randrange(60)}"
+        rows.append((i, " ".join(words)))
+    assert run(spark, rows) == brute(rows)

@@ -13,11 +13,13 @@ a difference spoils one segment only, two similar sets must agree on m - H segme
   shortest; empty segments, whose list would be everything, are never tested. Where segments are too few because many are
   empty, a test within one deletion counts twice. If even that does not suffice, the set is compared with its whole band.
 * **Verification** is exact, on the sets. Equal sets are one class from the start. Lists are resolved by components: members
-  are first compared with a leader of their list, at first the one that shares most, so a large group of near copies costs
-  its size and not its square. Then only links between different components matter, so segments shared within one's own
-  component are free as well. The allocation is made anew on that count, with deletion neighbourhoods for all sets that are
-  left, so that a segment next to a long list may be tested twice instead of the list; no pair that could join two
-  components is left out.
+  are first compared with the leader that leads most of their lists, the one that shares most, and lists of one component go.
+* **Thinning.** In a list that is left, every member is compared with the smallest, L. Two members that link without both
+  linking with L share a shingle outside L, as neither is smaller than L. So lists by (L, shingle outside L) replace the list, with
+  as few shingles of each member as the overlap that it needs outside L allows. Members of a large group of near copies agree
+  in what the group has in common and rarely in their differences: the group costs its size and not its square. This is
+  repeated while lists hold many pairs for each entry; then the pairs are verified. No pair that could join two components
+  is left out at any step.
 
 Shingles and sets are compared by 64-bit digests. Nothing is collected: components are found by joins.
 """
@@ -41,6 +43,8 @@ SHARE_A, SHARE_B = 7, 3
 #: Bands grow by this ratio; schemes of at most SMALL differences have deletion neighbourhoods.
 GROWTH, SMALL = (16, 9), 16
 BLOCK_BYTES, FLUSH = 1 << 20, 1 << 18
+#: Lists are replaced by thinner ones while they hold more pairs than this for each entry.
+PAIRS = 4
 BASE = 0x9E3779B97F4A7C15
 BACK = pow(BASE, -1, 1 << 64)
 #: What separates words, and ASCII capitals become small.
@@ -284,82 +288,67 @@ def components(edges: DataFrame) -> DataFrame:
             return label.select("class", "comp")
 
 
-def proposals(lists: DataFrame, order) -> DataFrame:
-    """One pair for each class: it and the leader that leads most of its lists.
+def mixed(lists: DataFrame, comps: DataFrame, lead) -> DataFrame:
+    """The entries of the lists that still hold two components and a test, with ``comp`` made new and ``lead``, the least ``lead`` of each.
 
-    ``lists`` has ``sig, class, comp, deleted, probe, n``. The leader of a list is its first segment entry by ``order``.
+    Lists are summed before they are joined, so that a long one is never one task.
     """
-    leader = F.min(F.when(~F.col("deleted"), F.struct(order.alias("o"), "comp", F.col("class").alias("head"), F.col("n").alias("head_n"), F.col("probe").alias("asks")))).over(Window.partitionBy("sig"))
-    met = lists.withColumn("lead", leader).where((F.col("lead.comp") != F.col("comp")) & (F.col("probe") | F.col("lead.asks")) & _close(F.col("n"), F.col("lead.head_n")))
-    votes = met.groupBy(F.col("class").alias("a"), F.col("lead.head").alias("b")).count()
+    named = lists.drop("comp", "lead").join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    heads = named.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("probe").alias("asked"), F.min(lead).alias("lead"))
+    return named.join(heads.where((F.col("c0") != F.col("c1")) & F.col("asked") & F.col("lead").isNotNull()).select("sig", "lead"), "sig")
+
+
+def proposals(lists: DataFrame) -> DataFrame:
+    """One pair for each class: it and the leader that leads most of its lists."""
+    met = lists.where((F.col("lead.comp") != F.col("comp")) & (F.col("probe") | F.col("lead.probe")) & _close(F.col("n"), F.col("lead.n")))
+    votes = met.groupBy(F.col("class").alias("a"), F.col("lead.class").alias("b")).count()
     return votes.groupBy("a").agg(F.max(F.struct("count", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
 
-def contested(lists: DataFrame) -> DataFrame:
-    """``class, comp, n`` of the classes that meet another component in a list. Links between components are among them."""
-    same = Window.partitionBy("sig")
-    mixed = lists.withColumn("c0", F.min("comp").over(same)).withColumn("c1", F.max("comp").over(same)).where(F.col("c0") != F.col("c1"))
-    return mixed.select("class", "comp", "n").distinct()
+def beyond(one: np.ndarray, head: np.ndarray) -> tuple[bool, np.ndarray]:
+    """Whether a set links with the smallest set of its list, and the shingles outside that set that a partner must meet.
+
+    Two sets x, y of a list that link, one of them not linked with the smallest set L, have a shingle in common outside L:
+    otherwise x and y shared no more than x and L do, and y is no smaller than L. They share as many outside L as they need
+    less those that x has in L, and so the first shingles of both, by value, up to what may be missing, have one in common.
+    """
+    place = np.minimum(np.searchsorted(head, one), len(head) - 1)
+    inside = head[place] == one
+    shared = int(inside.sum())
+    least = max(len(head), -(-len(one) * SHARE_B // (SHARE_A - SHARE_B)))
+    needed = max(1, -(-SHARE_B * (len(one) + least) // SHARE_A) - shared)
+    rest = one[~inside]
+    return SHARE_A * shared >= SHARE_B * (len(one) + len(head)), rest[: max(0, len(rest) - needed + 1)]
 
 
-def neighbourhoods(sets: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``sig, class, comp, n, deleted, seg, need`` of the chosen classes: all segments and all one-deletion neighbours."""
-    names = ["sig", "class", "comp", "n", "deleted", "seg", "need"]
+def thinned(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """``class, head, n, probe, linked, keys``: every class beside the leaders of its lists, and the lists that replace them."""
+    met = lists.groupBy("class", F.col("lead.class").alias("head")).agg(F.first("n").alias("n"), F.max("probe").alias("probe")).where(F.col("class") != F.col("head"))
+    rows = met.join(sets.select("class", F.col("grams").alias("x")), "class").join(sets.select(F.col("class").alias("head"), F.col("grams").alias("y")), "head")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, comp, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                grams = np.frombuffer(raw.as_buffer(), np.uint64)
-                for band, m, apart, _ in schemes(len(grams)):
-                    own, without, place, of = signatures(grams, band, m, True)
-                    count = len(own) + len(without)
-                    full = lambda x, kind=np.int64, k=count: pa.array(np.full(k, x, kind))
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.concatenate([own, without]).view(np.int64)), full(name), full(comp), full(len(grams)), pa.array(np.arange(count) >= len(own)),
-                        pa.array((np.concatenate([place, of]) & np.uint64((1 << 40) - 1)).astype(np.int64)), full(apart + 1),
-                    ], names)
-
-    rows = sets.join(chosen.select("class", "comp"), "class").select("class", "comp", "grams")
-    return rows.mapInArrow(run, "sig bigint, class bigint, comp bigint, n bigint, deleted boolean, seg bigint, need bigint")
-
-
-def cross_pairs(near: DataFrame) -> DataFrame:
-    """Pairs of different components that pass the tests of one of the two, by a new allocation over ``near``.
-
-    A unit costs the entries of other components that its test meets. A class whose cheapest ``need`` units cost nothing has
-    no link to another component and leaves on both sides. A segment of a single shingle has no second unit, as its
-    neighbour would be the empty segment.
-    """
-    near = near.withColumn("parity", F.col("sig").bitwiseAND(1))
-    every, own = Window.partitionBy("sig"), Window.partitionBy("sig", "comp")
-    count = lambda deleted, w: F.count(F.when(F.col("deleted") == deleted, 1)).over(w)
-    met = near.withColumn("with_own", count(False, every) - count(False, own)).withColumn("with_less", count(True, every) - count(True, own)).withColumn("largest", F.max("n").over(every))
-    met = materialise(met, "jaccard-met")
-    cost = met.groupBy("class", "parity", "seg").agg(
-        F.max("need").alias("need"), F.max("deleted").alias("twice"), F.max("n").alias("n"), F.max("largest").alias("largest"),
-        F.sum(F.when(F.col("deleted"), 0).otherwise(F.col("with_own"))).alias("one"),
-        F.sum(F.when(F.col("deleted"), F.col("with_own")).otherwise(F.col("with_less"))).alias("two"),
-    )
-    # A linked set agrees with a class in a segment that both use, if the class uses as many as it needs. It is then no larger
-    # than the largest set met anywhere, which bounds the differences more closely than the largest size that could link.
-    mine = Window.partitionBy("class", "parity")
-    close = F.floor((F.col("n") + F.least(F.max("largest").over(mine), F.floor(F.col("n") * (SHARE_A - SHARE_B) / SHARE_B))) * (SHARE_A - 2 * SHARE_B) / SHARE_A) + 1
-    cost = cost.withColumn("need", F.when(F.count("*").over(mine) >= F.col("need"), F.least("need", close)).otherwise(F.col("need")))
-    first = F.struct(F.lit(1).alias("unit"), F.col("one").alias("cost"))
-    second = F.struct(F.lit(2).alias("unit"), F.greatest("one", "two").alias("cost"))
-    units = cost.select("class", "parity", "seg", "need", F.explode(F.when(F.col("twice"), F.array(first, second)).otherwise(F.array(first))).alias("u")).select("class", "parity", "seg", "need", "u.unit", "u.cost")
-    rank = F.row_number().over(Window.partitionBy("class", "parity").orderBy("cost", "unit", "seg"))
-    tests = materialise(units.withColumn("rank", rank).where((F.col("rank") <= F.col("need")) & (F.col("cost") > 0)).groupBy("class", "parity", "seg").agg(F.max("unit").alias("unit")), "jaccard-tests")
-    left = tests.select("class", "parity").distinct()
-    index = materialise(met.join(left, ["class", "parity"], "left_semi").where(F.col("with_own") + F.col("with_less") > 0), "jaccard-index")
-    asks = index.join(tests, ["class", "parity", "seg"]).where((F.col("unit") == 2) | ~F.col("deleted"))
-    asks = asks.select("sig", F.col("class").alias("a"), F.col("comp").alias("ca"), F.col("deleted").alias("da"), F.col("n").alias("na"), "unit")
-    pair = asks.join(index.select("sig", "class", "comp", "deleted", "n"), "sig")
-    fits = F.when(F.col("unit") == 1, ~F.col("deleted")).otherwise(~(F.col("da") & F.col("deleted")))
-    return pair.where((F.col("ca") != F.col("comp")) & fits & _close(F.col("na"), F.col("n"))).select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
-
-
-def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 2) -> DataFrame:
+            linked, keys = [], []
+            for name, x, y in zip(batch.column(1).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                ties, rest = beyond(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))
+                linked.append(ties)
+                keys.append(mix(rest + mix(np.array([name], np.int64).view(np.uint64))).view(np.int64))
+            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            flat = np.concatenate([*keys, np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(linked, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["class", "head", "n", "probe", "linked", "keys"])
+
+    return rows.select("class", "head", "n", "probe", "x", "y").mapInArrow(run, "class bigint, head bigint, n bigint, probe boolean, linked boolean, keys array<bigint>")
+
+
+def list_pairs(lists: DataFrame) -> DataFrame:
+    """The pairs of different components that meet in a list in which one of them has a test."""
+    side = lambda c, m: lists.select("sig", F.col("class").alias(c), F.col("comp").alias(f"c{c}"), F.col("n").alias(f"n{c}"), F.col("probe").alias(m))
+    pair = side("a", "asks").where("asks").join(side("b", "asked"), "sig")
+    met = pair.where((F.col("ca") != F.col("cb")) & _close(F.col("na"), F.col("nb")) & (~F.col("asked") | (F.col("a") < F.col("b"))))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 1, thinnings: int = 12) -> DataFrame:
     """``id, n, class, comp`` per row of ``docs``: size of its set, its class of equal sets, its component (a class).
 
     Null and empty texts have no set, no class and no component. Rows of equal sets share a class. Rows are told apart by
@@ -381,15 +370,25 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
     sets = materialise(sets_of(docs, classes.join(named, "class", "left_semi"), key, text), "jaccard-sets")
     edges = materialise(verified(wild, sets), "jaccard-edges")
     comps = components(edges)
-    plain = lists
-    for step in range(rounds + 1):
-        lists = plain.join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-        if step < rounds:
-            pairs = proposals(lists, F.xxhash64("comp", F.lit(step)) if step else -F.col("weight"))
-        else:
-            pairs = cross_pairs(neighbourhoods(sets, materialise(contested(lists), "jaccard-contested")))
-        edges = materialise(edges.union(verified(materialise(pairs, "jaccard-pairs"), sets)), "jaccard-edges")
+    for step in range(rounds):
+        order = F.xxhash64("comp", F.lit(step)) if step else -F.col("weight")
+        lead = F.when(~F.col("deleted"), F.struct(order.alias("o"), "comp", "class", "n", "probe"))
+        lists = materialise(mixed(lists, comps, lead), "jaccard-lists")
+        edges = materialise(edges.union(verified(proposals(lists), sets)), "jaccard-edges")
+        comps = components(edges)
+    for step in range(thinnings + 1):
+        lists = materialise(mixed(lists.select("sig", "class", "n", "probe"), comps, F.struct("n", "class")), "jaccard-lists")
+        size = lists.groupBy("sig").agg(F.count("*").alias("k"), F.count_if("probe").alias("asks")).agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("asks")).alias("pairs")).first()
+        if not size.k:
+            break
+        if step == thinnings or size.pairs <= PAIRS * size.k:
+            edges = materialise(edges.union(verified(materialise(list_pairs(lists), "jaccard-pairs"), sets)), "jaccard-edges")
+            comps = components(edges)
+            break
+        beside = materialise(thinned(lists, sets), "jaccard-beside")
+        edges = materialise(edges.union(beside.where("linked").select(F.col("class").alias("a"), F.col("head").alias("b"))), "jaccard-edges")
         comps = components(edges)
+        lists = beside.select(F.explode("keys").alias("sig"), "class", "n", "probe")
     found = rows.select("id", "n", "class").join(comps, "class", "left")
     return found.select("id", "n", "class", F.coalesce("comp", "class").alias("comp"))
 
