@@ -14,8 +14,9 @@ a difference spoils one segment only, two similar sets must agree on m - H segme
   empty, a test within one deletion counts twice. If even that does not suffice, the set is compared with its whole band.
 * **Verification** is exact, on the sets. Equal sets are one class from the start. Lists are resolved by components: members
   are first compared with the leader that leads most of their lists, the one that shares most, and lists of one component go.
-* **Thinning.** In a list that is left, every member is compared with the smallest, L. Two members that link without both
-  linking with L share a shingle outside L, as neither is smaller than L. So lists by (L, shingle outside L) replace the list, with
+* **Thinning.** In a list that is left, every member is compared with its leader L, the member that shares most. Two members
+  that link without both linking with L share a shingle outside L, unless one is smaller than L and the other has all that
+  it needs inside L; these few are verified at once. So lists by (L, shingle outside L) replace the list, with
   as few shingles of each member as the overlap that it needs outside L allows. Members of a large group of near copies agree
   in what the group has in common and rarely in their differences: the group costs its size and not its square. This is
   repeated while lists hold many pairs for each entry; then the pairs are verified. No pair that could join two components
@@ -44,7 +45,7 @@ SHARE_A, SHARE_B = 7, 3
 GROWTH, SMALL = (16, 9), 16
 BLOCK_BYTES, FLUSH = 1 << 20, 1 << 18
 #: Lists are replaced by thinner ones while they hold more pairs than this for each entry.
-PAIRS = 4
+PAIRS = 16
 BASE = 0x9E3779B97F4A7C15
 BACK = pow(BASE, -1, 1 << 64)
 #: What separates words, and ASCII capitals become small.
@@ -293,9 +294,9 @@ def mixed(lists: DataFrame, comps: DataFrame, lead) -> DataFrame:
 
     Lists are summed before they are joined, so that a long one is never one task.
     """
-    named = lists.drop("comp", "lead").join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    heads = named.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("probe").alias("asked"), F.min(lead).alias("lead"))
-    return named.join(heads.where((F.col("c0") != F.col("c1")) & F.col("asked") & F.col("lead").isNotNull()).select("sig", "lead"), "sig")
+    named = lists.drop("comp", "lead", "small").join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    heads = named.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("probe").alias("asked"), F.min(lead).alias("lead"), F.min("n").alias("small"))
+    return named.join(heads.where((F.col("c0") != F.col("c1")) & F.col("asked") & F.col("lead").isNotNull()).select("sig", "lead", "small"), "sig")
 
 
 def proposals(lists: DataFrame) -> DataFrame:
@@ -305,39 +306,51 @@ def proposals(lists: DataFrame) -> DataFrame:
     return votes.groupBy("a").agg(F.max(F.struct("count", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
 
-def beyond(one: np.ndarray, head: np.ndarray) -> tuple[bool, np.ndarray]:
-    """Whether a set links with the smallest set of its list, and the shingles outside that set that a partner must meet.
+def beyond(one: np.ndarray, head: np.ndarray, small: int) -> tuple[bool, int, np.ndarray]:
+    """Whether a set links with the leader of its lists, what they share, and the shingles outside the leader to meet partners by.
 
-    Two sets x, y of a list that link, one of them not linked with the smallest set L, have a shingle in common outside L:
-    otherwise x and y shared no more than x and L do, and y is no smaller than L. They share as many outside L as they need
-    less those that x has in L, and so the first shingles of both, by value, up to what may be missing, have one in common.
+    ``small`` is the least size in the lists. A partner of the set shares at least what the smallest possible partner would
+    need; what the set does not have in the leader must be met outside. Of two linked sets that do not both link with the
+    leader, one has this above 0, or is left to :func:`loose_pairs`. So the first shingles outside, by value, up to what may
+    be missing, have one in common.
     """
     place = np.minimum(np.searchsorted(head, one), len(head) - 1)
     inside = head[place] == one
     shared = int(inside.sum())
-    least = max(len(head), -(-len(one) * SHARE_B // (SHARE_A - SHARE_B)))
+    least = max(small, -(-len(one) * SHARE_B // (SHARE_A - SHARE_B)))
     needed = max(1, -(-SHARE_B * (len(one) + least) // SHARE_A) - shared)
     rest = one[~inside]
-    return SHARE_A * shared >= SHARE_B * (len(one) + len(head)), rest[: max(0, len(rest) - needed + 1)]
+    return SHARE_A * shared >= SHARE_B * (len(one) + len(head)), shared, rest[: max(0, len(rest) - needed + 1)]
 
 
 def thinned(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """``class, head, n, probe, linked, keys``: every class beside the leaders of its lists, and the lists that replace them."""
-    met = lists.groupBy("class", F.col("lead.class").alias("head")).agg(F.first("n").alias("n"), F.max("probe").alias("probe")).where(F.col("class") != F.col("head"))
+    """``class, head, n, probe, weight, small, linked, shared, keys``: every class beside the leaders of its lists, and the lists that replace them."""
+    met = lists.groupBy("class", F.col("lead.class").alias("head")).agg(F.first("n").alias("n"), F.max("probe").alias("probe"), F.max("weight").alias("weight"), F.min("small").alias("small")).where(F.col("class") != F.col("head"))
     rows = met.join(sets.select("class", F.col("grams").alias("x")), "class").join(sets.select(F.col("class").alias("head"), F.col("grams").alias("y")), "head")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, keys = [], []
-            for name, x, y in zip(batch.column(1).to_pylist(), batch.column(4), batch.column(5), strict=True):
-                ties, rest = beyond(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))
+            linked, common, keys = [], [], []
+            for name, small, x, y in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), batch.column(6), batch.column(7), strict=True):
+                ties, shared, rest = beyond(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), small)
                 linked.append(ties)
+                common.append(shared)
                 keys.append(mix(rest + mix(np.array([name], np.int64).view(np.uint64))).view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate([*keys, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(linked, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["class", "head", "n", "probe", "linked", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(linked, pa.bool_()), pa.array(common, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["class", "head", "n", "probe", "weight", "small", "linked", "shared", "keys"])
 
-    return rows.select("class", "head", "n", "probe", "x", "y").mapInArrow(run, "class bigint, head bigint, n bigint, probe boolean, linked boolean, keys array<bigint>")
+    return rows.select("class", "head", "n", "probe", "weight", "small", "x", "y").mapInArrow(run, "class bigint, head bigint, n bigint, probe boolean, weight bigint, small bigint, linked boolean, shared bigint, keys array<bigint>")
+
+
+def loose_pairs(lists: DataFrame, beside: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs of a set that does not link with its leader and a set below the leader's size, for which the first has enough in the leader."""
+    loose = beside.where(~F.col("linked") & (SHARE_A * F.col("shared") >= SHARE_B * (F.col("n") + F.col("small")))).select("class", "head", "shared")
+    now = lists.drop("comp").join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class")).withColumn("head", F.col("lead.class"))
+    one = now.join(loose, ["class", "head"]).select("sig", F.col("class").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), "shared")
+    two = now.where(F.col("n") < F.col("lead.n")).select("sig", F.col("class").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
+    met = one.join(two, "sig").where((F.col("ca") != F.col("cb")) & _close(F.col("na"), F.col("nb")) & (SHARE_A * F.col("shared") >= SHARE_B * (F.col("na") + F.col("nb"))))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def list_pairs(lists: DataFrame) -> DataFrame:
@@ -377,7 +390,7 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
         edges = materialise(edges.union(verified(proposals(lists), sets)), "jaccard-edges")
         comps = components(edges)
     for step in range(thinnings + 1):
-        lists = materialise(mixed(lists.select("sig", "class", "n", "probe"), comps, F.struct("n", "class")), "jaccard-lists")
+        lists = materialise(mixed(lists.select("sig", "class", "n", "probe", "weight"), comps, F.struct((-F.col("weight")).alias("o"), "class", "n")), "jaccard-lists")
         size = lists.groupBy("sig").agg(F.count("*").alias("k"), F.count_if("probe").alias("asks")).agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("asks")).alias("pairs")).first()
         if not size.k:
             break
@@ -388,7 +401,10 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
         beside = materialise(thinned(lists, sets), "jaccard-beside")
         edges = materialise(edges.union(beside.where("linked").select(F.col("class").alias("a"), F.col("head").alias("b"))), "jaccard-edges")
         comps = components(edges)
-        lists = beside.select(F.explode("keys").alias("sig"), "class", "n", "probe")
+        loose = materialise(loose_pairs(lists, beside, comps), "jaccard-loose")
+        edges = materialise(edges.union(verified(loose, sets)), "jaccard-edges")
+        comps = components(edges)
+        lists = beside.select(F.explode("keys").alias("sig"), "class", "n", "probe", "weight")
     found = rows.select("id", "n", "class").join(comps, "class", "left")
     return found.select("id", "n", "class", F.coalesce("comp", "class").alias("comp"))
 
