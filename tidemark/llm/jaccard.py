@@ -19,7 +19,7 @@ a difference spoils one segment only, two similar sets must agree on m - H segme
   it needs inside L; these few are verified at once. So lists by (L, shingle outside L) replace the list, with
   as few shingles of each member as the overlap that it needs outside L allows. Members of a large group of near copies agree
   in what the group has in common and rarely in their differences: the group costs its size and not its square. This is
-  repeated while lists hold many pairs for each entry; then the pairs are verified. No pair that could join two components
+  repeated while lists hold many pairs for each entry and that halves them; then the pairs are verified. No pair that could join two components
   is left out at any step.
 
 Shingles and sets are compared by 64-bit digests. Nothing is collected: components are found by joins.
@@ -44,7 +44,7 @@ SHARE_A, SHARE_B = 7, 3
 #: Bands grow by this ratio; schemes of at most SMALL differences have deletion neighbourhoods.
 GROWTH, SMALL = (16, 9), 16
 BLOCK_BYTES, FLUSH = 1 << 20, 1 << 18
-#: Lists are replaced by thinner ones while they hold more pairs than this for each entry.
+#: Lists are replaced by thinner ones while they hold more pairs than this for each entry and the step before halved them.
 PAIRS = 16
 BASE = 0x9E3779B97F4A7C15
 BACK = pow(BASE, -1, 1 << 64)
@@ -389,15 +389,17 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
         lists = materialise(mixed(lists, comps, lead), "jaccard-lists")
         edges = materialise(edges.union(verified(proposals(lists), sets)), "jaccard-edges")
         comps = components(edges)
+    before = None
     for step in range(thinnings + 1):
         lists = materialise(mixed(lists.select("sig", "class", "n", "probe", "weight"), comps, F.struct((-F.col("weight")).alias("o"), "class", "n")), "jaccard-lists")
         size = lists.groupBy("sig").agg(F.count("*").alias("k"), F.count_if("probe").alias("asks")).agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("asks")).alias("pairs")).first()
         if not size.k:
             break
-        if step == thinnings or size.pairs <= PAIRS * size.k:
+        if step == thinnings or size.pairs <= PAIRS * size.k or (before is not None and 2 * size.pairs > before):
             edges = materialise(edges.union(verified(materialise(list_pairs(lists), "jaccard-pairs"), sets)), "jaccard-edges")
             comps = components(edges)
             break
+        before = size.pairs
         beside = materialise(thinned(lists, sets), "jaccard-beside")
         edges = materialise(edges.union(beside.where("linked").select(F.col("class").alias("a"), F.col("head").alias("b"))), "jaccard-edges")
         comps = components(edges)
