@@ -219,8 +219,8 @@ def landed_snapshots(spark, sf):
         F.struct("account_id", "portfolio_value", "cash", F.col("cash").alias("buying_power")).alias("account"),
         "positions",
     )
-    docs.write.json(path)
-    accounts, plain, results = rd.account_tables(rd.read_snapshots(spark, path, "part-*.json", wholetext=False))
+    docs.write.json(path, compression="gzip")
+    accounts, plain, results = rd.account_tables(rd.read_snapshots(spark, path, "part-*.json.gz", wholetext=False))
     keys = ["account_id", "ts"]
     return plain.join(results, [*keys, "symbol"]).join(accounts, keys).select(
         "account_id", "symbol", "qty", "market_value", "unrealized_pl", "portfolio_value"
