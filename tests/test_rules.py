@@ -88,3 +88,24 @@ def test_all_labels_of_a_sample_count(spark):
     assert {(r.entity_id, r.valid_8) for r in sampled.select("entity_id", "valid_8").distinct().collect()} == {("e", True), ("f", False)}
     found = tr.by_label_set(sampled, lambda rows, label: tr.frequency(rows, ["entity_id", "sample"], label))
     assert {(r.entity_id, r["sample"], r.label_set) for r in found.collect()} == {("e", "full", 4), ("e", "recent", 4), ("e", "full", 8), ("e", "recent", 8), ("f", "full", 4), ("f", "recent", 4)}
+
+
+def test_ranks_of_the_worst_count_ties_and_nulls(spark):
+    rows = [("a", f"s{i:02d}", g) for i, g in enumerate([5.0, 1.0, 1.0, 1.0, 1.0, 1.0, 9.0, 1.0, 1.0, None])] + [("b", "s", 0.0)]
+    df = spark.createDataFrame(rows, "account_id string, symbol string, gain double")
+    down = sorted((r for r in rows if r[0] == "a"), key=lambda r: (r[2] is not None, -(r[2] or 0), r[1]))
+    up = sorted((r for r in rows if r[0] == "a"), key=lambda r: (r[2] is not None, r[2] or 0, r[1]))
+    want = {(*r, i + 1, r in up[:3]) for i, r in enumerate(down) if i < 2 or r in up[:3]} | {("b", "s", 0.0, 1, True)}
+    out = pf.best_and_worst(df, "account_id", "gain", "symbol", best=2, worst=3)
+    assert {tuple(r) for r in out.collect()} == want
+    # Nothing but the few best and worst rows of each task and the counts is shuffled: no account is sorted as a whole.
+    assert out._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
+
+
+def test_positions_write_only_what_is_read(spark, sf):
+    from tidemark.plans import bindings as b
+
+    assert "positions-" not in "".join(b.positions(spark, sf, "account_id", "symbol").inputFiles())
+    some = b.positions(spark, sf, "symbol", "allocation_pct")
+    written = [f for f in some.inputFiles() if "positions-" in f]
+    assert some.columns == ["symbol", "allocation_pct"] and set(spark.read.parquet(*written).columns) == {"account_id", "symbol", "market_value", "cash"}

@@ -265,8 +265,11 @@ def holdings(spark: SparkSession, sf: str, priorities: tuple[str, ...] | None =
     )
 
 
-def positions(spark: SparkSession, sf: str) -> DataFrame:
-    """Positions with results and the share of their account's value (cash included)."""
+def positions(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
+    """Positions with results and the share of their account's value (cash included), or the columns ``cols`` of them.
+
+    Only what the columns need is written, and nothing where no account total is among them.
+    """
     held = holdings(spark, sf).select(
         "account_id", "symbol", "qty", F.col("price").alias("current_price"), F.col("entry_price").alias("avg_entry_price"),
         (F.col("price") * F.col("qty")).alias("market_value"),
@@ -275,11 +278,13 @@ def positions(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("price") * F.col("qty") * (F.col("size") - 25) / 1000).alias("change_today"),
         "layer", "thesis", "sector", "cash", "size",
     )
-    held = materialise(held, "positions")
+    if cols and not {"portfolio_value", "allocation_pct"} & {*cols}:
+        return held.select(*cols)
+    needed = [c for c in held.columns if not cols or c in (*cols, "account_id", "market_value", "cash")]
+    held = materialise(held.select(*needed), "positions")
     total = held.groupBy("account_id").agg((F.sum("market_value") + F.max("cash")).alias("portfolio_value"))
-    return held.join(total, "account_id").select(
-        "*", (F.col("market_value") / F.col("portfolio_value") * 100).alias("allocation_pct")
-    )
+    shared = held.join(total, "account_id").select("*", (F.col("market_value") / F.col("portfolio_value") * 100).alias("allocation_pct"))
+    return shared.select(*cols) if cols else shared
 
 
 def thesis_docs(spark: SparkSession, sf: str) -> DataFrame:

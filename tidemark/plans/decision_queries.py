@@ -10,7 +10,7 @@ from tidemark.operators import align, decisions as dc, portfolio as pf, regime,
 from tidemark.plans import bindings as b
 from tidemark.plans.cte import compose, cte
 from tidemark.plans.panel_queries import _wide, regimes
-from tidemark.plans.portfolio_queries import _valued
+from tidemark.plans.portfolio_queries import _SPREAD, _valued
 from tidemark.plans.registry import query
 from tidemark.session import materialise
 from tidemark.plans.transition_queries import counts4, shrunk
@@ -168,7 +168,7 @@ cte(
     "target_pct limited_pct",
 )
 def risk_limits(spark, sf):
-    target = _valued(spark, sf).select("account_id", "symbol", "sector", "thesis", F.col("allocation_pct").alias("target_pct"))
+    target = _valued(spark, sf, cols=("symbol", "sector", "thesis")).select("account_id", "symbol", "sector", "thesis", F.col("allocation_pct").alias("target_pct"))
     return dc.apply_limits(target)
 
 
@@ -392,7 +392,7 @@ def buying_power_scale(spark, sf):
 )
 def drawdown_raise(spark, sf):
     layer = F.col("layer")
-    held = b.positions(spark, sf).select(
+    held = b.positions(spark, sf, "account_id", "symbol", "allocation_pct", "size", "cash", "portfolio_value", "layer").select(
         "account_id", "symbol", "allocation_pct", "size", (F.col("cash") / F.col("portfolio_value") * 100).alias("cash_pct"),
         F.when(layer == "thesis_structural", 1).when(layer == "thesis_tactical", 2).otherwise(3).alias("conviction"),
     )
@@ -515,7 +515,7 @@ def capped_queue(spark, sf):
     ),
 )
 def turnover_budget(spark, sf):
-    orders = b.positions(spark, sf).select("account_id", "symbol", "size", "layer", F.col("allocation_pct").alias("turnover_pct"))
+    orders = b.positions(spark, sf, "account_id", "symbol", "size", "layer", "allocation_pct").select("account_id", "symbol", "size", "layer", F.col("allocation_pct").alias("turnover_pct"))
     out = dc.allocate_budget(orders, "account_id", ["size", "symbol"], F.col("layer") == "thesis_structural")
     return out.select("account_id", "symbol", "reserved", "decision")
 
@@ -548,7 +548,7 @@ def exposure_overlap(spark, sf):
         F.col("n_name").alias("thesis_id"),
         F.inline(F.array(tag("long", "geography", F.col("r_name")), tag("reduce", "sector", types[F.col("n_nationkey") % 6]))),
     )
-    return dc.exposure_overlap(pf.exposure(_valued(spark, sf)), theses)
+    return dc.exposure_overlap(pf.exposure(_valued(spark, sf, cols=_SPREAD)), theses)
 
 
 cte(

@@ -231,8 +231,12 @@ def _valued_cte(name: str, source: str) -> None:
 _valued_cte("valued", "holdings")
 
 
-def _valued(spark, sf, priorities=None):
-    return pf.holding_values(b.holdings(spark, sf, priorities), pf.resolve_rates(b.fx(spark, sf), "BASE"))
+#: What exposures read of a holding.
+_SPREAD = ("currency", "geography", "asset_class", "asset_classes", "sector", "sector_weightings")
+
+
+def _valued(spark, sf, priorities=None, cols=()):
+    return pf.holding_values(b.holdings(spark, sf, priorities), pf.resolve_rates(b.fx(spark, sf), "BASE"), cols)
 
 
 @query("fx_rates", "JN-8", compose("SELECT currency, rate::DOUBLE AS rate FROM rates", "rates"), "rate")
@@ -276,7 +280,7 @@ def _exposure_sql(source: str, extra: str = "") -> str:
 
 @query("exposure", "AGG-29", compose(_exposure_sql("valued"), "valued"), "pct")
 def exposure(spark, sf):
-    return pf.exposure(_valued(spark, sf))
+    return pf.exposure(_valued(spark, sf, cols=_SPREAD))
 
 
 _PAPER, _EXTERNAL = ("1-URGENT", "2-HIGH"), ("3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -305,11 +309,11 @@ cte("external_exposure", _exposure_sql("external_valued"), "external_valued")
     "paper_pct external_pct delta",
 )
 def exposure_gap(spark, sf):
-    paper_lots = _valued(spark, sf, _PAPER)
+    paper_lots = _valued(spark, sf, _PAPER, (*_SPREAD, "thesis"))
     total = pf.exposure(paper_lots)
     thesis = pf.exposure(paper_lots.where(F.col("thesis") != "")).withColumnRenamed("pct", "thesis_pct")
     paper = total.join(thesis, ["account_id", "dim", "label"], "left").na.fill(0.0, ["thesis_pct"])
-    return pf.exposure_gap(paper, pf.exposure(_valued(spark, sf, _EXTERNAL)), ["equities", "fund"])
+    return pf.exposure_gap(paper, pf.exposure(_valued(spark, sf, _EXTERNAL, _SPREAD)), ["equities", "fund"])
 
 
 cte(
@@ -334,7 +338,7 @@ cte(
     "pct",
 )
 def position_allocations(spark, sf):
-    held = b.positions(spark, sf)
+    held = b.positions(spark, sf, "account_id", "symbol", "cash", "portfolio_value", "allocation_pct")
     cash = held.groupBy("account_id").agg(F.max(F.col("cash") / F.col("portfolio_value") * 100).alias("pct"))
     return held.select("account_id", "symbol", F.col("allocation_pct").alias("pct")).unionByName(
         cash.select("account_id", F.lit("CASH").alias("symbol"), "pct")
@@ -401,7 +405,7 @@ def unrealised_total(spark, sf):
     "unrealized_pl",
 )
 def pnl_ranking(spark, sf):
-    return pf.best_and_worst(b.positions(spark, sf), "account_id", "unrealized_pl", "symbol")
+    return pf.best_and_worst(b.positions(spark, sf, "account_id", "symbol", "unrealized_pl"), "account_id", "unrealized_pl", "symbol")
 
 
 @query(
@@ -437,7 +441,7 @@ def latest_known_attributes(spark, sf):
 )
 def attach_pnl(spark, sf):
     held = b.holdings(spark, sf).select("account_id", "symbol", "qty")
-    perf = b.positions(spark, sf).where(F.col("size") % 2 == 0).select("account_id", "symbol", "unrealized_pl")
+    perf = b.positions(spark, sf, "account_id", "symbol", "unrealized_pl", "size").where(F.col("size") % 2 == 0).select("account_id", "symbol", "unrealized_pl")
     return held.join(perf, ["account_id", "symbol"], "left")
 
 
