@@ -191,3 +191,10 @@ def test_lists_are_left_out_exactly(spark):
         want = sorted(sims, reverse=True)[:5]
         assert np.allclose([s for s, _ in got[i]], want, atol=1e-8) and all(j < i for _, j in got[i])
     assert report["visited"] < report["pairs"] / 2, report
+
+
+def test_next_value_does_not_go_over_the_rest_of_a_block_for_each_row(spark):
+    df = spark.range(20).select(F.lit("k").alias("k"), "id", F.when(F.col("id") % 7 == 3, F.col("id")).alias("v"))
+    out = scanned(df, ["k"], [F.col("id")], {"n": ("next", F.col("v"))}, block=8)
+    assert [r.n for r in out.orderBy("id").collect()] == [3] * 4 + [10] * 7 + [17] * 7 + [None] * 2
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()

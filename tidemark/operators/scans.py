@@ -124,7 +124,8 @@ def scanned(df: DataFrame, keys: list[str], order: list[Column], specs: dict[str
     inner = Window.partitionBy(*keys, "_b").orderBy("_n")
     so_far = inner.rowsBetween(Window.unboundedPreceding, 0)
     earlier = inner.rowsBetween(Window.unboundedPreceding, -1)
-    from_here = inner.rowsBetween(0, Window.unboundedFollowing)
+    # Read backwards: a frame that begins at the row and runs to the end would go over the rest of the block for each row.
+    from_here = Window.partitionBy(*keys, "_b").orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0)
     totals, carries, results = [], [], []
     for name, (kind, _) in specs.items():
         value, total, carried = F.col(f"_v_{name}"), F.col(f"_t_{name}"), F.col(f"_c_{name}")
@@ -144,7 +145,7 @@ def scanned(df: DataFrame, keys: list[str], order: list[Column], specs: dict[str
         elif kind == "last_before":
             parts = F.max_by(value, known), F.last(total, ignorenulls=True).over(before), F.coalesce(F.last(value, ignorenulls=True).over(earlier), carried)
         elif kind == "next":
-            parts = F.min_by(value, known), F.last(total, ignorenulls=True).over(after), F.coalesce(F.first(value, ignorenulls=True).over(from_here), carried)
+            parts = F.min_by(value, known), F.last(total, ignorenulls=True).over(after), F.coalesce(F.last(value, ignorenulls=True).over(from_here), carried)
         else:
             raise ValueError(f"unknown kind {kind!r}")
         totals.append(parts[0].alias(f"_t_{name}"))
