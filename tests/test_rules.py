@@ -109,3 +109,13 @@ def test_positions_write_only_what_is_read(spark, sf):
     some = b.positions(spark, sf, "symbol", "allocation_pct")
     written = [f for f in some.inputFiles() if "positions-" in f]
     assert some.columns == ["symbol", "allocation_pct"] and set(spark.read.parquet(*written).columns) == {"account_id", "symbol", "market_value", "cash"}
+
+
+def test_records_are_dealt_to_tasks_and_fields_taken_out_once(spark):
+    from tidemark.operators import quality as ql
+
+    df = spark.createDataFrame([(1, '{"n": 3}')], "id int, r string").coalesce(1)
+    out = ql.record_violations(df, "r", [ql.Rule("n")], F.lit(""), ["id"])
+    assert [r.violation for r in out.collect()] == ["n must be string, got number"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan and plan.count("$.n") <= 2

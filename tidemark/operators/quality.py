@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import labels as L
 from tidemark.operators.signals import from_end, pct_of
+from tidemark.operators.text import let
 
 
 def lookback(obs: DataFrame, as_of: str, days: Column | int, time: str = "obs_date") -> DataFrame:
@@ -117,17 +119,23 @@ def _stub(value: Column, inner: str) -> Column:
 
 def _problems(value: Column, rules: Sequence[Rule], of_class: Column, prefix: Column) -> Column:
     """Array of what is wrong with an object, each with its path."""
-    out = []
-    for rule in rules:
-        child, path = _field(value, rule.name), F.concat(prefix, F.lit(rule.name))
+    # A field is taken out of its record once, for all that is asked of it.
+    return F.concat(*[let(_field(value, rule.name), partial(_field_problems, rule, of_class, prefix)) for rule in rules])
+
+
+def _field_problems(rule: Rule, of_class: Column, prefix: Column, child: Column) -> Column:
+    """Array of what is wrong with one field of an object."""
+
+    def found_with(kind: Column) -> Column:
+        path = F.concat(prefix, F.lit(rule.name))
         say = lambda words, path=path: F.concat(path, F.lit(f" {words}"))
         text = F.try_variant_get(child, "$", "string")
-        typed = child.isNotNull() & (_kind(child) == rule.kind)
+        typed = child.isNotNull() & (kind == rule.kind)
         found = []
         if rule.required:
             found.append(F.when(child.isNull(), say("is missing")))
         if not rule.present:
-            found.append(F.when(child.isNotNull() & (_kind(child) != rule.kind), F.concat(say(f"must be {rule.kind}, got "), _kind(child))))
+            found.append(F.when(child.isNotNull() & (kind != rule.kind), F.concat(say(f"must be {rule.kind}, got "), kind)))
         if rule.values:
             found.append(F.when(typed & ~text.isin(*rule.values), F.concat(say("is not a valid value: "), text)))
         members = F.coalesce(F.try_variant_get(F.when(typed, child), "$", "array<variant>"), F.array().cast("array<variant>")) if rule.kind == "array" else None
@@ -150,8 +158,9 @@ def _problems(value: Column, rules: Sequence[Rule], of_class: Column, prefix: Co
             every = F.concat(every, F.when(typed, _problems(child, rule.fields, of_class, F.concat(path, F.lit(".")))).otherwise(F.array().cast("array<string>")))
         if rule.fields and rule.kind == "array":
             every = F.concat(every, F.flatten(F.transform(members, _member_problems(rule, path, of_class))))
-        out.append(F.when(of_class == rule.of_class, every).otherwise(F.array().cast("array<string>")) if rule.of_class else every)
-    return F.concat(*out)
+        return F.when(of_class == rule.of_class, every).otherwise(F.array().cast("array<string>")) if rule.of_class else every
+
+    return let(_kind(child), found_with)
 
 
 def _member_problems(rule: Rule, path: Column, of_class: Column):
@@ -160,13 +169,15 @@ def _member_problems(rule: Rule, path: Column, of_class: Column):
     def check(x: Column, i: Column) -> Column:
         at = F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
         wrong = F.array(F.concat(at, F.lit(" must be object, got "), F.coalesce(_kind(x), F.lit("null"))))
-        return F.when(F.coalesce(_kind(x) == "object", F.lit(False)), _problems(x, rule.fields, of_class, F.concat(at, F.lit(".")))).otherwise(wrong)
+        return let(_kind(x) == "object", lambda sound: F.when(F.coalesce(sound, F.lit(False)), _problems(x, rule.fields, of_class, F.concat(at, F.lit(".")))).otherwise(wrong))
 
     return check
 
 
 def record_violations(df: DataFrame, record: str, rules: Sequence[Rule], of_class: Column, keep: Sequence[str]) -> DataFrame:
     """One row per broken rule of the nested records in the JSON column ``record``; text that is no object breaks one rule."""
+    # Records are small beside the work on them, so they are dealt to all tasks and not by the size of their files.
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parsed = df.select("*", F.try_parse_json(record).alias("_record"), F.coalesce(of_class, F.lit("")).alias("_class"))
     sound = F.coalesce(_kind(F.col("_record")) == "object", F.lit(False))
     found = F.when(sound, _problems(F.col("_record"), rules, F.col("_class"), F.lit(""))).otherwise(F.array(F.lit("record is no object")))
