@@ -121,6 +121,71 @@ def test_a_session_is_emitted_when_opened_changed_joined_and_closed():
     assert not handle.cells["open"].exists()
 
 
+class Calls(Cell):
+    """Counts the calls to the state."""
+
+    made = 0
+
+    def _count(self, call, *args):
+        Calls.made += 1
+        return call(*args)
+
+    def exists(self):
+        return self._count(super().exists)
+
+    def get(self):
+        return self._count(super().get)
+
+    def put(self, value):
+        self._count(super().update, value)
+
+
+class CountingHandle(Handle):
+    def getListState(self, name, _):  # noqa: N802
+        return self.cells.setdefault(name, Calls())
+
+
+def test_keys_of_a_bucket_are_scanned_together(monkeypatch):
+    rng = np.random.default_rng(8)
+    streams = {k: parts_with_late_rows(rng, 60, 20, 3000) for k in ("a", "b", None, "d")}
+    fields = [T.StructField("k", T.StringType()), T.StructField(state.MS, T.LongType()), T.StructField("v", T.DoubleType())]
+    for scan in (state.Moments("v", 5), state.Drawdown("v")):
+        monkeypatch.setattr(Calls, "made", 0)
+        one, handle, got = state.OrderedScan(["k"], [], T.StructType(fields), None, scan), CountingHandle(), {}
+        one.init(handle)
+        rounds = max(len(parts) for _, parts in streams.values())
+        for i in range(rounds):
+            part = pd.concat([parts[i].assign(k=k) for k, (_, parts) in streams.items() if i < len(parts)])
+            mark = max(0, i * 20000 + 10 - 3000)
+            for frame in one.handleInputRows((7,), iter([part[::2], part[1::2]]), At(mark)):
+                got |= {(None if pd.isna(r["k"]) else r["k"], r[state.MS]): r for r in frame.to_dict("records")}
+        # Two lists read and written a round, whatever the number of keys.
+        assert Calls.made <= 6 * rounds
+        for k, (rows, _) in streams.items():
+            out, _ = scan(np.zeros(len(rows), int), [np.array([x]) for x in scan.empty], rows)
+            for name, column in out.items():
+                assert np.allclose([got[k, m][name] for m in rows[state.MS]], column, rtol=1e-6, atol=1e-6, equal_nan=True), (k, name)
+
+
+def test_sessions_of_a_bucket_share_one_timer():
+    p, handle = state.LogSessions("run", 6 * HOUR, T.StringType()), CountingHandle()
+    p.init(handle)
+    feed = lambda rows, mark=0: sorted((r.run, r.start // HOUR, r.events, r.status) for f in p.handleInputRows((3,), iter([rows]), At(mark)) for r in f.itertuples())
+    runs = lambda names, frame: frame.assign(run=list(names))
+    assert feed(runs("abab", log((1, "INFO", None), (2, "INFO", None), (3, "WARN", None), (30, "INFO", "run-end")))) == [("a", 1, 2, "open"), ("b", 2, 1, "open"), ("b", 30, 1, "open")]
+    assert handle.timers == {8 * HOUR}
+    # Only what changed is emitted again; the late row of b joins nothing of a.
+    assert feed(runs("bc", log((7, "INFO", None), (40, "INFO", None)))) == [("b", 2, 2, "open"), ("c", 40, 1, "open")]
+    assert handle.timers == {9 * HOUR}
+    closed = lambda due, mark: sorted((r.run, r.start // HOUR, r.events, r.status) for f in p.handleExpiredTimer((3,), At(mark), At(due)) for r in f.itertuples())
+    handle.timers.clear()
+    assert closed(9 * HOUR, 20 * HOUR) == [("a", 1, 2, "closed"), ("b", 2, 2, "closed")]
+    assert handle.timers == {36 * HOUR}
+    handle.timers.clear()
+    assert closed(36 * HOUR, 90 * HOUR) == [("b", 30, 1, "closed"), ("c", 40, 1, "closed")]
+    assert not handle.timers and not handle.cells["open"].exists()
+
+
 def test_stream_of_sessions_keeps_open_ones_and_survives_restarts(spark, tmp_path):
     day = dt.datetime(2024, 3, 1)
     rows = [("a", 0, "run-start"), ("a", 5, "run-end"), ("a", 40, "run-start"), ("b", 38, "run-start"), ("b", None, "lost")]
