@@ -193,6 +193,28 @@ def test_lists_are_left_out_exactly(spark):
     assert report["visited"] < report["pairs"] / 2, report
 
 
+def test_a_query_is_copied_per_pack_and_not_per_list(spark, monkeypatch):
+    """Vectors of no order, where no list can be left out, and equal ones: exact rows, ties to the earlier, few rows written."""
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(600, 16))
+    v[100:140] = v[100]
+    df = spark.createDataFrame([("u", i, [float(x) for x in row]) for i, row in enumerate(v)], "u STRING, id BIGINT, v ARRAY<DOUBLE>")
+    q = df.select("u", F.col("id").alias("q_id"), F.col("v").alias("q_vec"), (F.col("id") - 1).alias("cutoff"))
+    h = df.select("u", F.col("id").alias("h_id"), F.col("id").alias("h_ord"), F.col("v").alias("h_vec"))
+    written, write = {}, an.materialise
+    monkeypatch.setattr(an, "materialise", lambda frame, label: written.setdefault(label, write(frame, label)))
+    got = {}
+    for r in an.top_k_similar(q, h, ["u"], k=5, block=8).orderBy("rank").collect():
+        got.setdefault(r.q_id, []).append((round(r.sim, 9), r.h_id))
+    u = an.unit(v)
+    for i in range(1, 600):
+        want = sorted(((-round(float(s), 9), j) for j, s in enumerate(u[:i] @ u[i])))[:5]
+        assert [(-s, j) for s, j in got[i]] == want
+    assert written["list-stats"].count() > 15
+    met = [written[label] for label in ("first-visits", "later-visits")]
+    assert sum(m.count() for m in met) <= 2 * 600 * (an.PACKS + 1) and all("q_vec" not in m.columns for m in met)
+
+
 def test_next_value_does_not_go_over_the_rest_of_a_block_for_each_row(spark):
     df = spark.range(20).select(F.lit("k").alias("k"), "id", F.when(F.col("id") % 7 == 3, F.col("id")).alias("v"))
     out = scanned(df, ["k"], [F.col("id")], {"n": ("next", F.col("v"))}, block=8)

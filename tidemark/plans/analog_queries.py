@@ -204,7 +204,7 @@ def analogs(spark, sf):
 )
 def similar_vectors(spark, sf):
     vec = b.table(spark, sf, "embeddings").select(
-        F.when(F.col("vec_id").isNotNull(), "all").alias("universe"), "vec_id", F.col("embedding").cast("array<double>").alias("v")
+        F.when(F.col("vec_id").isNotNull(), "all").alias("universe"), "vec_id", F.col("embedding").alias("v")
     )
     queries = vec.select("universe", F.col("vec_id").alias("q_id"), F.col("v").alias("q_vec"), (F.col("vec_id") - 1).alias("cutoff"))
     history = vec.select("universe", F.col("vec_id").alias("h_id"), F.col("vec_id").alias("h_ord"), F.col("v").alias("h_vec"))
