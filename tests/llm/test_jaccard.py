@@ -140,3 +140,44 @@ def test_far_copies_of_one_text(spark, monkeypatch):
             words[at] = f"x{rng.randrange(60)}"
         rows.append((i, " ".join(words)))
     assert run(spark, rows) == brute(rows)
+
+
+def test_sketches_spare_every_link_and_most_pairs():
+    rng, kept = random.Random(5), 0
+    for _ in range(2000):
+        base = [rng.getrandbits(64) for _ in range(rng.randrange(1, 300))]
+        one, two = (set(rng.sample(base, rng.randrange(len(base) * 4 // 5, len(base)) + 1)) | {rng.getrandbits(64) for _ in range(rng.randrange(1 + len(base) // 8))} for _ in range(2))
+        bits = sum(int(x).bit_count() for x in (ja.sketch(np.array(sorted(one), np.uint64)) ^ ja.sketch(np.array(sorted(two), np.uint64))).view(np.uint64))
+        assert bits <= len(one ^ two)
+        other = ja.sketch(np.array(sorted(rng.getrandbits(64) for _ in one), np.uint64)) ^ ja.sketch(np.array(sorted(one), np.uint64))
+        kept += 7 * sum(int(x).bit_count() for x in other.view(np.uint64)) <= 2 * len(one)
+    assert kept < 20
+
+
+def test_candidates_of_long_lists_are_few(spark, monkeypatch):
+    """Texts that share half of their words are listed together; none of their pairs but the linked ones may form."""
+    monkeypatch.setattr(ja, "PAIRS", 1 << 30)
+    found, plain = [], ja.list_pairs
+    monkeypatch.setattr(ja, "list_pairs", lambda *x: found.append(plain(*x)) or found[-1])
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(i, " ".join(base + [f"x{rng.randrange(10**6)}" for _ in range(60 + i % 5)])) for i in range(120)]
+    rows += [(200 + i, rows[2 * i][1] + " end") for i in range(5)]
+    assert run(spark, rows) == brute(rows)
+    assert found and sum(df.count() for df in found) < 1000
+
+
+def test_links_join_components_of_before(spark):
+    rng = random.Random(7)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)]
+    comps = spark.createDataFrame([], "class bigint, comp bigint")
+    for at in range(0, 260, 65):
+        comps = ja.merged(comps, spark.createDataFrame(edges[at : at + 65], "a bigint, b bigint"))
+    got = dict(map(tuple, comps.collect()))
+    least = list(range(300))
+    for _ in range(300):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert len(got) == comps.count() and set(got) == linked
+    assert all((got[a] == got[b]) == (least[a] == least[b]) for a in linked for b in linked)

@@ -12,17 +12,24 @@ a difference spoils one segment only, two similar sets must agree on m - H segme
 * **Allocation.** A remaining set has to test as many segments as H + 1 minus its free units, and takes those whose lists are
   shortest; empty segments, whose list would be everything, are never tested. Where segments are too few because many are
   empty, a test within one deletion counts twice. If even that does not suffice, the set is compared with its whole band.
+* **Sketches.** A set has ``SKETCH`` words of 64 bits; every shingle flips one bit. Sketches differ in at most as many bits as the
+  sets in elements, so a pair whose sketches differ in more bits than linked sets of these sizes can differ in elements is no
+  link. Such pairs never form, and the sets of the others alone travel. Sets of many more shingles than bits fill their sketch,
+  which then excludes less and never a link.
 * **Verification** is exact, on the sets. Equal sets are one class from the start. Lists are resolved by components: members
   are first compared with the leader that leads most of their lists, the one that shares most, and lists of one component go.
-* **Thinning.** In a list that is left, every member is compared with its leader L, the member that shares most. Two members
+* **Pairs.** A list that is left and has at most ``PAIRS`` tests is searched for pairs: at most that many comparisons of sketches
+  for each of its members.
+* **Thinning.** In a longer list, every member is compared with its leader L, the member that shares most. Two members
   that link without both linking with L share a shingle outside L, unless one is smaller than L and the other has all that
   it needs inside L; these few are verified at once. So lists by (L, shingle outside L) replace the list, with
   as few shingles of each member as the overlap that it needs outside L allows. Members of a large group of near copies agree
   in what the group has in common and rarely in their differences: the group costs its size and not its square. This is
-  repeated while lists hold many pairs for each entry and that halves them; then the pairs are verified. No pair that could join two components
-  is left out at any step.
+  repeated while long lists are left and that halves their pairs; then these are searched as well. No pair that could join two
+  components is left out at any step.
 
-Shingles and sets are compared by 64-bit digests. Nothing is collected: components are found by joins.
+Shingles and sets are compared by 64-bit digests. Nothing is collected: components are found by joins, each time only over links
+between the components of before.
 """
 
 from __future__ import annotations
@@ -44,8 +51,11 @@ SHARE_A, SHARE_B = 7, 3
 #: Bands grow by this ratio; schemes of at most SMALL differences have deletion neighbourhoods.
 GROWTH, SMALL = (16, 9), 16
 BLOCK_BYTES, FLUSH = 1 << 20, 1 << 18
-#: Lists are replaced by thinner ones while they hold more pairs than this for each entry and the step before halved them.
-PAIRS = 16
+#: Lists with more tests than this are replaced by thinner ones while that halves their pairs. Comparing two sketches takes some
+#: hundredths of the time that comparing a set with its leader takes.
+PAIRS = 256
+#: Words of a sketch, and sketches that are broadcast.
+SKETCH, SKETCHES = 8, 100_000
 BASE = 0x9E3779B97F4A7C15
 BACK = pow(BASE, -1, 1 << 64)
 #: What separates words, and ASCII capitals become small.
@@ -100,6 +110,12 @@ def set_id(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """``SKETCH`` signed 64-bit words in which every shingle has flipped one bit."""
+    bit = ((mix(grams ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)) * np.uint64(64 * SKETCH) >> np.uint64(32)).astype(np.int64)
+    return np.packbits(np.bincount(bit, minlength=64 * SKETCH).astype(np.uint8) & 1).view(np.int64)
+
+
 # ---- schemes
 
 def most_apart(a: int, b: int) -> int:
@@ -247,21 +263,47 @@ def _close(a, b):
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """``class, grams`` of the classes in ``wanted`` (``id, class``), read again from the texts of one document each."""
+    """``class, grams, s0 ..`` of the classes in ``wanted`` (``id, class``) with their sketches, read again from the texts of one document each."""
     plain = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
     rows = with_small(plain, wanted.select("id", "class"), F.col("k").eqNullSafe(F.col("id"))).select("class", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(c, g) for c, g in zip(batch.column(0).to_pylist(), shingle_sets([t or "" for t in batch.column(1).to_pylist()]), strict=True) if set_id(g) == c] if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([g.tobytes() for _, g in found], pa.binary())], ["class", "grams"])
+            words = np.array([sketch(g) for _, g in found], np.int64).reshape(-1, SKETCH)
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([g.tobytes() for _, g in found], pa.binary()), *[pa.array(words[:, i].copy()) for i in range(SKETCH)]], ["class", "grams", *SKETCHED])
+
+    return rows.mapInArrow(run, "class bigint, grams binary, " + ", ".join(f"{s} bigint" for s in SKETCHED))
+
+
+#: The columns of a sketch.
+SKETCHED = [f"s{i}" for i in range(SKETCH)]
+
+
+def _near(a: str, b: str, both):
+    """Whether the sketches ``a0 ..`` and ``b0 ..`` allow a link of sets whose sizes sum to ``both``."""
+    bits = sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(SKETCH)), F.lit(0))
+    return bits * SHARE_A <= both * (SHARE_A - 2 * SHARE_B)
 
-    return rows.mapInArrow(run, "class bigint, grams binary")
+
+def sketches_of(sets: DataFrame, name: str, prefix: str) -> DataFrame:
+    """The sketches of classes, keyed by ``name`` and with columns of this prefix."""
+    return sets.select(F.col("class").alias(name), *[F.col(s).alias(f"{prefix}{i}") for i, s in enumerate(SKETCHED)])
+
+
+def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` of ``a, b, both`` (sum of sizes) whose sketches allow a link, as ``a, b``."""
+    for side in ("a", "b"):
+        pairs = with_small(pairs.withColumnRenamed(side, f"{side}_"), sketches_of(sets, side, f"{side}s"), F.col(f"{side}_") == F.col(side), most=SKETCHES).drop(f"{side}_")
+    return pairs.where(_near("as", "bs", F.col("both"))).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose sets link."""
-    left, right = sets.select(F.col("class").alias("a"), F.col("grams").alias("x")), sets.select(F.col("class").alias("b"), F.col("grams").alias("y"))
+    """The pairs ``a, b`` whose sets link. Only sets of pairs travel."""
+    pairs = materialise(pairs.select("a", "b"), "jaccard-pairs")
+    left, right = sets.select(F.col("class").alias("of"), F.col("grams").alias("x")), sets.select(F.col("class").alias("b"), F.col("grams").alias("y"))
+    left = with_small(left, pairs, F.col("of") == F.col("a")).drop("of")
+    right = with_small(right, pairs.select(F.col("b").alias("of")).distinct(), F.col("b") == F.col("of"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,7 +314,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(SHARE_A * int((two[place] == one).sum()) >= SHARE_B * (len(one) + len(two)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
+    return left.join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -289,21 +331,34 @@ def components(edges: DataFrame) -> DataFrame:
             return label.select("class", "comp")
 
 
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` (``class, comp``) with the links ``a, b`` added. Only what they join of components and new classes is worked on."""
+    for side in ("a", "b"):
+        links = links.join(comps.select(F.col("class").alias(side), F.col("comp").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    links = materialise(links.where("ca != cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "jaccard-links")
+    if not links.limit(1).count():
+        return comps
+    new = components(links).select("class", F.col("comp").alias("new"))
+    # A component's name is a class of its own, so the names among the vertices have their row in comps and the others have none.
+    moved = comps.join(new.select(F.col("class").alias("comp"), "new"), "comp", "left").select("class", F.coalesce("new", "comp").alias("comp"))
+    return materialise(moved.union(new.join(comps, "class", "left_anti").select("class", "new")), "jaccard-components")
+
+
 def mixed(lists: DataFrame, comps: DataFrame, lead) -> DataFrame:
-    """The entries of the lists that still hold two components and a test, with ``comp`` made new and ``lead``, the least ``lead`` of each.
+    """The entries of the lists that still hold two components and a test, with ``comp`` made new, ``asks``, the tests of each, and ``lead``, the least ``lead`` of each.
 
     Lists are summed before they are joined, so that a long one is never one task.
     """
-    named = lists.drop("comp", "lead", "small").join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    heads = named.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("probe").alias("asked"), F.min(lead).alias("lead"), F.min("n").alias("small"))
-    return named.join(heads.where((F.col("c0") != F.col("c1")) & F.col("asked") & F.col("lead").isNotNull()).select("sig", "lead", "small"), "sig")
+    named = lists.drop("comp", "asks", "lead", "small").join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    heads = named.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count_if("probe").alias("asks"), F.min(lead).alias("lead"), F.min("n").alias("small"))
+    return named.join(heads.where((F.col("c0") != F.col("c1")) & (F.col("asks") > 0) & F.col("lead").isNotNull()).select("sig", "asks", "lead", "small"), "sig")
 
 
 def proposals(lists: DataFrame) -> DataFrame:
-    """One pair for each class: it and the leader that leads most of its lists."""
+    """One pair ``a, b, both`` for each class: it and the leader that leads most of its lists."""
     met = lists.where((F.col("lead.comp") != F.col("comp")) & (F.col("probe") | F.col("lead.probe")) & _close(F.col("n"), F.col("lead.n")))
-    votes = met.groupBy(F.col("class").alias("a"), F.col("lead.class").alias("b")).count()
-    return votes.groupBy("a").agg(F.max(F.struct("count", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    votes = met.groupBy(F.col("class").alias("a"), F.col("lead.class").alias("b")).agg(F.count("*").alias("count"), F.first(F.col("n") + F.col("lead.n")).alias("both"))
+    return votes.groupBy("a").agg(F.max(F.struct("count", "b", "both")).alias("best")).select("a", "best.b", "best.both")
 
 
 def beyond(one: np.ndarray, head: np.ndarray, small: int) -> tuple[bool, int, np.ndarray]:
@@ -350,14 +405,15 @@ def loose_pairs(lists: DataFrame, beside: DataFrame, comps: DataFrame) -> DataFr
     one = now.join(loose, ["class", "head"]).select("sig", F.col("class").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), "shared")
     two = now.where(F.col("n") < F.col("lead.n")).select("sig", F.col("class").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
     met = one.join(two, "sig").where((F.col("ca") != F.col("cb")) & _close(F.col("na"), F.col("nb")) & (SHARE_A * F.col("shared") >= SHARE_B * (F.col("na") + F.col("nb"))))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("both")).distinct()
 
 
-def list_pairs(lists: DataFrame) -> DataFrame:
-    """The pairs of different components that meet in a list in which one of them has a test."""
-    side = lambda c, m: lists.select("sig", F.col("class").alias(c), F.col("comp").alias(f"c{c}"), F.col("n").alias(f"n{c}"), F.col("probe").alias(m))
+def list_pairs(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of different components that meet in a list in which one of them has a test, and whose sketches allow a link."""
+    drawn = with_small(lists, sketches_of(sets, "of", "s"), F.col("class") == F.col("of"), most=SKETCHES)
+    side = lambda c, m: drawn.select("sig", F.col("class").alias(c), F.col("comp").alias(f"c{c}"), F.col("n").alias(f"n{c}"), F.col("probe").alias(m), *[F.col(s).alias(f"{c}{s}") for s in SKETCHED])
     pair = side("a", "asks").where("asks").join(side("b", "asked"), "sig")
-    met = pair.where((F.col("ca") != F.col("cb")) & _close(F.col("na"), F.col("nb")) & (~F.col("asked") | (F.col("a") < F.col("b"))))
+    met = pair.where((F.col("ca") != F.col("cb")) & _close(F.col("na"), F.col("nb")) & (~F.col("asked") | (F.col("a") < F.col("b"))) & _near("as", "bs", F.col("na") + F.col("nb")))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -375,37 +431,33 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
     wild = [
         wild.where(F.col(f"need{p}") > F.col(f"twos{p}")).select(F.col("class").alias("a"), F.col("n").alias("na"), F.col(f"band{p}").alias("band"))
         .join(classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col(f"band{p}").alias("band")), "band")
-        .where((F.col("a") != F.col("b")) & _close(F.col("na"), F.col("nb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .where((F.col("a") != F.col("b")) & _close(F.col("na"), F.col("nb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("both"))
         for p in (0, 1)
     ]
     wild = materialise(wild[0].union(wild[1]).distinct(), "jaccard-wild")
     named = lists.select("class").union(wild.select("a")).union(wild.select("b")).distinct()
     sets = materialise(sets_of(docs, classes.join(named, "class", "left_semi"), key, text), "jaccard-sets")
-    edges = materialise(verified(wild, sets), "jaccard-edges")
-    comps = components(edges)
+    comps = merged(docs.sparkSession.createDataFrame([], "class bigint, comp bigint"), verified(possible(wild, sets), sets))
     for step in range(rounds):
         order = F.xxhash64("comp", F.lit(step)) if step else -F.col("weight")
         lead = F.when(~F.col("deleted"), F.struct(order.alias("o"), "comp", "class", "n", "probe"))
         lists = materialise(mixed(lists, comps, lead), "jaccard-lists")
-        edges = materialise(edges.union(verified(proposals(lists), sets)), "jaccard-edges")
-        comps = components(edges)
+        comps = merged(comps, verified(possible(proposals(lists), sets), sets))
     before = None
     for step in range(thinnings + 1):
         lists = materialise(mixed(lists.select("sig", "class", "n", "probe", "weight"), comps, F.struct((-F.col("weight")).alias("o"), "class", "n")), "jaccard-lists")
-        size = lists.groupBy("sig").agg(F.count("*").alias("k"), F.count_if("probe").alias("asks")).agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("asks")).alias("pairs")).first()
+        long = F.col("asks") > PAIRS
+        size = lists.agg(F.count("*").alias("k"), F.sum(F.when(long, F.col("asks"))).alias("pairs")).first()
         if not size.k:
             break
-        if step == thinnings or size.pairs <= PAIRS * size.k or (before is not None and 2 * size.pairs > before):
-            edges = materialise(edges.union(verified(materialise(list_pairs(lists), "jaccard-pairs"), sets)), "jaccard-edges")
-            comps = components(edges)
+        last = step == thinnings or not size.pairs or (before is not None and 2 * size.pairs > before)
+        comps = merged(comps, verified(list_pairs(lists if last else lists.where(~long), sets), sets))
+        if last:
             break
-        before = size.pairs
+        before, lists = size.pairs, lists.where(long)
         beside = materialise(thinned(lists, sets), "jaccard-beside")
-        edges = materialise(edges.union(beside.where("linked").select(F.col("class").alias("a"), F.col("head").alias("b"))), "jaccard-edges")
-        comps = components(edges)
-        loose = materialise(loose_pairs(lists, beside, comps), "jaccard-loose")
-        edges = materialise(edges.union(verified(loose, sets)), "jaccard-edges")
-        comps = components(edges)
+        comps = merged(comps, beside.where("linked").select(F.col("class").alias("a"), F.col("head").alias("b")))
+        comps = merged(comps, verified(possible(loose_pairs(lists, beside, comps), sets), sets))
         lists = beside.select(F.explode("keys").alias("sig"), "class", "n", "probe", "weight")
     found = rows.select("id", "n", "class").join(comps, "class", "left")
     return found.select("id", "n", "class", F.coalesce("comp", "class").alias("comp"))
