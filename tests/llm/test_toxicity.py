@@ -144,3 +144,17 @@ def test_roots_are_the_first_bytes():
     assert (keys == tx.grams(["Über x", "", "abcd"])[0]).all() and len(keys) == 13
     number = lambda raw: int.from_bytes(raw[: tx.ROOT], "big")
     assert roots.tolist() == [-1] * 3 + [number("über".encode())] * 3 + [-1] * 2 + [-1] * 3 + [number(b"abcd")] * 2
+
+
+def test_words_of_rare_counts_travel_and_the_others_are_read(spark):
+    values = spark.range(1000).selectExpr("id AS word", "double(id) AS value", "CASE WHEN id < 100 THEN 50 + id WHEN id < 300 THEN 7 ELSE 1 END AS n")
+    for most, words in ((1000, 1000), (999, 300), (300, 300), (299, 100), (0, 0)):
+        assert sorted(r.word for r in tx.frequent_words(values, most).collect()) == list(range(words))
+    assert tx.frequent_words(values, 40).count() <= 40
+    assert tx.frequent_words(values.limit(0), 40).count() == 0
+    wide = spark.range(200_000).selectExpr("id AS word", "0.0D AS value", "2L AS n")
+    assert tx.frequent_words(wide, tx.BROADCAST).count() == 200_000
+    files = tx.materialise(wide, "values").inputFiles()
+    words, worth = tx.values_in(files)
+    assert words.tolist() == list(range(200_000)) and not worth.any()
+    assert len(tx.values_in([])[0]) == 0

@@ -23,8 +23,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.llm.bytefiles import located
 from tidemark.llm.columns import blocks, crc_of_id, flat_bytes, fresh, with_small
 from tidemark.llm.hashindex import HashIndex
 from tidemark.session import materialise
@@ -42,8 +44,8 @@ ROOT = 3
 BUCKET = 1 << 18
 #: Bytes that are looked up at a time, and n-grams that a task gathers before it passes them on.
 BLOCK_BYTES, GATHERED = 1 << 19, 1 << 19
-#: Words whose values are broadcast where the others are joined.
-FREQUENT = 1 << 17
+#: Ratios that are broadcast if a table has no more, and else values of its most frequent words that every task reads.
+BROADCAST = 1 << 20
 #: An odd base for hashes of byte strings, and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 BACK = pow(BASE, -1, 1 << 64)
@@ -185,17 +187,18 @@ class Ratios:
 
     table: DataFrame
     index: Lookup | None
+    most: int = BROADCAST
 
     @classmethod
     def of(cls, table: DataFrame, most: int) -> Ratios:
         if table.limit(most + 1).count() > most:
-            return cls(table, None)
-        return cls(table, indexed(table))
+            return cls(table, None, most)
+        return cls(table, indexed(table), most)
 
     def add_means(self, docs: DataFrame, text: str, into: str) -> DataFrame:
         """``docs`` with the value of each text as ``into``."""
         if self.index is None:
-            return _joined_means(docs, self.table, text, into)
+            return _joined_means(docs, self.table, text, into, self.most)
         shared, at = docs.sparkSession.sparkContext.broadcast(self.index), docs.columns.index(text)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,10 +305,34 @@ def word_values(words: DataFrame, table: DataFrame) -> DataFrame:
     return left.cogroup(longer.select(bucket(F.col("root")), "gram", "ratio").groupBy("bucket")).applyInPandas(run, "word bigint, value double, n bigint")
 
 
-def _joined_means(docs: DataFrame, table: DataFrame, text: str, into: str, frequent: int = FREQUENT) -> DataFrame:
+def frequent_words(values: DataFrame, most: int) -> DataFrame:
+    """The rows of ``values`` whose word occurs so often (``n``) that at most ``most`` words do. Sizes of bins of ``n`` decide, nothing is sorted."""
+    upto, bin_ = 0, F.floor(F.log2("n") * 16)
+    for row in values.groupBy(bin_.alias("bin")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("bin")).collect():
+        most -= row.words
+        if most < 0:
+            break
+        upto = row.n
+    return values.where(F.col("n") >= upto) if upto else values.limit(0)
+
+
+def values_in(files: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All words of some files of ``word, value`` in ascending order, and their values."""
+    parts = []
+    for file in files:
+        system, inner = located(file)
+        with system.open_input_file(inner) as opened:
+            parts.append(pq.ParquetFile(opened).read(["word", "value"]))
+    words, values = (np.concatenate([p[name].to_numpy() for p in parts] + [np.zeros(0, kind)]) for name, kind in (("word", np.int64), ("value", np.float64)))
+    order = np.argsort(words)
+    return words[order], values[order]
+
+
+def _joined_means(docs: DataFrame, table: DataFrame, text: str, into: str, most: int = BROADCAST) -> DataFrame:
     """The same by joins: distinct words with the table, then the words of texts with the words' values.
 
-    The most frequent words are broadcast and summed where the text is read; only the others travel, beside a 64-bit digest of
+    Up to ``most`` of the most frequent words are read from the shared folder by every task, so that the driver never holds
+    them, and summed where the text is read; only the others travel, beside a 64-bit digest of
     their text. Equal texts add up under one digest and share the sum.
     """
     digest, = fresh(docs, "digest")
@@ -313,18 +340,20 @@ def _joined_means(docs: DataFrame, table: DataFrame, text: str, into: str, frequ
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     vocabulary = materialise(word_counts(texts), "toxicity-vocabulary")
     values = materialise(word_values(vocabulary, table), "toxicity-words")
-    top = values.orderBy(F.desc("n"), "word").limit(frequent).toPandas()
-    shared = docs.sparkSession.sparkContext.broadcast(Lookup(top["word"].to_numpy(np.int64), top["value"].to_numpy(np.float64)))
-    del top
+    files = materialise(frequent_words(values, most).select("word", "value"), "toxicity-frequent").inputFiles()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, worth = values_in(files)
         for batch in batches:
             for block in blocks([len(t) for t in batch["text"]], BLOCK_BYTES):
                 of = batch["digest"].iloc[block].to_numpy()
                 words, ends = _words(batch["text"].iloc[block].tolist())
                 size = np.diff(ends, prepend=0)
                 place = np.repeat(np.arange(len(of)), size)
-                value = shared.value.get(words, np.nan)
+                # Each distinct word is looked up once, in order.
+                distinct, back = np.unique(words, return_inverse=True)
+                near = np.minimum(np.searchsorted(known, distinct), max(len(known) - 1, 0))
+                value = (np.where(known[near] == distinct, worth[near], np.nan) if len(known) else np.full(len(distinct), np.nan))[back]
                 away = np.isnan(value)
                 # A row for the text itself, under a word of its own, and the words that are not among the frequent ones.
                 yield pd.DataFrame({"digest": of, "word": of, "n": size, "value": np.bincount(place, np.where(away, 0.0, value), len(of)), "own": True})
@@ -374,7 +403,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return float(w[0] / spread), float(w[1] - w[0] * middle / spread)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, broadcast_grams: int = 1 << 20, curve_rows: int = 4000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, broadcast_grams: int = BROADCAST, curve_rows: int = 4000) -> Model:
     """Learn from the rows of ``docs`` with a label whose CRC-32 of the id is not divisible by ``folds``.
 
     Counts cover all of them and stay in Spark. A table of at most ``broadcast_grams`` ratios is broadcast; a larger one is
