@@ -51,8 +51,8 @@ SHARE_A, SHARE_B = 7, 3
 #: Bands grow by this ratio; schemes of at most SMALL differences have deletion neighbourhoods.
 GROWTH, SMALL = (16, 9), 16
 BLOCK_BYTES, FLUSH = 1 << 20, 1 << 18
-#: Lists with more tests than this are replaced by thinner ones while that halves their pairs. Comparing two sketches takes some
-#: hundredths of the time that comparing a set with its leader takes.
+#: Lists with more tests than this are replaced by thinner ones while that halves their pairs. A pair of sketches is compared in
+#: place, where a set and its leader travel to be compared.
 PAIRS = 256
 #: Words of a sketch, and sketches that are broadcast.
 SKETCH, SKETCHES = 8, 100_000
