@@ -73,3 +73,28 @@ def test_memory_is_bounded_and_keeps_common_pieces(monkeypatch):
         text = f"the<end> {'x' * i} {'y' * i}"
         assert b"".join(memory.encode([text, text])) == 2 * text.encode()
     assert len(memory.known) + len(memory.old) < 120 and asked.count("the") == asked.count("<end>") == 1
+
+
+def test_pieces_are_looked_up_once_and_new_ones_once_more():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, key):
+            Counting.asked += 1
+            return super().get(key)
+
+    memory = pieces.Remembering(PATTERN, lambda new: [p.encode() for p in new])
+    memory.known = Counting()
+    texts = ["a b c d e f g h", "a b c d e f g new", "a b c d e f g h"]
+    assert b"".join(memory.encode(texts[:1])) == texts[0].encode()
+    Counting.asked = 0
+    assert list(memory.encode(texts)) == [t.encode() for t in texts]
+    assert Counting.asked == 3 * 8 + 1
+
+
+def test_words_of_many_scripts_cut_as_the_library_cuts_them():
+    lib, rng = library(), np.random.default_rng(2)
+    letters = [chr(i) for i in range(0x250, 0x30000) if chr(i).isalpha()]
+    words = [" " + "".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(1500)] + [" the", " a", " é", " x" * 1, " \U0003134a"] + [f" w{'o' * i}rd" for i in range(600)]
+    got = tf.encoder(PATH, PATTERN).encode_pieces(words)
+    assert [np.frombuffer(raw, "<u4").tolist() for raw in got] == [lib.encode(word, add_special_tokens=False).ids for word in words]

@@ -71,8 +71,11 @@ class Remembering:
                 pieces = self.split(text)
                 found = list(map(get, pieces))
                 if None in found:
-                    gaps.append((len(codes), pieces))
-                    new.update((p, None) for p, code in zip(pieces, found, strict=True) if code is None)
+                    # Most texts hold something new: only those places are filled in later, the rest is looked up once.
+                    places = [i for i, code in enumerate(found) if code is None]
+                    lacking = [pieces[i] for i in places]
+                    gaps.append((len(codes), found, places, lacking))
+                    new.update(dict.fromkeys(lacking))
                     codes.append(b"")
                 else:
                     codes.append(b"".join(found))
@@ -80,6 +83,8 @@ class Remembering:
                 self.known.update((p, self.old[p]) for p in new if p in self.old)
                 unknown = [p for p in new if p not in self.old]
                 self.known.update(zip(unknown, self.encode_pieces(unknown), strict=True))
-                for i, pieces in gaps:
-                    codes[i] = b"".join(map(get, pieces))
+                for i, found, places, lacking in gaps:
+                    for place, code in zip(places, map(get, lacking), strict=True):
+                        found[place] = code
+                    codes[i] = b"".join(found)
             yield from codes
