@@ -158,3 +158,25 @@ def test_words_of_rare_counts_travel_and_the_others_are_read(spark):
     words, worth = tx.values_in(files)
     assert words.tolist() == list(range(200_000)) and not worth.any()
     assert len(tx.values_in([])[0]) == 0
+
+
+def test_words_are_asked_for_once_a_question_and_answered_in_packs(spark, monkeypatch):
+    """No row for a text and a word: 200 texts with 40 words each ask in one packed row a task and bucket, and equal the plain sums."""
+    rng = np.random.default_rng(11)
+    vocabulary = ["".join(rng.choice(list("abcdefgé"), 7)) for _ in range(500)]
+    texts = [" ".join(rng.choice(vocabulary, 40)) for _ in range(200)] + ["", "ab", "ab"]
+    worth = {int(tx._words([w])[0][0]): float(rng.normal()) for w in [*vocabulary, "ab"]}
+    values = spark.createDataFrame(list(worth.items()), "word long, value double")
+    df = spark.createDataFrame(list(enumerate(texts)), "digest long, text string").coalesce(1)
+    read = tx.materialise(values.where("pmod(word, 3) = 0"), "few").inputFiles()
+    for gathered, most in ((1 << 19, 1), (500, 30)):
+        monkeypatch.setattr(tx, "GATHERED", gathered)
+        asked = tx.materialise(tx.questions(df, read, 7), "asked")
+        own = asked.where("bucket < 0").count()
+        assert own <= most and asked.count() <= 8 * own and asked.where("bucket >= 0").agg(F.max("bucket")).first()[0] == 6
+        got = {r.digest: r["mean"] for r in tx.answered(asked, values.where("pmod(word, 3) != 0"), 7).collect()}
+        for i, text in enumerate(texts):
+            keys = tx._words([text])[0].tolist()
+            assert got[i] == pytest.approx(sum(worth[k] for k in keys) / (len(keys) + tx.STEADY), abs=1e-12)
+    empty = tx.materialise(tx.questions(df.limit(0), read, 7), "asked")
+    assert tx.answered(empty, values, 7).count() == 0

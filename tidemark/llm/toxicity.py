@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.bytefiles import located
@@ -42,10 +43,12 @@ CLIP = 6.0
 ROOT = 3
 #: Words and ratios that one task looks up together, about.
 BUCKET = 1 << 18
-#: Bytes that are looked up at a time, and n-grams that a task gathers before it passes them on.
+#: Bytes that are looked up at a time, and n-grams, or texts and words to be asked for, that a task gathers before it passes them on.
 BLOCK_BYTES, GATHERED = 1 << 19, 1 << 19
 #: Ratios that are broadcast if a table has no more, and else values of its most frequent words that every task reads.
-BROADCAST = 1 << 20
+BROADCAST = 1 << 18
+#: The columns of a question's rows after its number.
+QUESTION = {"bucket": "int", "words": "binary", "digests": "binary", "sizes": "binary", "sums": "binary", "places": "binary", "ranks": "binary"}
 #: An odd base for hashes of byte strings, and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 BACK = pow(BASE, -1, 1 << 64)
@@ -305,15 +308,21 @@ def word_values(words: DataFrame, table: DataFrame) -> DataFrame:
     return left.cogroup(longer.select(bucket(F.col("root")), "gram", "ratio").groupBy("bucket")).applyInPandas(run, "word bigint, value double, n bigint")
 
 
-def frequent_words(values: DataFrame, most: int) -> DataFrame:
-    """The rows of ``values`` whose word occurs so often (``n``) that at most ``most`` words do. Sizes of bins of ``n`` decide, nothing is sorted."""
-    upto, bin_ = 0, F.floor(F.log2("n") * 16)
+def _least_count(values: DataFrame, most: int) -> int | None:
+    """The least ``n`` that at most ``most`` words reach, none if there is no such bin. Sizes of bins of ``n`` decide, nothing is sorted."""
+    upto, bin_ = None, F.floor(F.log2("n") * 16)
     for row in values.groupBy(bin_.alias("bin")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("bin")).collect():
         most -= row.words
         if most < 0:
             break
         upto = row.n
-    return values.where(F.col("n") >= upto) if upto else values.limit(0)
+    return upto
+
+
+def frequent_words(values: DataFrame, most: int) -> DataFrame:
+    """The rows of ``values`` whose word occurs so often (``n``) that at most ``most`` words do."""
+    upto = _least_count(values, most)
+    return values.limit(0) if upto is None else values.where(F.col("n") >= upto)
 
 
 def values_in(files: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -328,44 +337,106 @@ def values_in(files: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return words[order], values[order]
 
 
-def _joined_means(docs: DataFrame, table: DataFrame, text: str, into: str, most: int = BROADCAST) -> DataFrame:
-    """The same by joins: distinct words with the table, then the words of texts with the words' values.
+def questions(texts: DataFrame, files: list[str], n_buckets: int) -> DataFrame:
+    """The ``digest, text`` rows of ``texts`` as packed questions for the values of their words, beside what is known without asking.
 
-    Up to ``most`` of the most frequent words are read from the shared folder by every task, so that the driver never holds
-    them, and summed where the text is read; only the others travel, beside a 64-bit digest of
-    their text. Equal texts add up under one digest and share the sum.
+    A task gathers texts into a question. Its row of bucket -1 has for each text the digest, the number of words and the sum of the
+    values that ``files`` hold, and for each other occurrence the place of its text and of its word. Those words, each once, are in
+    the rows of their buckets, in order of bucket and word. So a word travels once a question, however many of its texts have it.
     """
-    digest, = fresh(docs, "digest")
-    name = F.xxhash64
-    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    vocabulary = materialise(word_counts(texts), "toxicity-vocabulary")
-    values = materialise(word_values(vocabulary, table), "toxicity-words")
-    files = materialise(frequent_words(values, most).select("word", "value"), "toxicity-frequent").inputFiles()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, worth = values_in(files)
+        task, asked = TaskContext.get().partitionId(), 0
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def question() -> pd.DataFrame:
+            nonlocal asked
+            digests, sizes, sums, places, words = zip(*held, strict=True)
+            starts = np.cumsum([0, *map(len, digests[:-1])])
+            place = np.concatenate([at + start for at, start in zip(places, starts, strict=True)])
+            words, of = np.unique(np.concatenate(words), return_inverse=True)
+            bucket = bucket_of(words, n_buckets)
+            order = np.argsort(bucket, kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order))
+            buckets, first = np.unique(bucket[order], return_index=True)
+            own = (np.concatenate(digests), np.concatenate(sizes).astype(np.int32), np.concatenate(sums), place.astype(np.int32), rank[of])
+            rows = [(-1, b"", *(column.tobytes() for column in own))]
+            rows += [(int(k), part.tobytes(), *[b""] * len(own)) for k, part in zip(buckets, np.split(words[order], first[1:]) if len(first) else [], strict=True)]
+            held.clear()
+            asked += 1
+            return pd.DataFrame([(task << 32 | asked, *row) for row in rows], columns=["question", *QUESTION])
+
         for batch in batches:
             for block in blocks([len(t) for t in batch["text"]], BLOCK_BYTES):
-                of = batch["digest"].iloc[block].to_numpy()
                 words, ends = _words(batch["text"].iloc[block].tolist())
                 size = np.diff(ends, prepend=0)
-                place = np.repeat(np.arange(len(of)), size)
+                place = np.repeat(np.arange(len(size)), size)
                 # Each distinct word is looked up once, in order.
                 distinct, back = np.unique(words, return_inverse=True)
                 near = np.minimum(np.searchsorted(known, distinct), max(len(known) - 1, 0))
                 value = (np.where(known[near] == distinct, worth[near], np.nan) if len(known) else np.full(len(distinct), np.nan))[back]
                 away = np.isnan(value)
-                # A row for the text itself, under a word of its own, and the words that are not among the frequent ones.
-                yield pd.DataFrame({"digest": of, "word": of, "n": size, "value": np.bincount(place, np.where(away, 0.0, value), len(of)), "own": True})
-                pairs, n = np.unique(np.stack([place[away], words[away]]), axis=1, return_counts=True)
-                yield pd.DataFrame({"digest": of[pairs[0]], "word": pairs[1], "n": n, "value": 0.0, "own": False})
-
-    parts = texts.select(name("text").alias("digest"), "text").mapInPandas(run, "digest bigint, word bigint, n int, value double, own boolean")
-    known = values.select("word", F.col("value").alias("each"))
-    found = parts.join(known, "word", "left").select("digest", "own", "n", F.when(F.col("own"), F.col("value")).otherwise(F.col("n") * F.coalesce("each", F.lit(0.0))).alias("adds"))
-    count = lambda x: F.sum(F.when(F.col("own"), x))
-    sums = found.groupBy("digest").agg(F.sum("adds").alias("adds"), count(F.col("n")).alias("words"), count(F.lit(1)).alias("copies"))
-    sums = sums.select(F.col("digest").alias("of"), (F.col("adds") / F.col("copies") / (F.col("words") / F.col("copies") + STEADY)).alias("mean"))
+                held.append((batch["digest"].iloc[block].to_numpy(), size, np.bincount(place, np.where(away, 0.0, value), len(size)), place[away], words[away]))
+                if sum(len(part[0]) + len(part[-1]) for part in held) > GATHERED:
+                    yield question()
+        if held:
+            yield question()
+
+    return texts.mapInPandas(run, "question bigint, " + ", ".join(f"{name} {kind}" for name, kind in QUESTION.items()))
+
+
+def bucket_of(word, n_buckets: int):
+    """The bucket in which a word's value lies; of a column or of an array. The byte of a key's end says nothing."""
+    return F.pmod(F.shiftright(word, 8), F.lit(n_buckets)).cast("int") if isinstance(word, Column) else (word >> 8) % n_buckets
+
+
+def answered(asked: DataFrame, values: DataFrame, n_buckets: int) -> DataFrame:
+    """``digest, mean`` of every text of ``asked``, with the ``word, value`` rows of ``values``.
+
+    Questions and values meet in buckets of words, then a question's answers come back together. Equal texts get equal means.
+    """
+
+    def look(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(v["word"].to_numpy(np.int64))
+        words, each = v["word"].to_numpy(np.int64)[order], v["value"].to_numpy(float)[order]
+        found = [each[np.searchsorted(words, np.frombuffer(raw, np.int64))].tobytes() for raw in q["words"]]
+        return pd.DataFrame({"question": q["question"], "bucket": q["bucket"], "found": found})
+
+    def mean(q: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        kinds = {"digests": np.int64, "sizes": np.int32, "sums": float, "places": np.int32, "ranks": np.int32}
+        digests, sizes, sums, places, ranks = (np.frombuffer(q[name].iloc[0], kind) for name, kind in kinds.items())
+        found = np.frombuffer(b"".join(a.sort_values("bucket")["found"]), float)
+        return pd.DataFrame({"digest": digests, "mean": (sums + np.bincount(places, found[ranks], len(digests))) / (sizes + STEADY)})
+
+    known = values.select("word", "value", bucket_of(F.col("word"), n_buckets).alias("bucket")).groupBy("bucket")
+    found = asked.where("bucket >= 0").select("question", "bucket", "words").groupBy("bucket").cogroup(known).applyInPandas(look, "question bigint, bucket int, found binary")
+    own = asked.where("bucket < 0").drop("bucket", "words").groupBy("question")
+    return own.cogroup(found.groupBy("question")).applyInPandas(mean, "digest bigint, mean double")
+
+
+def _joined_means(docs: DataFrame, table: DataFrame, text: str, into: str, most: int = BROADCAST) -> DataFrame:
+    """The same by joins: distinct words with the table, then the words of texts with the words' values.
+
+    Up to ``most`` of the most frequent words are read from the shared folder by every task, so that the driver never holds
+    them, and summed where the text is read; the others are asked for, packed, by many texts together. Texts are known by a
+    64-bit digest; equal texts share the mean.
+    """
+    digest, = fresh(docs, "digest")
+    name = F.xxhash64
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    vocabulary = materialise(word_counts(texts), "toxicity-vocabulary")
+    values = materialise(word_values(vocabulary, table), "toxicity-words")
+    upto = _least_count(values, most)
+    read, rest = (values.limit(0), values) if upto is None else (values.where(F.col("n") >= upto), values.where(F.col("n") < upto))
+    files = materialise(read.select("word", "value"), "toxicity-frequent").inputFiles()
+    # A bucket's words, and how often they can be asked for.
+    size = rest.agg(F.count("*") + F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n_buckets = max(1, -(-size // (4 * BUCKET)))
+    # Written once, so that a question's rows come from one run of its task.
+    asked = materialise(questions(texts.select(name("text").alias("digest"), "text"), files, n_buckets), "toxicity-questions")
+    sums = answered(asked, rest, n_buckets).groupBy(F.col("digest").alias("of")).agg(F.max("mean").alias("mean"))
     keyed = docs.withColumn(digest, name(F.coalesce(F.col(text), F.lit(""))))
     return keyed.join(sums, F.col(digest) == F.col("of"), "left").select(*docs.columns, F.coalesce("mean", F.lit(0.0)).alias(into))
 
