@@ -9,7 +9,6 @@ quadratic, are merged with a heap; it makes the same merges in the same order.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import heapq
 from collections.abc import Iterator
@@ -19,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.hashindex import HashIndex
+from tidemark.llm.held import kept
 from tidemark.llm.pieces import Remembering
 
 #: Pieces of more bytes are merged with a heap.
@@ -152,9 +152,12 @@ class Bpe:
         return gather(ids, *self.decimal_of).tobytes()[:-1]
 
 
-@functools.lru_cache(maxsize=2)
 def loaded(path: str, pattern: str) -> Bpe:
-    """The tokenizer of a rank file; a worker reads it once."""
+    """The tokenizer of a rank file; a worker reads it once, and keeps it until another operator's task starts there."""
+    return kept("bpe", (path, pattern), lambda: _read(path, pattern))
+
+
+def _read(path: str, pattern: str) -> Bpe:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, lines))}
     return Bpe(ranks, pattern)

@@ -43,6 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm.columns import blocks, flat_bytes, fresh, with_small
+from tidemark.llm.held import begin
 from tidemark.session import materialise
 
 WORDS = 5
@@ -50,7 +51,7 @@ WORDS = 5
 SHARE_A, SHARE_B = 7, 3
 #: Bands grow by this ratio; schemes of at most SMALL differences have deletion neighbourhoods.
 GROWTH, SMALL = (16, 9), 16
-BLOCK_BYTES, FLUSH = 1 << 20, 1 << 18
+BLOCK_BYTES, FLUSH = 1 << 18, 1 << 18
 #: Lists with more tests than this are replaced by thinner ones while that halves their pairs. A pair of sketches is compared in
 #: place, where a set and its leader travel to be compared.
 PAIRS = 256
@@ -189,6 +190,7 @@ def described(docs: DataFrame, key: str, text: str) -> DataFrame:
     fields = [("id", pa.string()), ("n", pa.int64()), ("class", pa.int64())] + [(f"{c}{p}", pa.int32()) for p in (0, 1) for c in ("band", "need", "twos")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("jaccard")
         for batch in batches:
             rows = []
             for key_, grams in zip(batch.column(0).to_pylist(), shingle_sets([t or "" for t in batch.column(1).to_pylist()]), strict=True):
@@ -208,6 +210,7 @@ def entries(docs: DataFrame, text: str) -> DataFrame:
     """``sig, class, deleted``: the index of all sets. A task writes each class once, so that copies of it do not add up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("jaccard")
         seen: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray, bool]] = []
 

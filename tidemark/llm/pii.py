@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.llm.columns import fresh
+from tidemark.llm.held import begin
 
 #: The kinds in order, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -430,6 +431,7 @@ def annotate(docs: DataFrame, field: Field, text: str = "text", into: str = "spa
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("pii")
         for batch in batches:
             rows = [[dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in field.spans(t or "")] for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*batch.schema.names, name])
@@ -452,6 +454,7 @@ def redact(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
         return "".join([*out, value[done:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("pii")
         for batch in batches:
             columns = list(batch.columns)
             columns[at] = pa.array([clean(t) for t in batch.column(at).to_pylist()], columns[at].type)

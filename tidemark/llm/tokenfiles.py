@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.bytefiles import AtomicFile, located
+from tidemark.llm.held import kept
 from tidemark.llm.pieces import Remembering
 
 #: Fixed values of the file format.
@@ -45,14 +46,18 @@ def _library(path: str):
     return Tokenizer.from_file(path)
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Remembering:
     """Ids of whole texts by the tokenizers library as little-endian unsigned 32-bit integers.
 
     A byte-level tokenizer splits a text by ``pattern`` and encodes the pieces one by one, so a text's ids are those of its
     pieces in order. Pieces recur, so the library sees each distinct one once; the encoder and what it remembers serve all tasks
-    of a worker process. A literal added token in a text becomes its own id, as the library has it.
+    of a worker process until another operator's task starts there. A literal added token in a text becomes its own id, as the
+    library has it.
     """
+    return kept("tokenfiles", (path, pattern), lambda: _encoder(path, pattern))
+
+
+def _encoder(path: str, pattern: str) -> Remembering:
     library = _library(path)
     added = library.get_added_tokens_decoder().values()
     if any(token.lstrip or token.rstrip or token.single_word for token in added):

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.llm.bytefiles import located
 from tidemark.llm.columns import blocks, crc_of_id, flat_bytes, fresh, with_small
 from tidemark.llm.hashindex import HashIndex
+from tidemark.llm.held import begin
 from tidemark.session import materialise
 
 DISCOUNT, STEADY = 0.75, 40
@@ -44,7 +45,7 @@ ROOT = 3
 #: Words and ratios that one task looks up together, about.
 BUCKET = 1 << 18
 #: Bytes that are looked up at a time, and n-grams, or texts and words to be asked for, that a task gathers before it passes them on.
-BLOCK_BYTES, GATHERED = 1 << 19, 1 << 19
+BLOCK_BYTES, GATHERED = 1 << 17, 1 << 19
 #: Ratios that are broadcast if a table has no more, and else values of its most frequent words that every task reads.
 BROADCAST = 1 << 18
 #: The columns of a question's rows after its number.
@@ -110,6 +111,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     """``gram, root, c0 .. c3``: counts over all rows of ``text, part``, where part is twice the half plus the class."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin("toxicity")
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,6 +259,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """``word, bytes, n``: every word of ``text`` with its occurrences."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin("toxicity")
         held: dict[bytes, int] = {}
         frame = lambda: pd.DataFrame({"bytes": list(held), "n": list(held.values())})
         for batch in batches:
@@ -346,6 +349,7 @@ def questions(texts: DataFrame, files: list[str], n_buckets: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin("toxicity")
         known, worth = values_in(files)
         task, asked = TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, ...]] = []
