@@ -5,6 +5,7 @@ import tracemalloc
 import weakref
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 
 from tidemark.llm import bpe, held, jaccard, tokenfiles, toxicity
@@ -44,3 +45,21 @@ def test_arrays_of_a_block_stay_small():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < 32e6
+
+
+def test_gram_counts_of_a_large_batch_gather_little(monkeypatch):
+    """A batch of many texts is merged block by block, and what is handed on still adds up to every gram."""
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.choice(list(b"abcdefghijkl  "), 2500).tolist()).decode() for _ in range(400)]
+    batch = pd.DataFrame({"text": texts, "part": np.arange(400) % 4})
+    whole = pd.concat(toxicity.counted(iter([batch]))).groupby("gram").sum()
+    assert whole[["c0", "c1", "c2", "c3"]].to_numpy().sum() == len(toxicity.grams(texts)[0])
+    monkeypatch.setattr(toxicity, "GATHERED", 1 << 14)
+    monkeypatch.setattr(toxicity, "BLOCK_BYTES", 1 << 16)
+    tracemalloc.start()
+    most = max(len(frame) for frame in toxicity.counted(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most <= 1 << 14 and peak < 20e6
+    parts = pd.concat(toxicity.counted(iter([batch])))
+    assert len(parts) > len(whole) and parts.drop(columns="root").groupby("gram").sum().equals(whole.drop(columns="root"))

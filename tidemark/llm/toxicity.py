@@ -45,7 +45,7 @@ ROOT = 3
 #: Words and ratios that one task looks up together, about.
 BUCKET = 1 << 18
 #: Bytes that are looked up at a time, and n-grams, or texts and words to be asked for, that a task gathers before it passes them on.
-BLOCK_BYTES, GATHERED = 1 << 17, 1 << 19
+BLOCK_BYTES, GATHERED = 1 << 18, 1 << 18
 #: Ratios that are broadcast if a table has no more, and else values of its most frequent words that every task reads.
 BROADCAST = 1 << 18
 #: The columns of a question's rows after its number.
@@ -107,38 +107,52 @@ def _grams(texts: list[str], rooted: bool = False) -> tuple[np.ndarray, np.ndarr
     return keys, root, np.searchsorted(at, ends), np.diff(np.concatenate([[0], np.cumsum(at_end)])[ends])
 
 
-def gram_counts(rows: DataFrame) -> DataFrame:
-    """``gram, root, c0 .. c3``: counts over all rows of ``text, part``, where part is twice the half plus the class."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        begin("toxicity")
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            keys, roots, counts = (np.concatenate(column) for column in zip(*held, strict=True))
-            found, first, at = np.unique(keys, return_index=True, return_inverse=True)
-            sums = np.zeros((len(found), 4), np.int64)
-            np.add.at(sums, at, counts)
-            return found, roots[first], sums
+def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts over some batches, a gram more than once where a task has more distinct ones than it gathers."""
+    begin("toxicity")
+    empty = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros((0, 4), np.int64)
+    table, new = empty, []
+
+    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, roots, counts = table
+        found, at = np.unique(np.concatenate([keys, *(k for k, _, _, _ in new)]), return_inverse=True)
+        root, sums = np.empty(len(found), np.int32), np.zeros((len(found), 4), np.int64)
+        # A part has each key once, so parts add up one by one and are not copied together.
+        root[at[: len(keys)]], sums[at[: len(keys)]] = roots, counts
+        start = len(keys)
+        for k, r, part, n in new:
+            place = at[start : start + len(k)]
+            root[place] = r
+            sums[place, part] += n
+            start += len(k)
+        new.clear()
+        return found, root, sums
+
+    def frames() -> Iterator[pd.DataFrame]:
+        for i in range(0, len(table[0]), GATHERED // 4):
+            found, roots, sums = (column[i : i + GATHERED // 4] for column in table)
+            yield pd.DataFrame({"gram": found, "root": roots} | {f"c{i}": sums[:, i] for i in range(4)})
+
+    for batch in batches:
+        for part in range(4):
+            texts = batch["text"][batch["part"] == part].tolist()
+            for block in blocks([len(t) for t in texts], BLOCK_BYTES):
+                keys, roots = rooted_grams(texts[block])
+                found, first, n = np.unique(keys, return_index=True, return_counts=True)
+                new.append((found, roots[first], part, n))
+                # After every block and not after a batch, whose rows may be many and long.
+                if sum(len(k) for k, _, _, _ in new) > GATHERED:
+                    table = merged()
+                    if len(table[0]) > 2 * GATHERED:
+                        yield from frames()
+                        table = empty
+    table = merged()
+    yield from frames()
 
-        def frame(found: np.ndarray, roots: np.ndarray, sums: np.ndarray) -> pd.DataFrame:
-            return pd.DataFrame({"gram": found, "root": roots} | {f"c{i}": sums[:, i] for i in range(4)})
 
-        for batch in batches:
-            for part in range(4):
-                texts = batch["text"][batch["part"] == part].tolist()
-                for block in blocks([len(t) for t in texts], BLOCK_BYTES):
-                    keys, roots = rooted_grams(texts[block])
-                    found, first, n = np.unique(keys, return_index=True, return_counts=True)
-                    held.append((found, roots[first], n[:, None] * (np.arange(4) == part)))
-            if sum(len(keys) for keys, _, _ in held) > GATHERED:
-                held = [merged()]
-                if len(held[0][0]) > GATHERED // 2:
-                    yield frame(*held.pop())
-        if held:
-            yield frame(*merged())
-
-    partial = rows.mapInPandas(run, "gram bigint, root int, c0 bigint, c1 bigint, c2 bigint, c3 bigint")
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """``gram, root, c0 .. c3``: counts over all rows of ``text, part``, where part is twice the half plus the class."""
+    partial = rows.mapInPandas(counted, "gram bigint, root int, c0 bigint, c1 bigint, c2 bigint, c3 bigint")
     return partial.groupBy("gram").agg(F.max("root").alias("root"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(4)])
 
 
@@ -266,7 +280,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             for text in batch["text"]:
                 for word in SPLIT.findall(text.lower().encode("utf-8", "surrogatepass")):
                     held[word] = held.get(word, 0) + 1
-                if len(held) > GATHERED // 8:
+                if len(held) > GATHERED // 4:
                     yield frame()
                     held.clear()
         if held:
