@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tidemark.llm import lexical, words
@@ -93,3 +94,30 @@ def test_slices_cut_between_words():
     assert b"".join(parts) == raw and len(parts) > 30
     assert [w for p in parts for w in lexical.TERM_BYTES.findall(p)] == lexical.TERM_BYTES.findall(raw)
     assert words.ranges(np.array([5, 0, 9]), np.array([2, 0, 3])).tolist() == [5, 6, 9, 10, 11]
+
+
+def test_shards_travel_alone(spark, monkeypatch):
+    """Row groups and batches hold one shard each, however many a file has, and the session's settings are as before."""
+    docs = [(i, prose(np.random.default_rng(i), 30)) for i in range(120)]
+    shards = lexical.index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), shard_docs=4)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in shards.inputFiles()]
+    assert len(files) < 30 and sum(f.num_rows for f in files) == 30
+    assert all(f.row_group(g).num_rows == 1 for f in files for g in range(f.num_row_groups))
+    plain = lexical._visit
+
+    def watched(*given):
+        run = plain(*given)
+
+        def alone(batches):
+            for batch in batches:
+                assert len(batch) <= 1
+                yield batch
+
+        return lambda batches: run(alone(batches))
+
+    monkeypatch.setattr(lexical, "_visit", watched)
+    key = next(iter(lexical.ONE_A_BATCH))
+    before = spark.conf.get(key)
+    items = [(i, prose(np.random.default_rng(1000 + i), 5)) for i in range(8)]
+    got = lexical.search(shards, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == brute(docs, items) and spark.conf.get(key) == before

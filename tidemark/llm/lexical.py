@@ -11,7 +11,8 @@ stratum, count). The first count of a run is the greatest, hence a stratum's bou
 its runs' first counts. Strata are visited by falling bound until the bound is below the item's k-th score. A document lies in
 one stratum, so its score is whole once its stratum is visited.
 
-Shards stay where they are. Items travel in rounds of bounded size; in each round some pilot shards give every item a k-th
+Shards are large rows: each is written as a row group of its own and handed to Python alone, so what a task holds does not grow
+with the number of shards in a file. Shards stay where they are. Items travel in rounds of bounded size; in each round some pilot shards give every item a k-th
 score that the other shards start from, and a task carries the k-th score on from shard to shard.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -39,6 +41,9 @@ TERM_BYTES = re.compile(rb"[0-9a-z\x80-\xff]+")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words and documents of a shard, terms of the items of a round, and one pilot shard in how many.
 SHARD_WORDS, SHARD_DOCS, ROUND_TERMS, PILOT = 1 << 20, 1 << 14, 1 << 18, 16
+#: One shard at a time: in the Parquet writer and reader, and in a batch for Python.
+ALONE, ONE_A_BATCH = {"parquet.block.row.count.limit": "1"}, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1"}
+SHARD_ARRAYS = ("doc_ids", "lengths", "starts", "posting_docs", "posting_tfs")
 SHARD_SCHEMA = "shard long, docs long, words long, terms array<string>, dfs array<long>, doc_ids binary, lengths binary, starts binary, posting_docs binary, posting_tfs binary"
 
 
@@ -100,10 +105,10 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_words:
 
     schema = pa.schema(
         [("shard", pa.int64()), ("docs", pa.int64()), ("words", pa.int64()), ("terms", pa.list_(pa.string())), ("dfs", pa.list_(pa.int64()))]
-        + [(name, pa.binary()) for name in ("doc_ids", "lengths", "starts", "posting_docs", "posting_tfs")]
+        + [(name, pa.binary()) for name in SHARD_ARRAYS]
     )
     kept = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    return materialise(kept.mapInArrow(build, SHARD_SCHEMA), "lexical-shards")
+    return materialise(kept.mapInArrow(build, SHARD_SCHEMA), "lexical-shards", options=ALONE)
 
 
 @dataclass
@@ -195,12 +200,15 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 def _visit(vocabulary: pa.Array, items: list[tuple[np.ndarray, np.ndarray]], least: np.ndarray, k: int, documents: int, words: int):
     """Search all shards of a task with the items of a round, and give each item's best once at the end."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(items)
         kth = least.copy()
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                local = pc.fill_null(pc.index_in(vocabulary, value_set=pa.array(row.terms, pa.string())), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for at in range(batch.num_rows):
+                # Terms and postings are read where the batch has them; no Python object is made for a term.
+                row = SimpleNamespace(**{name: batch.column(name)[at].as_buffer() for name in SHARD_ARRAYS})
+                own = batch.column("terms")[at].values.cast(pa.string())
+                local = pc.fill_null(pc.index_in(vocabulary, value_set=own), -1).to_numpy(zero_copy_only=False).astype(np.int64)
                 strata = Strata.of(row, local, documents, words)
                 total = np.zeros(len(strata.doc_ids), np.int64)
                 for i, (terms, weights) in enumerate(items):
@@ -209,9 +217,10 @@ def _visit(vocabulary: pa.Array, items: list[tuple[np.ndarray, np.ndarray]], lea
                         found[i] = best(np.append(found[i][0], ids), np.append(found[i][1], scores), k)
                         if len(found[i][1]) == k:
                             kth[i] = max(kth[i], found[i][1][-1])
-        for i, (ids, scores) in enumerate(found):
-            if len(ids):
-                yield pd.DataFrame({"item": i, "doc_id": ids, "score": scores})
+        size = [len(ids) for ids, _ in found]
+        if any(size):
+            columns = np.repeat(np.arange(len(found)), size), *(np.concatenate(part).astype(np.int64) for part in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["item", "doc_id", "score"])
 
     return run
 
@@ -254,15 +263,16 @@ def search(shards: DataFrame, items: DataFrame, k: int = 10, key: str = "item_id
         vocabulary = pa.array(terms.tolist(), pa.string())
         numbers = spark.createDataFrame(pd.DataFrame({"item": np.arange(len(ids)), "item_id": ids}), "item long, item_id long")
 
-        def visit(some: DataFrame, least: np.ndarray) -> DataFrame:
-            return some.mapInPandas(_visit(vocabulary, lists, least, k, documents, words), "item long, doc_id long, score long")  # noqa: B023
+        def visit(some: DataFrame, least: np.ndarray, label: str) -> DataFrame:
+            met = some.select("terms", *SHARD_ARRAYS).mapInArrow(_visit(vocabulary, lists, least, k, documents, words), "item long, doc_id long, score long")  # noqa: B023
+            return materialise(met, label, conf=ONE_A_BATCH)
 
-        first = materialise(visit(shards.where(pilot), np.zeros(len(ids), np.int64)), "lexical-pilot")
+        first = visit(shards.where(pilot), np.zeros(len(ids), np.int64), "lexical-pilot")
         place = Window.partitionBy("item").orderBy(F.desc("score"), "doc_id")
         least = np.zeros(len(ids), np.int64)
         for r in first.withColumn("rank", F.row_number().over(place)).where(F.col("rank") == k).select("item", "score").collect():
             least[r["item"]] = r["score"]
-        both = first.unionByName(visit(shards.where(~pilot), least))
+        both = first.unionByName(visit(shards.where(~pilot), least, "lexical-rest"))
         found = found.unionByName(both.join(F.broadcast(numbers), "item").select("item_id", "doc_id", "score"))
     place = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,9 +57,29 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: a cut in the lineage that outlives executors."""
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Run with other values of the session's settings; the ones before hold again afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def materialise(df: DataFrame, label: str, conf: dict[str, str] | None = None, options: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: a cut in the lineage that outlives executors.
+
+    ``conf`` are settings that hold while it is written, ``options`` those of the Parquet writer.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.mode("overwrite").parquet(path)
+    with settings(spark, conf or {}):
+        df.write.mode("overwrite").options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
