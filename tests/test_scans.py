@@ -5,8 +5,8 @@ import hashlib
 import numpy as np
 from pyspark.sql import Window, functions as F
 
-from tidemark.operators import align, analogs as an, portfolio as pf, returns
-from tidemark.operators.scans import framed, numbered, running, scanned, smaller_before
+from tidemark.operators import align, analogs as an, decisions as dc, portfolio as pf, returns
+from tidemark.operators.scans import by_size, framed, numbered, running, scanned, smaller_before
 
 
 def skewed(spark, n=3000):
@@ -220,3 +220,29 @@ def test_next_value_does_not_go_over_the_rest_of_a_block_for_each_row(spark):
     out = scanned(df, ["k"], [F.col("id")], {"n": ("next", F.col("v"))}, block=8)
     assert [r.n for r in out.orderBy("id").collect()] == [3] * 4 + [10] * 7 + [17] * 7 + [None] * 2
     assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_large_and_small_keys_by_their_own_ways(spark):
+    """Keys beyond a block go by blocks, also in a second scan by another order; null keys and null places are among them."""
+    df = skewed(spark).withColumn("k", F.when(F.col("k") != "hot", F.col("k"))).withColumn("t", F.when(F.col("id") % 11 > 0, F.col("t")))
+    v = F.col("v")
+
+    def steps(rows, scan):
+        once = scan(rows, [F.col("t"), F.col("id")], {"s": ("sum_before", v), "p": ("prev", v)})
+        return scan(once, [F.round("s", 3), F.col("id")], {"n": ("next", F.when(F.col("id") % 5 == 0, F.col("id"))), "a": ("total", F.col("id")), "f": ("first", F.col("id"))})
+
+    want = [(r.id, None if r.s is None else round(r.s, 6), r.p, r.n, r.a, r.f) for r in by_size(df, ["k"], steps).orderBy("id").collect()]
+    for block in (60, 200):
+        got = [(r.id, None if r.s is None else round(r.s, 6), r.p, r.n, r.a, r.f) for r in by_size(df, ["k"], steps, block=block).orderBy("id").collect()]
+        assert got == want
+    w = Window.partitionBy("k").orderBy("t", "id")
+    plain = df.select("id", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("s"), F.lag("v").over(w).alias("p"), F.sum("id").over(Window.partitionBy("k")).alias("a"))
+    assert [(r.id, round(r.s or 0.0, 6), r.p, r.a) for r in plain.orderBy("id").collect()] == [(i, s, p, a) for i, s, p, _, a, _ in want]
+
+
+def test_budget_by_blocks_equals_budget_by_windows(spark):
+    rng = np.random.default_rng(8)
+    rows = [("hot" if rng.random() < 0.6 else str(i % 4), f"s{i}", int(rng.integers(1, 50)), "structural" if rng.random() < 0.3 else None if rng.random() < 0.1 else "regime", float(rng.integers(1, 40)) / 16) for i in range(300)]
+    df = spark.createDataFrame(rows, "account_id STRING, symbol STRING, size INT, layer STRING, turnover_pct DOUBLE")
+    both = [sorted(map(tuple, dc.allocate_budget(df, "account_id", ["size", "symbol"], F.col("layer") == "structural", block=b).collect()), key=str) for b in (25, 1000)]
+    assert both[0] == both[1] and len(both[0]) == 300 and {r[-1] for r in both[0]} == {"execute", "skip"}

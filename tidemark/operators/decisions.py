@@ -6,13 +6,13 @@ account and anything at event grain use :mod:`tidemark.operators.scans`.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.config import LIMITS, MIN_CASH_SYMBOL, TEMPLATE_TOTAL, TEMPLATES, TILT_GROUPS, TILTS
 from tidemark.functions import labels as L
-from tidemark.operators.scans import scanned
+from tidemark.operators.scans import BLOCK_ROWS, by_size, scanned
 
 
 def template_rows(families: DataFrame, family: str = "regime", liquidity: str = "liquidity_binary") -> DataFrame:
@@ -328,17 +328,18 @@ def capped_queue(candidates: DataFrame, key: str, ident: str, order: Sequence[Co
     )
 
 
-def allocate_budget(orders: DataFrame, account: str, order: Sequence[str], structural: Column) -> DataFrame:
+def allocate_budget(orders: DataFrame, account: str, order: Sequence[str], structural: Column, block: int = BLOCK_ROWS) -> DataFrame:
     """Turnover budget in priority order: structural entries are reserved first, the rest share what is left."""
-    place = [F.col(c) for c in order]
-    marked = orders.select("*", structural.alias("_s"))
-    first = scanned(marked, [account], place, {"_c": ("sum", F.when(F.col("_s"), F.col("turnover_pct")))})
-    held = first.select(*orders.columns, (F.col("_s") & (F.col("_c") <= LIMITS["structural_reserve"])).alias("reserved"))
-    second = scanned(held, [account], place, {"_rest": ("sum", F.when(~F.col("reserved"), F.col("turnover_pct")))})
-    taken = held.groupBy(F.col(account).alias("_acc")).agg(F.coalesce(F.sum(F.when(F.col("reserved"), F.col("turnover_pct"))), F.lit(0.0)).alias("_taken"))
-    both = second.join(taken, F.col(account).eqNullSafe(F.col("_acc")))
-    fits = F.col("_taken") + F.col("_rest") <= LIMITS["turnover"]
-    return both.select(*orders.columns, "reserved", F.when(F.col("reserved") | fits, "execute").otherwise("skip").alias("decision"))
+    place, pct = [F.col(c) for c in order], F.col("turnover_pct")
+
+    def steps(rows: DataFrame, scan: Callable) -> DataFrame:
+        first = scan(rows, place, {"_c": ("sum", F.when(structural, pct))})
+        held = first.select(*orders.columns, (structural & (F.col("_c") <= LIMITS["structural_reserve"])).alias("reserved"))
+        second = scan(held, place, {"_rest": ("sum", F.when(~F.col("reserved"), pct)), "_taken": ("total", F.when(F.col("reserved"), pct))})
+        fits = F.coalesce("_taken", F.lit(0.0)) + F.col("_rest") <= LIMITS["turnover"]
+        return second.select(*orders.columns, "reserved", F.when(F.col("reserved") | fits, "execute").otherwise("skip").alias("decision"))
+
+    return by_size(orders, [account], steps, block, write=False)
 
 
 def exposure_overlap(exposures: DataFrame, theses: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions import dates
 from tidemark.operators.scans import running
-from tidemark.session import materialise
+from tidemark.session import FREED, materialise
 
 
 #: Declared schemas: a scan then needs no job to read footers first.
@@ -281,7 +281,7 @@ def positions(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
     if cols and not {"portfolio_value", "allocation_pct"} & {*cols}:
         return held.select(*cols)
     needed = [c for c in held.columns if not cols or c in (*cols, "account_id", "market_value", "cash")]
-    held = materialise(held.select(*needed), "positions")
+    held = materialise(held.select(*needed), "positions", FREED)
     total = held.groupBy("account_id").agg((F.sum("market_value") + F.max("cash")).alias("portfolio_value"))
     shared = held.join(total, "account_id").select("*", (F.col("market_value") / F.col("portfolio_value") * 100).alias("allocation_pct"))
     return shared.select(*cols) if cols else shared

@@ -18,6 +18,9 @@ RECOMMENDED = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: For :func:`materialise`: what was shuffled for a write goes when it is done, and not when the driver happens to collect its garbage.
+FREED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
 #: Scratch folders of local sessions that name none, by application.
 _LOCAL_ROOTS: dict[str, str] = {}
 
