@@ -252,6 +252,8 @@ def test_scans_of_fitting_keys_share_one_exchange(spark):
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     some = [tuple(r) for r in pf.match_fifo(df, ["k"], ["i"], block=30).collect()]
     assert sorted(map(tuple, out.collect())) == sorted(some)
+    halves = [F.pmod(F.xxhash64("i"), F.lit(2)) == i for i in range(2)]
+    assert sorted(map(tuple, pf.match_fifo(df, ["k"], ["i"], slices=halves).collect())) == sorted(some)
     key = next(iter(FREED))
     before = spark.conf.get(key)
     tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()

@@ -9,7 +9,7 @@ and only keys that need it. Results equal the plain window.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
@@ -122,14 +122,14 @@ def scanned(df: DataFrame, keys: list[str], order: list[Column], specs: Specs, b
     return by_size(placed, keys, lambda rows, scan: scan(rows, [F.col(n) for n in names], specs), block).drop(*names)
 
 
-def by_size(df: DataFrame, keys: list[str], steps: Callable, block: int = BLOCK_ROWS, write: bool = True) -> DataFrame:
+def by_size(df: DataFrame, keys: list[str], steps: Callable, block: int = BLOCK_ROWS, write: bool = True, slices: Sequence[Column] = ()) -> DataFrame:
     """``steps(rows, scan)``, where ``scan(rows, order, specs)`` is :func:`scanned` by ``keys`` and may be used again on what it gave.
 
-    Rows are written once, or read again from ``df`` where that is cheap (``write`` false). Keys of at most ``block`` rows go by plain windows, and one
+    Rows are written once, in ``slices`` as :func:`materialise` has them, or read again from ``df`` where that is cheap (``write`` false). Keys of at most ``block`` rows go by plain windows, and one
     exchange serves all scans of the steps. Larger keys, if there are any, go by blocks, see :func:`_by_blocks`. Steps keep the
     keys of rows and give no key more rows than it had, and ``order`` gives a row the same place each time.
     """
-    rows = materialise(df, "scanned", FREED) if write else df
+    rows = materialise(df, "scanned", FREED, slices=slices) if write else df
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > block)
     large = materialise(counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]), "large-keys", FREED)
     if large.isEmpty():

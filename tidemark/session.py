@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Settings the operators are tuned for. A cluster keeps its own values for memory and shuffle width.
 RECOMMENDED = {
@@ -76,13 +76,17 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
-def materialise(df: DataFrame, label: str, conf: dict[str, str] | None = None, options: dict[str, str] | None = None) -> DataFrame:
+def materialise(
+    df: DataFrame, label: str, conf: dict[str, str] | None = None, options: dict[str, str] | None = None, slices: Sequence[Column] = ()
+) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: a cut in the lineage that outlives executors.
 
-    ``conf`` are settings that hold while it is written, ``options`` those of the Parquet writer.
+    ``conf`` are settings that hold while it is written, ``options`` those of the Parquet writer. ``slices`` are conditions of which
+    each row meets one: rows are then written slice by slice, and with :data:`FREED` only one slice's shuffles lie on disk.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     with settings(spark, conf or {}):
-        df.write.mode("overwrite").options(**(options or {})).parquet(path)
+        for part in [df.where(c) for c in slices] or [df]:
+            part.write.mode("append").options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
