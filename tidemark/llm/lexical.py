@@ -41,8 +41,9 @@ TERM_BYTES = re.compile(rb"[0-9a-z\x80-\xff]+")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words and documents of a shard, terms of the items of a round, and one pilot shard in how many.
 SHARD_WORDS, SHARD_DOCS, ROUND_TERMS, PILOT = 1 << 20, 1 << 14, 1 << 18, 16
-#: One shard at a time: in the Parquet writer and reader, and in a batch for Python.
-ALONE, ONE_A_BATCH = {"parquet.block.row.count.limit": "1"}, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1"}
+#: One shard at a time: in the Parquet writer and reader, and in a batch for Python. Texts come in batches of some megabytes.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ALONE, ONE_A_BATCH, TEXTS_A_BATCH = {"parquet.block.row.count.limit": "1"}, {BATCH: "1"}, {BATCH: "1024"}
 SHARD_ARRAYS = ("doc_ids", "lengths", "starts", "posting_docs", "posting_tfs")
 SHARD_SCHEMA = "shard long, docs long, words long, terms array<string>, dfs array<long>, doc_ids binary, lengths binary, starts binary, posting_docs binary, posting_tfs binary"
 
@@ -108,7 +109,7 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_words:
         + [(name, pa.binary()) for name in SHARD_ARRAYS]
     )
     kept = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    return materialise(kept.mapInArrow(build, SHARD_SCHEMA), "lexical-shards", options=ALONE)
+    return materialise(kept.mapInArrow(build, SHARD_SCHEMA), "lexical-shards", conf=TEXTS_A_BATCH, options=ALONE)
 
 
 @dataclass
